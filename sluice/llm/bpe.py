@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sluice import staging
 
 #: Characters of text that one chunk holds at most, if it has more than one document.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 32_000_000
 #: The pattern's alternatives for texts of ASCII characters alone, where the quicker standard engine does.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 
@@ -74,17 +74,17 @@ def _token_bytes(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _pack(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _pack_planes(x: np.ndarray) -> bytes:
+def _pack_planes(x: np.ndarray, level: int = 3) -> bytes:
     """Numbers below 2**32, their low bytes together and their high ones together, which pack better."""
-    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), level)
 
 
 def _unpack_planes(data: bytes) -> np.ndarray:
@@ -92,6 +92,20 @@ def _unpack_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").reshape(-1)
 
 
+def _pack_ranks(x: np.ndarray) -> bytes:
+    """Numbers of which most are small: a byte each, and those from 255 on apart."""
+    large = x >= 255
+    head = _pack(np.minimum(x, 255).astype(np.uint8).tobytes(), 9)
+    return len(head).to_bytes(8, "little") + head + _pack_planes(x[large] - np.uint32(255), 9)
+
+
+def _unpack_ranks(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(_unpack(data[8 : 8 + n]), np.uint8).astype(np.uint32)
+    out[out == 255] += _unpack_planes(data[8 + n :])
+    return out
+
+
 _CHUNKS = "chunk long, bucket int, payload binary, extra binary"
 _CHUNK_TYPE = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("extra", pa.binary())])
 
@@ -115,20 +129,22 @@ def _cut(pattern: str, n_buckets: int, chunk_chars: int):
 
         def flush():
             words = list(number)
-            raw = [w.encode() for w in words]
+            seq = np.concatenate([np.empty(0, np.uint32), *seqs])
+            # words are numbered anew, frequent ones first: their numbers are short
+            order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            raw = [words[i].encode() for i in order]
             at = np.fromiter((xxhash.xxh32_intdigest(w) for w in raw), np.int64, len(raw)) % n_buckets
-            # words are numbered anew, bucket by bucket, so that a bucket's ids come back in order
-            order = np.argsort(at, kind="stable")
-            place = np.empty(len(raw), np.uint32)
-            place[order] = np.arange(len(raw), dtype=np.uint32)
-            seq = place[np.concatenate(seqs)] if seqs else np.empty(0, np.uint32)
             known = np.fromiter((i is not None for i in ids), np.uint8, len(ids))
-            extra = known.tobytes() + np.fromiter((i or 0 for i in ids), "<i8", len(ids)).tobytes() + np.array(sizes, "<i8").tobytes()
-            yield _rows(first + made, [-1], [_pack_planes(seq)], [_pack(extra)])
+            docs = known.tobytes() + np.fromiter((i or 0 for i in ids), "<i8", len(ids)).tobytes() + np.array(sizes, "<i8").tobytes()
+            extra = [_pack(docs), _pack_planes(at)]
+            yield _rows(first + made, [-1], [_pack_ranks(rank[seq])], [len(extra[0]).to_bytes(8, "little") + b"".join(extra)])
+            order = np.argsort(at, kind="stable")
             bounds = np.searchsorted(at[order], np.arange(n_buckets + 1))
             full = [b for b in range(n_buckets) if bounds[b] < bounds[b + 1]]
             lists = [[raw[i] for i in order[bounds[b] : bounds[b + 1]]] for b in full]
-            yield _rows(first + made, full, [_pack(b"".join(x)) for x in lists], [_pack(np.fromiter(map(len, x), "<u4", len(x)).tobytes()) for x in lists])
+            yield _rows(first + made, full, [_pack(b"".join(x), 9) for x in lists], [_pack(np.fromiter(map(len, x), "<u4", len(x)).astype("<u4").tobytes()) for x in lists])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -177,7 +193,12 @@ def _encode_words(path: str, pattern: str):
 def _assemble(batches):
     """Rows of a chunk, one after another: its positions, then its buckets in order."""
 
-    def finish(seq, extra, flats, lengths):
+    def finish(packed, both, flats, lengths):
+        k = int.from_bytes(both[:8], "little")
+        extra, at = _unpack(both[8 : 8 + k]), _unpack_planes(both[8 + k :])
+        place = np.empty(len(at), np.uint32)  # of a word by its rank, among the words bucket by bucket
+        place[np.argsort(at, kind="stable")] = np.arange(len(at), dtype=np.uint32)
+        seq = place[_unpack_ranks(packed)]
         n = len(extra) // 17
         known, ids, sizes = np.frombuffer(extra, np.uint8, n).astype(bool), np.frombuffer(extra, "<i8", n, n), np.frombuffer(extra, "<i8", n, 9 * n)
         flat = np.concatenate([np.empty(0, np.uint32), *flats])
@@ -205,7 +226,7 @@ def _assemble(batches):
                 if held:
                     yield from finish(*held)
                 assert bucket == -1, "a chunk's positions are missing"
-                now, held = chunk, (_unpack_planes(payload), _unpack(extra), [], [])
+                now, held = chunk, (payload, extra, [], [])
             else:
                 held[2].append(_unpack_planes(payload))
                 held[3].append(_unpack_planes(extra))

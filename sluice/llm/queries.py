@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, jaccard
+from sluice.llm import bpe, jaccard, topk, vecdup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op6_segment_topk": op6_segment_topk, "op7_vector_near_dedup": op7_vector_near_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
 SQL: dict[str, str] = {}
