@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, jaccard, topk, vecdup
+from sluice.llm import bpe, jaccard, quality, topk, toxicity, vecdup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -28,5 +36,12 @@ def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_segment_topk": op6_segment_topk, "op7_vector_near_dedup": op7_vector_near_dedup, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_quality_crf": op3_quality_crf,
+    "op6_segment_topk": op6_segment_topk,
+    "op7_vector_near_dedup": op7_vector_near_dedup,
+    "op9_toxic_spans_crf": op9_toxic_spans_crf,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
+}
 SQL: dict[str, str] = {}
