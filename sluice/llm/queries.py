@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, jaccard, quality, topk, toxicity, vecdup
+from sluice.llm import bpe, jaccard, pii, quality, topk, toxicity, vecdup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe": op2_bpe,
     "op3_quality_crf": op3_quality_crf,
     "op6_segment_topk": op6_segment_topk,
