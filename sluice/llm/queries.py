@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, jaccard, pii, quality, topk, toxicity, vecdup
+from sluice.llm import bpe, jaccard, pii, quality, topk, toxicity, vecdup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -44,9 +48,36 @@ QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe": op2_bpe,
     "op3_quality_crf": op3_quality_crf,
+    "op4_warc_chunks": op4_warc_chunks,
     "op6_segment_topk": op6_segment_topk,
     "op7_vector_near_dedup": op7_vector_near_dedup,
     "op9_toxic_spans_crf": op9_toxic_spans_crf,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc_chunks": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+                   octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+            FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+        FROM f
+    """,
+    "op6_segment_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w)
+            WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
