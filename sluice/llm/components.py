@@ -6,6 +6,7 @@ rows are minima (combined before the shuffle) and a join that Spark can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,25 @@ def connected(edges: DataFrame) -> DataFrame:
         staging.drop(now)
         now, before, mark = after, mark, _print(after)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what the matrix connects, as few as can be."""
+    out, rows, columns = [], linked.any(axis=1), linked.any(axis=0)
+    while rows.any():
+        first = int(np.argmax(rows))
+        new_r, seen_c = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
+        new_r[first], rows[first] = True, False
+        while True:
+            front = np.flatnonzero(new_r)
+            reach = linked[front].any(axis=0) & ~seen_c
+            at = np.flatnonzero(reach)
+            out += zip(front[np.argmax(linked[np.ix_(front, at)], axis=0)].tolist(), at.tolist(), strict=True)
+            seen_c |= reach
+            new_r = linked[:, at].any(axis=1) & rows
+            back = np.flatnonzero(new_r)
+            out += zip(back.tolist(), at[np.argmax(linked[np.ix_(back, at)], axis=1)].tolist(), strict=True) if len(at) else []
+            rows &= ~new_r
+            if not len(back):
+                break
+    return out

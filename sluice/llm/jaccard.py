@@ -4,9 +4,11 @@
    smallest doc_id stands) and a table of how frequent shingles are, counted by hash in a fixed number of cells.
 2. In the order from rare to frequent, the first of a set's shingles (its prefix) are dealt out by shingle. Those that
    only one class has go. Any two sets that are similar enough share one of the rest.
-3. Classes that share a shingle are compared with one leader among them first. Where a list still has classes of
-   several components, other leaders follow; in the end all remaining pairs between different components are compared,
-   so that no link that joins two components can be missed. Pairs within a component need no comparison.
+3. Short lists of classes that share a shingle give all their pairs that pass the filters, each verified once.
+4. In long lists each class is verified against one leader. Long lists that overlap are a cluster; within it, those
+   classes that aren't linked with the cluster's largest component yet are compared with all others of like size, in
+   blocks that meet in one task and by one matrix product. Pairs aren't written out, and none that could join two
+   components is left out; pairs within a component need no comparison.
 
 Words are split at ASCII white space, A-Z in lower case. A document with fewer words than a shingle has one, its whole
 sequence; null and empty texts have none and link with nothing. Rows with a null doc_id get their set size and no
@@ -29,8 +31,8 @@ from sluice.llm import components
 
 #: Cells of the frequency table and bits of the candidate table, both fixed whatever the input's size.
 CELLS, BITS, SLICES = 1 << 20, 1 << 23, 256
-#: Rounds of leaders before all pairs that remain are compared.
-ROUNDS = 6
+#: Classes in a list up to which all its pairs are candidates; classes of a block of a cluster about.
+SHORT, TOGETHER = 32, 256
 _MIX = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, 65)]
 
 
@@ -255,6 +257,43 @@ def _possible(threshold: float):
     return (F.least(n, m) >= least) & (F.least(n - i, m - j) >= least - F.least(i, j))
 
 
+def _compared(width: int, threshold: float):
+    """Rows (task, side, doc, words) in this order: all pairs between the sides, as edges that span what is linked."""
+
+    def finish(sides, sets):
+        (p, x), (h, y) = (([d for d, _ in s], [sets(zstandard.ZstdDecompressor().decompress(w).split()) for _, w in s]) for s in sides)
+        if not p or not h:
+            return
+        common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+        met = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(common), 16384):
+            some = common[at : at + 16384]
+            left, right = np.zeros((len(x), len(some)), np.float32), np.zeros((len(y), len(some)), np.float32)
+            for m, group in ((left, x), (right, y)):
+                for i, s in enumerate(group):
+                    part = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], side="right")]
+                    j = np.searchsorted(some, part)
+                    m[i, j[some[np.minimum(j, len(some) - 1)] == part]] = 1
+            met += left @ right.T
+        total = np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :]
+        linked = met >= np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+        linked &= np.array(p)[:, None] != np.array(h)[None, :]
+        if edges := components.spanning(linked):
+            yield pa.record_batch([pa.array([p[i] for i, _ in edges], pa.int64()), pa.array([h[j] for _, j in edges], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        now, sides, sets = None, ([], []), Shingler(width)
+        for batch in batches:
+            for task, side, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != now:
+                    yield from finish(sides, sets)
+                    now, sides = task, ([], [])
+                sides[side].append((doc, words))
+        yield from finish(sides, sets)
+
+    return run
+
+
 def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs: the smallest doc_id that links reach."""
     spark = docs.sparkSession
@@ -282,41 +321,47 @@ def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str =
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_words", "b_words")
         return staging.stage(both.mapInArrow(verify, "a long, b long"), "links")
 
+    # lists by their length
+    sized = lists.groupBy("tok").agg(F.count("*").alias("k"), F.min(F.struct("doc", "at")).alias("lead")).where("k > 1")
+    sized = staging.stage(sized, "sized")
+    short = lists.join(sized.where(F.col("k") <= SHORT).select("tok"), "tok")
+    x, y = (short.select("tok", F.col("doc").alias(k), F.col("at").alias(f"{k}_at")) for k in ("x", "y"))
+    met = x.join(y, "tok").where("x < y").where(_possible(threshold)).select("x", "y")
+    long = staging.stage(lists.join(sized.where(F.col("k") > SHORT).select("tok", "lead"), "tok").select(F.col("lead.doc").alias("x"), F.col("lead.at").alias("x_at"), F.col("doc").alias("y"), F.col("at").alias("y_at")).where("x <> y"), "long")
+    met = met.unionByName(long.where(_possible(threshold)).select("x", "y"))
+    links = checked(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     # rows of one doc_id with several texts are linked, whatever the texts
-    same = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    links = [staging.stage(of.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "links")]
-    tried: list[DataFrame] = []
-    found = None
-    left = lists.withColumn("comp", F.col("doc"))
-    for r in range(ROUNDS + 1):
-        mixed = left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "comp", "at")).alias("lead")).where("lo <> hi")
-        mixed = staging.stage(mixed, "mixed")
-        size, pairs_left = mixed.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k").cast("double")), F.lit(0.0))).first()
-        if not size:
-            break
-        y = left.select("tok", F.col("doc").alias("y"), F.col("comp").alias("y_comp"), F.col("at").alias("y_at"))
-        last = r == ROUNDS or pairs_left <= 8 * size
-        if last:
-            x = left.join(mixed.select("tok"), "tok", "left_semi").select("tok", F.col("doc").alias("x"), F.col("comp").alias("x_comp"), F.col("at").alias("x_at"))
-            met = x.join(y, "tok").where(F.col("x_comp") < F.col("y_comp"))
-        else:
-            x = mixed.select("tok", F.col("lead.doc").alias("x"), F.col("lead.comp").alias("x_comp"), F.col("lead.at").alias("x_at"))
-            met = x.join(y, "tok").where(F.col("x_comp") != F.col("y_comp"))
-        pairs = met.where(_possible(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = staging.stage(pairs, "pairs")
-        tried.append(pairs)
-        links.append(checked(pairs))
-        edges = links[0]
-        for e in links[1:]:
-            edges = edges.unionByName(e)
-        found = staging.stage(components.connected(edges), "found")
-        if last:
-            break
-        left = staging.stage(lists.join(mixed.select("tok"), "tok", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("tok", "doc", "at", F.coalesce("component", "doc").alias("comp")), "left")
-    if found is None:
-        found = components.connected(links[0])
+    same = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    links = links.unionByName(of.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    found = staging.stage(components.connected(links), "found")
+    if not long.isEmpty():
+        more = _across(spark, lists, long, texts, found, width, threshold)
+        if not more.isEmpty():
+            found = components.connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = info.join(reps, "cls", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), at.alias("component_id"))
+
+
+def _across(spark, lists: DataFrame, long: DataFrame, texts: DataFrame, found: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Edges within clusters of long lists, between classes outside a cluster's largest component and all others."""
+    n_parts = staging.partitions(spark)
+    clusters = components.connected(long.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    sizes = lists.groupBy("doc").agg(F.max(F.shiftright("at", 32)).alias("n"))
+    # sets that are similar enough are of the same or of neighbouring classes of size
+    level = F.floor(F.log("n") / F.lit(-math.log(threshold))).cast("int")
+    of = clusters.join(sizes, "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", level.alias("level"), F.coalesce("component", "doc").alias("comp"))
+    of = staging.stage(of, "clusters")
+    main = of.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("main")).select("cluster", F.col("main.comp").alias("main"))
+    blocks = of.groupBy("cluster", "level").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
+    placed = of.join(main, "cluster").join(blocks, ["cluster", "level"]).select("doc", "cluster", "level", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), (F.col("comp") != F.col("main")).alias("apart"))
+    placed = staging.stage(placed, "placed")
+    key = ["cluster", "level", "block"]
+    left = placed.where("apart").select(*key).distinct()
+    right = placed.select("cluster", F.col("level").alias("r_level"), F.col("block").alias("r_block")).distinct()
+    tasks = left.join(right, "cluster").where(F.abs(F.col("level") - F.col("r_level")) <= 1).withColumn("task", F.xxhash64(*key, "r_level", "r_block"))
+    tasks = staging.stage(tasks, "tasks")
+    here = placed.where("apart").join(tasks, key).select("task", F.lit(0).alias("side"), "doc")
+    there = placed.withColumnsRenamed({"level": "r_level", "block": "r_block"}).join(tasks, ["cluster", "r_level", "r_block"]).select("task", F.lit(1).alias("side"), "doc")
+    rows = here.unionByName(there).join(texts, "doc").select("task", "side", "doc", "words").repartition(n_parts, "task").sortWithinPartitions("task", "side")
+    return staging.stage(rows.mapInArrow(_compared(width, threshold), "a long, b long"), "links")

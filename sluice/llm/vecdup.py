@@ -128,28 +128,6 @@ def _meetings(budget: float):
     return run
 
 
-def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, column) that connect what the matrix connects, as few as can be."""
-    out, rows, columns = [], linked.any(axis=1), linked.any(axis=0)
-    while rows.any():
-        first = int(np.argmax(rows))
-        new_r, seen_c = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
-        new_r[first], rows[first] = True, False
-        while True:
-            front = np.flatnonzero(new_r)
-            reach = linked[front].any(axis=0) & ~seen_c
-            at = np.flatnonzero(reach)
-            out += zip(front[np.argmax(linked[np.ix_(front, at)], axis=0)].tolist(), at.tolist(), strict=True)
-            seen_c |= reach
-            new_r = linked[:, at].any(axis=1) & rows
-            back = np.flatnonzero(new_r)
-            out += zip(back.tolist(), at[np.argmax(linked[np.ix_(back, at)], axis=1)].tolist(), strict=True) if len(at) else []
-            rows &= ~new_r
-            if not len(back):
-                break
-    return out
-
-
 def _verify(threshold: float, budget: float):
     """Rows in the order of task, side: (task, block, side, cid, label, dim, weight, rep, vec). Gives (cid, links) and edges (a, b) between classes' ids."""
 
@@ -168,7 +146,7 @@ def _verify(threshold: float, budget: float):
             linked &= within if b == block else ~within
         counts = linked @ np.array([r[4] for r in h], np.int64)
         at = np.flatnonzero(counts)
-        edges = _spanning(linked) if len(at) else []
+        edges = components.spanning(linked) if len(at) else []
         n, m = len(at), len(edges)
         yield pa.record_batch(
             [
