@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sluice import staging
 
 #: Characters of text that one chunk holds at most, if it has more than one document.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 20_000_000
 #: The pattern's alternatives for texts of ASCII characters alone, where the quicker standard engine does.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 
@@ -207,7 +207,7 @@ def _assemble(batches):
         at = 0
         while at < n:  # a few documents at a time, which bounds what is held as ids
             to, words = at + 1, int(sizes[at])
-            while to < n and words + sizes[to] < 1_000_000 and to - at < 2000:
+            while to < n and words + sizes[to] < 300_000 and to - at < 1000:
                 words += int(sizes[to])
                 to += 1
             part, seq = seq[:words], seq[words:]
@@ -255,10 +255,10 @@ def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None
 
     def run(batches):
         table = _token_bytes(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             lists = batch.column(batch.schema.get_field_index(ids_col))
             flat = table.take(lists.flatten())
-            sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
+            sizes = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
             starts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4) if len(flat) else np.zeros(1, np.int32)
             offsets = starts[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
             data = flat.buffers()[2] if len(flat) else pa.py_buffer(b"")
