@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, jaccard, pii, quality, topk, toxicity, vecdup, warc
+from sluice.llm import bpe, hilbert, jaccard, mixing, pii, quality, topk, toxicity, vecdup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,10 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -49,8 +57,10 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality_crf": op3_quality_crf,
     "op4_warc_chunks": op4_warc_chunks,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_segment_topk": op6_segment_topk,
     "op7_vector_near_dedup": op7_vector_near_dedup,
+    "op8_hilbert_shards": op8_hilbert_shards,
     "op9_toxic_spans_crf": op9_toxic_spans_crf,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
