@@ -109,12 +109,12 @@ def _rates(steps: list[list[float]], pull: float, low: Column, high: float, n: i
     return F.aggregate(F.lit(steps), start, step)
 
 
-def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anchor: str | None = None, high: float = 8.0, keep: str | None = None, regular: float = 1e-3, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anchor: str | None = None, high: float = 8.0, keep: str | None = None, keep_from: float = 0.5, regular: float = 1e-3, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate, copies) of every row, and the columns to carry under the names kept_....
 
     weights: the domains' shares of the target, 0 if missing. The target's total is the present one or, with anchor,
-    that of which the anchor's share is its present total. Rates lie between 0 and high; with keep, documents that are
-    most likely of that domain have a rate of 1 at least. copies is the rate rounded up or down by a digest of the id,
+    that of which the anchor's share is its present total. Rates lie between 0 and high; with keep, documents whose
+    posterior of that domain is keep_from or more have a rate of 1 at least. copies is the rate rounded up or down by a digest of the id,
     so that its expectation is the rate.
     """
     n, names = len(classifier.domains), classifier.domains
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anch
     gram = slim.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col(f"p{d}")).alias(f"m{d}") for d in range(n)), *(F.sum(F.col("tokens") * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"g{d}_{e}") for d in range(n) for e in range(d, n))).first()
     total = gram.t or 0.0
     kept = names.index(keep) if keep in names else None
-    low = F.lit(0.0) if kept is None or n == 1 else F.when(F.col(f"p{kept}") >= F.greatest(*(F.col(f"p{d}") for d in range(n))), F.lit(1.0)).otherwise(F.lit(0.0))
+    low = F.lit(0.0) if kept is None or n == 1 else F.when(F.col(f"p{kept}") >= keep_from, F.lit(1.0)).otherwise(F.lit(0.0))
     steps: list[list[float]] = []
     pull = 0.0
     if total:
