@@ -1,8 +1,65 @@
-"""A training corpus from raw documents: quality, near duplicates, personal data, mixture, tokens."""
+"""A training corpus from raw documents: quality, near duplicates, personal data, mixture, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Rows with a null doc_id pass the
+stages that go by links, empty texts are judged by the quality stage like any other, extra columns stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice import staging
+from sluice.llm import bpe, jaccard, mixing, pii, quality
+
+#: Score below which the quality stage rejects a document.
+THRESHOLD = 0.3
+#: Shares of the domains' tokens after mixing, in proportion to the good and clean ones, which all stay.
+WEIGHTS = {"q1t0": 0.95, "q1t1": 0.03, "q0t0": 0.015, "q0t1": 0.005}
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept(docs, quality.train(docs, _labels(spark, sf_dir), threshold=THRESHOLD), THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays; of rows with the same id, one."""
+    found = staging.stage(jaccard.join(docs), "near")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, length_col="n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by their copies; those that may well be good and clean have a rate of 1, the others of 1 at most."""
+    classifier = mixing.train(docs, _labels(spark, sf_dir))
+    rated = mixing.fit(docs, classifier, WEIGHTS, anchor="q1t0", keep="q1t0", keep_from=0.25, high=1.0, carry=tuple(docs.columns))
+    rows = rated.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, and the digests of ids and of what they decode to."""
+    return bpe.digests(docs, keep_ids=True)
+
+
+STAGES = [("quality", by_quality), ("near duplicates", near_duplicates), ("personal data", without_personal_data), ("mixing", mix), ("tokens", tokens)]
+#: Classifiers and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staging.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
