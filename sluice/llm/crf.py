@@ -21,60 +21,76 @@ class Chain:
         return self.weights[features].sum(axis=-1) + self.bias
 
 
-def forward_backward(u: np.ndarray, mask: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None):
+def padded(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences one after another as the rows of a matrix, and the mask of what isn't padding."""
+    mask = np.arange(int(counts.max(initial=0)))[None, :] < counts[:, None]
+    out = np.zeros(mask.shape, flat.dtype)
+    out[mask] = flat
+    return out, mask
+
+
+def forward_backward(u: np.ndarray, counts: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None):
     """Marginals of label 1 (0 in the padding), expected numbers of moves, and the log of the partition function.
 
-    u: scores, sequences x positions; start, end: messages that come into the first and last positions.
+    u: scores, sequences x positions, of which the first counts hold; start, end: messages into the first and last ones.
     """
     s, n = u.shape
-    p, pairs = np.zeros((s, n)), np.zeros((2, 2))
-    if not n:
-        return p, pairs, 0.0
-    e, v = np.exp(moves), np.exp(np.clip(u, -30, 30))
-    forward, logz = np.empty((n, s, 2)), np.zeros(s)
-    a = np.ones((s, 2)) if start is None else np.tile(start, (s, 1))
+    order = np.argsort(-counts, kind="stable")  # at each position only the first rows are still alive
+    alive = np.searchsorted(-counts[order], -np.arange(1, n + 1), side="right")
+    v = np.exp(np.clip(u[order], -30, 30))
+    e, pairs, logz = np.exp(moves), np.zeros((2, 2)), 0.0
+    forward, p = np.zeros((n, s, 2)), np.zeros((s, n))
     for t in range(n):
-        new = a @ e if t or start is not None else a.copy()
-        new[:, 1] *= v[:, t]
-        total = new.sum(axis=1)
-        a = np.where(mask[:, t, None], new / total[:, None], a)
-        logz += np.where(mask[:, t], np.log(total), 0)
-        forward[t] = a
-    b = np.ones((s, 2)) if end is None else np.tile(end, (s, 1))
+        k = alive[t]
+        if t:
+            a = forward[t - 1, :k] @ e
+        else:
+            a = np.ones((k, 2)) if start is None else np.tile(start @ e, (k, 1))
+        a[:, 1] *= v[:k, t]
+        total = a.sum(axis=1, keepdims=True)
+        logz += float(np.log(total).sum())
+        forward[t, :k] = a / total
+    last = np.ones(2) if end is None else end
+    b = np.tile(last, (s, 1))
     for t in range(n - 1, -1, -1):
-        m = mask[:, t]
-        both = forward[t] * b
-        p[:, t] = np.where(m, both[:, 1] / both.sum(axis=1), 0)
+        k = alive[t]
+        both = forward[t, :k] * b[:k]
+        p[:k, t] = both[:, 1] / both.sum(axis=1)
         if t:
-            out = b.copy()
-            out[:, 1] *= v[:, t]
-            joint = forward[t - 1][:, :, None] * e[None] * out[:, None, :]
-            pairs += (joint[m] / joint[m].sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            out = b[:k].copy()
+            out[:, 1] *= v[:k, t]
+            joint = forward[t - 1, :k, :, None] * e[None] * out[:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             back = out @ e.T
-            b = np.where(m[:, None], back / back.sum(axis=1, keepdims=True), b)
-    return p, pairs, float(logz.sum())
+            b[:k] = back / back.sum(axis=1, keepdims=True)
+    result = np.empty_like(p)
+    result[order] = p
+    return result, pairs, logz
 
 
-def train(features: np.ndarray, labels: np.ndarray, mask: np.ndarray, n_features: int, steps: int = 120, rate: float = 0.15, penalty: float = 2.0) -> Chain:
-    """Penalised maximum likelihood by full gradients with per-weight step sizes."""
-    w, size = np.zeros(n_features + 5), max(1, int(mask.sum()))  # features, bias, moves
+def train(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, n_features: int, steps: int = 80, rate: float = 0.2, penalty: float = 2.0) -> Chain:
+    """Penalised maximum likelihood by full gradients with per-weight step sizes.
+
+    features (positions x active ones) and labels of all sequences, one after another.
+    """
+    w, size = np.zeros(n_features + 5), max(1, len(labels))  # features, bias, moves
     first, second = np.zeros_like(w), np.zeros_like(w)
-    active = features[mask]
-    y = labels[mask].astype(float)
+    at, column = np.nonzero(features)
+    active = features[at, column]
+    y = labels.astype(float)
     seen = np.zeros((2, 2))
-    if labels.shape[1] > 1:
-        both = mask[:, 1:] & mask[:, :-1]
-        np.add.at(seen, (labels[:, :-1][both], labels[:, 1:][both]), 1)
+    inner = np.ones(max(0, len(labels) - 1), bool)
+    inner[np.cumsum(counts)[:-1] - 1] = False
+    np.add.at(seen, (labels[:-1][inner], labels[1:][inner]), 1)
     for step in range(1, steps + 1):
-        chain = Chain(w[:n_features], w[n_features], w[n_features + 1 :].reshape(2, 2))
-        u = np.zeros(mask.shape)
-        u[mask] = chain.scores(active)
-        p, pairs, _ = forward_backward(u, mask, chain.moves)
+        moves = w[n_features + 1 :].reshape(2, 2)
+        u, mask = padded(np.bincount(at, w[active], len(labels)) + w[n_features], counts)
+        p, pairs, _ = forward_backward(u, counts, moves)
         g = np.zeros_like(w)
         miss = p[mask] - y
-        g[:n_features] = np.bincount(active.ravel(), np.repeat(miss, active.shape[1]), minlength=n_features)
-        g[0], g[n_features], g[n_features + 1 :] = 0, miss.sum(), (pairs - seen).ravel()
-        g = g / size + penalty * w / size
+        g[:n_features] = np.bincount(active, miss[at], minlength=n_features)
+        g[n_features], g[n_features + 1 :] = miss.sum(), (pairs - seen).ravel()
+        g = (g + penalty * w) / size
         g[n_features] -= penalty * w[n_features] / size
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sluice.llm import crf, labelled
 
 #: Labelled rows of either label that training takes at most.
-POSITIVES, NEGATIVES = 4000, 4000
+POSITIVES, NEGATIVES = 3000, 3000
 #: Where the values of a line's measures are cut.
 _CUTS = {
     "length": (0, 1, 3, 8, 20, 60, 200),
@@ -77,7 +77,7 @@ def _features(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray,
         counts.append(len(lines))
         lengths += map(len, lines)
     values = np.array(rows, float).reshape(-1, len(_NAMES))
-    own = np.stack([np.searchsorted(_CUTS[name], values[:, i], side="left") + _FIRST[i] for i, name in enumerate(_NAMES)], axis=1)
+    own = np.stack([np.searchsorted(_CUTS[name], values[:, i], side="left") + _FIRST[i] for i, name in enumerate(_NAMES)], axis=1).astype(np.int32)
     counts = np.array(counts, np.int64)
     first = np.cumsum(counts) - counts
     before, after = np.roll(own, 1, axis=0) + _WIDTH + 1, np.roll(own, -1, axis=0) + 2 * _WIDTH + 1
@@ -89,14 +89,6 @@ def _features(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray,
 N_FEATURES = 3 * _WIDTH + 1
 
 
-def _padded(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    longest = int(counts.max())
-    mask = np.arange(longest)[None, :] < counts[:, None]
-    out = np.zeros(mask.shape + flat.shape[1:], flat.dtype)
-    out[mask] = flat
-    return out, mask
-
-
 @dataclasses.dataclass
 class Model:
     chain: crf.Chain
@@ -117,8 +109,8 @@ class Model:
                 to += 1
             part = order[at:to]
             where = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in part])
-            padded, mask = _padded(u[where], counts[part])
-            p[where] = crf.forward_backward(padded, mask, self.chain.moves)[0][mask]
+            padded, mask = crf.padded(u[where], counts[part])
+            p[where] = crf.forward_backward(padded, counts[part], self.chain.moves)[0][mask]
             at = to
         return p, counts, lengths
 
@@ -144,18 +136,9 @@ def fit(rows: list[tuple[str, int]], threshold: float = 0.3) -> Model:
         return Model(crf.Chain(np.zeros(N_FEATURES), 0.0, np.zeros((2, 2))), np.zeros(3), 5.0 if rows and rows[0][1] else -5.0)
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows])
     features, counts, _ = _features(texts)
-    short = counts <= 200  # long ones are cut to their first 200 lines' chains by position, as sequences of their own
-    pieces, labels = [], []
-    at = 0
-    for n, v, whole in zip(counts, y, short, strict=True):
-        for k in range(0, n, n if whole else 200):
-            pieces.append((at + k, min(n - k, 200)))
-            labels.append(v)
-        at += n
-    sizes = np.array([n for _, n in pieces])
-    flat = np.concatenate([features[a : a + n] for a, n in pieces])
-    padded, mask = _padded(flat, sizes)
-    chain = crf.train(padded, np.repeat(np.array(labels)[:, None], mask.shape[1], axis=1), mask, N_FEATURES)
+    # long texts are several sequences of 200 lines at most
+    sizes = np.array([min(n - k, 200) for n in counts.tolist() for k in range(0, n, 200)])
+    chain = crf.train(features, np.repeat(y, counts), sizes, N_FEATURES)
     model = Model(chain, np.zeros(3), 0.0)
     x = model.aggregates(texts)
     model.curve = crf.logistic(x, y)

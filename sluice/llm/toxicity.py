@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sluice.llm import crf, labelled
 
 #: Labelled rows of either label that training takes at most.
-POSITIVES, NEGATIVES = 4000, 8000
+POSITIVES, NEGATIVES = 3000, 5000
 #: Forms that are kept at most, words beside a form that the chain is computed over (messages have converged by then), and forms a word has at most.
 FORMS, REACH, WIDTH = 5000, 16, 8
 _STRIP = ".,;:!?\"'()[]{}|&*$#<>=~"
@@ -38,14 +38,14 @@ def _word(raw: str) -> str:
     return raw.strip(_STRIP).lower()
 
 
-def _windows(marked: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last position (exclusive) of the runs within REACH of a marked position, in no case across texts; and each run's text.
+def _windows(marked: np.ndarray, ends: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last position (exclusive) of the runs within reach of a marked position, in no case across texts; and each run's text.
 
     ends: where each text's positions end, in one array of all.
     """
     text = np.searchsorted(ends, marked, side="right")
     first = np.concatenate([[0], ends[:-1]])
-    low, high = np.maximum(marked - REACH, first[text]), np.minimum(marked + REACH + 1, ends[text])
+    low, high = np.maximum(marked - reach, first[text]), np.minimum(marked + reach + 1, ends[text])
     new = np.ones(len(marked), bool)
     new[1:] = (low[1:] > high[:-1]) | (text[1:] != text[:-1])
     starts = np.flatnonzero(new)
@@ -80,9 +80,6 @@ class Model:
 
     def _number(self, raw: str) -> int:
         """0 for words without marked forms, else the number of the word's list of features."""
-        if len(self._known) > 300_000:
-            self._known.clear()
-            self._lists = [[0] * WIDTH]
         found = [self.forms[f] for f in _forms(_word(raw)) if f in self.forms][:WIDTH]
         n = 0
         if found:
@@ -97,13 +94,13 @@ class Model:
         for text in texts:
             words = (text or "").split()
             known = self._known
+            if len(known) > 300_000:  # between texts only: a text's numbers and lists belong together
+                known.clear()
+                self._lists = [[0] * WIDTH]
             try:
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             except KeyError:
-                if len(known) + len(words) > 300_000:
-                    known.clear()
                 n = np.array([known[w] if w in known else self._number(w) for w in words], np.int64)
-            # a word's number only holds until the lists begin anew, so features are looked up at once
             at = np.flatnonzero(n)
             numbers.append((at, [self._lists[i] for i in n[at]]))
             counts.append(len(words))
@@ -131,7 +128,7 @@ class Model:
             there &= marked[np.minimum(hit, len(marked) - 1)] == where
             u = np.full(where.shape, self.chain.bias)
             u[there] = self.chain.scores(features[hit[there]])
-            q = crf.forward_backward(u, mask, self.chain.moves, self._start, self._end)[0]
+            q = crf.forward_backward(u, sizes[part], self.chain.moves, self._start, self._end)[0]
             p.append(q[mask])
             p_at.append(where[mask])
             p_text.append(np.repeat(text[part], sizes[part]))
@@ -186,35 +183,37 @@ def fit(rows: list[tuple[str, int]], threshold: float = 0.3) -> Model:
         return Model({}, crf.Chain(np.zeros(1), 0.0, np.zeros((2, 2))), np.zeros(4), 5.0 if n1 else -5.0)
     inside: tuple[Counter, Counter] = Counter(), Counter()
     for text, v in rows:
-        inside[v].update({f for w in {_word(w) for w in text.split()} for f in _forms(w) if len(w) > 2})
+        if v:
+            inside[1].update({f for w in {_word(w) for w in text.split()} for f in _forms(w) if len(w) > 2})
+    wanted = {f for f, c in inside[1].items() if c >= 3}
+    for text, v in rows:
+        if not v:
+            inside[0].update({f for w in {_word(w) for w in text.split()} for f in _forms(w) if f in wanted})
     least = 3 if n1 < 300 else 4
     odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((inside[0][f] + 0.5) / (n0 + 1)) for f, c in inside[1].items() if c >= least}
     # common enough among toxic documents that chance doesn't explain it
     strong = {f: o for f, o in odds.items() if o > 1.5 and o * math.sqrt(inside[1][f]) > 4.5}
     kept = sorted(strong, key=lambda f: (-strong[f] * math.log(1 + inside[1][f]), f))[:FORMS]
     forms = {f: i + 1 for i, f in enumerate(kept)}
-    # windows around marked words, and their labels
-    runs, labels = [], []
+    # windows around marked words, and their labels; of texts without any, the first word
+    features, tags, counts = [], [], []
     for text, v in rows:
         found = [[forms[f] for f in _forms(_word(w)) if f in forms][:WIDTH] for w in text.split()]
         at = np.flatnonzero([bool(x) for x in found])
-        if not len(at):
-            at, n = np.array([0]) if found else np.empty(0, int), len(found)
-        low, high, _ = _windows(at, np.array([len(found)])) if len(at) else ((), (), ())
+        if not len(found):
+            continue
+        low, high, _ = _windows(at if len(at) else np.zeros(1, np.int64), np.array([len(found)]), 4)
         for a, z in zip(low, high, strict=True):
-            for k in range(a, z, 64):
-                part = found[k : min(z, k + 64)]
-                runs.append(part)
-                labels.append([int(bool(x) and v == 1) for x in part])
-    width = max(map(len, runs))
-    mask = np.arange(width)[None, :] < np.array(list(map(len, runs)))[:, None]
-    features, tags = np.zeros((len(runs), width, WIDTH), np.int64), np.zeros((len(runs), width), np.int64)
-    for i, (run, tag) in enumerate(zip(runs, labels, strict=True)):
-        tags[i, : len(run)] = tag
-        for j, x in enumerate(run):
-            if x:
-                features[i, j, : len(x)] = x
-    model = Model(forms, crf.train(features, tags, mask, len(forms) + 1), np.zeros(4), 0.0)
+            part = np.zeros((z - a, WIDTH), np.int32)
+            for j, x in enumerate(found[a:z]):
+                part[j, : len(x)] = x
+            features.append(part)
+            tags.append((part[:, 0] > 0) & (v == 1))
+            counts.append(z - a)
+    if not features:
+        features, tags, counts = [np.zeros((1, WIDTH), np.int32)], [np.zeros(1, bool)], [1]
+    chain = crf.train(np.concatenate(features), np.concatenate(tags).astype(np.int64), np.array(counts), len(forms) + 1)
+    model = Model(forms, chain, np.zeros(4), 0.0)
     x = np.concatenate([model.aggregates(model.marginals([t for t, _ in rows[k : k + 500]])) for k in range(0, len(rows), 500)])
     model.curve = crf.logistic(x, y)
     model.shift = crf.at_threshold(crf.probability(x, model.curve), y, threshold)
