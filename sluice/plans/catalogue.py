@@ -2,5 +2,695 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.functions import encoders, scalars
+from sluice.functions.ranking import digest
+from sluice.operators import augment, clean, cluster, ensemble, metrics, profile, split
+from sluice.sources import tables
+from sluice.spec import CONNECTIONS, DatasetSpec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- lineitem as raw flow records: strings with the kinds of dirt that raw files have -----------------------------------
+_RAW = {
+    "id": "l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey * 10 + l_suppkey % 10",
+    "qty": "CASE WHEN (l_orderkey * 7 + l_partkey) % 101 = 0 THEN 'abc' WHEN (l_orderkey * 7 + l_partkey) % 103 = 0 THEN 'Infinity' WHEN (l_orderkey * 7 + l_partkey) % 107 = 0 THEN concat('-', CAST(l_quantity AS STRING)) ELSE CAST(l_quantity AS STRING) END",
+    "disc": "CAST(l_discount AS STRING)",
+    "tax": "CASE WHEN (l_orderkey + l_partkey) % 127 = 0 THEN '' ELSE CAST(l_tax AS STRING) END",
+    "line": "CASE WHEN (l_orderkey + l_partkey) % 109 = 0 THEN '1.5' ELSE CAST(l_linenumber AS STRING) END",
+    "Label": "CASE WHEN (l_orderkey * 3 + l_partkey) % 97 = 0 THEN ' Label ' WHEN (l_orderkey * 3 + l_partkey) % 113 = 0 THEN 'nan' ELSE l_returnflag END",
+}
+_RAW_SQL = "raw AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _RAW.items()) + " FROM lineitem)"
+_COERCED_SQL = (
+    _RAW_SQL
+    + """, coerced AS (
+        SELECT id, TRY_CAST(qty AS FLOAT) AS qty, TRY_CAST(disc AS FLOAT) AS disc, TRY_CAST(tax AS FLOAT) AS tax,
+               CASE WHEN TRY_CAST(line AS DOUBLE) = floor(TRY_CAST(line AS DOUBLE)) THEN CAST(TRY_CAST(line AS DOUBLE) AS INTEGER) END AS line,
+               CASE WHEN trim(Label) <> '' AND lower(trim(Label)) <> 'nan' THEN trim(Label) END AS Label
+        FROM raw
+    )"""
+)
+_COMPLETE = "qty IS NOT NULL AND isfinite(qty) AND disc IS NOT NULL AND tax IS NOT NULL AND line IS NOT NULL AND Label IS NOT NULL"
+_FLOATS, _INTS = ["qty", "disc", "tax"], ["line"]
+
+
+def _raw(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select(*(F.expr(e).alias(n) for n, e in _RAW.items()))
+
+
+def _coerced(spark, d) -> DataFrame:
+    return clean.coerce(_raw(spark, d), _FLOATS, _INTS, "Label")
+
+
+@query(
+    "WITH "
+    + _COERCED_SQL
+    + f""", s AS (SELECT *, CASE WHEN Label = 'Label' THEN 0 WHEN NOT ({_COMPLETE}) THEN 1 WHEN qty < 0 OR disc < 0 OR tax < 0 OR line < 0 THEN 2 ELSE 3 END AS stage FROM coerced)
+    SELECT count(*) AS rows_read, count(*) FILTER (stage = 0) AS header_rows, count(*) FILTER (stage = 1) AS missing_rows,
+           count(*) FILTER (stage = 2) AS negative_rows, count(*) FILTER (stage = 3) AS clean_rows,
+           (SELECT count(*) FROM (SELECT DISTINCT qty, disc, tax, line, Label FROM s WHERE stage = 3)) AS distinct_rows
+    FROM s"""
+)
+def clean_funnel_counts(spark, d):
+    return clean.clean_funnel(_raw(spark, d).drop("id"), _FLOATS, _INTS, "Label")
+
+
+@query("WITH " + _COERCED_SQL + f" SELECT * FROM coerced WHERE {_COMPLETE}")
+def drop_missing_inf(spark, d):
+    return clean.drop_missing_inf(_coerced(spark, d))
+
+
+@query("WITH " + _COERCED_SQL + f" SELECT coalesce(bool_or(NOT ({_COMPLETE})), false) AS found FROM coerced")
+def has_missing_or_inf(spark, d):
+    return clean.has_missing_or_inf(_coerced(spark, d))
+
+
+@query("SELECT * FROM customer WHERE c_acctbal >= 0 AND NOT isnan(c_acctbal) AND c_custkey >= 0 AND c_nationkey >= 0")
+def drop_negative_rows(spark, d):
+    return clean.drop_negative_rows(_t(spark, d, "customer"))
+
+
+@query("WITH " + _RAW_SQL + " SELECT * FROM raw WHERE trim(Label) <> 'Label'")
+def drop_header_rows(spark, d):
+    return clean.drop_header_rows(_raw(spark, d), "Label")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE (l_discount = 0)::INT + (l_tax = 0)::INT < 1")
+def zero_heavy_filter(spark, d):
+    return clean.zero_heavy_filter(_t(spark, d, "lineitem"), ["l_discount", "l_tax"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax")
+
+
+@query("SELECT l_returnflag AS label, count(*) AS total_rows, sum(((l_discount = 0)::INT + (l_tax = 0)::INT >= 1)::INT)::BIGINT AS rows_zero_gte_1, sum(((l_discount = 0)::INT + (l_tax = 0)::INT >= 2)::INT)::BIGINT AS rows_zero_gte_2 FROM lineitem GROUP BY l_returnflag")
+def zero_heavy_summary(spark, d):
+    return profile.zero_heavy_summary(_t(spark, d, "lineitem"), "l_returnflag", ["l_discount", "l_tax"], (1, 2))
+
+
+@query("WITH " + _COERCED_SQL + " SELECT * FROM coerced")
+def coerce_types(spark, d):
+    return _coerced(spark, d)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE CAST(greatest(1, least(65535, round_even((o_custkey * 97.5)::DOUBLE - 20000, 0))) AS INTEGER) END AS port FROM orders")
+def port_sanitize(spark, d):
+    raw = F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise((F.col("o_custkey") * 97.5 - 20000).cast("string"))
+    return _t(spark, d, "orders").select("o_orderkey", scalars.port(raw).alias("port"))
+
+
+@query("SELECT p_partkey, replace(replace(lower(concat(p_type, ' / ', p_brand)), ' ', '_'), '/', '_') AS label_safe FROM part")
+def label_safe_name(spark, d):
+    return _t(spark, d, "part").select("p_partkey", scalars.safe_name(F.concat("p_type", F.lit(" / "), "p_brand")).alias("label_safe"))
+
+
+_EVENT_FAMILIES = {"error": "Fault", "click": "Use", "view": "Use", "purchase": "Sale"}
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'Fault' WHEN 'click' THEN 'Use' WHEN 'view' THEN 'Use' WHEN 'purchase' THEN 'Sale' ELSE 'Benign' END AS family FROM events")
+def label_family_map(spark, d):
+    return _t(spark, d, "events").select("event_id", scalars.mapped(F.col("event_type"), _EVENT_FAMILIES, CONNECTIONS.other_family).alias("family"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'DoS' WHEN 1 THEN 'Probe' WHEN 2 THEN 'U2R' WHEN 3 THEN 'R2L' ELSE 'Benign' END AS family FROM nation")
+def attack_family_map(spark, d):
+    names = F.get(F.array(*(F.lit(x) for x in ("smurf", "nmap", "rootkit", "imap", "normal"))), (F.col("n_nationkey") % 6).cast("int"))
+    return _t(spark, d, "nation").select("n_nationkey", scalars.mapped(names, CONNECTIONS.family_map(), CONNECTIONS.other_family).alias("family"))
+
+
+@query("SELECT p_partkey, CAST(trunc(p_retailprice / 1000.0) AS INTEGER) AS flag, CAST(p_retailprice / 2000.0 > 0.5 AS INTEGER) AS decoded FROM part")
+def binary_encode(spark, d):
+    return _t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 1000.0).cast("int").alias("flag"), scalars.as_flag(F.col("p_retailprice") / 2000.0).alias("decoded"))
+
+
+_LINES = DatasetSpec("lines", ("l_linestatus",), ("l_absent",), ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "l_returnflag")
+
+
+@query("SELECT l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem")
+def select_features(spark, d):
+    return clean.select_features(_t(spark, d, "lineitem"), _LINES)
+
+
+@query("SELECT NULL::DOUBLE AS l_absent, l_tax, NULL::VARCHAR AS l_note, l_orderkey, l_linenumber, l_partkey FROM lineitem")
+def align_schema(spark, d):
+    return clean.align_schema(_t(spark, d, "lineitem"), {"l_absent": "double", "l_tax": "double", "l_note": "string", "l_orderkey": "long", "l_linenumber": "int", "l_partkey": "long"})
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view') AND event_type NOT IN ('view')")
+def label_subset_filter(spark, d):
+    return clean.label_filter(_t(spark, d, "events"), "event_type", ["click", "error", "view"], ["view"], ("click", "error", "purchase", "signup", "view")).select("event_id", "event_type")
+
+
+@query("SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem")
+def dedup_exact(spark, d):
+    return clean.dedup(_t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
+
+
+_ID = _RAW["id"]
+
+
+@query(f"SELECT min({_ID}) AS row_id, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem GROUP BY ALL")
+def dedup_keep_first_rowid(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.expr(_ID).alias("row_id"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return clean.dedup_keep_first(rows, ["row_id"], "row_id")
+
+
+@query('SELECT count(*) AS "rows", (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)) AS distinct_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)) AS duplicates FROM lineitem')
+def duplicate_count(spark, d):
+    return clean.duplicate_count(_t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
+
+
+@query("""
+    WITH h AS (SELECT n_name AS file, CASE WHEN n_nationkey % 3 = 0 THEN 'a,b,c' WHEN n_nationkey % 3 = 1 THEN 'a,b' ELSE 'a,c' END AS names FROM nation),
+    v AS (SELECT names, count(*) AS files, min(file) AS first FROM h GROUP BY names)
+    SELECT names, files FROM v ORDER BY files DESC, first LIMIT 1""")
+def schema_majority_vote(spark, d):
+    k = F.col("n_nationkey") % 3
+    names = F.when(k == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).when(k == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c")))
+    return tables.majority_schema(_t(spark, d, "nation").select(F.col("n_name").alias("file"), names.alias("columns"))).select(F.array_join("columns", ",").alias("names"), "files")
+
+
+@query("""
+    SELECT 'major:customer' AS __source__, c_acctbal AS balance, c_custkey AS key, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT 'minor:supplier:none', s_acctbal, s_suppkey, NULL FROM supplier""")
+def merge_union_by_name(spark, d):
+    a = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    b = _t(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("key"))
+    return clean.union_by_name(clean.tagged(a, "major:customer"), clean.tagged(b, "minor:supplier:none"))
+
+
+@query("SELECT replace(replace(lower(p_type || ' / x'), ' ', '_'), '/', '_') AS label_safe, count(*) AS n FROM part GROUP BY 1")
+def label_route_counts(spark, d):
+    rows = _t(spark, d, "part").withColumn("Label", F.concat("p_type", F.lit(" / x")))
+    return clean.routed(rows, "Label").groupBy("label_safe").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def label_distribution(spark, d):
+    return profile.label_distribution(_t(spark, d, "lineitem"), "l_returnflag")
+
+
+@query("""
+    SELECT 'p_brand' AS feature, count(DISTINCT p_brand) AS n_distinct, min(p_brand) AS min_value, max(p_brand) AS max_value FROM part
+    UNION ALL SELECT 'p_size', count(DISTINCT p_size), min(p_size::VARCHAR), max(p_size::VARCHAR) FROM part
+    UNION ALL SELECT 'p_type', count(DISTINCT p_type), min(p_type), max(p_type) FROM part""")
+def categorical_stats(spark, d):
+    return profile.categorical_stats(_t(spark, d, "part"), ["p_brand", "p_size", "p_type"])
+
+
+@query("""
+    WITH s AS (SELECT unnest(['l_quantity', 'l_discount', 'one']) AS feature, unnest([avg(l_quantity), avg(l_discount), 1.0]) AS mean, unnest([stddev_pop(l_quantity), stddev_pop(l_discount), 0.0]) AS std FROM lineitem)
+    SELECT feature, round(mean, 6) AS mean, round(CASE WHEN std < 1e-6 THEN 1.0 ELSE std END, 6) AS std FROM s""")
+def cont_stats(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return profile.cont_stats(rows, ["l_quantity", "l_discount", "one"]).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("SELECT least(min(l_quantity), min(l_discount), min(l_linenumber))::DOUBLE AS clip_min, greatest(max(l_quantity), max(l_discount), max(l_linenumber))::DOUBLE AS clip_max FROM lineitem")
+def clip_range(spark, d):
+    return profile.clip_range(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"])
+
+
+@query("SELECT event_type AS label, count(*) AS n, count(*) / sum(count(*)) OVER () AS prior FROM events GROUP BY event_type")
+def class_prior(spark, d):
+    return profile.class_prior(_t(spark, d, "events"), "event_type")
+
+
+@query("SELECT sum((toxic = 1)::INT)::BIGINT AS pos, sum((toxic = 0)::INT)::BIGINT AS neg, sum((toxic = 0)::INT) / sum((toxic = 1)::INT) AS weight FROM labels")
+def class_weight(spark, d):
+    return profile.class_weight(_t(spark, d, "labels"), "toxic")
+
+
+# --- splits -------------------------------------------------------------------------------------------------------------
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat_ws('|', event_id::VARCHAR, '42'))) AS rank, count(*) OVER (PARTITION BY event_type) AS total FROM events)"
+
+
+@query(f"WITH {_RANKED} SELECT event_id, event_type, CASE WHEN rank <= ceil(total * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS subset FROM ranked WHERE total >= 2")
+def stratified_split(spark, d):
+    return split.stratified_split(_t(spark, d, "events"), "event_type", ["event_id"]).select("event_id", "event_type", "subset")
+
+
+@query(f"""
+    WITH {_RANKED}, c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type),
+    w AS (SELECT sum(n) AS total, ceil(sum(n) * 0.1::DOUBLE) AS want FROM c),
+    s AS (SELECT event_type, n * want / total AS exact, floor(n * want / total) AS base, want FROM c, w),
+    q AS (SELECT event_type, base + (row_number() OVER (ORDER BY round(exact - base, 9) DESC, event_type) <= want - sum(base) OVER ())::INT AS quota FROM s)
+    SELECT event_id, event_type, CASE WHEN rank <= quota THEN 'validation' ELSE 'train' END AS subset FROM ranked JOIN q USING (event_type)""")
+def stratified_validation(spark, d):
+    return split.stratified_validation(_t(spark, d, "events"), "event_type", ["event_id"]).select("event_id", "event_type", "subset")
+
+
+@query(f"WITH {_RANKED} SELECT event_id, event_type FROM ranked WHERE rank <= 500")
+def capped_sample(spark, d):
+    return split.capped_sample(_t(spark, d, "events"), "event_type", ["event_id"], 500).select("event_id", "event_type")
+
+
+@query("""
+    WITH chosen AS (SELECT event_id FROM events WHERE event_id % 100 = 0),
+    rest AS (SELECT event_id FROM events WHERE event_id % 100 <> 0 ORDER BY md5(concat_ws('|', event_id::VARCHAR, '42')), event_id LIMIT 300 - (SELECT count(*) FROM chosen))
+    SELECT * FROM chosen UNION ALL SELECT * FROM rest""")
+def random_topup(spark, d):
+    events = _t(spark, d, "events")
+    return split.random_topup(events, events.where("event_id % 100 = 0"), "event_id", 300)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat_ws('|', o_orderkey::VARCHAR, '7')), o_orderkey LIMIT 250")
+def random_rows(spark, d):
+    return split.first_by_digest(_t(spark, d, "orders"), ["o_orderkey"], 250, seed=7).select("o_orderkey", "o_totalprice")
+
+
+# --- encoders -----------------------------------------------------------------------------------------------------------
+_NUMBERS = ["l_quantity", "l_discount"]
+
+
+def _numbers(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.expr(_ID).alias("row_id"), "l_quantity", "l_discount", F.lit(5.0).alias("one"))
+
+
+@query(f"SELECT {_ID} AS row_id, round((l_quantity - (SELECT min(l_quantity) FROM lineitem)) / (SELECT max(l_quantity) - min(l_quantity) FROM lineitem), 6) AS l_quantity, round((l_discount - (SELECT min(l_discount) FROM lineitem)) / (SELECT max(l_discount) - min(l_discount) FROM lineitem), 6) AS l_discount, 0.0::DOUBLE AS one FROM lineitem")
+def minmax_encode(spark, d):
+    rows = _numbers(spark, d)
+    columns = [*_NUMBERS, "one"]
+    return encoders.Linear.minmax(rows, columns).transform(rows).select("row_id", *(F.round(c, 6).alias(c) for c in columns))
+
+
+@query(f"SELECT {_ID} AS row_id, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 6) AS l_quantity, round((l_discount - (SELECT avg(l_discount) FROM lineitem)) / (SELECT stddev_pop(l_discount) FROM lineitem), 6) AS l_discount, 0.0::DOUBLE AS one FROM lineitem")
+def standard_encode(spark, d):
+    rows = _numbers(spark, d)
+    columns = [*_NUMBERS, "one"]
+    return encoders.Linear.standard(rows, columns).transform(rows).select("row_id", *(F.round(c, 6).alias(c) for c in columns))
+
+
+@query(f"""
+    WITH r AS (SELECT o_orderkey AS row_id, o_totalprice AS x FROM orders ORDER BY md5(concat_ws('|', o_orderkey::VARCHAR, '42')), o_orderkey LIMIT 100000),
+    q AS (SELECT quantile_cont(x, [{', '.join(f'{i / 100}::DOUBLE' for i in range(101))}]) AS q FROM r),
+    g AS (SELECT i, q[i + 1] AS lo, q[i + 2] AS hi FROM q, generate_series(0, 99) s(i)),
+    m AS (SELECT max(hi) AS top FROM g)
+    SELECT o_orderkey AS row_id, round((i + (o_totalprice - lo) / (hi - lo)) / 100.0, 6) AS u
+    FROM orders, g, m WHERE (o_totalprice >= lo AND o_totalprice < hi) OR (i = 99 AND o_totalprice >= top)""")
+def quantile_uniform_encode(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey"), F.col("o_totalprice").alias("u"))
+    return encoders.Quantile.fit(rows, ["u"], ["o_orderkey"], quantiles=101).transform(rows).select(F.col("o_orderkey").alias("row_id"), F.round("u", 6).alias("u"))
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::DOUBLE AS o_orderstatus_F, (o_orderstatus = 'O')::DOUBLE AS o_orderstatus_O FROM orders")
+def onehot_encode(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return encoders.OneHot({"o_orderstatus": ["F", "O"]}).transform(rows)
+
+
+@query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN -1 ELSE (SELECT count(DISTINCT q.p_type) FROM part q WHERE q.p_type < part.p_type AND q.p_type <> 'ECONOMY') END::INTEGER AS p_type, (greatest(1, least(65535, p_size)) - 1)::INTEGER AS p_size FROM part")
+def ordinal_encode(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", "p_type", "p_size")
+    return encoders.Ordinal.fit(rows.where("p_type <> 'ECONOMY'"), ["p_type", "p_size"], ports=["p_size"]).transform(rows)
+
+
+@query("SELECT event_id, (SELECT count(DISTINCT e.event_type) FROM events e WHERE e.event_type < events.event_type)::INTEGER AS event_type FROM events")
+def label_encode(spark, d):
+    rows = _t(spark, d, "events").select("event_id", "event_type")
+    return encoders.label_encoder("event_type", df=rows).transform(rows)
+
+
+@query(f"SELECT {_ID} AS row_id, round_even(l_quantity, 8) AS l_quantity, round_even(l_discount, 8) AS l_discount, l_returnflag FROM lineitem")
+def decode_roundtrip_minmax(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.expr(_ID).alias("row_id"), *_NUMBERS, "l_returnflag")
+    scale, label = encoders.Linear.minmax(rows, _NUMBERS), encoders.label_encoder("l_returnflag", df=rows)
+    back = label.inverse(scale.inverse(label.transform(scale.transform(rows))))
+    return encoders.clamp_decoded(back, [], _NUMBERS)
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE round_even(c_acctbal / 7.0, 8) END AS balance, (c_custkey % 10 / 9.0 > 0.5)::INTEGER AS flag, greatest(1, least(65535, round_even(c_acctbal * 20.0, 0)))::INTEGER AS port FROM customer")
+def decode_clamp(spark, d):
+    rows = _t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 7.0).alias("balance"), (F.col("c_custkey") % 10 / 9.0).alias("flag"), (F.col("c_acctbal") * 20.0).alias("port"))
+    return encoders.clamp_decoded(rows, ["flag"], ["balance"], ["port"])
+
+
+# --- clusters -----------------------------------------------------------------------------------------------------------
+_DIM = 64
+_D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))"
+_CENTERS = """cx AS (SELECT label AS cluster, i, round_even(avg(embedding[i]::DOUBLE), 6) AS c FROM embeddings, generate_series(1, 64) t(i) GROUP BY label, i),
+    centers AS (SELECT cluster, list(c ORDER BY i) AS center FROM cx GROUP BY cluster)"""
+_DIST = _CENTERS + ", dist AS (SELECT vec_id AS row_id, cluster, round(sqrt(" + _D2.format(a="embedding", b="center") + "), 9) AS dist FROM embeddings JOIN centers ON label = cluster)"
+_CORE = "core AS (SELECT row_id, cluster, dist FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, row_id) AS rn FROM dist) WHERE rn = 1)"
+_EDGE = "lim AS (SELECT cluster, round(quantile_cont(dist, 0.8::DOUBLE), 9) AS lim FROM dist GROUP BY cluster), edge AS (SELECT d.row_id, d.cluster, d.dist FROM dist d JOIN lim USING (cluster) WHERE dist >= lim)"
+
+
+def _chosen(need: str) -> str:
+    return f"""p AS (SELECT {need} AS need), cnt AS (SELECT cluster, count(*) AS n FROM edge GROUP BY cluster),
+    quotas AS (SELECT cluster, least(round_even((SELECT need FROM p)::DOUBLE * (n / (SELECT sum(n) FROM cnt)), 0)::BIGINT, n) AS quota FROM cnt),
+    num AS (SELECT e.*, quota, row_number() OVER (PARTITION BY cluster ORDER BY row_id) AS rn FROM edge e JOIN quotas USING (cluster)),
+    rr AS (SELECT *, row_number() OVER (ORDER BY rn, cluster) AS g FROM num),
+    rem AS (SELECT (SELECT need FROM p) - (SELECT sum(quota) FROM quotas) AS r),
+    chosen AS (SELECT DISTINCT row_id FROM rr WHERE rn <= quota OR g <= (SELECT r FROM rem))"""
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("cluster"), F.col("embedding").alias("vec"))
+
+
+def _dist(spark, d) -> DataFrame:
+    rows = _vectors(spark, d)
+    return cluster.dist_to_center(rows, cluster.centers_of(rows, "cluster", "vec", _DIM))
+
+
+@query(f"WITH {_DIST} SELECT * FROM dist")
+def dist_to_center(spark, d):
+    return _dist(spark, d)
+
+
+@query("WITH " + _CENTERS + ", x AS (SELECT vec_id AS row_id, cluster, round(" + _D2.format(a="embedding", b="center") + ", 9) AS d2 FROM embeddings, centers) SELECT row_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, cluster) AS rn FROM x) WHERE rn = 1")
+def assign_nearest_center(spark, d):
+    rows = _vectors(spark, d)
+    return cluster.assign_nearest_center(rows, cluster.centers_of(rows, "cluster", "vec", _DIM))
+
+
+@query(f"WITH {_DIST}, {_CORE} SELECT * FROM core")
+def core_representatives(spark, d):
+    return cluster.core_representatives(_dist(spark, d))
+
+
+@query(f"WITH {_DIST}, {_EDGE} SELECT * FROM edge")
+def edge_candidates(spark, d):
+    return cluster.edge_candidates(_dist(spark, d), 80.0)
+
+
+@query(f"WITH {_DIST}, {_EDGE}, {_chosen('33')} SELECT row_id FROM chosen")
+def distribute_edges(spark, d):
+    return cluster.distribute_edges(cluster.edge_candidates(_dist(spark, d), 80.0), 33)
+
+
+_DIVERSE = f"""WITH {_DIST}, {_CORE}, {_EDGE}, {_chosen('least({budget} - (SELECT count(*) FROM core), (SELECT count(*) FROM edge))')},
+    edges AS (SELECT row_id FROM chosen ORDER BY row_id LIMIT {{budget}} - (SELECT count(*) FROM core)),
+    first AS (SELECT row_id FROM core UNION SELECT row_id FROM edges),
+    topup AS (SELECT row_id FROM dist WHERE row_id NOT IN (SELECT row_id FROM first) ORDER BY dist, row_id LIMIT {{budget}} - (SELECT count(*) FROM first))
+    SELECT row_id, cluster, dist, CASE WHEN row_id IN (SELECT row_id FROM core) THEN 'core' WHEN row_id IN (SELECT row_id FROM edges) THEN 'edge' ELSE 'topup' END AS tier
+    FROM dist WHERE row_id IN (SELECT row_id FROM first) OR row_id IN (SELECT row_id FROM topup)"""
+
+
+@query(_DIVERSE.format(budget=63))
+def budget_select_diverse(spark, d):
+    return cluster.select_diverse(_dist(spark, d), 63, 80.0)
+
+
+@query(_DIVERSE.format(budget=163))
+def budget_select_diverse_topup(spark, d):
+    return cluster.select_diverse(_dist(spark, d), 163, 80.0)
+
+
+@query(f"""WITH {_DIST}, {_CORE},
+    topup AS (SELECT row_id FROM dist WHERE row_id NOT IN (SELECT row_id FROM core) ORDER BY md5(concat_ws('|', row_id::VARCHAR, '42')), row_id LIMIT 45 - (SELECT count(*) FROM core))
+    SELECT row_id, cluster, dist, CASE WHEN row_id IN (SELECT row_id FROM core) THEN 'core' ELSE 'topup' END AS tier FROM dist WHERE row_id IN (SELECT row_id FROM core) OR row_id IN (SELECT row_id FROM topup)""")
+def budget_select_core(spark, d):
+    return cluster.select_core(_dist(spark, d), 45, "random")
+
+
+@query(_DIVERSE.format(budget=45))
+def budget_select_core_edges(spark, d):
+    return cluster.select_core(_dist(spark, d), 45, "edge_topup", 80.0)
+
+
+_TIERED = "t AS (SELECT *, CASE row_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'edge' ELSE 'topup' END AS tier FROM dist)"
+
+
+@query(f"""WITH {_DIST}, {_TIERED}, gone AS (SELECT row_id FROM t ORDER BY CASE tier WHEN 'edge' THEN 0 WHEN 'topup' THEN 1 ELSE 2 END, dist, row_id LIMIT (SELECT count(*) FROM t) - 200)
+    SELECT * FROM t WHERE row_id NOT IN (SELECT row_id FROM gone)""")
+def budget_trim(spark, d):
+    tier = F.get(F.array(F.lit("core"), F.lit("edge"), F.lit("topup")), (F.col("row_id") % 3).cast("int"))
+    return cluster.trim(_dist(spark, d).withColumn("tier", tier), 200)
+
+
+@query(f"WITH {_DIST}, {_CORE} SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT row_id FROM core)")
+def rowid_semi_join(spark, d):
+    source = _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+    return clean.row_id_lookup(source, cluster.core_representatives(_dist(spark, d)), "row_id").withColumnRenamed("row_id", "vec_id")
+
+
+@query("SELECT label, count(*) AS n, (CASE WHEN count(*) % 2 = 0 THEN 20 ELSE greatest(1, least(count(*), 20 // 3)) END)::INTEGER AS k FROM embeddings GROUP BY label")
+def default_n_clusters(spark, d):
+    rows = _t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).collect()
+    made = [(r.label, r.n, cluster.default_n_clusters(r.n, 20, "core" if r.n % 2 == 0 else "diverse", 3.0)) for r in rows]
+    return spark.createDataFrame(made, "label int, n long, k int")
+
+
+@query()
+def kmeans_cluster_sizes(spark, d):
+    rows, _ = cluster.kmeans(_vectors(spark, d).drop("cluster"), 8)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("WITH x AS (SELECT a.vec_id AS row_id, round(" + _D2.format(a="a.embedding", b="b.embedding") + ", 9) AS d2 FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1) SELECT row_id, round(sqrt(min(d2)), 9) AS dist FROM x GROUP BY row_id")
+def knn_boundary(spark, d):
+    rows = _vectors(spark, d)
+    return cluster.nearest_other(rows.where("cluster = 0"), rows.where("cluster = 1"))
+
+
+# --- augmentation -------------------------------------------------------------------------------------------------------
+_SCORED = "s AS (SELECT vec_id AS row_id, label AS batch, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings)"
+
+
+def _scored(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("batch"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT * FROM s WHERE score >= 0.1")
+def postfilter_candidates(spark, d):
+    return augment.postfilter(_scored(spark, d), 25, 0.1)
+
+
+@query(f"WITH {_SCORED} SELECT * FROM s ORDER BY score DESC, row_id LIMIT 25")
+def postfilter_fallback(spark, d):
+    return augment.postfilter(_scored(spark, d), 25, 99.0)
+
+
+@query(f"WITH {_SCORED} SELECT * FROM s ORDER BY score DESC, row_id LIMIT 40")
+def topk_by_score(spark, d):
+    return clean.top_by(_scored(spark, d), F.desc("score"), "row_id", 40)
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, row_id) AS rn, count(*) OVER (PARTITION BY batch) AS n FROM s) SELECT row_id, batch, score FROM r WHERE rn <= greatest(1, floor(n * 0.25::DOUBLE))")
+def topk_per_batch(spark, d):
+    return augment.topk_per_batch(_scored(spark, d), "batch", 0.25)
+
+
+@query("""
+    WITH g AS (SELECT vec_id, round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label < 5),
+    k AS (SELECT DISTINCT round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label >= 8)
+    SELECT vec_id FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = g.a AND k.b = g.b)""")
+def encoded_anti_join(spark, d):
+    rows = _t(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
+    return clean.anti_join_keys(rows.where("label < 5"), [rows.where("label = 8"), rows.where("label = 9")], ["a", "b"], places=1).select("vec_id")
+
+
+@query("""
+    WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT label, n, (120 - n) AS need, CAST(trunc(least(greatest((120 - n) * 4, (120 - n) / 0.2::DOUBLE * 4), 60000)) AS BIGINT) AS request FROM c WHERE n < 120""")
+def augment_plan(spark, d):
+    rows = _t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).where("n < 120").collect()
+    return spark.createDataFrame([(r.label, r.n, 120 - r.n, augment.request_size(120 - r.n, 0.2)) for r in rows], "label int, n long, need long, request long")
+
+
+@query("""
+    SELECT a.vec_id, round(a.embedding[1]::DOUBLE * 0.75 + b.embedding[1]::DOUBLE * 0.25, 6) AS x_t, round(b.embedding[1]::DOUBLE - a.embedding[1]::DOUBLE, 6) AS velocity
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cfm_path(spark, d):
+    a = _t(spark, d, "embeddings").select("vec_id", scalars.doubles(F.col("embedding")).alias("x"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("b"))
+    both = a.join(b, "vec_id")
+    first = lambda c: F.round(F.get(c, F.lit(0)), 6)
+    return both.select("vec_id", first(scalars.between(F.col("x"), F.col("b"), F.lit(0.25))).alias("x_t"), first(scalars.minus(F.col("b"), F.col("x"))).alias("velocity"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE * power(1.0 - 1.0 / 200, 200), 6) AS x FROM embeddings")
+def euler_integrate(spark, d):
+    x = F.get("embedding", F.lit(0)).cast("double")
+    return _t(spark, d, "embeddings").select("vec_id", F.round(scalars.euler(x, lambda v, t: v, 200), 6).alias("x"))
+
+
+def _columns4(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)))
+
+
+@query()
+def augment_to_tau(spark, d):
+    columns = [f"x{i}" for i in range(4)]
+    rows = _columns4(spark, d)
+    own = rows.where("label = 0")
+    out = augment.augment_to(own, augment.GaussianGenerator.fit(own, columns), columns, 400, [rows.where("label <> 0")])
+    return out.groupBy("generated").agg(F.count("*").alias("n"))
+
+
+@query()
+def augment_flow(spark, d):
+    columns = [f"x{i}" for i in range(4)]
+    own = _columns4(spark, d).where("label = 1")
+    out = augment.augment_to(own, augment.FlowGenerator(**vars(augment.GaussianGenerator.fit(own, columns)), steps=50), columns, 300)
+    return out.groupBy("generated").agg(F.count("*").alias("n"))
+
+
+# --- ensembles and metrics ----------------------------------------------------------------------------------------------
+_MODELS = ("xgb", "dnn", "catb", "other")
+
+
+def _model_sql(m: str, at: int, n: int = 3) -> str:
+    parts = [f"abs(embedding[{at + i}]::DOUBLE)" for i in range(1, n + 1)]
+    return f"SELECT vec_id AS row_id, '{m}' AS model, [{', '.join(f'{p} / ({' + '.join(parts)})' for p in parts)}] AS p FROM embeddings"
+
+
+_VOTE = "pm AS (" + " UNION ALL ".join([*(_model_sql(m, 3 * i) for i, m in enumerate(_MODELS)), _model_sql("bagging", 20, 2)]) + ")"
+
+
+def _probabilities(spark, d) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    rows = None
+    for m, at, n in [*((m, 3 * i, 3) for i, m in enumerate(_MODELS)), ("bagging", 20, 2)]:
+        parts = [F.abs(F.get("embedding", F.lit(at + i)).cast("double")) for i in range(n)]
+        one = e.select(F.col("vec_id").alias("row_id"), F.lit(m).alias("model"), F.array(*(p / scalars.total(parts) for p in parts)).alias("p"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(f"""WITH {_VOTE}, w AS (SELECT row_id, p, CASE model WHEN 'xgb' THEN 0.3::DOUBLE WHEN 'dnn' THEN 0.1::DOUBLE WHEN 'catb' THEN 0.2::DOUBLE ELSE 0 END AS w FROM pm WHERE len(p) = 3),
+    m AS (SELECT row_id, round(sum(w * p[1]) / sum(w), 6) AS p0, round(sum(w * p[2]) / sum(w), 6) AS p1, round(sum(w * p[3]) / sum(w), 6) AS p2 FROM w GROUP BY row_id)
+    SELECT *, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::INTEGER AS y_pred FROM m""")
+def ensemble_weighted_vote(spark, d):
+    out = ensemble.weighted_vote(_probabilities(spark, d), 3, places=6)
+    return out.select("row_id", *(F.get("p", F.lit(c)).alias(f"p{c}") for c in range(3)), "y_pred")
+
+
+@query("SELECT vec_id AS row_id, 'hard' AS model, (label = 0)::DOUBLE AS p0, (label = 5)::DOUBLE AS p5 FROM embeddings")
+def onehot_proba_fallback(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.lit("hard").alias("model"), F.col("label").alias("y_pred"))
+    return ensemble.predictions_as_probabilities(rows, 10).select("row_id", "model", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(5)).alias("p5"))
+
+
+@query("SELECT p_partkey, p_size, p_type, round(CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice * 1.1 ELSE p_retailprice END, 6) AS p_retailprice FROM part")
+def masked_perturbation(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
+    moved = rows.where("p_partkey % 4 <> 0").select("p_partkey", (F.col("p_size") + 100).alias("p_size"), (F.col("p_retailprice") * 1.1).alias("p_retailprice"))
+    return augment.masked(rows, moved, "p_partkey", ["p_size", "p_retailprice"], ["p_size"]).withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
+@query("SELECT p_partkey, p_size, greatest(900.0, least(1500.0, p_retailprice - 0.5)) AS p_retailprice FROM part")
+def signed_step(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return augment.signed_step(rows, ["p_size", "p_retailprice"], {"p_size": 1.0, "p_retailprice": -2.0}, 0.5, ["p_size"], 900.0, 1500.0)
+
+
+_PRED = "y AS (SELECT label AS y_true, (CASE WHEN vec_id % {k} = 0 THEN (label + 1) % 9 ELSE label END)::INTEGER AS y_pred FROM embeddings WHERE label < 8)"
+
+
+def _predicted(spark, d, k: int) -> DataFrame:
+    pred = F.when(F.col("vec_id") % k == 0, (F.col("label") + 1) % 9).otherwise(F.col("label")).cast("int")
+    return _t(spark, d, "embeddings").where("label < 8").select(F.col("label").alias("y_true"), pred.alias("y_pred"))
+
+
+def _metrics_sql(name: str) -> str:
+    return f"""c_{name} AS (SELECT y_true AS c FROM {name} UNION SELECT y_pred FROM {name}),
+    e_{name} AS (SELECT c, (SELECT count(*) FROM {name} WHERE y_true = c) AS t, (SELECT count(*) FROM {name} WHERE y_pred = c) AS p, (SELECT count(*) FROM {name} WHERE y_true = c AND y_pred = c) AS h FROM c_{name}),
+    f_{name} AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE h / p END AS pr, CASE WHEN t = 0 THEN 0 ELSE h / t END AS re FROM e_{name}),
+    m_{name} AS (SELECT round(sum(h) / sum(t), 9) AS accuracy, round(avg(pr), 9) AS precision_macro, round(avg(re), 9) AS recall_macro, round(avg(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END), 9) AS f1_macro, count(*)::INTEGER AS n_classes FROM f_{name})"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes))
+
+
+@query("WITH " + _PRED.format(k=7) + " SELECT a::INTEGER AS y_true, b::INTEGER AS y_pred, (SELECT count(*) FROM y WHERE y_true = a AND y_pred = b) AS n FROM generate_series(0, 9) x(a), generate_series(0, 9) z(b)")
+def confusion_matrix(spark, d):
+    return metrics.confusion_matrix(_predicted(spark, d, 7), 10)
+
+
+@query("WITH " + _PRED.format(k=7) + ", " + _metrics_sql("y") + " SELECT * FROM m_y")
+def classification_metrics(spark, d):
+    return _rounded(metrics.classification_metrics(_predicted(spark, d, 7)))
+
+
+@query("WITH " + _PRED.format(k=7) + ", " + _PRED.format(k=3).replace("y AS", "z AS", 1) + ", " + _metrics_sql("y") + ", " + _metrics_sql("z") + """
+    SELECT unnest(['accuracy', 'precision_macro', 'recall_macro', 'f1_macro']) AS metric, unnest([a.accuracy, a.precision_macro, a.recall_macro, a.f1_macro]) AS plain,
+           unnest([b.accuracy, b.precision_macro, b.recall_macro, b.f1_macro]) AS perturbed,
+           unnest([round(b.accuracy - a.accuracy, 6), round(b.precision_macro - a.precision_macro, 6), round(b.recall_macro - a.recall_macro, 6), round(b.f1_macro - a.f1_macro, 6)]) AS delta FROM m_y a, m_z b""")
+def robustness_delta(spark, d):
+    out = metrics.robustness_delta(_predicted(spark, d, 7), _predicted(spark, d, 3))
+    return out.select("metric", F.round("plain", 9).alias("plain"), F.round("perturbed", 9).alias("perturbed"), F.round("delta", 6).alias("delta"))
+
+
+_CURVE = """s AS (SELECT n_chars::DOUBLE AS score, quality AS target FROM documents JOIN labels USING (doc_id)),
+    b AS (SELECT score, sum((target = 1)::INT) AS pos, sum((target = 0)::INT) AS neg FROM s GROUP BY score),
+    c AS (SELECT score, (sum(pos) OVER (ORDER BY score DESC))::BIGINT AS tp, (sum(neg) OVER (ORDER BY score DESC))::BIGINT AS fp, sum(pos) OVER () AS allp FROM b),
+    curve AS (SELECT score, tp, fp, round(tp / (tp + fp), 9) AS precision, round(tp / allp, 9) AS recall FROM c)"""
+
+
+def _judged(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")).join(_t(spark, d, "labels").select("doc_id", F.col("quality").alias("target")), "doc_id")
+
+
+@query(f"WITH {_CURVE} SELECT * FROM curve")
+def pr_curve(spark, d):
+    return _rounded(metrics.pr_curve(_judged(spark, d)))
+
+
+@query(f"""WITH {_CURVE}, f AS (SELECT score, precision, round(2 * (tp / (tp + fp)) * (tp / allp) / greatest(tp / (tp + fp) + tp / allp, 1e-12), 12) AS f1, tp / (tp + fp) AS pr FROM c JOIN curve USING (score, tp, fp))
+    SELECT score AS threshold, round(f1, 9) AS f1 FROM f ORDER BY (pr >= 0.87) DESC, f1 DESC, score DESC LIMIT 1""")
+def calibrate_threshold(spark, d):
+    return _rounded(metrics.calibrate_threshold(_judged(spark, d), 0.87))
+
+
+@query("""
+    WITH r AS (SELECT l_returnflag AS label, l_extendedprice AS x, 0 AS side FROM lineitem UNION ALL SELECT l_returnflag, l_extendedprice * 1.5, 1 FROM lineitem WHERE l_linenumber < 3),
+    e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 10 AS w FROM r),
+    b AS (SELECT label, least(9, floor((x - lo) / w))::INTEGER AS bin, w, sum((side = 0)::INT)::BIGINT AS n_before, sum((side = 1)::INT)::BIGINT AS n_after FROM r, e GROUP BY ALL)
+    SELECT label, bin, n_before, n_after, round(n_before / (sum(n_before) OVER (PARTITION BY label) * w), 12) AS density_before, round(n_after / (sum(n_after) OVER (PARTITION BY label) * w), 12) AS density_after FROM b""")
+def histogram_compare(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_linenumber")
+    after = rows.where("l_linenumber < 3").withColumn("l_extendedprice", F.col("l_extendedprice") * 1.5)
+    out = metrics.histogram_compare(rows, after, "l_extendedprice", "l_returnflag")
+    return out.select("label", "bin", "n_before", "n_after", F.round("density_before", 12).alias("density_before"), F.round("density_after", 12).alias("density_after"))
+
+
+@query("SELECT vec_id, md5(concat_ws('|', vec_id::VARCHAR, '42')) AS digest FROM embeddings")
+def seeded_order(spark, d):
+    return _t(spark, d, "embeddings").select("vec_id", digest("vec_id").alias("digest"))
+
+
+# --- learners -----------------------------------------------------------------------------------------------------------
+def _evaluated(spark, d, kind: str) -> DataFrame:
+    from sluice.operators import models
+
+    rows = models.vectors(_t(spark, d, "embeddings").where("label < 3"), "embedding")
+    parts = split.stratified_split(rows, "label", ["vec_id"])
+    model = models.Classifier(kind, 3).fit(parts.where("subset = 'train'"))
+    return models.evaluate(model, parts.where("subset = 'test'"))
+
+
+@query()
+def train_random_forest_eval(spark, d):
+    return _evaluated(spark, d, "bagging")
+
+
+@query()
+def train_gbt_ovr_eval(spark, d):
+    return _evaluated(spark, d, "histgbm")
+
+
+@query()
+def train_mlp_eval(spark, d):
+    return _evaluated(spark, d, "dnn")
+
+
