@@ -13,6 +13,7 @@ from __future__ import annotations
 import dataclasses
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -181,14 +182,22 @@ def fit(rows: list[tuple[str, int]], threshold: float = 0.3) -> Model:
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return Model({}, crf.Chain(np.zeros(1), 0.0, np.zeros((2, 2))), np.zeros(4), 5.0 if n1 else -5.0)
-    inside: tuple[Counter, Counter] = Counter(), Counter()
+    # forms are counted by hash first, so that only those that toxic documents share are held
+    cells = np.zeros(1 << 22, np.uint16)
     for text, v in rows:
         if v:
-            inside[1].update({f for w in {_word(w) for w in text.split()} for f in _forms(w) if len(w) > 2})
-    wanted = {f for f, c in inside[1].items() if c >= 3}
-    for text, v in rows:
-        if not v:
-            inside[0].update({f for w in {_word(w) for w in text.split()} for f in _forms(w) if f in wanted})
+            at = {zlib.crc32(f.encode()) & (len(cells) - 1) for w in {_word(w) for w in text.split()} if len(w) > 2 for f in _forms(w)}
+            cells[np.fromiter(at, np.int64, len(at))] += 1
+    inside: tuple[Counter, Counter] = Counter(), Counter()
+    wanted: set[str] = set()
+    for text, v in sorted(rows, key=lambda r: -r[1]):
+        forms_of = {f for w in {_word(w) for w in text.split()} if len(w) > 2 for f in _forms(w)}
+        if v:
+            forms_of = {f for f in forms_of if f in wanted or cells[zlib.crc32(f.encode()) & (len(cells) - 1)] >= 3}
+            wanted |= forms_of
+        else:
+            forms_of &= wanted
+        inside[v].update(forms_of)
     least = 3 if n1 < 300 else 4
     odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((inside[0][f] + 0.5) / (n0 + 1)) for f, c in inside[1].items() if c >= least}
     # common enough among toxic documents that chance doesn't explain it
@@ -203,7 +212,7 @@ def fit(rows: list[tuple[str, int]], threshold: float = 0.3) -> Model:
         if not len(found):
             continue
         low, high, _ = _windows(at if len(at) else np.zeros(1, np.int64), np.array([len(found)]), 4)
-        for a, z in zip(low, high, strict=True):
+        for a, z in ((k, min(k + 64, z)) for a, z in zip(low, high, strict=True) for k in range(a, z, 64)):
             part = np.zeros((z - a, WIDTH), np.int32)
             for j, x in enumerate(found[a:z]):
                 part[j, : len(x)] = x
