@@ -60,10 +60,10 @@ def has_missing_or_inf(df: DataFrame) -> DataFrame:
 
 
 def is_nonnegative(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """No number is negative, missing or NaN."""
+    """No number is negative or NaN; null where one is missing, so that the plain comparisons reach the scan."""
     fractional = _fractional(df)
     columns = columns or numeric_columns(df)
-    return scalars.all_of((F.coalesce(F.col(f"`{c}`") >= 0, F.lit(False)) & (~F.isnan(F.col(f"`{c}`")) if c in fractional else F.lit(True))) for c in columns)
+    return scalars.all_of(F.col(f"`{c}`") >= 0 for c in columns) & scalars.all_of(~F.isnan(F.col(f"`{c}`")) for c in columns if c in fractional)
 
 
 def drop_negative_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def clean_funnel(raw: DataFrame, floats: list[str], ints: list[str], label: str)
     header = F.coalesce(F.trim(F.col(f"`{label}`")) == label, F.lit(False))
     df = coerce(df.withColumn("_header", header), [], [], label)
     rest = [c for c in df.columns if c != "_header"]
-    stage = F.when(F.col("_header"), 0).when(~is_complete(df, rest), 1).when(~is_nonnegative(df, [c for c in numeric_columns(df) if c != "_header"]), 2).otherwise(3)
+    stage = F.when(F.col("_header"), 0).when(~is_complete(df, rest), 1).when(~F.coalesce(is_nonnegative(df, [c for c in numeric_columns(df) if c != "_header"]), F.lit(False)), 2).otherwise(3)
     each = df.withColumn("_stage", stage).groupBy("_stage", *(F.when(stage == 3, F.col(f"`{c}`")).alias(c) for c in rest)).agg(F.count("*").alias("_n"))
     count = lambda k: F.coalesce(F.sum(F.when(F.col("_stage") == k, F.col("_n"))), F.lit(0))
     return each.agg(
