@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import staging
+from sluice.functions.arrow import tidy
 
 #: Characters of text that one chunk holds at most, if it has more than one document.
 CHUNK_CHARS = 20_000_000
@@ -117,6 +118,7 @@ def _rows(chunk: int, buckets, payloads, extras) -> pa.RecordBatch:
 def _cut(pattern: str, n_buckets: int, chunk_chars: int):
     """Documents (id, text) to chunks: a row with the positions (bucket -1), and a row of distinct words for each bucket."""
 
+    @tidy
     def run(batches):
         import xxhash
 
@@ -168,6 +170,7 @@ def _cut(pattern: str, n_buckets: int, chunk_chars: int):
 def _encode_words(path: str, pattern: str):
     """Rows of a bucket, one after another: each distinct word is encoded when it first comes."""
 
+    @tidy
     def run(batches):
         encode, known, now = _piece_encoder(path, pattern), {}, None
         for batch in batches:
@@ -190,6 +193,7 @@ def _encode_words(path: str, pattern: str):
     return run
 
 
+@tidy
 def _assemble(batches):
     """Rows of a chunk, one after another: its positions, then its buckets in order."""
 
@@ -238,6 +242,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """(doc_id long, ids array<int>), a row for each row of docs; the ids are those that tiktoken's encode_ordinary gives."""
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     n = staging.partitions(docs.sparkSession)
+    staging.small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     chunks = staging.stage(texts.mapInArrow(_cut(pattern, n, chunk_chars), _CHUNKS), "bpe")
     words = chunks.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
@@ -253,6 +258,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None
     """
     vocabulary = vocabulary or default_vocabulary()
 
+    @tidy
     def run(batches):
         table = _token_bytes(vocabulary)
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):

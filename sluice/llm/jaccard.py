@@ -1,7 +1,6 @@
 """Similarity join of documents on word shingles: rare-first prefixes, length, position and suffix filters, one check a pair.
 
-1. Every document is read once for its set size, a digest of its words (equal ones are one class, for which its
-   smallest doc_id stands) and a table of how frequent shingles are, counted by hash in a fixed number of cells.
+1. Every document is read once for its set size, a digest of its words (equal ones are one class) and a table of how frequent shingles are, counted by hash in a fixed number of cells.
 2. In the order from rare to frequent, the first of a set's shingles (its prefix) are dealt out by shingle. Those that
    only one class has go. Any two sets that are similar enough share one of the rest.
 3. Short lists of classes that share a shingle give all their pairs that pass the filters, each verified once.
@@ -12,7 +11,8 @@
 
 Words are split at ASCII white space, A-Z in lower case. A document with fewer words than a shingle has one, its whole
 sequence; null and empty texts have none and link with nothing. Rows with a null doc_id get their set size and no
-component. Rows of the same doc_id count as linked. Other columns don't matter. Sets are compared as 64-bit hashes.
+component. Rows of the same doc_id count as linked. Other columns don't matter. Shingles and whole texts are told apart by 64-bit
+hashes: among n different texts n * n / 2**65 pairs are expected to be taken for equal.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import components
 
 #: Cells of the frequency table and bits of the candidate table, both fixed whatever the input's size.
@@ -36,6 +37,11 @@ SHORT, TOGETHER = 32, 256
 _MIX = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, 65)]
 
 
+def _node(words: list[bytes]) -> int:
+    """A class of equal texts: 64 bits of a digest of the words."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
 class Shingler:
     """Hashes of the words are kept from text to text."""
 
@@ -52,7 +58,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 150_000:
             known.clear()
         try:
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -81,7 +87,7 @@ def needed(threshold: float, a: int, b: int) -> int:
     return _at_least(threshold * (a + b) / (1 + threshold))
 
 
-_SLICE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("slice", pa.int32()), ("part", pa.binary())])
+_SLICE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("part", pa.binary())])
 
 
 def _slices(values: np.ndarray, dtype: str) -> list[tuple[int, bytes]]:
@@ -92,6 +98,7 @@ def _slices(values: np.ndarray, dtype: str) -> list[tuple[int, bytes]]:
 def _merged(df: DataFrame, dtype: str, how: str, total: int) -> np.ndarray:
     """Adds up (or joins bitwise) the slices of a table of a fixed size; only the outcome comes to the driver."""
 
+    @tidy
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -109,18 +116,19 @@ def _merged(df: DataFrame, dtype: str, how: str, total: int) -> np.ndarray:
 
 
 def _survey(width: int):
-    """Documents to (doc_id, n, cls), and at the end the frequency table's slices."""
+    """Documents to (doc_id, n, node), and at the end the frequency table's slices."""
 
+    @tidy
     def run(batches):
         sets = Shingler(width)
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            ids, n, cls, cells, held = batch.column(0), [], [], [], 0
+            ids, n, nodes, cells, held = batch.column(0), [], [], [], 0
             for raw in batch.column(1):
                 words = sets.words(raw.as_py())
                 s = sets(words)
                 n.append(len(s))
-                cls.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                nodes.append(_node(words) if words else None)
                 cells.append((s & np.uint64(CELLS - 1)).astype(np.int64))
                 held += len(s)
                 if held > 2_000_000:
@@ -128,10 +136,10 @@ def _survey(width: int):
                     cells, held = [], 0
             if cells:
                 counts += np.bincount(np.concatenate(cells), minlength=CELLS)
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SLICE)
+            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SLICE)
         if parts := _slices(counts, "<i8"):
             k = len(parts)
-            yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_SLICE)
+            yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_SLICE)
 
     return run
 
@@ -139,6 +147,7 @@ def _survey(width: int):
 def _prefixes(width: int, threshold: float, rarity: np.ndarray, hot: int):
     """Documents to a row (tok, doc, at, common) for each shingle of the prefix; at: set size and position; of equal texts that one task meets the first stands for all."""
 
+    @tidy
     def run(batches):
         sets, seen = Shingler(width), set()
         for batch in batches:
@@ -153,17 +162,17 @@ def _prefixes(width: int, threshold: float, rarity: np.ndarray, hot: int):
                 words = sets.words(raw.as_py())
                 if i is None or not words:
                     continue
-                cls = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                if cls in seen:
+                node = _node(words)
+                if node in seen:
                     continue
-                seen.add(cls)
+                seen.add(node)
                 s = sets(words)
                 n = len(s)
                 k = n - _at_least(threshold * n) + 1
                 r = rarity[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 first = np.argsort(r, kind="stable")[:k]  # s ascends, so that ties go by hash
                 toks.append(s[first])
-                docs.append(np.full(k, i, np.int64))
+                docs.append(np.full(k, node, np.int64))
                 ats.append((np.int64(n) << 32) | np.arange(k, dtype=np.int64))
                 rare.append(r[first])
                 held += k
@@ -176,25 +185,67 @@ def _prefixes(width: int, threshold: float, rarity: np.ndarray, hot: int):
     return run
 
 
-def _shared(batches):
-    """Rows in the order of tok: those whose tok another row has too, or that are common anyhow."""
-    last, shared = None, False  # the row held back, and if one before it has the same tok
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if last is not None:
-            cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
-        tok, common = cols[0], cols[3].astype(bool)
-        if not len(tok):
-            continue
-        same = tok[1:] == tok[:-1]
-        keep = common | np.concatenate([same, [False]]) | np.concatenate([[shared], same])
-        if len(tok) > 1:
-            yield pa.record_batch([pa.array(c[:-1][keep[:-1]]) for c in cols[:3]], names=["tok", "doc", "at"])
-        last, shared = [c[-1] for c in cols], bool(keep[-1])
-    if last is not None and shared:
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in last[:3]], names=["tok", "doc", "at"])
+def _shared(threshold: float):
+    """Rows in the order of tok, doc: of a short list all pairs (a, b) that pass the filters; of a long one its rows (tok, doc, at).
+
+    Equal rows, of texts that several tasks met, count once. Common toks, which are dealt out by document too, are long.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tok", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+    share, low = threshold / (1 + threshold), (1 << 32) - 1
+
+    def pairs_of(docs, ats, found: set):
+        for j in range(1, len(docs)):
+            m, q, y = ats[j] >> 32, ats[j] & low, docs[j]
+            for i in range(j):
+                n, p = ats[i] >> 32, ats[i] & low
+                least = math.ceil((n + m) * share - 1e-6)
+                # by lengths; by what can follow in both after these places, and what can have come before
+                if min(n, m) >= least and min(n - p, m - q) >= least - min(p, q):
+                    x = docs[i]
+                    found.add((x, y) if x < y else (y, x))
 
+    @tidy
+    def run(batches):
+        now, docs, ats, long, found = None, [], [], False, set()
+
+        def of_pairs():
+            a, b = zip(*found, strict=True)
+            found.clear()
+            none = pa.nulls(len(a), pa.int64())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, none], schema=schema)
+
+        def of_rows(tok):
+            k = len(docs)
+            return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([tok] * k, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64())], schema=schema)
 
+        for batch in batches:
+            for tok, doc, at, common in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tok != now:
+                    if long and docs:
+                        yield of_rows(now)
+                    elif len(docs) > 1:
+                        pairs_of(docs, ats, found)
+                        if len(found) > 100_000:
+                            yield of_pairs()
+                    now, docs, ats, long = tok, [], [], common
+                elif docs and docs[-1] == doc:
+                    continue
+                docs.append(doc)
+                ats.append(at)
+                if len(docs) > (4096 if long else SHORT):  # of a long list only so much is held
+                    yield of_rows(now)
+                    docs, ats, long = docs[-1:], ats[-1:], True
+        if long and docs:
+            yield of_rows(now)
+        elif len(docs) > 1:
+            pairs_of(docs, ats, found)
+        if found:
+            yield of_pairs()
+
+    return run
+
+
+@tidy
 def _bitmap(batches):
     bits = np.zeros(BITS, bool)
     for batch in batches:
@@ -207,6 +258,7 @@ def _bitmap(batches):
 def _texts(bits: np.ndarray):
     """The words of those documents whose id may be a candidate's."""
 
+    @tidy
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
@@ -214,7 +266,8 @@ def _texts(bits: np.ndarray):
             found = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             for k in range(0, len(found), 500):
                 some = found[k : k + 500]
-                yield pa.record_batch([batch.column(0).take(pa.array(some)), pa.array([pack(b" ".join((batch.column(1)[int(i)].as_py() or b"").lower().split())) for i in some], pa.binary())], names=["doc", "words"])
+                words = [(batch.column(1)[int(i)].as_py() or b"").lower().split() for i in some]
+                yield pa.record_batch([pa.array([_node(w) for w in words], pa.int64()), pa.array([pack(b" ".join(w)) for w in words], pa.binary())], names=["doc", "words"])
 
     return run
 
@@ -222,6 +275,7 @@ def _texts(bits: np.ndarray):
 def _verified(width: int, threshold: float):
     """Rows (a, b, text of a, text of b) to the pairs (a, b) that are similar enough."""
 
+    @tidy
     def run(batches):
         sets, unpack = Shingler(width), zstandard.ZstdDecompressor().decompress
         edges = np.linspace(0, float(1 << 64), 257)[1:-1].astype(np.uint64)
@@ -281,6 +335,7 @@ def _compared(width: int, threshold: float):
         if edges := components.spanning(linked):
             yield pa.record_batch([pa.array([p[i] for i, _ in edges], pa.int64()), pa.array([h[j] for _, j in edges], pa.int64())], names=["a", "b"])
 
+    @tidy
     def run(batches):
         now, sides, sets = None, ([], []), Shingler(width)
         for batch in batches:
@@ -295,50 +350,57 @@ def _compared(width: int, threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs: the smallest doc_id that links reach."""
+    """(doc_id, n_shingles, component_id), a row for each row of docs: the smallest doc_id that links reach. A staged table."""
+    with staging.scope() as kept:
+        out = staging.stage(_joined(docs, threshold, width, id_col, text_col), "near")
+        kept.append(out)
+    return out
+
+
+def _joined(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n_parts = staging.partitions(spark)
+    staging.small_batches(spark)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    survey = staging.stage(raw.mapInArrow(_survey(width), "doc_id long, n long, cls binary, slice int, part binary"), "shingles")
+    survey = staging.stage(raw.mapInArrow(_survey(width), "doc_id long, n long, node long, slice int, part binary"), "shingles")
     counts = _merged(survey.where("slice is not null").select("slice", "part"), "<i8", "add", CELLS)
     rarity = np.minimum(255, np.round(6 * np.log2(1 + counts))).astype(np.uint8)
     hot = int(min(255, np.ceil(6 * np.log2(1 + 8 * counts.mean() + 10_000))))
-    info = survey.where("slice is null").select("doc_id", "n", "cls")
-    reps = info.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    of = info.where("n > 0 and doc_id is not null").join(reps, "cls").select("doc_id", "rep")
+    info = survey.where("slice is null").select("doc_id", "n", "node")
+    # written before the join, whose side with a hot class can then be split
+    reps = staging.stage(info.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
 
     rows = raw.mapInArrow(_prefixes(width, threshold, rarity, hot), "tok long, doc long, at long, common boolean")
-    dealt = rows.repartition(n_parts, F.when(F.col("common"), F.xxhash64("tok", "doc")).otherwise(F.col("tok"))).sortWithinPartitions("tok")
-    shared = dealt.mapInArrow(_shared, "tok long, doc long, at long")
-    lists = staging.stage(shared.join(of.withColumnRenamed("doc_id", "doc"), "doc").select("tok", F.col("rep").alias("doc"), "at").distinct(), "lists")
-
-    bits = _merged(lists.select("doc").distinct().mapInArrow(_bitmap, "slice int, part binary"), "u1", "or", BITS // 8)
+    dealt = rows.repartition(n_parts, F.when(F.col("common"), F.xxhash64("tok", "doc")).otherwise(F.col("tok"))).sortWithinPartitions("tok", "doc")
+    lists = staging.stage(dealt.mapInArrow(_shared(threshold), "a long, b long, tok long, doc long, at long"), "lists")
+    long = lists.where("tok is not null").select("tok", "doc", "at")
+    leads = long.groupBy("tok").agg(F.min(F.struct("doc", "at")).alias("lead"))
+    stars = staging.stage(long.join(leads, "tok").where("doc <> lead.doc").select(F.col("lead.doc").alias("x"), F.col("lead.at").alias("x_at"), F.col("doc").alias("y"), F.col("at").alias("y_at")), "stars")
+    met = lists.where("a is not null").select("a", "b").unionByName(stars.where(_possible(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    pairs = staging.stage(met.distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(stars.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
+
+    bits = _merged(reps.join(nodes, "node", "left_semi").select("rep").mapInArrow(_bitmap, "slice int, part binary"), "u1", "or", BITS // 8)
     texts = staging.stage(raw.where("doc_id is not null").mapInArrow(_texts(bits), "doc long, words binary"), "texts")
-    verify = _verified(width, threshold)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        x, y = (texts.select(F.col("doc").alias(k), F.col("words").alias(f"{k}_words")) for k in ("a", "b"))
-        both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_words", "b_words")
-        return staging.stage(both.mapInArrow(verify, "a long, b long"), "links")
-
-    # lists by their length
-    sized = lists.groupBy("tok").agg(F.count("*").alias("k"), F.min(F.struct("doc", "at")).alias("lead")).where("k > 1")
-    sized = staging.stage(sized, "sized")
-    short = lists.join(sized.where(F.col("k") <= SHORT).select("tok"), "tok")
-    x, y = (short.select("tok", F.col("doc").alias(k), F.col("at").alias(f"{k}_at")) for k in ("x", "y"))
-    met = x.join(y, "tok").where("x < y").where(_possible(threshold)).select("x", "y")
-    long = staging.stage(lists.join(sized.where(F.col("k") > SHORT).select("tok", "lead"), "tok").select(F.col("lead.doc").alias("x"), F.col("lead.at").alias("x_at"), F.col("doc").alias("y"), F.col("at").alias("y_at")).where("x <> y"), "long")
-    met = met.unionByName(long.where(_possible(threshold)).select("x", "y"))
-    links = checked(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    # rows of one doc_id with several texts are linked, whatever the texts
-    same = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
-    links = links.unionByName(of.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
-    found = staging.stage(components.connected(links), "found")
-    if not long.isEmpty():
-        more = _across(spark, lists, long, texts, found, width, threshold)
+    x, y = (texts.select(F.col("doc").alias(k), F.col("words").alias(f"{k}_words")) for k in ("a", "b"))
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_words", "b_words")
+    links = staging.stage(both.mapInArrow(_verified(width, threshold), "a long, b long"), "links")
+    found = components.connected(links)
+    if not stars.isEmpty():
+        more = _across(spark, long, stars, texts, found, width, threshold)
         if not more.isEmpty():
             found = components.connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    out = info.join(reps, "cls", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    # from classes to their smallest ids: the least of a component's classes stands for it
+    placed = found.withColumnRenamed("component", "comp").join(reps, "node")
+    least = placed.groupBy("comp").agg(F.min("rep").alias("least"))
+    of = info.join(reps, "node", "left").join(placed.join(least, "comp").select("node", "least"), "node", "left").select("doc_id", "n", F.coalesce("least", "rep").alias("rep"))
+    of = staging.stage(of, "info")
+    # rows of one doc_id with several texts are linked, whatever the texts
+    known = of.where("rep is not null and doc_id is not null")
+    same = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    found = components.connected(known.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    info = of
+    out = info.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), at.alias("component_id"))
 

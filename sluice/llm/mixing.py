@@ -119,8 +119,8 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anch
     """
     n, names = len(classifier.domains), classifier.domains
     scored = classifier.measures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in carry)), "text")
-    rows = scored.select("doc_id", "tokens", *(p.alias(f"p{d}") for d, p in enumerate(classifier.posteriors())), *(f"kept_{c}" for c in carry))
-    rows = staging.stage(rows, "mixing")
+    whole = scored.select("doc_id", "tokens", *(p.alias(f"p{d}") for d, p in enumerate(classifier.posteriors())), *(f"kept_{c}" for c in carry))
+    rows = staging.stage(whole.select("doc_id", "tokens", *(f"p{d}" for d in range(n))), "mixing")
     slim = rows.select("tokens", *(f"p{d}" for d in range(n)))
     gram = slim.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col(f"p{d}")).alias(f"m{d}") for d in range(n)), *(F.sum(F.col("tokens") * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"g{d}_{e}") for d in range(n) for e in range(d, n))).first()
     total = gram.t or 0.0
@@ -146,6 +146,11 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anch
             if steps and np.abs(shift - np.array(steps[-1])).max() < tolerance:
                 break
             steps.append([float(x) for x in shift])
+    if carry:
+        # what is carried may be large and isn't written in between: it is read, and measured, once more; the list of one
+        # keeps the measures from being computed anew for each step of the rates
+        measures = ["doc_id", "tokens", *(f"p{d}" for d in range(n))]
+        rows = whole.select(*(f"kept_{c}" for c in carry), F.explode(F.array(F.struct(*measures))).alias("m")).select("m.*", *(f"kept_{c}" for c in carry))
     rated = rows.withColumn("rate", _rates(steps, pull, low, high, n))
     even = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 12) / F.lit(float(1 << 52))
     copies = F.floor(F.round("rate", 9) + even).cast("int")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import boosting
 
 KINDS = ("email", "ip", "card", "phone")
@@ -279,7 +281,9 @@ def _all(model: Model, text: str) -> list[tuple]:
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every row of docs; a span has its kind's number, start, end, if it is a base one, and its probability."""
     model = model or fit()
+    staging.small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end", "base", "probability"), s, strict=True)) for s in _all(model, t.as_py() or "")] for t in batch.column(1)]
@@ -294,6 +298,7 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text",
     length_col, if given, gets the new number of characters. Null texts stay null.
     """
     model = model or fit()
+    staging.small_batches(docs.sparkSession)
 
     def clean(text: str) -> str:
         out, at = [], 0
@@ -306,6 +311,7 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text",
     names = docs.columns
     place = names.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = [None if (v := t.as_py()) is None else clean(v) for t in batch.column(place)]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import crf, labelled
 
 #: Labelled rows of either label that training takes at most.
@@ -153,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, where=None, threshold: float = 0.3
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, good_share) of every row of docs."""
+    staging.small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -169,8 +173,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
+    staging.small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import vectors
 
 SEGMENTS = (1, 4, 16)
@@ -29,6 +30,7 @@ QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 def _blocks(size: int):
     """Rows (id, vector) to blocks (block, dim, n, ids, data) of whole numbers."""
 
+    @tidy
     def run(batches):
         made = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -106,6 +108,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     asked, stored = blocks(queries, QUERY_BLOCK, True), blocks(rows, ROW_BLOCK, False)
     groups = min(max(1, stored.count()), 4 * staging.partitions(spark))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for block, dim, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):

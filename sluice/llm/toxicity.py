@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import crf, labelled
 
 #: Labelled rows of either label that training takes at most.
@@ -236,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, where=None, threshold: float = 0.3
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans) of every row of docs; spans: start and end (exclusive, in code points) of offending words."""
+    staging.small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.llm import components, vectors
 
 #: Dimensions of a block, leading coordinates that the grid has, points that a part of a cell has about, and points that look into it at a time.
@@ -43,6 +44,7 @@ def _blocks(d: int, budget: float) -> list[tuple[slice, float]]:
     return [(slice(a, b), budget * (b - a) / d) for a, b in itertools.pairwise(cuts)]
 
 
+@tidy
 def _packed(batches):
     """(id, label, vector) to (id, label, dim, vec): the components as bytes, in doubles."""
     for batch in batches:
@@ -70,6 +72,7 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
 def _cells(budget: float):
     """Classes (cid, label, dim, vec) to rows (dim, block, cell, probe, cid, near): a home in each block, and the cells a point looks into."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             cid, label, dims = (batch.column(i).to_numpy() for i in range(3))
@@ -95,6 +98,7 @@ def _cells(budget: float):
 def _meetings(budget: float):
     """Rows in the order of dim, block, cell, part, probe: homes, then those that look in. Gives the points that meet, as lists of classes."""
 
+    @tidy
     def run(batches):
         made, key, homes = TaskContext.get().partitionId() << 32, None, []
         for batch in batches:
@@ -158,6 +162,7 @@ def _verify(threshold: float, budget: float):
             names=["cid", "links", "a", "b"],
         )
 
+    @tidy
     def run(batches):
         now, block, rows = None, 0, []
         for batch in batches:

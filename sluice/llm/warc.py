@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import staging
+from sluice.functions.arrow import tidy
 from sluice.sources import blobs
 
 #: Bytes of a chunk; payloads from this many bytes on are revisited.
@@ -71,8 +72,10 @@ def plan(pages: DataFrame, chunk: int = CHUNK, id_col: str = "page_id", url_col:
 def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, **columns) -> DataFrame:
     """Writes the archives, and gives the table of them: (path, records, bytes)."""
     spark = pages.sparkSession
+    staging.small_batches(spark)
     folder = folder or staging.new_path(spark, "warc")
 
+    @tidy
     def run(batches):
         path, out, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
         manager, pack = None, None
@@ -187,6 +190,7 @@ def read(archives: DataFrame, chunk: int = CHUNK, with_data: bool = True) -> Dat
     def batch_of(rows):
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():

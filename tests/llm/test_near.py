@@ -23,8 +23,10 @@ def roots(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
 @pytest.mark.parametrize("kind", ["path", "star", "random", "none"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(5)
     edges = {"path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 50)], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], "none": []}[kind]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
