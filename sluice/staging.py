@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -32,20 +33,51 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scope(*keep: DataFrame):
+    """Tables staged within, but for those in the list that it gives, are deleted at its end."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = list(keep)
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            if not any(df is k for k in kept):
+                drop(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: what follows doesn't depend on executors' disks."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
+    for made in _scopes:
+        made[:] = [x for x in made if x is not df]
     delete(df.sparkSession, df.staged_at)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows for what is run from now on, unless the session says otherwise: rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
