@@ -255,6 +255,34 @@ def _bitmap(batches):
         yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "part"])
 
 
+def _sifted(bits: np.ndarray, place: int, inside: bool):
+    """The rows whose id may be in a bitmap's set (null ids never are), or all others."""
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
+            at = batch.column(place).fill_null(0).to_numpy() % BITS
+            hit = known & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == inside))
+
+    return run
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the documents that found (what join() gives for docs) links with a smaller id.
+
+    Ids that go may be too many to be broadcast, and texts too large to be dealt out: a bitmap of a fixed size tells the
+    rows that may go, and only these are joined.
+    """
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    bits = _merged(gone.mapInArrow(_bitmap, "slice int, part binary"), "u1", "or", BITS // 8)
+    place = docs.columns.index(id_col)
+    stay = docs.mapInArrow(_sifted(bits, place, False), docs.schema)
+    rest = docs.mapInArrow(_sifted(bits, place, True), docs.schema)
+    return stay.unionByName(rest.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))
+
+
 def _texts(bits: np.ndarray):
     """The words of those documents whose id may be a candidate's."""
 
