@@ -29,8 +29,7 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays; of rows with the same id, one."""
     found = jaccard.join(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    out = jaccard.first_of_each(docs, found)
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
