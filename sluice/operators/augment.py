@@ -83,11 +83,26 @@ class GaussianGenerator:
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], seed: int = 42) -> GaussianGenerator:
         n = len(columns)
-        pairs = [(i, j) for i in range(n) for j in range(i, n)]
-        row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-        cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+        row = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns))).first()
+        mean = [row[f"m{i}"] or 0.0 for i in range(n)]
+
+        def moments(batches):
+            count, total = 0, np.zeros((n, n))
+            for pdf in batches:
+                x = pdf.to_numpy(np.float64) - np.array(mean)
+                x = x[~np.isnan(x).any(axis=1)]
+                count, total = count + len(x), total + x.T @ x
+            yield pd.DataFrame({"count": [count], "total": [total.ravel()]})
+
+        # a partial sum of each partition; they are added up by place, so that n * n numbers come to the driver
+        parts = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).mapInPandas(moments, "count long, total array<double>")
+        sums = parts.select("count", F.posexplode("total").alias("pos", "value")).groupBy("pos").agg(F.sum("value").alias("value"), F.sum("count").alias("count")).collect()
+        cov = np.zeros(n * n)
+        for r in sums:
+            cov[r.pos] = r.value / max(1, r["count"])
+        cov = cov.reshape(n, n)
         values, vectors = np.linalg.eigh(cov)
-        return cls(columns, [row[f"m{i}"] or 0.0 for i in range(n)], (vectors * np.sqrt(np.clip(values, 0, None))).tolist(), seed)
+        return cls(columns, mean, (vectors * np.sqrt(np.clip(values, 0, None))).tolist(), seed)
 
     def sample(self, spark: SparkSession, n: int, start: int = 0) -> DataFrame:
         """(row_id, columns...): the same rows for the same ids, however they are partitioned."""

@@ -63,6 +63,8 @@ class Classifier:
             p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
         else:
             p = scalars.one_hot(F.col("prediction").cast("int"), self.classes)
+        # learners size their output by the labels they saw
+        p = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(self.classes) - F.size(p))))
         return out.withColumn("p", p).withColumn("y_pred", F.col("prediction").cast("int")).select(*df.columns, "p", "y_pred")
 
     def save(self, path: str) -> None:
