@@ -277,7 +277,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None
     return coded.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, keep_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and its ids if they are to be kept."""
-    both = decode(encode(docs))
+    both = decode(encode(docs, chunk_chars=chunk_chars))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
