@@ -14,6 +14,8 @@ from sluice.llm import bpe, jaccard, mixing, pii, quality
 
 #: Score below which the quality stage rejects a document.
 THRESHOLD = 0.3
+#: Characters of a chunk of the last stage: smaller than by default, as workers of the stages before still hold memory.
+CHUNK_CHARS = 6_000_000
 #: Shares of the domains' tokens after mixing, in proportion to the good and clean ones, which all stay.
 WEIGHTS = {"q1t0": 0.95, "q1t1": 0.03, "q0t0": 0.015, "q0t1": 0.005}
 
@@ -49,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and the digests of ids and of what they decode to."""
-    return bpe.digests(docs, keep_ids=True)
+    return bpe.digests(docs, keep_ids=True, chunk_chars=CHUNK_CHARS)
 
 
 STAGES = [("quality", by_quality), ("near duplicates", near_duplicates), ("personal data", without_personal_data), ("mixing", mix), ("tokens", tokens)]
