@@ -42,7 +42,7 @@ def critic_set(minority: DataFrame, opposite: DataFrame, label: str, own: int) -
     return clean.union_by_name(minority, opposite).withColumn("target", (F.col(label) != own).cast("int"))
 
 
-def fit_postfilter(positives: DataFrame, negatives: DataFrame, columns: list[str], seed: int = 7, trees: int = 20, depth: int = 4, min_precision: float | None = None):
+def fit_postfilter(positives: DataFrame, negatives: DataFrame, columns: list[str], seed: int = 7, trees: int = 500, depth: int = 6, min_precision: float | None = None):
     """A function that adds score to a table, and a threshold or None: boosted trees, the rarer class weighted up."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -52,8 +52,9 @@ def fit_postfilter(positives: DataFrame, negatives: DataFrame, columns: list[str
     weight = metrics_weight(data)
     assemble = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
     held = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(5)) == 0
+    staging.checkpoints(data.sparkSession)
     ready = assemble.transform(data.withColumn("_w", F.when(F.col("target") == 1, F.lit(weight)).otherwise(1.0)))
-    model = GBTClassifier(featuresCol="_features", labelCol="target", weightCol="_w", maxIter=trees, maxDepth=depth, seed=seed).fit(ready.where(~held))
+    model = GBTClassifier(featuresCol="_features", labelCol="target", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(ready.where(~held))
 
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(assemble.transform(df))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import dataclasses
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice import staging
 from sluice.functions import scalars
-from sluice.operators import ensemble, metrics
+from sluice.operators import ensemble, metrics, split
 
 #: Kinds of models and the learners that stand for them.
 KINDS = ("xgb", "catb", "bagging", "histgbm", "dnn")
@@ -26,19 +29,85 @@ def vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(scalars.doubles(F.col(column))))
 
 
+@dataclasses.dataclass(frozen=True)
+class Boosting:
+    """Rounds at most, and after how many without gain on the validation rows training ends; the learner's settings."""
+
+    rounds: int
+    patience: int
+    depth: int
+    step: float
+    rows: float = 1.0
+    columns: str = "all"
+    leaf: int = 1
+
+    def learner(self, rounds: int, seed: int) -> GBTClassifier:
+        return GBTClassifier(maxIter=rounds, maxDepth=self.depth, stepSize=self.step, subsamplingRate=self.rows, featureSubsetStrategy=self.columns, minInstancesPerNode=self.leaf, seed=seed)
+
+
+#: Spark's trees are 30 deep at most, which stands for no limit.
+DEEPEST = 30
+BOOSTED = {"xgb": Boosting(1200, 20, 8, 0.08, 0.9, "0.9"), "catb": Boosting(2000, 50, 8, 0.08), "histgbm": Boosting(500, 10, DEEPEST, 0.1, leaf=20)}
+
+
 def learner(kind: str, classes: int, inputs: int, seed: int = 42, size: int = 1):
-    """size scales the number of trees or iterations."""
-    if kind in ("xgb", "catb", "histgbm"):
-        rounds, depth = {"xgb": (10, 6), "catb": (10, 5), "histgbm": (8, 5)}[kind]
-        one = GBTClassifier(maxIter=rounds * size, maxDepth=depth, seed=seed)
-        return OneVsRest(classifier=one, parallelism=4) if classes > 2 else one.setLabelCol("label")
+    """Of the kinds without boosting; size scales the number of trees or iterations."""
     if kind == "bagging":
-        return RandomForestClassifier(numTrees=30 * size, maxDepth=10, featureSubsetStrategy="all", bootstrap=True, seed=seed)
+        return RandomForestClassifier(numTrees=300 * size, maxDepth=DEEPEST, featureSubsetStrategy="all", bootstrap=True, seed=seed)
     if kind == "dnn":
-        return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 256, 128, classes], maxIter=30 * size, seed=seed)])
+        return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 256, 128, classes], maxIter=40 * size, seed=seed)])
     raise ValueError(f"unknown kind of model: {kind}")
 
 
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model as it was after n rounds."""
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    jvm, trees = gateway.jvm, java.trees()
+    kept, weights = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
+    for i, w in enumerate(model.treeWeights[:n]):
+        kept[i], weights[i] = trees[i], w
+    short = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, kept, weights, model.numFeatures, model.numClasses)
+    return model._copyValues(GBTClassificationModel(short))
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) with the least loss before patience rounds bring no gain, and whether it came to that."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(train: DataFrame, validation: DataFrame, how: Boosting, seed: int = 42, size: int = 1) -> GBTClassificationModel:
+    """Rounds until patience ends or all are done, then cut after the best one.
+
+    Spark's own rule ends at the first round without gain, and its learner can't go on with a model: it's fitted anew
+    with twice the rounds (the same trees first, as seeds are by round) until the losses show the end.
+    """
+    most, n = how.rounds * size, min(how.rounds * size, 2 * how.patience)
+    while True:
+        model = how.learner(n, seed).fit(train)
+        best, ended = best_round(model.evaluateEachIteration(validation), how.patience)
+        if ended or n == most:
+            return first_rounds(model, best)
+        n = most if 4 * n > 3 * most else min(2 * n, most)
+
+
+def one_against_rest(train: DataFrame, validation: DataFrame, classes: int, how: Boosting, seed: int = 42, size: int = 1) -> OneVsRestModel:
+    """A boosted model for each class, each with its own end."""
+
+    def fit(c: int) -> GBTClassificationModel:
+        own = [df.select("features", (F.col("label") == c).cast("double").alias("label")) for df in (train, validation)]
+        return boosted(*own, how, seed, size)
+
+    with ThreadPool(4) as pool:
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(classes))
+    return OneVsRest(classifier=how.learner(how.rounds * size, seed))._copyValues(OneVsRestModel(models=fitted))
+
+
 @dataclasses.dataclass
 class Classifier:
     """fit, predict, save, load over tables with features (a vector) and label (a number)."""
@@ -48,6 +117,16 @@ class Classifier:
     model: object = None
 
     def fit(self, df: DataFrame, seed: int = 42, size: int = 1) -> Classifier:
+        if self.kind in BOOSTED:
+            how = BOOSTED[self.kind]
+            staging.checkpoints(df.sparkSession)
+            rows = df.select("features", F.col("label").cast("double").alias("label"), F.xxhash64(vector_to_array("features"), "label").alias("_key"))
+            with staging.scope():
+                parts = staging.stage(split.stratified_validation(rows, "label", ["_key"], seed=seed), "boosting")
+                two = [parts.where(F.col("subset") == x).select("features", "label") for x in ("train", "validation")]
+                one = boosted(*two, how, seed, size) if self.classes == 2 else one_against_rest(*two, self.classes, how, seed, size)
+            self.model = PipelineModel([one])
+            return self
         inputs = len(df.select(vector_to_array("features").alias("f")).first().f)
         self.model = Pipeline(stages=[learner(self.kind, self.classes, inputs, seed, size)]).fit(df)
         return self

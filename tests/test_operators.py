@@ -259,6 +259,43 @@ def test_models_save_and_load(spark, tmp_path):
     assert voted.where("y_pred <> label").count() == 0
 
 
+def test_learners_are_as_large_as_the_reference(spark):
+    import inspect
+
+    assert {k: (b.rounds, b.depth, b.patience) for k, b in models.BOOSTED.items()} == {"xgb": (1200, 8, 20), "catb": (2000, 8, 50), "histgbm": (500, 30, 10)}
+    forest = models.learner("bagging", 3, 4)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 30)
+    post = inspect.signature(augment.fit_postfilter).parameters
+    assert (post["trees"].default, post["depth"].default) == (500, 6)
+
+
+def test_boosting_ends_by_patience(spark):
+    assert models.best_round([3.0, 2.0, 2.5, 1.0, 1.5, 1.5, 0.5], 2) == (4, True)
+    assert models.best_round([3.0, 2.0, 2.5, 1.0], 2) == (4, False)
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(float(x > 0.5) if rng.random() > 0.2 else float(x <= 0.5), float(x)) for x in rng.random(300)], "label double, x double")
+    data = models.assembled(rows, ["x"]).select("features", "label").coalesce(1).cache()
+    train, validation = data.where("abs(hash(features)) % 4 <> 0"), data.where("abs(hash(features)) % 4 = 0")
+    how = models.Boosting(8, 2, 3, 0.5)
+    losses = how.learner(8, 42).fit(train).evaluateEachIteration(validation)
+    made = models.boosted(train, validation, how)
+    assert made.getNumTrees == models.best_round(losses, 2)[0]
+    same = how.learner(made.getNumTrees, 42).fit(train)
+    p = [sorted(r.probability[1] for r in m.transform(validation).collect()) for m in (made, same)]
+    assert np.allclose(*p)
+
+
+def test_boosting_of_three_classes(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(models.BOOSTED, "xgb", models.Boosting(6, 2, 2, 0.3))
+    rows = spark.createDataFrame([(i, i % 3, float(i % 3) + i % 5 / 1000) for i in range(90)], "id int, label int, x double")
+    data = models.assembled(rows, ["x"])
+    models.Classifier("xgb", 3).fit(data).save(str(tmp_path))
+    again = models.Classifier.load(str(tmp_path), "xgb", 3)
+    assert len(again.model.stages[0].models) == 3 and all(1 <= m.getNumTrees <= 6 for m in again.model.stages[0].models)
+    out = again.predict(data).collect()
+    assert all(r.y_pred == r.label and len(r.p) == 3 and abs(sum(r.p) - 1) < 1e-9 for r in out)
+
+
 def test_files(spark, tmp_path):
     for name, head, line in (("b.csv", " x, y ,Label", "1, 2,A b/c"), ("a.csv", "x,y,Label", "3,4,B"), ("c.csv", "x,y,z,Label", "5,6,7,B")):
         (tmp_path / name).write_text(f"{head}\n{line}\n")
