@@ -128,14 +128,14 @@ def default_n_clusters(n_rows: int, budget: int, strategy: str, per_cluster: flo
     return budget if strategy == "core" else max(1, min(n_rows, int(budget // max(1.0, per_cluster))))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 42, sample: int = 200_000):
-    """(row_id, cluster, vec) and centers: fitted on a bounded number of rows by digest, applied to all."""
+def kmeans(rows: DataFrame, k: int, seed: int = 42):
+    """(row_id, cluster, vec) and centers: fitted on all rows, dealt by row_id, so that files' borders don't matter."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = rows.select("row_id", "vec", array_to_vector(scalars.doubles(F.col("vec"))).alias("_features"))
-    some = data.orderBy(ranking.digest("row_id", seed=seed), "row_id").limit(sample)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(some)
+    dealt = data.repartition(staging.partitions(rows.sparkSession), "row_id").sortWithinPartitions("row_id")
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(dealt)
     found = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centers = rows.sparkSession.createDataFrame(found, "cluster int, center array<double>")
     return model.transform(data).select("row_id", "cluster", "vec"), centers

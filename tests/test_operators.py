@@ -192,6 +192,15 @@ def test_nearest_center_ties_go_to_the_smaller(spark):
     assert {r.row_id: r.cluster for r in cluster.assign_nearest_center(rows, centers).collect()} == {1: 0, 2: 1}
 
 
+def test_kmeans_is_fitted_on_all_rows(spark):
+    ids = spark.range(201_000).select(F.col("id").alias("row_id"))
+    late = ids.orderBy(F.desc(ranking.digest("row_id", seed=42)), F.desc("row_id")).limit(1000).withColumn("late", F.lit(True))
+    rows = ids.join(late, "row_id", "left").select("row_id", F.array(F.when(F.col("late"), 1e6).otherwise(0.0) + F.col("row_id") % 7).alias("vec"))
+    placed, centers = cluster.kmeans(rows, 2)
+    assert np.allclose(sorted(r.center[0] for r in centers.collect()), [3, 1e6 + 3], atol=1)
+    assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [1000, 200_000]
+
+
 def test_votes(spark):
     df = spark.createDataFrame([(1, "xgb", [0.5, 0.5]), (1, "dnn", [0.5, 0.5]), (1, "catb", [1.0]), (2, "none", [0.1, 0.9]), (2, "nil", [0.3, 0.7])], "row_id int, model string, p array<double>")
     out = {r.row_id: (r.p, r.y_pred) for r in ensemble.weighted_vote(df, 2).collect()}
