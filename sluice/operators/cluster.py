@@ -141,10 +141,24 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42):
     return model.transform(data).select("row_id", "cluster", "vec"), centers
 
 
-def nearest_other(rows: DataFrame, others: DataFrame, k: int = 1) -> DataFrame:
-    """(row_id, dist): of each row, the distance to the k-th nearest of a bounded set of other vectors."""
-    table = others.limit(FEW + 1).agg(F.collect_list(scalars.doubles(F.col("vec"))).alias("others"))
-    if others.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} other vectors")
-    d = F.sort_array(F.transform("others", lambda o: F.round(scalars.squared_distance(F.col("v"), o), 9)))
-    return rows.select("row_id", scalars.doubles(F.col("vec")).alias("v")).crossJoin(F.broadcast(table)).select("row_id", F.round(F.sqrt(F.get(d, F.lit(k - 1))), 9).alias("dist"))
+def nearest_other(rows: DataFrame, others: DataFrame, k: int = 1, block: int = FEW) -> DataFrame:
+    """(row_id, dist): of each row, the distance to the k-th nearest of the other vectors, any number of them.
+
+    Others meet the rows in blocks; of each block a row keeps its k smallest distances, which are merged. One block is
+    broadcast; more are sent to each of the parts that rows are dealt to.
+    """
+    blocks = -(-others.count() // block)
+    points = rows.select("row_id", scalars.doubles(F.col("vec")).alias("v"))
+    near = F.slice(F.sort_array(F.transform("others", lambda o: F.round(scalars.squared_distance(F.col("v"), o), 9))), 1, k)
+    if blocks <= 1:
+        table = others.agg(F.collect_list(scalars.doubles(F.col("vec"))).alias("others"))
+        d = points.crossJoin(F.broadcast(table)).select("row_id", near.alias("d"))  # one row of at most a block of vectors
+    else:
+        parts = staging.partitions(rows.sparkSession)
+        place = F.pmod(F.xxhash64("row_id"), F.lit(blocks))
+        tables = others.groupBy(place.alias("block")).agg(F.collect_list(scalars.doubles(F.col("vec"))).alias("others"))
+        tables = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = points.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = dealt.join(tables.hint("merge"), ["part", "block"]).select("row_id", near.alias("d"))
+        d = met.groupBy("row_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+    return d.select("row_id", F.round(F.sqrt(F.get("d", F.lit(k - 1))), 9).alias("dist"))

@@ -201,6 +201,16 @@ def test_kmeans_is_fitted_on_all_rows(spark):
     assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [1000, 200_000]
 
 
+@pytest.mark.parametrize(("n", "k", "block"), [(20_001, 1, None), (20_001, 3, None), (40, 2, 7), (40, 1, 40)])
+def test_nearest_of_any_number_of_others(spark, n, k, block):
+    rng = np.random.default_rng(3)
+    own, other = rng.random((5, 2)), rng.random((n, 2))
+    rows, others = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>") for x in (own, other))
+    got = cluster.nearest_other(rows, others, k, **({"block": block} if block else {})).collect()
+    want = np.sort(np.linalg.norm(own[:, None] - other[None], axis=2), axis=1)[:, k - 1]
+    assert len(got) == 5 and np.allclose([r.dist for r in sorted(got)], want, atol=1e-8)
+
+
 def test_votes(spark):
     df = spark.createDataFrame([(1, "xgb", [0.5, 0.5]), (1, "dnn", [0.5, 0.5]), (1, "catb", [1.0]), (2, "none", [0.1, 0.9]), (2, "nil", [0.3, 0.7])], "row_id int, model string, p array<double>")
     out = {r.row_id: (r.p, r.y_pred) for r in ensemble.weighted_vote(df, 2).collect()}
