@@ -16,7 +16,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
-    Where the session has none: a temporary folder if everything runs in one JVM, else the warehouse.
+    Where the session has none: a temporary folder if everything runs in one JVM; on a cluster that is an error, as no
+    other folder is known to be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
             _own["local"] = path = tempfile.mkdtemp(prefix="sluice-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         return "file://" + _own["local"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,12 +54,25 @@ def scope(*keep: DataFrame):
                 _scopes[-1].append(df)
 
 
+def _clear(spark: SparkSession) -> None:
+    """What this process has staged and not dropped goes when it ends, if its session still runs."""
+    with contextlib.suppress(Exception):
+        for path in _left:
+            delete(spark, path)
+
+
+_left: set[str] = set()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: what follows doesn't depend on executors' disks."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if not _left:
+        atexit.register(_clear, spark)
+    _left.add(path)
     if _scopes:
         _scopes[-1].append(out)
     return out
@@ -77,17 +91,24 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df.staged_at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows for what is run from now on, unless the session says otherwise: rows hold whole texts."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows for what is run within, unless the session says otherwise: rows hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    before = spark.conf.get(key)
+    if before == "10000":
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _left.discard(path)
 
 
 def partitions(spark: SparkSession) -> int:
