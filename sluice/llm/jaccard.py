@@ -1,80 +1,52 @@
 """Similarity join of documents on word shingles: rare-first prefixes, length, position and suffix filters, one check a pair.
 
-1. Every document is read once for its set size, a digest of its words (equal ones are one class) and a table of how frequent shingles are, counted by hash in a fixed number of cells.
-2. In the order from rare to frequent, the first of a set's shingles (its prefix) are dealt out by shingle. Those that
-   only one class has go. Any two sets that are similar enough share one of the rest.
-3. Short lists of classes that share a shingle give all their pairs that pass the filters, each verified once.
-4. In long lists each class is verified against one leader. Long lists that overlap are a cluster; within it, those
-   classes that aren't linked with the cluster's largest component yet are compared with all others of like size, in
-   blocks that meet in one task and by one matrix product. Pairs aren't written out, and none that could join two
-   components is left out; pairs within a component need no comparison.
+1. Every document gets its set size and a digest of its words; of documents with equal digests (a class) only the
+   smallest id takes part in what follows.
+2. A set that links with another shares at least threshold * size shingles with it. Half of all shingles (by hash) go
+   to buckets, where those of one class only are found; a set with more of these than it may lack goes.
+3. What stays is exploded: shingles' exact frequencies are counted and joined back, and the first of a set's shingles
+   from rare to frequent (its prefix) are dealt out by shingle. Any two sets that are similar enough share one of these.
+4. Short lists of classes that share a shingle give all their pairs that pass the filters. In long lists each class is
+   paired with one leader. Pairs whose sets may still be similar, by how many shingles parts of the hash range hold in
+   both (the suffix filter), are verified, each once, on the whole texts.
+5. Long lists that overlap are a cluster; within it, those classes that aren't linked with the cluster's largest
+   component yet are compared with all others of like size, in blocks that meet in one task and by one matrix product.
+   Pairs aren't written out, and none that could join two components is left out; pairs within a component need no
+   comparison.
+
+Ids that are wanted again from the texts go into a bitmap of 16 bits for each id, up to a fixed size, which sifts the
+texts where they are read; beyond that size the texts are joined.
 
 Words are split at ASCII white space, A-Z in lower case. A document with fewer words than a shingle has one, its whole
 sequence; null and empty texts have none and link with nothing. Rows with a null doc_id get their set size and no
-component. Rows of the same doc_id count as linked. Other columns don't matter. Shingles and whole texts are told apart by 64-bit
-hashes: among n different texts n * n / 2**65 pairs are expected to be taken for equal.
+component. Rows of the same doc_id count as linked. An empty table gives an empty one; very long texts are cut into
+words in steps of bounded size. Other columns don't matter, whatever their names. Shingles and whole texts are told
+apart by 64-bit hashes: among n different texts n * n / 2**65 pairs are expected to be taken for equal.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import staging
 from sluice.functions.arrow import tidy
-from sluice.llm import components
-
-#: Cells of the frequency table and bits of the candidate table, both fixed whatever the input's size.
-CELLS, BITS, SLICES = 1 << 20, 1 << 23, 256
-#: Classes in a list up to which all its pairs are candidates; classes of a block of a cluster about.
-SHORT, TOGETHER = 32, 256
-_MIX = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, 65)]
-
-
-def _node(words: list[bytes]) -> int:
-    """A class of equal texts: 64 bits of a digest of the words."""
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
-
-
-class Shingler:
-    """Hashes of the words are kept from text to text."""
-
-    def __init__(self, width: int):
-        import xxhash
-
-        self.width, self.hash, self.known = width, xxhash.xxh3_64_intdigest, {}
-
-    def words(self, raw: bytes | None) -> list[bytes]:
-        return raw.lower().split() if raw else []
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Distinct hashes in ascending order."""
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 150_000:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.width, len(words))
-        s = np.full(len(words) - k + 1, k, np.uint64)
-        for i in range(k):
-            s += h[i : len(h) - k + 1 + i] * np.uint64(_MIX[i])
-        s ^= s >> np.uint64(31)
-        s *= np.uint64(0xBF58476D1CE4E5B9)
-        s ^= s >> np.uint64(29)
-        return np.unique(s)
+from sluice.llm import components, shingles
+
+#: Bits of a bitmap for each id, and bits that one has at most; beyond, rows are joined.
+BITS_OF_ID, MOST_BITS, SLICES = 16, 1 << 28, 256
+#: Shingles that a chunk of the first sieve holds about, and that one of its buckets does.
+CHUNK, BUCKET = 4_000_000, 8_000_000
+#: Classes in a list up to which all its pairs are candidates; classes of a block of a cluster about; frequency from which a shingle's list is dealt out by document too.
+SHORT, TOGETHER, COMMON = 32, 256, 10_000
+#: Parts of the hash range that the suffix filter counts shingles in; bytes of texts that are cut into words at a time.
+PARTS, AT_A_TIME = 64, 1 << 20
 
 
 def _at_least(x: float) -> int:
@@ -87,100 +59,257 @@ def needed(threshold: float, a: int, b: int) -> int:
     return _at_least(threshold * (a + b) / (1 + threshold))
 
 
-_SLICE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("part", pa.binary())])
+_PARTS = pa.schema([("slice", pa.int32()), ("part", pa.binary())])
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+# --- sifting texts by id ----------------------------------------------------------------------------------------
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles.mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(bits: int):
+    @tidy
+    def run(batches):
+        found = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(found, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        parts = [(i, _pack(x.tobytes())) for i, x in enumerate(np.split(found, SLICES)) if x.any()]
+        if parts:
+            yield pa.record_batch([pa.array(c) for c in zip(*parts, strict=True)], schema=_PARTS)
+
+    return run
 
 
-def _slices(values: np.ndarray, dtype: str) -> list[tuple[int, bytes]]:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return [(i, pack(x.astype(dtype).tobytes())) for i, x in enumerate(np.split(values, SLICES)) if x.any()]
+@tidy
+def _either(batches):
+    """Slices of bitmaps to one for each number."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = np.frombuffer(_unpack(part), np.uint8)
+            sums[i] = x if i not in sums else sums[i] | x
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_pack(x.tobytes()) for x in sums.values()], pa.binary())], schema=_PARTS)
 
 
-def _merged(df: DataFrame, dtype: str, how: str, total: int) -> np.ndarray:
-    """Adds up (or joins bitwise) the slices of a table of a fixed size; only the outcome comes to the driver."""
+def _sifted(found: np.ndarray, place: int, inside: bool):
+    """The rows whose id may be in a bitmap's set (null ids never are), or all others."""
+    bits = len(found) << 3
 
     @tidy
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), dtype)
-                sums[i] = x if i not in sums else sums[i] + x if how == "add" else sums[i] | x
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["slice", "part"])
-
-    n = min(SLICES, staging.partitions(df.sparkSession))
-    out = np.zeros((SLICES, total // SLICES), dtype)
-    for row in df.repartition(n, "slice").mapInArrow(run, "slice int, part binary").collect():
-        out[row.slice] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.part)), dtype)
+            known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
+            at = _places(batch.column(place).cast(pa.int64()).fill_null(0).to_numpy(), bits)
+            hit = known & ((found[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == inside))
+
+    return run
+
+
+def _table_of(ids: DataFrame, most_bits: int) -> np.ndarray | None:
+    """A bitmap of (a column of) ids of BITS_OF_ID bits for each; None if it were larger than most_bits."""
+    n = ids.count()
+    bits = max(1 << 16, 1 << (BITS_OF_ID * n - 1).bit_length())
+    if bits > most_bits:
+        return None
+    out = np.zeros((SLICES, (bits >> 3) // SLICES), np.uint8)
+    parts = ids.mapInArrow(_bitmap(bits), "slice int, part binary").repartition(min(SLICES, staging.partitions(ids.sparkSession)), "slice")
+    for row in parts.mapInArrow(_either, "slice int, part binary").toLocalIterator():
+        out[row.slice] = np.frombuffer(_unpack(bytes(row.part)), np.uint8)
     return out.reshape(-1)
 
 
+def _those(docs: DataFrame, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Rows of docs (doc_id, ...) with an id of ids (doc_id), and few others: ids may be too many to be broadcast, texts too large to be dealt out."""
+    found = _table_of(ids, most_bits)
+    if found is None:
+        return docs.join(ids.distinct(), "doc_id", "left_semi")
+    return docs.mapInArrow(_sifted(found, docs.columns.index("doc_id"), True), docs.schema)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most_bits: int = MOST_BITS) -> DataFrame:
+    """docs without the documents that found (what join() gives for docs) links with a smaller id."""
+    name = "_gone"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    bits = _table_of(gone, most_bits)
+    if bits is None:
+        return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    place = docs.columns.index(id_col)
+    stay = docs.mapInArrow(_sifted(bits, place, False), docs.schema)
+    rest = docs.mapInArrow(_sifted(bits, place, True), docs.schema)
+    return stay.unionByName(rest.join(gone, F.col(id_col) == F.col(name), "left_anti"))
+
+
+# --- sets -------------------------------------------------------------------------------------------------------
 def _survey(width: int):
-    """Documents to (doc_id, n, node), and at the end the frequency table's slices."""
+    """(doc_id, text) to (doc_id, n, node); no node without words."""
 
     @tidy
     def run(batches):
-        sets = Shingler(width)
-        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            ids, n, nodes, cells, held = batch.column(0), [], [], [], 0
-            for raw in batch.column(1):
-                words = sets.words(raw.as_py())
-                s = sets(words)
-                n.append(len(s))
-                nodes.append(_node(words) if words else None)
-                cells.append((s & np.uint64(CELLS - 1)).astype(np.int64))
-                held += len(s)
-                if held > 2_000_000:
-                    counts += np.bincount(np.concatenate(cells), minlength=CELLS)
-                    cells, held = [], 0
-            if cells:
-                counts += np.bincount(np.concatenate(cells), minlength=CELLS)
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SLICE)
-        if parts := _slices(counts, "<i8"):
-            k = len(parts)
-            yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_SLICE)
+            for at, texts in shingles.batches_of(batch.column(1), AT_A_TIME):
+                sets, nodes = shingles.sets(texts, width)
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                yield pa.record_batch([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(nodes.view(np.int64), mask=n == 0)], names=["doc_id", "n", "node"])
 
     return run
 
 
-def _prefixes(width: int, threshold: float, rarity: np.ndarray, hot: int):
-    """Documents to a row (tok, doc, at, common) for each shingle of the prefix; at: set size and position; of equal texts that one task meets the first stands for all."""
+def _classes(batches, width: int):
+    """(id, node, set) of each text with words and an id; of equal texts that one task meets the first stands for all."""
+    seen: set[int] = set()
+    for batch in batches:
+        for at, texts in shingles.batches_of(batch.column(1), AT_A_TIME):
+            sets, nodes = shingles.sets(texts, width)
+            for i, node, s in zip(batch.column(0).slice(at, len(sets)).to_pylist(), nodes.view(np.int64).tolist(), sets, strict=True):
+                if i is not None and len(s) and node not in seen:
+                    seen.add(node)
+                    yield i, node, s
+
+
+_ASKED = "chunk long, bucket int, marks binary, docs binary"
+_ASKED_TYPE = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("docs", pa.binary())])
+
+
+def _asked(width: int, threshold: float, buckets: int, chunk: int):
+    """Chunks of documents: a row with their ids and how many shingles each may lack (bucket -1), and one for each bucket.
+
+    A bucket's row has the low 32 bits of those of the chunk's shingles that are in the lower half of the hash range:
+    first those of several documents, then those of one document each in the order of the documents, whose numbers it has too.
+    """
 
     @tidy
     def run(batches):
-        sets, seen = Shingler(width), set()
-        for batch in batches:
-            toks, docs, ats, rare, held = [], [], [], [], 0
-            ids = batch.column(0).to_pylist()
+        made = TaskContext.get().partitionId() << 32
+        ids, spare, sets, held = [], [], [], 0
+
+        def flush():
+            flat = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            order = np.argsort(flat, kind="stable")
+            flat, doc = flat[order], doc[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = flat[1:] != flat[:-1]
+            first = np.flatnonzero(new)
+            several = np.diff(np.append(first, len(flat))) > 1
+            mark, doc = flat[first], np.where(several, -1, doc[first])
+            bucket = ((mark >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
+            order = np.lexsort((doc, bucket))
+            low, doc, bucket = mark[order].astype("<u4"), doc[order], bucket[order]
+            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+            full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+            at = [slice(bounds[b], bounds[b + 1]) for b in full]
+            rows = [[made] * (len(full) + 1), [-1, *full], [np.array(ids, "<i8").tobytes(), *(low[a].tobytes() for a in at)], [np.array(spare, "<i8").tobytes(), *(_pack(np.diff(doc[a], prepend=0).astype("<i4").tobytes()) for a in at)]]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _ASKED_TYPE, strict=True)], schema=_ASKED_TYPE)
+
+        for i, _, s in _classes(batches, width):
+            ids.append(i)
+            spare.append(len(s) - _at_least(threshold * len(s)))
+            sets.append(s[: np.searchsorted(s, np.uint64(1 << 63))])
+            held += len(sets[-1])
+            if held > chunk // 2:
+                yield flush()
+                made += 1
+                ids, spare, sets, held = [], [], [], 0
+        if ids:
+            yield flush()
 
-            def out():
-                tok = np.concatenate(toks)
-                return pa.record_batch([pa.array(tok.view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(rare) >= hot)], names=["tok", "doc", "at", "common"])
+    return run
 
-            for i, raw in zip(ids, batch.column(1), strict=True):
-                words = sets.words(raw.as_py())
-                if i is None or not words:
-                    continue
-                node = _node(words)
-                if node in seen:
-                    continue
-                seen.add(node)
-                s = sets(words)
-                n = len(s)
-                k = n - _at_least(threshold * n) + 1
-                r = rarity[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                first = np.argsort(r, kind="stable")[:k]  # s ascends, so that ties go by hash
-                toks.append(s[first])
-                docs.append(np.full(k, node, np.int64))
-                ats.append((np.int64(n) << 32) | np.arange(k, dtype=np.int64))
-                rare.append(r[first])
-                held += k
-                if held > 200_000:
-                    yield out()
-                    toks, docs, ats, rare, held = [], [], [], [], 0
-            if toks:
+
+@tidy
+def _lonely(batches):
+    """Rows in the order of buckets to rows that count, for each document of a chunk, its shingles that nothing else in the bucket has."""
+
+    def finish(rows):
+        marks = [np.frombuffer(m, "<u4") for _, _, m, _ in rows]
+        docs = [np.cumsum(np.frombuffer(_unpack(d), "<i4")) for _, _, _, d in rows]
+        flat, alone = np.concatenate(marks), np.concatenate(docs) >= 0
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        same = flat[1:] == flat[:-1]
+        met = np.zeros(len(flat), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        alone[order[met]] = False
+        at = 0
+        for (chunk, bucket, _, _), doc in zip(rows, docs, strict=True):
+            mine = doc[alone[at : at + len(doc)]]
+            at += len(doc)
+            if len(mine):
+                yield chunk, bucket, _pack(np.bincount(mine).astype("<u2" if len(mine) < 65536 else "<u4").tobytes()), b"" if len(mine) < 65536 else b"4"
+
+    def out(rows):
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ASKED_TYPE, strict=True)], schema=_ASKED_TYPE)
+
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[1] < 0:
+                yield out([row])
+                continue
+            if row[1] != now:
+                if rows and (counted := list(finish(rows))):
+                    yield out(counted)
+                now, rows = row[1], []
+            rows.append(row)
+    if rows and (counted := list(finish(rows))):
+        yield out(counted)
+
+
+@tidy
+def _left(batches):
+    """Rows in the order of chunk, bucket to the ids of documents that don't lack too much."""
+    now, ids, spare = None, None, None
+
+    def finish():
+        return pa.record_batch([pa.array(ids[spare >= 0])], names=["doc_id"])
+
+    for batch in batches:
+        for chunk, _, marks, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk != now:
+                if ids is not None:
+                    yield finish()
+                now, ids, spare = chunk, np.frombuffer(marks, "<i8"), np.frombuffer(docs, "<i8").copy()
+            else:
+                count = np.frombuffer(_unpack(marks), "<u4" if docs else "<u2")
+                spare[: len(count)] -= count
+    if ids is not None:
+        yield finish()
+
+
+def _exploded(width: int):
+    """Texts to a row (tok, doc, n) for each shingle."""
+
+    @tidy
+    def run(batches):
+        toks, docs, sizes, held = [], [], [], 0
+
+        def out():
+            return pa.record_batch([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), sizes)), pa.array(np.repeat(np.array(sizes, np.int32), sizes))], names=["tok", "doc", "n"])
+
+        for _, node, s in _classes(batches, width):
+            toks.append(s)
+            docs.append(node)
+            sizes.append(len(s))
+            held += len(s)
+            if held > 200_000:
                 yield out()
+                toks, docs, sizes, held = [], [], [], 0
+        if toks:
+            yield out()
 
     return run
 
@@ -245,89 +374,52 @@ def _shared(threshold: float):
     return run
 
 
-@tidy
-def _bitmap(batches):
-    bits = np.zeros(BITS, bool)
-    for batch in batches:
-        bits[batch.column(0).to_numpy() % BITS] = True
-    parts = _slices(np.packbits(bits), "u1")
-    if parts:
-        yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "part"])
-
-
-def _sifted(bits: np.ndarray, place: int, inside: bool):
-    """The rows whose id may be in a bitmap's set (null ids never are), or all others."""
+def _texts(width: int):
+    """Texts to (doc, n, parts, words): how many of its shingles each part of the hash range has, and the words."""
 
     @tidy
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
-            at = batch.column(place).fill_null(0).to_numpy() % BITS
-            hit = known & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == inside))
+            for at, texts in shingles.batches_of(batch.column(1), AT_A_TIME):
+                sets, nodes = shingles.sets(texts, width)
+                parts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes() for s in sets]
+                words = [pack(b" ".join((t.as_py() or b"").translate(shingles.FOLD).split())) for t in texts]
+                yield pa.record_batch([pa.array(nodes.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(parts, pa.binary()), pa.array(words, pa.binary())], names=["doc", "n", "parts", "words"])
 
     return run
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that found (what join() gives for docs) links with a smaller id.
-
-    Ids that go may be too many to be broadcast, and texts too large to be dealt out: a bitmap of a fixed size tells the
-    rows that may go, and only these are joined.
-    """
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    bits = _merged(gone.mapInArrow(_bitmap, "slice int, part binary"), "u1", "or", BITS // 8)
-    place = docs.columns.index(id_col)
-    stay = docs.mapInArrow(_sifted(bits, place, False), docs.schema)
-    rest = docs.mapInArrow(_sifted(bits, place, True), docs.schema)
-    return stay.unionByName(rest.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))
-
-
-def _texts(bits: np.ndarray):
-    """The words of those documents whose id may be a candidate's."""
+def _may_be(threshold: float):
+    """Rows (a, b, a_parts, b_parts) to the pairs (a, b) whose sets may be similar by the numbers of shingles in each part of the hash range."""
 
     @tidy
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            at = batch.column(0).to_numpy() % BITS
-            found = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            for k in range(0, len(found), 500):
-                some = found[k : k + 500]
-                words = [(batch.column(1)[int(i)].as_py() or b"").lower().split() for i in some]
-                yield pa.record_batch([pa.array([_node(w) for w in words], pa.int64()), pa.array([pack(b" ".join(w)) for w in words], pa.binary())], names=["doc", "words"])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for i in (2, 3))
+                least = np.ceil((x.sum(1) + y.sum(1)) * (threshold / (1 + threshold)) - 1e-6)
+                hit = np.minimum(x, y).sum(1) >= least
+                yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
     return run
 
 
+def _sets_of(packed: list[bytes], width: int) -> list[np.ndarray]:
+    return shingles.sets(pa.array([_unpack(w) for w in packed], pa.large_binary()), width)[0]
+
+
 def _verified(width: int, threshold: float):
     """Rows (a, b, text of a, text of b) to the pairs (a, b) that are similar enough."""
 
     @tidy
     def run(batches):
-        sets, unpack = Shingler(width), zstandard.ZstdDecompressor().decompress
-        edges = np.linspace(0, float(1 << 64), 257)[1:-1].astype(np.uint64)
-        held: dict[bytes, tuple] = {}
-
-        def of(packed: bytes):
-            if packed not in held:
-                if len(held) > 64:
-                    held.clear()
-                s = sets(unpack(packed).split())
-                held[packed] = s, np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]))
-            return held[packed]
-
-        for batch in batches:
-            found = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                (s, cs), (t, ct) = of(x.as_py()), of(y.as_py())
-                least = needed(threshold, len(s), len(t))
-                if min(len(s), len(t)) < least or np.minimum(cs, ct).sum() < least:  # by lengths; by what parts of the sets can share at most
-                    continue
-                if len(np.intersect1d(s, t, assume_unique=True)) >= least:
-                    found.append((a, b))
-            if found:
-                yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            both = list({*x, *y})
+            of = dict(zip(both, _sets_of(both, width), strict=True))
+            hit = [len(np.intersect1d(of[p], of[q], assume_unique=True)) >= needed(threshold, len(of[p]), len(of[q])) for p, q in zip(x, y, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
     return run
 
@@ -342,10 +434,10 @@ def _possible(threshold: float):
 def _compared(width: int, threshold: float):
     """Rows (task, side, doc, words) in this order: all pairs between the sides, as edges that span what is linked."""
 
-    def finish(sides, sets):
-        (p, x), (h, y) = (([d for d, _ in s], [sets(zstandard.ZstdDecompressor().decompress(w).split()) for _, w in s]) for s in sides)
-        if not p or not h:
+    def finish(sides):
+        if not sides[0] or not sides[1]:
             return
+        (p, x), (h, y) = (([d for d, _ in s], _sets_of([w for _, w in s], width)) for s in sides)
         common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
         met = np.zeros((len(x), len(y)), np.float32)
         for at in range(0, len(common), 16384):
@@ -365,53 +457,78 @@ def _compared(width: int, threshold: float):
 
     @tidy
     def run(batches):
-        now, sides, sets = None, ([], []), Shingler(width)
+        now, sides = None, ([], [])
         for batch in batches:
             for task, side, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if task != now:
-                    yield from finish(sides, sets)
+                    yield from finish(sides)
                     now, sides = task, ([], [])
                 sides[side].append((doc, words))
-        yield from finish(sides, sets)
+        yield from finish(sides)
 
     return run
 
 
 def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs: the smallest doc_id that links reach. A staged table."""
-    with staging.scope() as kept:
+    with staging.small_batches(docs.sparkSession), staging.scope() as kept:
         out = staging.stage(_joined(docs, threshold, width, id_col, text_col), "near")
         kept.append(out)
     return out
 
 
+def _near_others(raw: DataFrame, reps: DataFrame, info: DataFrame, width: int, threshold: float, n_parts: int) -> DataFrame:
+    """Ids of documents that may link with another one, by how many shingles they have that no other class has."""
+    total = info.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, min(n_parts, total // 20_000), total // (2 * BUCKET))
+    asked = _those(raw, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_asked(width, threshold, buckets, CHUNK), _ASKED)
+    route = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket"))
+    counted = asked.repartition(n_parts, route).sortWithinPartitions("bucket").mapInArrow(_lonely, _ASKED)
+    left = counted.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_left, "doc_id long")
+    return staging.stage(left.distinct(), "left")
+
+
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(tok, doc, n) of whole sets to (tok, doc, at, common): the shingles of prefixes that several sets have; at: set size and place.
+
+    The order is by frequency, then by hash. Shingles of one set alone come first, and aren't written.
+    """
+    often = rows.groupBy("tok").agg(F.count("*").alias("often")).where("often > 1")
+    w = Window.partitionBy("doc")
+    placed = rows.join(often, "tok").withColumn("rank", F.dense_rank().over(w.orderBy("often", "tok"))).withColumn("met", F.max("rank").over(w))
+    least = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))
+    at = F.col("n") - F.col("met") + F.col("rank") - 1
+    return placed.where((F.col("met") >= least) & (at <= F.col("n") - least)).select("tok", "doc", (F.shiftleft(F.col("n").cast("long"), 32) + at).alias("at"), (F.col("often") > COMMON).alias("common"))
+
+
 def _joined(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n_parts = staging.partitions(spark)
-    staging.small_batches(spark)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    survey = staging.stage(raw.mapInArrow(_survey(width), "doc_id long, n long, node long, slice int, part binary"), "shingles")
-    counts = _merged(survey.where("slice is not null").select("slice", "part"), "<i8", "add", CELLS)
-    rarity = np.minimum(255, np.round(6 * np.log2(1 + counts))).astype(np.uint8)
-    hot = int(min(255, np.ceil(6 * np.log2(1 + 8 * counts.mean() + 10_000))))
-    info = survey.where("slice is null").select("doc_id", "n", "node")
+    info = staging.stage(raw.mapInArrow(_survey(width), "doc_id long, n long, node long"), "shingles")
     # written before the join, whose side with a hot class can then be split
-    reps = staging.stage(info.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-
-    rows = raw.mapInArrow(_prefixes(width, threshold, rarity, hot), "tok long, doc long, at long, common boolean")
-    dealt = rows.repartition(n_parts, F.when(F.col("common"), F.xxhash64("tok", "doc")).otherwise(F.col("tok"))).sortWithinPartitions("tok", "doc")
+    reps = staging.stage(info.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    left = _near_others(raw, reps, info, width, threshold, n_parts)
+    here = _those(raw, left).join(left, "doc_id", "left_semi").select("doc_id", "text")
+    rows = staging.stage(here.mapInArrow(_exploded(width), "tok long, doc long, n int"), "sets")
+    prefixes = _prefixes(rows, threshold)
+    dealt = prefixes.repartition(n_parts, F.when(F.col("common"), F.xxhash64("tok", "doc")).otherwise(F.col("tok"))).sortWithinPartitions("tok", "doc")
     lists = staging.stage(dealt.mapInArrow(_shared(threshold), "a long, b long, tok long, doc long, at long"), "lists")
     long = lists.where("tok is not null").select("tok", "doc", "at")
-    leads = long.groupBy("tok").agg(F.min(F.struct("doc", "at")).alias("lead"))
-    stars = staging.stage(long.join(leads, "tok").where("doc <> lead.doc").select(F.col("lead.doc").alias("x"), F.col("lead.at").alias("x_at"), F.col("doc").alias("y"), F.col("at").alias("y_at")), "stars")
+    leads = staging.stage(long.groupBy("tok").agg(F.min(F.struct("doc", "at")).alias("lead")), "leads")
+    led = _with_leads(long, leads).where("doc <> lead.doc")
+    stars = staging.stage(led.select(F.col("lead.doc").alias("x"), F.col("lead.at").alias("x_at"), F.col("doc").alias("y"), F.col("at").alias("y_at")), "stars")
     met = lists.where("a is not null").select("a", "b").unionByName(stars.where(_possible(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     pairs = staging.stage(met.distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(stars.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
 
-    bits = _merged(reps.join(nodes, "node", "left_semi").select("rep").mapInArrow(_bitmap, "slice int, part binary"), "u1", "or", BITS // 8)
-    texts = staging.stage(raw.where("doc_id is not null").mapInArrow(_texts(bits), "doc long, words binary"), "texts")
+    wanted = staging.stage(reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
+    texts = staging.stage(_those(raw, wanted).mapInArrow(_texts(width), "doc long, n long, parts binary, words binary"), "texts")
+    a_parts, b_parts = (texts.select(F.col("doc").alias(k), F.col("parts").alias(f"{k}_parts")).dropDuplicates([k]) for k in ("a", "b"))
+    near = pairs.join(a_parts, "a").join(b_parts, "b").select("a", "b", "a_parts", "b_parts").mapInArrow(_may_be(threshold), "a long, b long")
+    near = staging.stage(near, "near-pairs")
     x, y = (texts.select(F.col("doc").alias(k), F.col("words").alias(f"{k}_words")) for k in ("a", "b"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_words", "b_words")
+    both = near.join(y, "b").join(x, "a").select("a", "b", "a_words", "b_words")
     links = staging.stage(both.mapInArrow(_verified(width, threshold), "a long, b long"), "links")
     found = components.connected(links)
     if not stars.isEmpty():
@@ -427,12 +544,19 @@ def _joined(docs: DataFrame, threshold: float, width: int, id_col: str, text_col
     known = of.where("rep is not null and doc_id is not null")
     same = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
     found = components.connected(known.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
-    info = of
-    out = info.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    out = of.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), at.alias("component_id"))
 
 
+def _with_leads(long: DataFrame, leads: DataFrame, few: int = 200_000, salts: int = 64) -> DataFrame:
+    """long with each tok's lead. Few toks are broadcast; else a tok's rows are dealt out by document too, so that a hot one isn't one task's."""
+    if leads.count() <= few:
+        return long.join(F.broadcast(leads), "tok")
+    salted = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return long.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).join(salted, ["tok", "salt"]).drop("salt")
+
+
 def _across(spark, lists: DataFrame, long: DataFrame, texts: DataFrame, found: DataFrame, width: int, threshold: float) -> DataFrame:
     """Edges within clusters of long lists, between classes outside a cluster's largest component and all others."""
     n_parts = staging.partitions(spark)
