@@ -68,15 +68,21 @@ def forward_backward(u: np.ndarray, counts: np.ndarray, moves: np.ndarray, start
     return result, pairs, logz
 
 
-def train(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, n_features: int, steps: int = 80, rate: float = 0.2, penalty: float = 2.0) -> Chain:
-    """Penalised maximum likelihood by full gradients with per-weight step sizes.
+def train(features: np.ndarray | tuple[np.ndarray, np.ndarray], labels: np.ndarray, counts: np.ndarray, n_features: int, steps: int = 80, rate: float = 0.2, penalty: float | np.ndarray = 2.0) -> Chain:
+    """Penalised maximum likelihood by full gradients with per-weight step sizes; the penalty may be one for each feature.
 
-    features (positions x active ones) and labels of all sequences, one after another.
+    features (positions x active ones, or the positions and features of just the active ones) and labels of all sequences, one after another.
     """
     w, size = np.zeros(n_features + 5), max(1, len(labels))  # features, bias, moves
+    weigh = np.full(n_features + 5, 2.0)
+    weigh[:n_features] = penalty
+    weigh[n_features] = 0.0
     first, second = np.zeros_like(w), np.zeros_like(w)
-    at, column = np.nonzero(features)
-    active = features[at, column]
+    if isinstance(features, tuple):
+        at, active = features
+    else:
+        at, column = np.nonzero(features)
+        active = features[at, column]
     y = labels.astype(float)
     seen = np.zeros((2, 2))
     inner = np.ones(max(0, len(labels) - 1), bool)
@@ -90,8 +96,7 @@ def train(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, n_featur
         miss = p[mask] - y
         g[:n_features] = np.bincount(active, miss[at], minlength=n_features)
         g[n_features], g[n_features + 1 :] = miss.sum(), (pairs - seen).ravel()
-        g = (g + penalty * w) / size
-        g[n_features] -= penalty * w[n_features] / size
+        g = (g + weigh * w) / size
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w[0] = 0

@@ -11,15 +11,21 @@ def fold(of: str, n: int):
     return F.pmod(F.crc32(F.col(of).cast("string").cast("binary")), F.lit(n))
 
 
+#: Characters of a text that is taken at most: longer ones are left out of training, so that what comes to the driver is bounded.
+LONGEST = 50_000
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, where, positives: int, negatives: int) -> list[tuple[str, int]]:
     """(text, label) of at most so many labelled rows for which where holds, those of the smallest hashes of their ids.
 
-    The bound keeps what comes to the driver and what is broadcast independent of the corpus. Null labels don't count.
+    The bounds on rows and on their length keep what comes to the driver and what is broadcast independent of the corpus.
+    Null labels don't count; of documents with the same id and label, the first by text stands for all.
     """
     picked = None
     for value, most in ((1, positives), (0, negatives)):
         some = labels.where(F.col(label) == value).where(where).where("doc_id is not null").select("doc_id", F.col(label).alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     found = sorted((r.doc_id, r.text, r.y) for r in rows.toLocalIterator())
     return [(t, y) for _, t, y in found]
