@@ -3,17 +3,23 @@
 A document's domain isn't known, but a table labels some documents. A classifier over binned measures (words that tell
 labels apart, distinct words, symbols, length) learns the domains from a bounded sample of these and gives every
 document posteriors. Nonnegative rates are then fitted so that the expected token totals of the domains match the
-targets: least squares by projected gradients, where each step needs one sum for each domain over all documents.
+targets: least squares by projected gradients. The gradient of a document's rate is its posteriors times the domains'
+misses, so that the steps so far add up to one number for each domain (the shift), and rates are the projection of
+1 + posteriors * shift on what is allowed. A step is scaled by the inverse of the posteriors' second moments over the
+documents at no bound, takes one pass of sums over all documents, and is halved where the misses grow. Steps end when
+all domains miss their targets by less than the tolerance, or where no step helps: the largest miss is returned with the rates.
 
 Domains are the combinations of the label columns. Null text counts as empty, has one token less than any other and
 gets the posteriors of empty text. Labels that are null don't count. Rows with equal or null ids are weighed each by
-itself. Without labelled rows there is one domain, and rates are what its target asks for. Extra columns don't matter.
+itself. Without labelled rows there is one domain, and rates are what its target asks for. An empty table gives an
+empty one; very long texts are measured whole. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import functools
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,8 +27,8 @@ from pyspark.sql import functions as F
 
 from sluice import staging
 
-#: Labelled rows that the classifier learns from at most; telling words for each label; steps of the fit at most.
-SAMPLE, TELLING, STEPS = 12_000, 64, 40
+#: Labelled rows that the classifier learns from at most; telling words for each label; passes of the fit at most, which end with a warning.
+SAMPLE, TELLING, STEPS = 12_000, 64, 60
 _CUTS = {"distinct": (0.3, 0.45, 0.6, 0.7, 0.8, 0.9, 0.97), "symbols": (0.0, 0.002, 0.01, 0.02, 0.04, 0.1), "length": (1.0, 3.0, 5.0, 6.0, 7.0, 8.0, 9.0, 11.0)}
 _HITS = 4
 
@@ -64,6 +70,11 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Counts over at most so many labelled rows, those of the smallest hashes of their ids (so that it can be broadcast)."""
+    with staging.scope():
+        return _trained(docs, labels, label_cols, sample, id_col, text_col)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...], sample: int, id_col: str, text_col: str) -> Classifier:
     known = labels.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (id_col, *label_cols)]))
     few = known.select(F.col(id_col).alias("key"), *(F.col(c).cast("string").alias(f"l_{c}") for c in label_cols)).distinct().orderBy(F.xxhash64("key"), "key", *(f"l_{c}" for c in label_cols)).limit(sample)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(few), "key")
@@ -95,66 +106,90 @@ def train(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qu
     return out
 
 
-def _rates(steps: list[list[float]], pull: float, low: Column, high: float, n: int) -> Column:
-    """The rate after these steps, from a rate of 1: each step is the shift that a domain's posterior is weighed with."""
-    start = F.greatest(low, F.lit(1.0))
-    if not steps:
-        return start
-    p = [F.col(f"p{d}") for d in range(n)]
-
-    def step(r, c):
-        down = functools.reduce(lambda a, b: a + b, [F.get(c, F.lit(d)) * p[d] for d in range(n)])
-        return F.greatest(low, F.least(F.lit(float(high)), r - down - F.lit(pull) * (r - 1)))
-
-    return F.aggregate(F.lit(steps), start, step)
+def _rate(shift: list[float], low: Column, high: float | None) -> Column:
+    """1 and the posteriors times the shift, within the bounds."""
+    r = functools.reduce(lambda a, b: a + b, [F.lit(1.0), *(F.lit(float(x)) * F.col(f"p{d}") for d, x in enumerate(shift))])
+    return F.greatest(low, r if high is None else F.least(F.lit(float(high)), r))
+
+
+def _solved(slim: DataFrame, goal: np.ndarray, low: Column, high: float | None, total: float, tolerance: float) -> tuple[np.ndarray, float]:
+    """The shift for which the domains' expected totals (in parts of total) are goal, and the largest miss in parts of its domain's goal."""
+    n = len(goal)
+    of_low, of_high = (F.col("rate") > low), (F.lit(True) if high is None else F.col("rate") < F.lit(float(high)))
+    free = (of_low & of_high).cast("double")
+    sums = [F.sum(F.col("tokens") * F.col(f"p{d}") * F.col("rate")).alias(f"s{d}") for d in range(n)]
+    moments = [F.sum(F.col("tokens") * F.col(f"p{d}") * F.col(f"p{e}") * free).alias(f"g{d}_{e}") for d in range(n) for e in range(d, n)]
+
+    def at(shift):
+        row = slim.withColumn("rate", _rate(shift.tolist(), low, high)).agg(*sums, *moments).first()
+        miss = np.array([row[f"s{d}"] for d in range(n)]) / total - goal
+        return miss, np.array([[row[f"g{min(d, e)}_{max(d, e)}"] for e in range(n)] for d in range(n)]) / total
+
+    scale = np.maximum(goal, 1e-9)
+    shift, step = np.zeros(n), 1.0
+    miss, m = at(shift)
+    for _ in range(STEPS):
+        worst = float(np.abs(miss / scale).max())
+        if worst < tolerance:
+            break
+        ridge = 1e-9 * max(float(np.trace(m)), 1e-12)
+        down = np.linalg.solve(m + ridge * np.eye(n), miss)
+        new_miss, new_m = at(shift - step * down)
+        if np.sum((new_miss / scale) ** 2) < np.sum((miss / scale) ** 2):
+            shift, miss, m, step = shift - step * down, new_miss, new_m, min(1.0, 2 * step)
+        else:
+            step /= 2
+            if step < 1e-3:
+                break
+    return shift, float(np.abs(miss / scale).max())
 
 
-def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anchor: str | None = None, high: float = 8.0, keep: str | None = None, keep_from: float = 0.5, regular: float = 1e-3, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies) of every row, and the columns to carry under the names kept_....
+def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anchor: str | None = None, high: float | None = None, keep: str | None = None, keep_from: float = 0.5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, tokens, p_<domain>..., rate, copies, miss) of every row, and the columns to carry under the names kept_....
 
     weights: the domains' shares of the target, 0 if missing. The target's total is the present one or, with anchor,
-    that of which the anchor's share is its present total. Rates lie between 0 and high; with keep, documents whose
-    posterior of that domain is keep_from or more have a rate of 1 at least. copies is the rate rounded up or down by a digest of the id,
-    so that its expectation is the rate.
+    that of which the anchor's share is its present total. Rates are 0 at least, and high at most if it is given; with keep, documents
+    whose posterior of that domain is keep_from or more have a rate of 1 at least. copies is the rate rounded up or down by a digest
+    of the id, so that its expectation is the rate. miss, the same in all rows, is the largest miss of a domain's target in parts of
+    it: 0 but for the tolerance, unless bounds or a domain without tokens make the targets impossible; then there is a warning too.
+    Without columns to carry, the result is a staged table.
     """
+    with staging.scope() as kept:
+        out = _fitted(docs, classifier, weights, anchor, high, keep, keep_from, tolerance, id_col, text_col, carry)
+        if not carry:
+            out = staging.stage(out, "mixed")
+            kept.append(out)
+    return out
+
+
+def _fitted(docs: DataFrame, classifier: Classifier, weights: dict[str, float], anchor, high, keep, keep_from, tolerance, id_col, text_col, carry) -> DataFrame:
     n, names = len(classifier.domains), classifier.domains
     scored = classifier.measures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in carry)), "text")
     whole = scored.select("doc_id", "tokens", *(p.alias(f"p{d}") for d, p in enumerate(classifier.posteriors())), *(f"kept_{c}" for c in carry))
     rows = staging.stage(whole.select("doc_id", "tokens", *(f"p{d}" for d in range(n))), "mixing")
     slim = rows.select("tokens", *(f"p{d}" for d in range(n)))
-    gram = slim.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col(f"p{d}")).alias(f"m{d}") for d in range(n)), *(F.sum(F.col("tokens") * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"g{d}_{e}") for d in range(n) for e in range(d, n))).first()
-    total = gram.t or 0.0
+    sums = slim.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col(f"p{d}")).alias(f"m{d}") for d in range(n))).first()
+    total = sums.t or 0.0
     kept = names.index(keep) if keep in names else None
     low = F.lit(0.0) if kept is None or n == 1 else F.when(F.col(f"p{kept}") >= keep_from, F.lit(1.0)).otherwise(F.lit(0.0))
-    steps: list[list[float]] = []
-    pull = 0.0
+    shift, worst = np.zeros(n), 0.0
     if total:
-        mass = np.maximum(np.array([gram[f"m{d}"] for d in range(n)]) / total, 1e-9)
+        mass = np.array([sums[f"m{d}"] for d in range(n)]) / total
         share = np.array([weights.get(d, 0.0) for d in names])
         share = share / share.sum() if share.sum() else mass
         size = mass[names.index(anchor)] / max(share[names.index(anchor)], 1e-9) if anchor in names else 1.0
-        goal = share * size
-        m = np.array([[gram[f"g{min(d, e)}_{max(d, e)}"] for e in range(n)] for d in range(n)]) / total
-        # domains are scaled by what they weigh, so that small ones are fitted as fast as large ones
-        steep = float(np.linalg.eigvalsh(m / np.sqrt(mass[:, None] * mass[None, :])).max()) + regular
-        pull = regular / steep
-        for _ in range(STEPS):
-            rate = _rates(steps, pull, low, high, n)
-            sums = slim.select("*", rate.alias("rate")).agg(*(F.sum(F.col("tokens") * F.col(f"p{d}") * F.col("rate")).alias(f"s{d}") for d in range(n))).first()
-            miss = np.array([sums[f"s{d}"] for d in range(n)]) / total - goal
-            shift = miss / mass / steep
-            if steps and np.abs(shift - np.array(steps[-1])).max() < tolerance:
-                break
-            steps.append([float(x) for x in shift])
+        shift, worst = _solved(slim, share * size, low, high, total, tolerance)
+        if worst > 0.01:
+            warnings.warn(f"mixing: a domain misses its target by {worst:.1%} of it", stacklevel=2)
     if carry:
         # what is carried may be large and isn't written in between: it is read, and measured, once more; the list of one
-        # keeps the measures from being computed anew for each step of the rates
+        # keeps the measures from being computed twice
         measures = ["doc_id", "tokens", *(f"p{d}" for d in range(n))]
         rows = whole.select(*(f"kept_{c}" for c in carry), F.explode(F.array(F.struct(*measures))).alias("m")).select("m.*", *(f"kept_{c}" for c in carry))
-    rated = rows.withColumn("rate", _rates(steps, pull, low, high, n))
+    rated = rows.withColumn("rate", _rate(shift.tolist(), low, high))
     even = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 12) / F.lit(float(1 << 52))
     copies = F.floor(F.round("rate", 9) + even).cast("int")
-    return rated.select("doc_id", "tokens", *(F.col(f"p{d}").alias(f"p_{k}") for d, k in enumerate(names)), "rate", copies.alias("copies"), *(f"kept_{c}" for c in carry))
+    return rated.select("doc_id", "tokens", *(F.col(f"p{d}").alias(f"p_{k}") for d, k in enumerate(names)), "rate", copies.alias("copies"), F.lit(worst).alias("miss"), *(f"kept_{c}" for c in carry))
 
 
 #: What the query mixes to: a bit of every domain, mostly good and clean text.
