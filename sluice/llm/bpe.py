@@ -1,18 +1,23 @@
-"""Byte-level BPE: every distinct word of the corpus is encoded once, in the one place its hash leads to.
+"""Byte-level BPE: every distinct word of the corpus is encoded once, in the one place its hash leads to, and its ids are joined back.
 
 1. Documents are cut into words. Those of a bounded run of documents (a chunk) become a sequence of numbers, the
    positions, and a list of distinct words, which is dealt into buckets by the words' hash.
-2. The word lists meet by bucket: a distinct word is encoded once, and its ids go back to each chunk that asked.
-3. The sequences and the ids meet by chunk, and each document's ids are put together by position.
-
-A hot word costs one entry a chunk, however often it occurs; a very long document is a chunk of its own.
-Null text is encoded as empty text. Rows with repeated or null ids are kept, each by itself. Other columns don't matter.
+2. The word lists meet by bucket: a distinct word is encoded when it first comes, and its ids go back to each chunk that asked.
+3. The positions and the ids meet by chunk, and each document's ids are put together by position.
+4. Decoding joins each id with the token-byte table, whose row i is token i: a lookup in every worker, as the table has
+   the vocabulary's size.
+
+A hot word costs one entry a chunk, however often it occurs; a very long document is a chunk of its own. A worker holds
+one chunk or one list at a time, and KNOWN words of a bucket, whatever the corpus; in a bucket of more, the oldest are
+forgotten, and are encoded anew where they come again. Null text is encoded as empty text, an empty table gives an empty
+one. Rows with repeated or null ids are kept, each by itself. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from sluice import staging
 from sluice.functions.arrow import tidy
 
-#: Characters of text that one chunk holds at most, if it has more than one document.
-CHUNK_CHARS = 20_000_000
+#: Characters of text that one chunk holds at most, if it has more than one document; words of a bucket that a worker remembers.
+CHUNK_CHARS, KNOWN = 28_000_000, 1_000_000
 #: The pattern's alternatives for texts of ASCII characters alone, where the quicker standard engine does.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 
@@ -60,10 +65,11 @@ def _splitter(pattern: str):
 
 
 @lru_cache(maxsize=2)
-def _piece_encoder(path: str, pattern: str):
+def _word_encoder(path: str):
+    """Encodes a text as one word."""
     import tiktoken
 
-    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._core_bpe.encode_single_piece
+    return tiktoken.Encoding("given", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
@@ -123,7 +129,13 @@ def _cut(pattern: str, n_buckets: int, chunk_chars: int):
         import xxhash
 
         split, first, made = _splitter(pattern), TaskContext.get().partitionId() << 32, 0
-        number: dict[str, int] = {}
+
+        def fresh():
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__
+            return number
+
+        number = fresh()
         ids: list = []
         sizes: list[int] = []
         seqs: list[np.ndarray] = []
@@ -150,29 +162,28 @@ def _cut(pattern: str, n_buckets: int, chunk_chars: int):
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split(text.as_py() or "")
-                n = sum(map(len, words))
-                if ids and chars + n > chunk_chars:
+                text = text.as_py() or ""
+                if ids and chars + len(text) > chunk_chars:
                     yield from flush()
                     made, chars = made + 1, 0
-                    number, ids, sizes, seqs = {}, [], [], []
-                put = number.setdefault
-                seqs.append(np.fromiter([put(w, len(number)) for w in words], np.uint32, len(words)))
+                    number, ids, sizes, seqs = fresh(), [], [], []
+                words = split(text)
+                seqs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 ids.append(i)
                 sizes.append(len(words))
-                chars += n
+                chars += len(text)
         if ids:
             yield from flush()
 
     return run
 
 
-def _encode_words(path: str, pattern: str):
+def _encode_words(path: str):
     """Rows of a bucket, one after another: each distinct word is encoded when it first comes."""
 
     @tidy
     def run(batches):
-        encode, known, now = _piece_encoder(path, pattern), {}, None
+        encode, known, now = _word_encoder(path), {}, None
         for batch in batches:
             for chunk, bucket, payload, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
@@ -184,7 +195,9 @@ def _encode_words(path: str, pattern: str):
                     at = end
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = encode(word)
+                        if len(known) >= KNOWN:
+                            del known[next(iter(known))]
+                        ids = known[word] = encode(word.decode())
                     found.append(ids)
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
@@ -238,24 +251,31 @@ def _assemble(batches):
         yield from finish(*held)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(doc_id long, ids array<int>), a row for each row of docs; the ids are those that tiktoken's encode_ordinary gives."""
-    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, chunk_chars: int) -> DataFrame:
     n = staging.partitions(docs.sparkSession)
-    staging.small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    chunks = staging.stage(texts.mapInArrow(_cut(pattern, n, chunk_chars), _CHUNKS), "bpe")
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    with staging.small_batches(docs.sparkSession):
+        chunks = staging.stage(texts.mapInArrow(_cut(pattern, n, chunk_chars), _CHUNKS), "bpe")
     words = chunks.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
-    coded = words.mapInArrow(_encode_words(vocabulary, pattern), _CHUNKS)
+    coded = words.mapInArrow(_encode_words(vocabulary), _CHUNKS)
     both = chunks.where("bucket < 0").unionByName(coded).repartition(n, "chunk").sortWithinPartitions("chunk", "bucket")
     return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
-def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """coded and a column decoded (binary): the ids' bytes by the token-byte table, whose size is the vocabulary's.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(doc_id long, ids array<int>), a row for each row of docs; the ids are those that tiktoken's encode_ordinary gives. A staged table."""
+    with staging.scope() as kept:
+        out = staging.stage(_encoded(docs, id_col, text_col, vocabulary or default_vocabulary(), pattern or default_pattern(), chunk_chars), "ids")
+        kept.append(out)
+    return out
+
+
+def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, out_col: str = "decoded") -> DataFrame:
+    """coded and a column out_col (binary), in place of one of that name: the ids' bytes by the token-byte table, whose size is the vocabulary's.
 
     Null ids give null, no ids give empty bytes, an id outside the vocabulary ends the job with an error.
     """
+    coded = coded.select(*(f"`{c}`" for c in coded.columns if c.lower() != out_col.lower()))
     vocabulary = vocabulary or default_vocabulary()
 
     @tidy
@@ -271,13 +291,17 @@ def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None
             raw = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), data])
             if lists.null_count:
                 raw = pa.array([r.as_py() if v else None for r, v in zip(raw, lists.is_valid().to_pylist(), strict=True)], pa.binary())
-            yield pa.record_batch([*batch.columns, raw], names=[*batch.schema.names, "decoded"])
+            yield pa.record_batch([*batch.columns, raw], names=[*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
-    return coded.mapInArrow(run, f"{fields}, decoded binary")
+    return coded.mapInArrow(run, f"{fields}, `{out_col}` binary")
 
 
 def digests(docs: DataFrame, keep_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and its ids if they are to be kept."""
-    both = decode(encode(docs, chunk_chars=chunk_chars))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and its ids if they are to be kept. A staged table."""
+    with staging.scope() as kept:
+        both = decode(_encoded(docs, "doc_id", "text", default_vocabulary(), default_pattern(), chunk_chars))
+        out = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
+        out = staging.stage(out, "tokens")
+        kept.append(out)
+    return out
