@@ -2,9 +2,11 @@
 
 Vectors of cosine c are unit vectors at a squared distance of 2 - 2c. After a fixed rotation the coordinates are cut
 into blocks; a pair within the total budget is within a block's share of it (in proportion to the block's dimensions)
-in one block at least. In each block, a range join by a grid on its leading coordinates (cells twice as wide as the
-range, so that a point looks into two cells along each) brings together points and those within range, and what is
-found by any block is verified exactly on whole vectors, by the first block only that has the pair.
+in one block at least. In each block, a grid on its leading coordinates (cells twice as wide as the range, so that a
+point looks into two cells along each; the more vectors a label has, the more coordinates) brings points to those that
+may be in range. Where they meet, a tree that halves the points along any of the block's coordinates, and then the
+coordinates one by one, leave few pairs whose distance in the block is computed. What any block finds is verified exactly
+on whole vectors, by the first block only that has the pair.
 
 Equal vectors of a label are one class with a weight. A cell with many points is dealt out in parts of bounded size.
 Candidates travel as lists of points that meet, and come back as counts and as edges that span what is linked: pairs
@@ -12,7 +14,8 @@ are never written out.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without label, link with nothing; so do
 vectors of different length. Rows are vectors: repeated rows link with each other. Rows that share an id share a
-component. Rows with a null id count as others' links, and have a null component.
+component. Rows with a null id count as others' links, and have a null component. An empty table gives an empty one.
+Vectors may be of any length; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from sluice import staging
 from sluice.functions.arrow import tidy
 from sluice.llm import components, vectors
 
-#: Dimensions of a block, leading coordinates that the grid has, points that a part of a cell has about, and points that look into it at a time.
+#: Dimensions of a block, leading coordinates that the grid has at least, points that a part of a cell has about, and points that look into it at a time.
 BLOCK, GRID, PART, PROBES = 8, 3, 4096, 1024
+#: Classes of a label from which the grid has a coordinate more, for each of so many times as many; pairs that the tree leaves together.
+DEEPER, TIMES, LEAF = 100_000, 2, 1 << 15
 
 
 def _rotation(d: int) -> np.ndarray:
@@ -69,21 +74,51 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _within(p: np.ndarray, h: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (row of p, row of h) whose squared distance is share at most, and how many distances were computed."""
+    reach, measured = np.sqrt(share), 0
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    todo = [(np.arange(len(p)), np.arange(len(h)))]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) * len(b) > LEAF:
+            spread = np.ptp(h[b], axis=0)
+            c = int(np.argmax(spread))
+            x, y = h[b, c], p[a, c]
+            middle = np.median(x)
+            low = x <= middle
+            if spread[c] > 2 * reach and not low.all():
+                todo += [(a[y <= middle + reach], b[low]), (a[y >= middle - reach], b[~low])]
+                continue
+        i, j = np.nonzero(np.abs(p[a, 0][:, None] - h[b, 0][None, :]) <= reach)
+        i, j = a[i], b[j]
+        for c in range(1, p.shape[1]):
+            keep = np.abs(p[i, c] - h[j, c]) <= reach
+            i, j = i[keep], j[keep]
+        measured += len(i)
+        close = ((p[i] - h[j]) ** 2).sum(axis=1) <= share
+        found.append((i[close], j[close]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]), measured
+
+
 def _cells(budget: float):
-    """Classes (cid, label, dim, vec) to rows (dim, block, cell, probe, cid, near): a home in each block, and the cells a point looks into."""
+    """Classes (cid, label, dim, vec, depth) to rows (dim, block, cell, probe, cid, near): a home in each block, and the cells a point looks into."""
 
     @tidy
     def run(batches):
         for batch in batches:
             cid, label, dims = (batch.column(i).to_numpy() for i in range(3))
-            for d in np.unique(dims):
-                rows = np.flatnonzero(dims == d)
+            depths = batch.column(4).to_numpy()
+            for d, depth in {*zip(dims.tolist(), depths.tolist(), strict=True)}:
+                rows = np.flatnonzero((dims == d) & (depths == depth))
                 x = _units([batch.column(3)[int(i)].as_py() for i in rows], d) @ _rotation(d)
                 for b, (cut, share) in enumerate(_blocks(d, budget)):
                     y = x[:, cut]
                     near = y.astype("<f4")
                     reach = np.sqrt(share) * (1 + 1e-6) + 1e-9
-                    lead = y[:, :GRID]
+                    lead = y[:, :depth]
                     home = np.floor(lead / (2 * reach)).astype(np.int64)
                     low, high = np.floor((lead - reach) / (2 * reach)).astype(np.int64), np.floor((lead + reach) / (2 * reach)).astype(np.int64)
                     for probe, corner in [(0, None), *((1, c) for c in itertools.product((0, 1), repeat=lead.shape[1]))]:
@@ -122,9 +157,9 @@ def _meetings(budget: float):
                 share = _blocks(d, budget)[b][1] * (1 + 1e-5) + 1e-6
                 for at in range(0, z - a, PROBES):
                     p_id, p = cid[a:z][at : at + PROBES], y[at : at + PROBES]
-                    close = (p * p).sum(1)[:, None] + (h * h).sum(1)[None, :] - 2 * (p @ h.T) <= share
-                    close &= p_id[:, None] != h_id[None, :]
-                    left, right = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                    i, j, _ = _within(p, h, share)
+                    other = p_id[i] != h_id[j]
+                    left, right = np.unique(i[other]), np.unique(j[other])
                     if len(left):
                         yield pa.record_batch([pa.array([made], pa.int64()), pa.array([d], pa.int32()), pa.array([b], pa.int32()), pa.array([p_id[left].tolist()], pa.list_(pa.int64())), pa.array([h_id[right].tolist()], pa.list_(pa.int64()))], names=["task", "dim", "block", "probes", "homes"])
                         made += 1
@@ -179,7 +214,14 @@ def _verify(threshold: float, budget: float):
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each row of rows."""
+    """(vec_id, n_links, component_id, kept), a row for each row of rows. A staged table."""
+    with staging.scope() as kept:
+        out = staging.stage(_linked(rows, threshold, id_col, vec_col, label_col), "near-vectors")
+        kept.append(out)
+    return out
+
+
+def _linked(rows: DataFrame, threshold: float, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     spark = rows.sparkSession
     n, budget = staging.partitions(spark), (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
     plain = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
@@ -187,7 +229,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     packed = plain.where(takes).mapInArrow(_packed, "vec_id long, label long, dim int, vec binary")
     classes = packed.groupBy("label", "dim", "vec").agg(F.count("*").alias("weight"), F.min("vec_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
     classes = staging.stage(classes, "vectors")
-    cells = staging.stage(classes.select("cid", "label", "dim", "vec").mapInArrow(_cells(budget), "dim int, block int, cell long, probe int, cid long, near binary"), "cells")
+    # as many labels as there are, each with its number of classes
+    sizes = classes.groupBy("label").agg(F.count("*").alias("n"))
+    more = F.ceil(F.log(F.col("n") / F.lit(DEEPER)) / F.lit(float(np.log(TIMES))))
+    sizes = sizes.select("label", F.greatest(F.lit(GRID), F.least(F.lit(BLOCK), F.lit(GRID) + more)).cast("int").alias("depth"))
+    deep = classes.select("cid", "label", "dim", "vec").join(sizes, "label")
+    cells = staging.stage(deep.select("cid", "label", "dim", "vec", "depth").mapInArrow(_cells(budget), "dim int, block int, cell long, probe int, cid long, near binary"), "cells")
     key = ["dim", "block", "cell"]
     full = cells.where("probe = 0").groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
     both = cells.join(full, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
