@@ -5,12 +5,18 @@ other groupings, parts of longer runs of numbers, spelled-out addresses); booste
 its context, and a threshold for each kind, calibrated on examples held back, selects. Where selected ones overlap,
 the likelier stays; none overlaps a base span.
 
-The trees learn from examples that are made here by templates from a fixed seed. Null text counts as empty. Rows with
-repeated or null ids are searched each by itself. Offsets are in code points, the end is exclusive.
+The trees learn from examples that are made here by templates from a fixed seed. What the generators propose is bounded
+by what the kinds are, not by pieces or characters: local parts of 64 and labels of 63 characters, as addresses have at
+most, numbers of 19 digits, whose groups are at most GAP separators apart.
+
+Null text counts as empty, an empty table gives an empty one. Rows with repeated or null ids are searched each by itself.
+Very long texts are searched whole, in time that grows with their length. Other columns don't matter, whatever their
+names. Offsets are in code points, the end is exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import random
 import re
@@ -82,9 +88,13 @@ def _numbers(zone: str, shift: int):
 
 
 # --- candidates -------------------------------------------------------------------------------------------------
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?| at | ?@ ?)[A-Za-z0-9-]{1,64}(?:(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot |\.)[A-Za-z0-9-]{1,64}){1,5}", re.I)
-_HINTS = ("(at", "[at", "{at", "( at", "[ at", " dot ", "(dot", "[dot", "{dot", " @", "@ ", "[.]", "(.)")
-_PIECE = re.compile(r"[^ ]+")
+#: Separators between two groups of a number at most, and digits that a number has at most.
+GAP, DIGITS = 12, 19
+_AT = re.compile(r" ?[(\[{] ?[aA][tT] ?[)\]}] ?| [aA][tT] | ?@ ?")
+_DOT = r"(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot |\.)"
+_AFTER = re.compile(rf"[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+)++", re.I)
+_SPELLED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}+(?:(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot | ?\. ?)[0-9]{1,3}+){3}(?![0-9])", re.I)
+_GROUP = re.compile(r"[0-9]+")
 #: Words before a span that speak for a kind, or for none.
 _CONTEXT = {
     3: ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "telefon", "teléfono", "téléphone", "contact", "sms", "dial", "ring"),
@@ -93,6 +103,8 @@ _CONTEXT = {
     0: ("mail", "email", "e-mail", "contact", "write", "reach", "correo", "send"),
     4: ("version", "v", "order", "invoice", "isbn", "page", "pages", "total", "sum", "id", "no", "nr", "section", "date", "price", "eur", "usd", "year", "serial", "sku"),
 }
+#: Last labels of the most common domains.
+_TLDS = frozenset("com org net edu gov de fr es uk io info example eu".split())
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -103,35 +115,79 @@ class Candidate:
     end: int
 
 
+class _Taken:
+    """Places that spans have, none of which overlap."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect.bisect_left(self.starts, e)
+        return i > 0 and self.ends[i - 1] > s
+
+    def add(self, s: int, e: int) -> None:
+        i = bisect.bisect_left(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
+
+def _addresses(text: str):
+    """Spelled-out e-mail addresses: a local part, what stands for @, labels with what stands for dots."""
+    low = 0
+    for m in _AT.finditer(text):
+        after = _AFTER.match(text, m.end())
+        if not after:
+            continue
+        start = m.start()
+        while start > max(low, m.start() - 64) and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start < m.start() and (start == 0 or text[start - 1] not in _LOCAL_CHARS):
+            yield Candidate(0, start, after.end())
+            low = after.end()
+
+
+def _of_run(text: str, a: int, z: int):
+    """Numbers of groups that follow one another in a run, with the brackets and signs around them."""
+    groups = [m.span() for m in _GROUP.finditer(text, a, z)]
+    for i, (s, _) in enumerate(groups):
+        if text[s - 1 : s].isalnum():
+            continue
+        first = s
+        while first > 0 and s - first < 2 and text[first - 1] in "+(":
+            first -= 1
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > DIGITS or j > i and groups[j][0] - groups[j - 1][1] > GAP:
+                break
+            e = groups[j][1]
+            if n < 4 or text[e : e + 1].isalnum():  # part of a code, not a number
+                continue
+            body = text[first:e]
+            if 7 <= n <= 15:
+                yield Candidate(3, first, e)
+                if first < s and "(" in body and ")" not in body or body[:2] == "(+":  # what is before doesn't belong to it
+                    yield Candidate(3, s, e)
+            if 13 <= n <= 19 and "(" not in body and "+" not in body:
+                yield Candidate(2, s, e)
+
+
 def _candidates(text: str, zones: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[Candidate]:
     """Spans that may be personal data: kinds and places overlap."""
-    out = []
-    if any(h in text for h in _HINTS):
-        out += [Candidate(0, *m.span()) for m in _SPELLED.finditer(text) if "@" not in m.group() or " " in m.group() or "(" in m.group() or "[" in m.group()]
+    out = list(_addresses(text))
+    if zones:
+        out += [Candidate(1, *m.span()) for m in _SPELLED_IP.finditer(text)]
     for a, z in zones:
-        if z - a < 7:
-            continue
-        pieces = [m.span() for m in _PIECE.finditer(text, a, z)]
-        for i in range(len(pieces)):
-            for j in range(i, min(len(pieces), i + 6)):
-                s, e = pieces[i][0], pieces[j][1]
-                if e - s > 40:
-                    break
-                while e > s and not "0" <= text[e - 1] <= "9":
-                    e -= 1
-                while s < e and not ("0" <= text[s] <= "9" or text[s] in "+("):
-                    s += 1
-                n = len(_digits(text[s:e]))
-                if n < 4 or text[s - 1 : s].isalnum() or text[e : e + 1].isalnum():  # part of a code, not a number
-                    continue
-                body = text[s:e]
-                if 7 <= n <= 15:
-                    out.append(Candidate(3, s, e))
-                if 13 <= n <= 19 and "(" not in body and "+" not in body:
-                    out.append(Candidate(2, s, e))
-                if 4 <= n <= 12 and len(re.findall("[0-9]+", body)) == 4 and body.count(".") == 3:
-                    out.append(Candidate(1, s, e))
-    return [c for c in out if not any(c.start < e and s < c.end for s, e in taken)]
+        if z - a > 6:
+            out += _of_run(text, a, z)
+    held = _Taken(taken)
+    return [c for c in out if not held.meets(c.start, c.end)]
 
 
 def features(text: str, c: Candidate) -> list[float]:
@@ -140,6 +196,7 @@ def features(text: str, c: Candidate) -> list[float]:
     d = _digits(body)
     groups = [len(g) for g in re.findall("[0-9]+", body)]
     before = text[max(0, c.start - 40) : c.start]
+    last = re.split(r"[^A-Za-z]+", body)[-1].lower() if c.kind == 0 else ""
     words = [w.lower() for w in _WORDS.findall(before)[-3:]]
     left, right = before[-1:], text[c.end : c.end + 1]
     more_left = bool(re.search(r"[0-9][ ().-]{0,2}$", before[-4:]))
@@ -168,6 +225,10 @@ def features(text: str, c: Candidate) -> list[float]:
         float(all(int(g) <= 255 for g in re.findall("[0-9]+", body)) if c.kind == 1 else 0),
         float(len(re.findall(r"\bdot\b|\[\.\]|\(\.\)", body, re.I))),
         float(len(re.findall(r"[(\[{] ?at ?[)\]}]", body, re.I))),
+        float(last in _TLDS),
+        float(len(last)),
+        float(len(re.findall(r" dot |\. | \.", body, re.I))),
+        float(bool(re.match(r"(?:look|see|meet|arrive|stay|work|live|sit|stand|start|stop|is|was|are|and|be|it|them|us|me|now)\b", body, re.I))) if c.kind == 0 else 0.0,
         float("@" in body),
         float(d[:1] in "3456" if d else 0),
         float(len(body)),
@@ -196,22 +257,22 @@ def _example(rng: random.Random) -> tuple[str, tuple[int, int, int] | None]:
     kind = rng.choice([3, 3, 2, 1, 0, None, None, None])
     if kind == 3:
         # US-like numbers, national ones with a trunk zero, and international ones
-        body = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+{d} {a} {b} {c}", f"0{d} {b} {c}", f"0{a}/{b}{c}", f"0{a} {b}{d}{d}", f"00{d} {a} {b} {c}", f"+{d}-{a}-{b}-{c}", f"0{d}-{b}-{c}"])
+        body = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+{d} {a} {b} {c}", f"0{d} {b} {c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"{a} {b}-{c}", f"+{d}{a}{b}{c}", f"+{d}.{a}.{b}.{c}", f"+{d} ({a}) {b}-{c}", f"+{d} {a[0]} {b} {c}", f"0{d} {b[:2]} {c[:2]} {c[2:]} {b[1:]}", f"({a}) {b}-{c[:2]}-{c[2:]}", f"0{a}/{b}{c}", f"0{a} {b}{d}{d}", f"00{d} {a} {b} {c}", f"+{d}-{a}-{b}-{c}", f"0{d}-{b}-{c}"])
     elif kind == 2:
         n = _luhn_number(rng, rng.choice([13, 15, 16, 16, 16, 19]))
-        body = rng.choice([n, n, " ".join(n[i : i + 4] for i in range(0, len(n), 4)), "-".join(n[i : i + 4] for i in range(0, len(n), 4)), ".".join(n[i : i + 4] for i in range(0, len(n), 4))])
+        body = rng.choice([n, n, n, "  ".join(n[i : i + 4] for i in range(0, len(n), 4)), " - ".join(n[i : i + 4] for i in range(0, len(n), 4)), f"{n[:4]} {n[4:10]} {n[10:]}", f"{n[:4]}/{n[4:8]}/{n[8:12]}/{n[12:]}", " ".join(n[i : i + 4] for i in range(0, len(n), 4)), "-".join(n[i : i + 4] for i in range(0, len(n), 4)), ".".join(n[i : i + 4] for i in range(0, len(n), 4))])
     elif kind == 1:
         p = [str(rng.randint(0, 255)) for _ in range(4)]
-        body = rng.choice(["[.]".join(p), " . ".join(p), ".".join(p), "[.]".join(p), "(.)".join(p)])
+        body = rng.choice(["[.]", " . ", ".", ". ", " .", "(.)", "{.}", "[dot]", "(dot)", " dot ", " [.] ", " (dot) ", " [dot] "]).join(p)
     elif kind == 0:
-        at, dot = rng.choice([(" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."), ("{at}", ".")])
+        at, dot = rng.choice([(" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."), ("{at}", "."), ("@ ", "."), (" @", "."), (" (AT) ", " (DOT) "), (" AT ", " DOT "), ("[at]", "."), (" at ", "."), ("@", " dot "), ("@", "[.]"), ("(at)", "(dot)"), ("{at}", "{dot}"), (" [at] ", ".")])
         user = word() + rng.choice(["", "." + word(), d, "_" + word()])
         body = f"{user}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'example' + dot + 'com', 'co' + dot + 'uk'])}"
     else:
         y = f"{rng.choice(['19', '20'])}{num(2)}"
         m, t = f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"
         junk = next(x for x in iter(lambda: rng.choice("123456789") + num(rng.choice([12, 13, 14, 15, 15, 15, 17])), "") if not luhn(x))
-        body = rng.choice([f"{y}-{m}-{t}", f"{t}.{m}.{y}", f"{t}/{m}/{y}", f"{y}-{y}", junk, junk, " ".join(junk[i : i + 4] for i in range(0, len(junk), 4)), num(rng.randint(7, 12)), f"{num(3)}.{num(3)}.{num(3)}", f"{num(2)}.{num(1)}.{num(1)}.{num(4)}", f"{num(1)}.{num(2)}.{num(1)}", f"{num(4)} {num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{y}{m}{t}{num(6)}", f"look at {word()} dot {word()}", f"{num(3)} {num(3)} {num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(1)}.{num(7)}", f"{num(5)}/{num(5)}"])
+        body = rng.choice([f"{y}-{m}-{t}", f"{t}.{m}.{y}", f"{t}/{m}/{y}", f"{y}-{y}", junk, junk, " ".join(junk[i : i + 4] for i in range(0, len(junk), 4)), num(rng.randint(7, 12)), f"{num(3)}.{num(3)}.{num(3)}", f"{num(2)}.{num(1)}.{num(1)}.{num(4)}", f"{num(1)}.{num(2)}.{num(1)}", f"{num(4)} {num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{y}{m}{t}{num(6)}", f"{rng.choice(['look', 'see', 'meet us', 'is', 'it was', 'stop', 'works', 'we live'])} at {word()}{rng.choice([' dot ', '. ', '.'])}{word()}", f"{num(2)}. {num(1)}. {num(2)}. {num(2)} {num(4)}", f"{num(1)}.{num(1)}.{num(4)}.{num(3)}", f"{num(3)} {num(3)} {num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(1)}.{num(7)}", f"{num(5)}/{num(5)}"])
     hints = _CONTEXT[4 if kind is None else kind]
     lead = rng.choice(["", "", "", rng.choice(hints) + rng.choice([" ", ": ", ": ", " is "])])
     tail = rng.choice(["", ".", ",", " " + word(), " " + word(), "!!", " |", " " + num(rng.choice([1, 2, 4, 16])) if rng.random() < 0.3 else " " + word()])
@@ -240,14 +301,16 @@ class Model:
         added: list[tuple[int, int, int, float]] = []
         if found:
             odds = self.trees.log_odds(np.array([features(text, c) for c in found]))
+            held = _Taken()
             for i in np.argsort(-odds, kind="stable"):
                 c = found[i]
-                if odds[i] >= self.thresholds[c.kind] and not any(c.start < e and s < c.end for _, s, e, _ in added):
+                if odds[i] >= self.thresholds[c.kind] and not held.meets(c.start, c.end):
+                    held.add(c.start, c.end)
                     added.append((c.kind, c.start, c.end, float(1 / (1 + np.exp(-odds[i])))))
         return base, sorted(added)
 
 
-def fit(examples: int = 3000, precision: float = 0.98, seed: int = 7) -> Model:
+def fit(examples: int = 8000, precision: float = 0.96, seed: int = 7) -> Model:
     """Trees from examples by templates; on a quarter held back, each kind's threshold is the lowest that reaches the precision."""
     rng = random.Random(seed)
     x, y, kinds, held = [], [], [], []
@@ -281,8 +344,7 @@ def _all(model: Model, text: str) -> list[tuple]:
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every row of docs; a span has its kind's number, start, end, if it is a base one, and its probability."""
     model = model or fit()
-    staging.small_batches(docs.sparkSession)
-
+    
     @tidy
     def run(batches):
         for batch in batches:
@@ -298,8 +360,7 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text",
     length_col, if given, gets the new number of characters. Null texts stay null.
     """
     model = model or fit()
-    staging.small_batches(docs.sparkSession)
-
+    
     def clean(text: str) -> str:
         out, at = [], 0
         for s, e, k in sorted((s[1], s[2], s[0]) for s in _all(model, text)):
