@@ -3,6 +3,8 @@
 The chain learns from lines that bear their document's label. Forward-backward marginals, weighted by the lines'
 lengths, give a document's share of good text, and a logistic curve turns that into a score. Null text counts as
 empty; empty texts get the score of their only, empty, line. Rows with repeated or null ids are scored each by itself.
+An empty table gives an empty one, very long texts are scored whole, and columns other than id and text don't matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice import staging
 from sluice.functions.arrow import tidy
 from sluice.llm import crf, labelled
 
@@ -155,8 +156,6 @@ def train(docs: DataFrame, labels: DataFrame, where=None, threshold: float = 0.3
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, good_share) of every row of docs."""
-    staging.small_batches(docs.sparkSession)
-
     @tidy
     def run(batches):
         for batch in batches:
@@ -173,7 +172,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    staging.small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     @tidy

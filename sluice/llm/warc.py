@@ -9,7 +9,8 @@ record the digest, which is updated chunk by chunk and checked against the recor
 The table of archives that the write gives is itself written, so that just one attempt of each task counts.
 
 Null payloads are empty ones. Records of an equal, smallest page_id all are responses; if no equal payload has an
-id, all are. Null urls are left out. Other columns don't matter. Long payloads differ from short ones in no way.
+id, all are. Null urls are left out. Long payloads differ from short ones in no way. An empty table has no archives.
+Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +73,6 @@ def plan(pages: DataFrame, chunk: int = CHUNK, id_col: str = "page_id", url_col:
 def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, **columns) -> DataFrame:
     """Writes the archives, and gives the table of them: (path, records, bytes)."""
     spark = pages.sparkSession
-    staging.small_batches(spark)
     folder = folder or staging.new_path(spark, "warc")
 
     @tidy
@@ -100,7 +100,8 @@ def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, **col
         if records:
             yield pa.record_batch([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    return staging.stage(plan(pages, chunk, **columns).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    with staging.small_batches(spark):
+        return staging.stage(plan(pages, chunk, **columns).mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
 def _stream(f, chunk: int):
@@ -210,6 +211,12 @@ def read(archives: DataFrame, chunk: int = CHUNK, with_data: bool = True) -> Dat
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives, reads them back, and gives a row for each record."""
-    rows = read(write(pages), with_data=False)
-    return rows.where("payload_digest is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes pages as archives, reads them back, and gives a row for each record. A staged table; the archives are deleted."""
+    spark = pages.sparkSession
+    folder = staging.new_path(spark, "warc")
+    with staging.scope() as kept:
+        rows = read(write(pages, folder), with_data=False)
+        out = staging.stage(rows.where("payload_digest is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+        kept.append(out)
+    staging.delete(spark, folder)
+    return out
