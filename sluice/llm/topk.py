@@ -3,12 +3,15 @@
 In each pair of a query block and a candidate block, bounds from segment means and deviations are computed for few
 long segments first, then for more and shorter ones (by Cauchy-Schwarz on the deviations, a segment of length L adds
 L (m m' + s s') to the inner product at most; in distances, (m - m')^2 + (s - s')^2 times L at least). Only rows whose
-bound reaches the k-th best score known so far are looked at more finely, and survivors get their exact score.
+bound reaches the k-th best score known so far, by this pair of blocks or by those before it in the task, are looked at
+more finely, and survivors get their exact score. How many survive depends on the data: where all directions are alike,
+only the finest segments tell rows apart.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part; a query's own id
 is not among its results, and vectors of another length aren't either. Repeated query rows are answered each by
-itself, repeated candidate rows count each. Components are taken as floor(256 x); scores are exact while they are
-below 2**63.
+itself, repeated candidate rows count each. Ties go to the smaller id. Components are taken as floor(256 x); scores are
+exact while they are below 2**63. Empty tables give an empty one; vectors may be of any length; other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from sluice import staging
 from sluice.functions.arrow import tidy
 from sluice.llm import vectors
 
-SEGMENTS = (1, 4, 16)
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Segments of each resolution, rows of a block, query blocks whose k-th scores a task remembers, pairs that are scored one by one at a time.
+SEGMENTS = (1, 4, 16, 32)
+QUERY_BLOCK, ROW_BLOCK, REMEMBERED, PAIRS = 1024, 8192, 1000, 1 << 16
 
 
 def _blocks(size: int):
@@ -61,42 +65,70 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ x.T
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-    """(query number, id, score) of each query's k best in the block."""
+def _exact(q: np.ndarray, x: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row, score) of the survivors: pair by pair if they are few, else by products with the rows that any query needs."""
+    i, j = np.nonzero(alive)
+    if len(i) * 8 < alive.size:
+        parts = [_pairwise(q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]
+        return i, j, np.concatenate([np.empty(0, np.int64), *parts])
+    columns = np.flatnonzero(alive.any(axis=0))
+    place = np.empty(len(x), np.int64)
+    place[columns] = np.arange(len(columns))
+    return i, j, _scores(q, x[columns])[i, place[j]]
+
+
+def _pairwise(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,nd->n", q, x)
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, best: np.ndarray | None = None):
+    """(query number, id, score) of each query's k best in the block, where they reach best, and how many pairs were scored.
+
+    best: a score that k rows of other blocks reach, for each query; it is raised by what is found here.
+    """
     qf, xf = q.astype(np.float64), x.astype(np.float64)
-    own = q_ids[:, None] == ids[None, :]
-    best = np.full(len(q), -np.inf)  # the k-th best score known
-    alive = ~own
+    best = np.full(len(q), -np.inf) if best is None else best
+    alive = q_ids[:, None] != ids[None, :]
     for s in SEGMENTS:
-        if s > 1 and s > q.shape[1]:
+        if s > 1 and s >= q.shape[1]:
             break
         bound = _stats(qf, s) @ _stats(xf, s).T
         bound += 1e-9 * np.abs(bound) + 1
         bound[~alive] = -np.inf
-        seeds = min(k, bound.shape[1])
-        top = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
-        score = np.einsum("qd,qkd->qk", qf, xf[top])
-        score[~np.take_along_axis(alive, top, 1)] = -np.inf
-        if seeds == k:
-            best = np.maximum(best, score.min(axis=1) * (1 - np.sign(score.min(axis=1)) * 1e-12))
+        if s == SEGMENTS[0] or s == SEGMENTS[-2]:  # the rows of the highest bounds give k scores
+            seeds = min(k, bound.shape[1])
+            top = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
+            score = np.einsum("qd,qkd->qk", qf, xf[top])
+            score[~np.take_along_axis(alive, top, 1)] = -np.inf
+            if seeds == k:
+                least = score.min(axis=1)
+                np.maximum(best, np.where(np.isfinite(least), least - np.abs(least) * 1e-12, least), out=best)
         alive &= bound >= best[:, None]
-    columns = np.flatnonzero(alive.any(axis=0))
-    exact = _scores(q, x[columns])
+    i, j, score = _exact(q, x, alive)
     out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(alive[i, columns])
-        score = exact[i, at]
+    cuts = np.searchsorted(i, np.arange(len(q) + 1))
+    for n in range(len(q)):
+        at, value = j[cuts[n] : cuts[n + 1]], score[cuts[n] : cuts[n + 1]]
         if len(at) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            at, score = at[keep], score[keep]
-        found = ids[columns[at]]
-        for j in np.lexsort((found, -score))[:k]:
-            out.append((i, int(found[j]), int(score[j])))
-    return out
+            keep = value >= np.partition(value, len(value) - k)[len(value) - k]
+            at, value = at[keep], value[keep]
+        found = ids[at]
+        order = np.lexsort((found, -value))[:k]
+        out += [(n, int(found[m]), int(value[m])) for m in order]
+        if len(order) == k:
+            best[n] = max(best[n], float(value[order[-1]]))
+    return out, len(i)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best of rows, all if there are fewer; ties go to the smaller id."""
+    """(query_id, rank, vec_id, score): each query's k best of rows, all if there are fewer; ties go to the smaller id. A staged table."""
+    with staging.scope() as kept:
+        out = staging.stage(_searched(rows, queries, k, id_col, vec_col), "top")
+        kept.append(out)
+    return out
+
+
+def _searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     spark = rows.sparkSession
 
     def blocks(df: DataFrame, size: int, pack: bool) -> DataFrame:
@@ -110,10 +142,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
 
     @tidy
     def run(batches):
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, dim, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                found = search_block(q_ids, np.frombuffer(q, "<i8").reshape(-1, dim), ids, np.frombuffer(x, "<i8").reshape(-1, dim), k)
+                if block not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[block] = np.full(len(q_ids), -np.inf)
+                found, _ = search_block(q_ids, np.frombuffer(q, "<i8").reshape(-1, dim), ids, np.frombuffer(x, "<i8").reshape(-1, dim), k, known[block])
                 if found:
                     n, i, s = zip(*found, strict=True)
                     n = np.array(n)
