@@ -42,7 +42,7 @@ from sluice.llm import components, shingles
 #: Bits of a bitmap for each id, and bits that one has at most; beyond, rows are joined.
 BITS_OF_ID, MOST_BITS, SLICES = 16, 1 << 28, 256
 #: Shingles that a chunk of the first sieve holds about, and that one of its buckets does.
-CHUNK, BUCKET = 4_000_000, 8_000_000
+CHUNK, BUCKET = 2_000_000, 8_000_000
 #: Classes in a list up to which all its pairs are candidates; classes of a block of a cluster about; frequency from which a shingle's list is dealt out by document too.
 SHORT, TOGETHER, COMMON = 32, 256, 10_000
 #: Parts of the hash range that the suffix filter counts shingles in; bytes of texts that are cut into words at a time.
