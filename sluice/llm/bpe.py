@@ -298,10 +298,18 @@ def decode(coded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None
 
 
 def digests(docs: DataFrame, keep_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and its ids if they are to be kept. A staged table."""
-    with staging.scope() as kept:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: a staged table.
+
+    With keep_ids its ids too: not staged, as they are large; what it reads is deleted when the process ends, or the caller's scope.
+    """
+
+    def whole():
         both = decode(_encoded(docs, "doc_id", "text", default_vocabulary(), default_pattern(), chunk_chars))
-        out = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
-        out = staging.stage(out, "tokens")
+        return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
+
+    if keep_ids:
+        return whole()
+    with staging.small_batches(docs.sparkSession), staging.scope() as kept:
+        out = staging.stage(whole(), "tokens")
         kept.append(out)
     return out
