@@ -116,11 +116,11 @@ def _sifted(found: np.ndarray, place: int, inside: bool):
     return run
 
 
-def _table_of(ids: DataFrame, most_bits: int) -> np.ndarray | None:
-    """A bitmap of (a column of) ids of BITS_OF_ID bits for each; None if it were larger than most_bits."""
+def _table_of(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of (a column of) ids of BITS_OF_ID bits for each; None if it were larger than MOST_BITS."""
     n = ids.count()
     bits = max(1 << 16, 1 << (BITS_OF_ID * n - 1).bit_length())
-    if bits > most_bits:
+    if bits > MOST_BITS:
         return None
     out = np.zeros((SLICES, (bits >> 3) // SLICES), np.uint8)
     parts = ids.mapInArrow(_bitmap(bits), "slice int, part binary").repartition(min(SLICES, staging.partitions(ids.sparkSession)), "slice")
@@ -129,21 +129,21 @@ def _table_of(ids: DataFrame, most_bits: int) -> np.ndarray | None:
     return out.reshape(-1)
 
 
-def _those(docs: DataFrame, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, ...) with an id of ids (doc_id), and few others: ids may be too many to be broadcast, texts too large to be dealt out."""
-    found = _table_of(ids, most_bits)
+    found = _table_of(ids)
     if found is None:
         return docs.join(ids.distinct(), "doc_id", "left_semi")
     return docs.mapInArrow(_sifted(found, docs.columns.index("doc_id"), True), docs.schema)
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most_bits: int = MOST_BITS) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the documents that found (what join() gives for docs) links with a smaller id."""
     name = "_gone"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    bits = _table_of(gone, most_bits)
+    bits = _table_of(gone)
     if bits is None:
         return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     place = docs.columns.index(id_col)

@@ -50,6 +50,33 @@ def test_held_out_accuracy(spark, name, label, n, fold, least):
     assert sum(r.predicted == r[label] for r in held) / len(held) >= least
 
 
+def test_closed_runs_against_every_step():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        counts = rng.integers(0, rng.choice([3, 10, 60]), rng.integers(1, 9))
+        n, bias, moves = counts.sum(), rng.normal() * 3, rng.normal(size=(2, 2)) * rng.choice([0.3, 2])
+        active = rng.random(n) < rng.choice([0, 0.1, 0.5, 1])
+        u = np.where(active, bias + rng.normal(size=n) * 3, bias)
+        padded, mask = crf.padded(u, counts)
+        assert np.allclose(toxicity.marginals(u, active, counts, bias, moves), crf.forward_backward(padded, counts, moves)[0][mask], atol=1e-10)
+
+
+def test_scores_are_those_of_the_whole_chain(spark):
+    """Every score against a chain that takes every word of every document one by one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    k, w = len(model.forms), model.chain.weights
+    for r in docs.limit(150).collect():
+        words = [x.decode() for x in (r.text or "").encode().split()]
+        found = [[model.forms[f] for f in toxicity._forms(toxicity._word(x)) if f in model.forms][: toxicity.WIDTH] for x in words]
+        sums = [[sum(w[f + i * k] for f in x) for i in range(3)] for x in found]
+        u = np.array([[model.chain.bias + s[0] + (sums[i - 1][1] if i else 0) + (sums[i + 1][2] if i + 1 < len(sums) else 0) for i, s in enumerate(sums)]])
+        p = crf.forward_backward(u, np.array([len(words)]), model.chain.moves)[0][0] if words else np.empty(0)
+        assert got[r.doc_id] == pytest.approx(float(model.score(model.aggregates(p, np.array([len(words)])))[0]), abs=1e-9)
+
+
 def test_spans_are_the_offending_words(spark):
     rows = [(f"plain words here number {i}", 0) for i in range(60)] + [(f"you are an idiot! truly {i}", 1) for i in range(40)]
     model = toxicity.fit(rows)
@@ -86,3 +113,5 @@ def test_sample_is_bounded(spark):
     rows = labelled.sample(docs, labels, "quality", F.lit(True), 7, 9)
     assert sorted(y for _, y in rows) == [0] * 9 + [1] * 7
     assert rows == labelled.sample(docs, labels, "quality", F.lit(True), 7, 9)
+    twice = docs.unionByName(docs.withColumn("text", F.lit("s" * 60_000))).unionByName(docs)
+    assert rows == labelled.sample(twice, labels, "quality", F.lit(True), 7, 9)

@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA, SMALL, rows_of
 
@@ -76,10 +77,10 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("short", "together"), [(32, 256), (1, 4), (3, 8)])
-def test_join_against_brute_force(spark, monkeypatch, short, together):
-    monkeypatch.setattr(jaccard, "SHORT", short)
-    monkeypatch.setattr(jaccard, "TOGETHER", together)
+@pytest.mark.parametrize(("short", "together", "common", "bits", "chunk"), [(32, 256, 10_000, 1 << 28, 2_000_000), (1, 4, 1, 0, 50), (3, 8, 4, 0, 700)])
+def test_join_against_brute_force(spark, monkeypatch, short, together, common, bits, chunk):
+    for name, value in {"SHORT": short, "TOGETHER": together, "COMMON": common, "MOST_BITS": bits, "CHUNK": chunk}.items():
+        monkeypatch.setattr(jaccard, name, value)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "b") for i, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
@@ -87,6 +88,23 @@ def test_join_against_brute_force(spark, monkeypatch, short, together):
     assert got == {i: (len(shingles(t)), want[i]) for i, t in rows}
 
 
+@pytest.mark.parametrize("n", [31, 32, 33, 34, 90])
+def test_lists_of_every_length(spark, n):
+    """n texts that differ in one word each, at the end: all of them link, whether their lists count as short or long."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} x{i}") for i in range(n)] + [(1000 + i, f"u{i} " * 3 + f"v{i} y z q") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < n else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 0])
+def test_first_of_each_with_clashing_names(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "MOST_BITS", bits)
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z"), (3, "d", "w")], "doc_id long, text string, _gone string")
+    found = spark.createDataFrame([(1, 1), (2, 1), (None, None), (3, 3)], "doc_id long, component_id long")
+    assert sorted(str(r.doc_id) for r in jaccard.first_of_each(docs, found).collect()) == ["1", "3", "None"]
+
+
 def test_join_of_odd_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(5, text), (5, "z y x w v u"), (None, text), (3, text), (9, "z y x w v u"), (7, None), (8, "q " * 30_000)]
@@ -113,9 +131,11 @@ def vectors(seed, n, d=12):
     return [(i, v, int(i % 3) if i % 7 else None) for i, v in enumerate(rows)] + [(900, None, 1), (901, [0.0] * d, 1), (902, [float("nan")] * d, 1), (903, [1.0, None], 1), (904, [], 1), (905, [1.0] * 5, 1), (906, [2.0] * 5, 1)]
 
 
-@pytest.mark.parametrize("part", [4096, 3])
-def test_near_vectors_against_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "deeper", "leaf"), [(4096, 100_000, 256), (3, 100_000, 4), (4096, 5, 1)])
+def test_near_vectors_against_brute_force(spark, monkeypatch, part, deeper, leaf):
     monkeypatch.setattr(vecdup, "PART", part)
+    monkeypatch.setattr(vecdup, "DEEPER", deeper)
+    monkeypatch.setattr(vecdup, "LEAF", leaf)
     rows = vectors(4, 60) + vectors(4, 3)[:4]
     rows = rows[:-4] + [(2000 + i, v, label) for i, (_, v, label) in enumerate(rows[-4:])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
@@ -162,13 +182,35 @@ def test_topk_against_brute_force(spark):
 def test_bounds_prune_and_stay_exact():
     rng = np.random.default_rng(1)
     centers = rng.integers(-200, 200, size=(40, 64))
-    x = np.concatenate([c + rng.integers(-3, 3, size=(50, 64)) for c in centers])
+    x = np.concatenate([np.repeat(c, 64 // len(c)) + rng.integers(-3, 3, size=(50, 64)) for c in centers[:, :16]])
     q = x[::97]
-    found = topk.search_block(np.arange(len(q)) + 10**6, q, np.arange(len(x)), x, 5)
+    best = np.full(len(q), -np.inf)
+    found, scored = topk.search_block(np.arange(len(q)) + 10**6, q, np.arange(1000), x[:1000], 5, best)
+    more, scored_too = topk.search_block(np.arange(len(q)) + 10**6, q, np.arange(1000, len(x)), x[1000:], 5, best)
+    assert scored + scored_too < 0.1 * len(q) * len(x)
     s = q @ x.T
     for i in range(len(q)):
         want = sorted((-int(v), j) for j, v in enumerate(s[i]))[:5]
-        assert [(-sc, j) for n, j, sc in found if n == i] == want
+        assert sorted((-sc, j) for n, j, sc in found + more if n == i)[:5] == want
+
+
+def test_range_join_measures_few_distances():
+    """The vectors of sf0.1: under 5 % of all pairs within labels get their distance in a block, and what is within is found."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    x = np.array(table["embedding"], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label, budget, measured, pairs = np.array(table["label"]), 0.04, 0, 0
+    y = x @ vecdup._rotation(64)
+    for k in np.unique(label):
+        part = y[label == k]
+        pairs += len(part) * (len(part) - 1)
+        for cut, share in vecdup._blocks(64, budget):
+            z = part[:, cut]
+            i, j, n = vecdup._within(z, z, share)
+            measured += n - len(z)
+            d = ((z[:, None] - z[None]) ** 2).sum(2)
+            assert {*zip(i.tolist(), j.tolist(), strict=True)} == {*zip(*map(np.ndarray.tolist, np.nonzero(d <= share)), strict=True)}
+    assert measured < 0.05 * pairs, measured / pairs
 
 
 def test_small_queries_run(spark):

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 
 import corpus_pipeline as pipeline
@@ -75,7 +76,49 @@ def test_repeated_and_odd_rows(spark):
     out = pipeline.near_duplicates(spark, docs, DATA).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "4", "None"]
     assert pipeline.without_personal_data(spark, docs, DATA).count() == 6
-    assert pipeline.tokens(spark, docs.limit(0), DATA).count() == 0
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark):
+    good = "The first of the plain lines, as they are written here. " * 8
+    rows = [(1, good, "p"), (1, good + "More of it.", "q"), (2, None, None), (3, "", "p"), (None, good.upper(), "p"), (4, good * 400, "p"), (4, good * 400, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rate string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "copies": F.lit(7), "score": F.lit("x")})
+    model = quality.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"), threshold=pipeline.THRESHOLD)
+    kept = quality.kept(docs, model, pipeline.THRESHOLD)
+    want = [r for r in docs.collect() if model.score([r.text])[0] >= pipeline.THRESHOLD]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want))
+    near = pipeline.near_duplicates(spark, docs, DATA)
+    assert near.columns == docs.columns and sorted(str(r.doc_id) for r in near.collect()) == ["1", "2", "3", "None"]
+    assert [r.rate for r in near.collect() if r.doc_id == 1] == ["p"]
+    redacted = pipeline.without_personal_data(spark, docs, DATA)
+    assert redacted.columns == docs.columns and sorted(map(str, redacted.collect())) == sorted(map(str, docs.collect()))
+    mixed = pipeline.mix(spark, docs, DATA)
+    assert mixed.columns == docs.columns and {str(r) for r in mixed.collect()} <= {str(r) for r in docs.collect()}
+    assert pipeline.tokens(spark, docs, DATA).count() == docs.count()
+
+
+def test_near_duplicates_against_brute_force(spark, stages):
+    """Groups by plain sets of word shingles, over all pairs that share one."""
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in stages[1].collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in texts.items()}
+    having = collections.defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            having[g].append(i)
+    common = collections.Counter((a, b) for v in having.values() for a in v for b in v if a < b)
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(i for i in up if root(i) == i)
 
 
 def test_run(spark, stages):
