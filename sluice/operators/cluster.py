@@ -44,9 +44,34 @@ def core_representatives(dist: DataFrame) -> DataFrame:
     return best.select(F.col("m.row_id").alias("row_id"), "cluster", F.col("m.dist").alias("dist"))
 
 
+#: Ranges of a cluster's distances that are counted before one of them is looked into.
+RANGES = 1024
+
+
+def _percentiles(dist: DataFrame, percentile: float) -> DataFrame:
+    """(cluster, limit): the linear percentile of each cluster's distances. Ranges of them are counted, and the values of those
+    that hold the two ranks next to it; no cluster's distances are held in one place."""
+    ends = dist.groupBy("cluster").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("dist").alias("n"))
+    at = F.lit(percentile / 100.0) * (F.col("n") - 1)
+    ends = ends.where("n > 0").select("cluster", "low", "high", at.alias("at"), F.floor(at).alias("k0"), F.ceil(at).alias("k1"))
+    share = F.when(F.col("high") > F.col("low"), (F.col("dist") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.0))
+    placed = dist.join(ends, "cluster").where("dist is not null").withColumn("range", F.least(F.lit(RANGES - 1), F.floor(share * RANGES).cast("int")))
+    values = placed.groupBy("cluster", "range", "dist").agg(F.count("*").alias("m"))
+    ranges = values.groupBy("cluster", "range").agg(F.sum("m").alias("r"))
+    before = ranges.select("cluster", "range", "r", (F.sum("r").over(Window.partitionBy("cluster").orderBy("range")) - F.col("r")).alias("before"))
+    hit = before.join(ends, "cluster").where("(before <= k0 and k0 < before + r) or (before <= k1 and k1 < before + r)").select("cluster", "range", "before", "at", "k0", "k1")
+    inner = values.join(hit, ["cluster", "range"])
+    first = F.col("before") + F.sum("m").over(Window.partitionBy("cluster", "range").orderBy("dist")) - F.col("m")
+    inner = inner.withColumn("first", first)
+    holds = lambda k: F.max(F.when((F.col("first") <= F.col(k)) & (F.col(k) < F.col("first") + F.col("m")), F.col("dist")))
+    found = inner.groupBy("cluster", "at", "k0", "k1").agg(holds("k0").alias("v0"), holds("k1").alias("v1"))
+    between = (F.col("k1") - F.col("at")) * F.col("v0") + (F.col("at") - F.col("k0")) * F.col("v1")
+    return found.select("cluster", F.when(F.col("k0") == F.col("k1"), F.col("v0")).otherwise(between).alias("limit"))
+
+
 def edge_candidates(dist: DataFrame, percentile: float = 95.0) -> DataFrame:
     """Rows as far as the cluster's percentile (linear) or farther."""
-    limit = dist.groupBy("cluster").agg(F.round(F.percentile("dist", F.lit(percentile / 100.0)), 9).alias("limit"))
+    limit = _percentiles(dist, percentile).withColumn("limit", F.round("limit", 9))
     return dist.join(limit, "cluster").where(F.col("dist") >= F.col("limit")).select("row_id", "cluster", "dist")
 
 

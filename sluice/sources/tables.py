@@ -52,13 +52,21 @@ def read_headerless(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
 
 
-def write_by_label(df: DataFrame, label: str, path: str, files: int = 1) -> None:
-    """A folder for each label; a hot label's rows are spread over several tasks, and files, by a digest."""
+#: Rows that a file of a label has about.
+ROWS_OF_FILE = 500_000
+
+
+def write_by_label(df: DataFrame, label: str, path: str, rows_of_file: int | None = None) -> None:
+    """A folder for each label; a label's rows are spread over as many tasks, and files, as its number of rows asks for."""
     from sluice import staging
 
+    columns, free = [F.col(f"`{c}`") for c in df.columns], "_" * (1 + max(map(len, df.columns)))
     out = df.withColumn("label_safe", scalars.safe_name(F.col(f"`{label}`")))
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(max(1, files)))
-    out.repartition(staging.partitions(df.sparkSession), "label_safe", salt).write.mode("overwrite").partitionBy("label_safe").parquet(path)
+    files = out.groupBy("label_safe").agg(F.ceil(F.count("*") / F.lit(rows_of_file or ROWS_OF_FILE)).cast("int").alias(f"{free}n"))
+    # as many rows as labels
+    dealt = out.join(files.withColumnRenamed("label_safe", f"{free}of"), F.col("label_safe").eqNullSafe(F.col(f"{free}of"))).withColumn(f"{free}salt", F.pmod(F.xxhash64(*columns), F.col(f"{free}n")))
+    dealt = dealt.repartition(staging.partitions(df.sparkSession), "label_safe", f"{free}salt").select(*columns, "label_safe")
+    dealt.write.mode("overwrite").partitionBy("label_safe").parquet(path)
 
 
 def read_labels(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:

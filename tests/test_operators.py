@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -327,7 +328,7 @@ def test_files(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("1", "2", "A b/c"), ("3", "4", "B"), ("5", "6", "B")]
     with pytest.raises(ValueError, match="lacks"):
         tables.read_csv(spark, paths, ["z"])
-    tables.write_by_label(df, "Label", str(tmp_path / "out"), files=2)
+    tables.write_by_label(df, "Label", str(tmp_path / "out"), rows_of_file=1)
     back = tables.read_labels(spark, str(tmp_path / "out"), ["A b/c"])
     assert back.count() == 1 and "PartitionFilters: [" in back._jdf.queryExecution().toString()
     (tmp_path / "n.txt").write_text("1,2\n3,4\n")
@@ -368,3 +369,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = clean.drop_negative_rows(spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_acctbal"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan and "PushedFilters: []" not in plan
+
+
+def test_percentiles_of_clusters_equal_the_exact_ones(spark):
+    rng = random.Random(6)
+    rows = [(c, d) for c, values in {1: [rng.random() for _ in range(500)], 2: [3.5], 3: [1.0] * 40 + [2.0], 4: [rng.choice([0.0, 1e-9, 5.0]) for _ in range(77)], 5: [0.0, 1e6]}.items() for d in values]
+    dist = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(rows)] + [(999, 1, None)], "row_id long, cluster int, dist double")
+    for p in (0.0, 50.0, 92.0, 95.0, 100.0):
+        want = {r.cluster: r.x for r in dist.groupBy("cluster").agg(F.percentile("dist", F.lit(p / 100)).alias("x")).collect()}
+        got = {r.cluster: r.limit for r in cluster._percentiles(dist, p).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_a_hot_label_has_several_files(spark, tmp_path):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "Hot one").when(F.col("id") < 990, "b").alias("label"), F.col("id").alias("_files"))
+    tables.write_by_label(df, "label", str(tmp_path / "o"), rows_of_file=100)
+    back = tables.read_labels(spark, str(tmp_path / "o"))
+    assert back.select("label", "_files").exceptAll(df).count() == 0 and back.count() == 1000
+    assert len(list((tmp_path / "o" / "label_safe=hot_one").glob("*.parquet"))) > 2
