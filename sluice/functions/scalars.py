@@ -104,3 +104,8 @@ def f1(precision: Column, recall: Column) -> Column:
 def divided(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, 0.0).otherwise(a / F.when(b != 0, b))
+
+
+def embedding_size(cardinality: int, most: int) -> int:
+    """Dimensions of a category's embedding: half of its values, 2 at least and so many at most."""
+    return min(most, max(2, cardinality // 2))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import encoders, scalars
 from sluice.functions.ranking import digest
-from sluice.operators import augment, clean, cluster, ensemble, metrics, profile, split
+from sluice.operators import attacks, augment, clean, cluster, ensemble, metrics, profile, split
 from sluice.sources import tables
 from sluice.spec import CONNECTIONS, DatasetSpec
 
@@ -593,6 +593,41 @@ def signed_step(spark, d):
     return augment.signed_step(rows, ["p_size", "p_retailprice"], {"p_size": 1.0, "p_retailprice": -2.0}, 0.5, ["p_size"], 900.0, 1500.0)
 
 
+_LINEAR = {"p_size": 0.5, "p_retailprice": -0.02, "p_partkey": 0.001}
+_LINEAR_SQL = """r AS (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice, 2.0::DOUBLE + 0.5::DOUBLE * p_size - 0.02::DOUBLE * p_retailprice + 0.001::DOUBLE * p_partkey AS f FROM part),
+    a AS (SELECT *, CASE WHEN f > 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM r)"""
+
+
+def _attacked(spark, d, attack, **parameters):
+    rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    out = attack(rows, _LINEAR, 2.0, immutable=("p_partkey",), **parameters)
+    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("p_size", "p_retailprice")))
+
+
+@query(f"WITH {_LINEAR_SQL} SELECT p_partkey, round(p_size + s * 0.3, 6) AS p_size, round(p_retailprice - s * 0.3, 6) AS p_retailprice FROM a")
+def attack_pgd(spark, d):
+    return _attacked(spark, d, attacks.pgd, eps=0.3, step=0.1, steps=40)
+
+
+@query(f"WITH {_LINEAR_SQL} SELECT p_partkey, round(p_size - f * 1.02 * (0.5 / 0.2504), 6) AS p_size, round(p_retailprice - f * 1.02 * (-0.02 / 0.2504), 6) AS p_retailprice FROM a")
+def attack_deepfool(spark, d):
+    return _attacked(spark, d, attacks.deepfool)
+
+
+@query(f"WITH {_LINEAR_SQL} SELECT p_partkey, round(p_size + s * (abs(f) + 0.5) * (0.5 / 0.2504), 6) AS p_size, round(p_retailprice + s * (abs(f) + 0.5) * (-0.02 / 0.2504), 6) AS p_retailprice FROM a")
+def attack_carlini(spark, d):
+    return _attacked(spark, d, attacks.carlini, confidence=0.5)
+
+
+@query(
+    f"""WITH {_LINEAR_SQL}, b AS (SELECT *, p_size + s * 10 AS moved FROM a),
+    c AS (SELECT *, 2.0::DOUBLE + 0.5::DOUBLE * moved - 0.02::DOUBLE * p_retailprice + 0.001::DOUBLE * p_partkey AS g FROM b)
+    SELECT p_partkey, round(moved, 6) AS p_size, round(CASE WHEN (g > 0) = (f > 0) THEN p_retailprice - s * 10 ELSE p_retailprice END, 6) AS p_retailprice FROM c"""
+)
+def attack_jsma(spark, d):
+    return _attacked(spark, d, attacks.jsma, theta=10.0, gamma=0.7)
+
+
 _PRED = "y AS (SELECT label AS y_true, (CASE WHEN vec_id % {k} = 0 THEN (label + 1) % 9 ELSE label END)::INTEGER AS y_pred FROM embeddings WHERE label < 8)"
 
 

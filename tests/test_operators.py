@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice import staging
 from sluice.functions import encoders, ranking, scalars
-from sluice.operators import augment, clean, cluster, ensemble, metrics, models, profile, split
+from sluice.operators import attacks, augment, clean, cluster, ensemble, metrics, models, profile, split
 from sluice.sources import blobs, tables
 from sluice.spec import CONNECTIONS, FLOWS
 from sluice.streaming import clean_stream
@@ -387,3 +387,28 @@ def test_a_hot_label_has_several_files(spark, tmp_path):
     back = tables.read_labels(spark, str(tmp_path / "o"))
     assert back.select("label", "_files").exceptAll(df).count() == 0 and back.count() == 1000
     assert len(list((tmp_path / "o" / "label_safe=hot_one").glob("*.parquet"))) > 2
+
+
+def test_embedding_size():
+    assert [scalars.embedding_size(n, 8) for n in (1, 2, 5, 9, 100)] == [2, 2, 2, 4, 8]
+
+
+def test_attacks_change_the_class_and_leave_immutable_columns(spark):
+    rng = random.Random(4)
+    weights, bias = {"a": 2.0, "b": -1.0, "c": 0.5, "kept": 3.0}, -0.4
+    rows = [(i, *(rng.uniform(-1, 1) for _ in weights)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, kept double")
+    before = {r.id: r for r in df.collect()}
+    f = lambda r: bias + sum(w * r[c] for c, w in weights.items())
+    for attack in (attacks.deepfool, lambda *x, **k: attacks.carlini(*x, confidence=0.1, **k), lambda *x, **k: attacks.pgd(*x, eps=5.0, step=0.5, steps=20, **k)):
+        after = {r.id: r for r in attack(df, weights, bias, immutable=("kept",)).collect()}
+        assert all((f(r) > 0) != (f(before[i]) > 0) and r.kept == before[i].kept for i, r in after.items())
+    for r in attacks.carlini(df, weights, bias, confidence=0.1, immutable=("kept",)).collect():
+        assert abs(f(r)) == pytest.approx(0.1)
+    near = {r.id: r for r in attacks.pgd(df, weights, bias, eps=0.2, step=0.1, steps=9, immutable=("kept",), low=-1.0, high=1.0).collect()}
+    assert all(abs(r[c] - before[i][c]) <= 0.2 + 1e-12 and -1 <= r[c] <= 1 for i, r in near.items() for c in "abc")
+    moved = {r.id: r for r in attacks.jsma(df, weights, bias, theta=0.5, gamma=0.5, immutable=("kept",)).collect()}
+    for i, r in moved.items():
+        changed = [c for c in "abc" if r[c] != before[i][c]]
+        first = f(before[i]) + (-1 if f(before[i]) > 0 else 1) * 1.0
+        assert changed == (["a"] if (first > 0) != (f(before[i]) > 0) else ["a", "b"])
