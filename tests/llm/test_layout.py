@@ -63,6 +63,8 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert len(rows) == 22 and {r.law for r in rows} == {"rows"} and all(r.grown_shard is None for r in rows)
     assert sorted(collections.Counter(r.shard for r in rows).values()) == [1] * 10 + [2] * 6
     assert hilbert.sharded(df.limit(0)).collect() == []
+    alike = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    assert collections.Counter(collections.Counter(r.shard for r in hilbert.sharded(alike).collect()).values()) == {3: 8, 2: 8}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     hilbert.write(docs, str(tmp_path / "o"))
     back = spark.read.parquet(str(tmp_path / "o"))
