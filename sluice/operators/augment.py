@@ -8,12 +8,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
-from sluice.functions import scalars
-from sluice.operators import clean, metrics
+from sluice.functions import scalars, trees
+from sluice.operators import clean, metrics, models
 
 
 def postfilter(scored: DataFrame, need: int, threshold: float | None, score: str = "score", tie: str = "row_id") -> DataFrame:
@@ -42,23 +43,17 @@ def critic_set(minority: DataFrame, opposite: DataFrame, label: str, own: int) -
     return clean.union_by_name(minority, opposite).withColumn("target", (F.col(label) != own).cast("int"))
 
 
-def fit_postfilter(positives: DataFrame, negatives: DataFrame, columns: list[str], seed: int = 7, trees: int = 500, depth: int = 6, min_precision: float | None = None):
+def fit_postfilter(positives: DataFrame, negatives: DataFrame, columns: list[str], seed: int = 7, rounds: int = 500, depth: int = 6, min_precision: float | None = None):
     """A function that adds score to a table, and a threshold or None: boosted trees, the rarer class weighted up."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     data = positives.select(*columns, F.lit(1).alias("target")).unionByName(negatives.select(*columns, F.lit(0).alias("target")))
     weight = metrics_weight(data)
-    assemble = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
     held = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(5)) == 0
-    staging.checkpoints(data.sparkSession)
-    ready = assemble.transform(data.withColumn("_w", F.when(F.col("target") == 1, F.lit(weight)).otherwise(1.0)))
-    model = GBTClassifier(featuresCol="_features", labelCol="target", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(ready.where(~held))
+    ready = models.assembled(data.where(~held).select(*columns, F.col("target").alias("label"), F.when(F.col("target") == 1, F.lit(weight)).otherwise(1.0).alias("weight")), columns)
+    model = models.boosted(ready, 2, trees.Boosting(rounds, rounds, depth, 0.05, rows=0.8, columns=0.8, weight=1.0, penalty=1.0), seed)
 
     def score(df: DataFrame) -> DataFrame:
-        out = model.transform(assemble.transform(df))
-        return out.withColumn("score", vector_to_array("probability")[1]).drop("_features", "probability", "rawPrediction", "prediction")
+        out = model.with_shares(VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep").transform(df), "_features", "_p")
+        return out.withColumn("score", F.col("_p")[1]).drop("_features", "_p")
 
     threshold = None
     if min_precision is not None:

@@ -1,25 +1,42 @@
-"""Classifiers behind one interface, by the engine's own learners, and their evaluation."""
+"""Classifiers behind one interface: trees fitted in tasks of their own, a multilayer perceptron, and their evaluation."""
 
 from __future__ import annotations
 
 import dataclasses
-from multiprocessing.pool import ThreadPool
+from collections.abc import Callable
 
-from pyspark import SparkContext, inheritable_thread_target
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
-from sluice.functions import scalars
+from sluice.functions import scalars, trees
+from sluice.functions.ranking import digest, ranked
+from sluice.functions.trees import Boosting
 from sluice.operators import ensemble, metrics, split
 
 #: Kinds of models and the learners that stand for them.
 KINDS = ("xgb", "catb", "bagging", "histgbm", "dnn")
 
+#: Trees are fitted on at most so many rows, as many of each label; weights keep the labels' shares.
+ROWS = 200_000
+
+#: Rounds, patience, depth, steps, parts and penalties of the boosted kinds, number of trees of the bagged one.
+BOOSTED = {
+    "xgb": Boosting(1200, 20, 8, 0.08, rows=0.9, columns=0.9, weight=1.0, penalty=1.0),
+    "catb": Boosting(2000, 50, 8, 0.08, penalty=3.0),
+    "histgbm": Boosting(500, 10, 30, 0.1, leaf=20),
+}
+BAGGED = 300
+#: A bagged tree's depth at most; its leaves are pure long before.
+DEEPEST = 200
+
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
@@ -29,129 +46,152 @@ def vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(scalars.doubles(F.col(column))))
 
 
-@dataclasses.dataclass(frozen=True)
-class Boosting:
-    """Rounds at most, and after how many without gain on the validation rows training ends; the learner's settings."""
+@dataclasses.dataclass
+class TreeModel:
+    """Trees of one group (bagged) or of a group for each class (boosted, one against the rest; one group for two classes)."""
 
-    rounds: int
-    patience: int
-    depth: int
-    step: float
-    rows: float = 1.0
-    columns: str = "all"
-    leaf: int = 1
+    cuts: list[np.ndarray]
+    groups: list[trees.Trees]
+    bagged: bool
+    classes: int
 
-    def learner(self, rounds: int, seed: int) -> GBTClassifier:
-        return GBTClassifier(maxIter=rounds, maxDepth=self.depth, stepSize=self.step, subsamplingRate=self.rows, featureSubsetStrategy=self.columns, minInstancesPerNode=self.leaf, seed=seed)
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """(rows, classes)"""
+        codes = trees.binned(x, self.cuts)
+        if self.bagged:
+            return self.groups[0].total(codes) / len(self.groups[0].roots)
+        odds = np.concatenate([1 / (1 + np.exp(-np.clip(g.total(codes), -500, 500))) for g in self.groups], axis=1)
+        return np.concatenate([1 - odds, odds], axis=1) if self.classes == 2 else odds / odds.sum(axis=1, keepdims=True)
 
+    def with_shares(self, df: DataFrame, features: str = "features", name: str = "p") -> DataFrame:
+        return df.withColumn(name, shares_of(df.sparkSession.sparkContext.broadcast(self))(vector_to_array(features)))
 
-#: Spark's trees are 30 deep at most, which stands for no limit.
-DEEPEST = 30
-BOOSTED = {"xgb": Boosting(1200, 20, 8, 0.08, 0.9, "0.9"), "catb": Boosting(2000, 50, 8, 0.08), "histgbm": Boosting(500, 10, DEEPEST, 0.1, leaf=20)}
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [("cuts", i, np.asarray(c, np.float64).tobytes()) for i, c in enumerate(self.cuts)]
+        rows += [("bagged" if self.bagged else "boosted", self.classes, None), *(("group", i, bytearray(g.pack())) for i, g in enumerate(self.groups))]
+        spark.createDataFrame(rows, "part string, number int, data binary").coalesce(1).write.mode("overwrite").parquet(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeModel:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.number)
+        kind = next(r for r in rows if r.part in ("bagged", "boosted"))
+        cuts = [np.frombuffer(r.data, np.float64) for r in rows if r.part == "cuts"]
+        return cls(cuts, [trees.Trees.unpack(bytes(r.data)) for r in rows if r.part == "group"], kind.part == "bagged", kind.number)
 
-def learner(kind: str, classes: int, inputs: int, seed: int = 42, size: int = 1):
-    """Of the kinds without boosting; size scales the number of trees or iterations."""
-    if kind == "bagging":
-        return RandomForestClassifier(numTrees=300 * size, maxDepth=DEEPEST, featureSubsetStrategy="all", bootstrap=True, seed=seed)
-    if kind == "dnn":
-        return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 256, 128, classes], maxIter=40 * size, seed=seed)])
-    raise ValueError(f"unknown kind of model: {kind}")
 
+def shares_of(model: Broadcast) -> Callable:
+    @F.pandas_udf("array<double>")
+    def shares(features: pd.Series) -> pd.Series:
+        unknown = np.full(len(model.value.cuts), np.nan)
+        x = np.stack([unknown, *(unknown if f is None else f for f in features)])
+        return pd.Series(list(model.value.shares(x)[1:]), dtype=object)
 
-def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model as it was after n rounds."""
-    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
-    jvm, trees = gateway.jvm, java.trees()
-    kept, weights = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
-    for i, w in enumerate(model.treeWeights[:n]):
-        kept[i], weights[i] = trees[i], w
-    short = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, kept, weights, model.numFeatures, model.numClasses)
-    return model._copyValues(GBTClassificationModel(short))
+    return shares
 
 
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """The round (from 1) with the least loss before patience rounds bring no gain, and whether it came to that."""
-    best = 0
-    for i, x in enumerate(losses):
-        if x < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
+def sampled(df: DataFrame, classes: int, seed: int, rows: int = ROWS) -> tuple[np.ndarray, ...]:
+    """(features, label, weight, held): a bounded sample, of which a tenth of each label is held for validation.
 
+    All rows come if there are no more than rows // classes of a label; those without features or label never do.
+    The order doesn't depend on partitions.
+    """
+    most = max(1, rows // classes)
+    weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+    plain = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"), weight.alias("w"))
+    plain = plain.where("x IS NOT NULL AND label IS NOT NULL").withColumn("_key", F.xxhash64("x", "label"))
+    with staging.scope():
+        some = ranked(plain, ["label"], digest("_key", seed=seed)).where(F.col("rank") <= most)
+        some = staging.stage(some.withColumn("w", F.col("w") * F.col("total") / F.least("total", F.lit(most))).drop("rank", "total"), "training")
+        got = split.stratified_validation(some, "label", ["_key"], seed=seed).toArrow()
+    if not got.num_rows:
+        raise ValueError("no rows to learn from")
+    got = got.sort_by([("_key", "ascending"), ("label", "ascending"), ("subset", "ascending")]).combine_chunks()
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    return x, got["label"].to_numpy(), got["w"].to_numpy(), np.array(got["subset"].to_pylist()) == "validation"
 
-def boosted(train: DataFrame, validation: DataFrame, how: Boosting, seed: int = 42, size: int = 1) -> GBTClassificationModel:
-    """Rounds until patience ends or all are done, then cut after the best one.
 
-    Spark's own rule ends at the first round without gain, and its learner can't go on with a model: it's fitted anew
-    with twice the rounds (the same trees first, as seeds are by round) until the losses show the end.
-    """
-    most, n = how.rounds * size, min(how.rounds * size, 2 * how.patience)
-    while True:
-        model = how.learner(n, seed).fit(train)
-        best, ended = best_round(model.evaluateEachIteration(validation), how.patience)
-        if ended or n == most:
-            return first_rounds(model, best)
-        n = most if 4 * n > 3 * most else min(2 * n, most)
+def fitted(spark: SparkSession, tasks: int, fit: Callable[[int, object], trees.Trees], data: object) -> list[trees.Trees]:
+    """fit(task, data) for each task, in a Spark task of its own; data (a bounded sample) goes to the executors once."""
+    sent = spark.sparkContext.broadcast(data)
+
+    def run(batches):
+        for b in batches:
+            for i in b.id:
+                yield pd.DataFrame({"id": [i], "made": [fit(int(i), sent.value).pack()]})
+
+    rows = spark.range(0, tasks, 1, tasks).mapInPandas(run, "id long, made binary").collect()
+    sent.destroy()
+    return [trees.Trees.unpack(bytes(r.made)) for r in sorted(rows, key=lambda r: r.id)]
 
 
-def one_against_rest(train: DataFrame, validation: DataFrame, classes: int, how: Boosting, seed: int = 42, size: int = 1) -> OneVsRestModel:
-    """A boosted model for each class, each with its own end."""
+def boosted(df: DataFrame, classes: int, how: Boosting, seed: int = 42) -> TreeModel:
+    """A boosted model for each class against the rest, each with its own end; for two classes one of the second."""
+    x, label, w, held = sampled(df, classes, seed)
+    cuts = trees.cuts_of(x[~held])
 
-    def fit(c: int) -> GBTClassificationModel:
-        own = [df.select("features", (F.col("label") == c).cast("double").alias("label")) for df in (train, validation)]
-        return boosted(*own, how, seed, size)
+    def one(i, data):
+        codes, label, w, held = data
+        return trees.boost(codes, (label == (1 if classes == 2 else i)).astype(float), w, held, how, seed)
 
-    with ThreadPool(4) as pool:
-        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(classes))
-    return OneVsRest(classifier=how.learner(how.rounds * size, seed))._copyValues(OneVsRestModel(models=fitted))
+    groups = fitted(df.sparkSession, 1 if classes == 2 else classes, one, (trees.binned(x, cuts), label, w, held))
+    return TreeModel(cuts, groups, False, classes)
+
+
+def bagged(df: DataFrame, classes: int, n: int = BAGGED, depth: int = DEEPEST, seed: int = 42) -> TreeModel:
+    """n full trees, each on rows drawn with replacement, each in a task of its own."""
+    x, label, w, _ = sampled(df, classes, seed)
+    cuts = trees.cuts_of(x)
+
+    def one(i, data):
+        codes, label, w = data
+        return trees.bag(codes, label, w, classes, depth, seed * 100_003 + i)
+
+    return TreeModel(cuts, [trees.together(fitted(df.sparkSession, n, one, (trees.binned(x, cuts), label, w)))], True, classes)
 
 
 @dataclasses.dataclass
 class Classifier:
-    """fit, predict, save, load over tables with features (a vector) and label (a number)."""
+    """fit, predict, save, load over tables with features (a vector) and label (a number from 0)."""
 
     kind: str
     classes: int
     model: object = None
 
     def fit(self, df: DataFrame, seed: int = 42, size: int = 1) -> Classifier:
+        """size scales the number of trees, rounds or iterations."""
         if self.kind in BOOSTED:
             how = BOOSTED[self.kind]
-            staging.checkpoints(df.sparkSession)
-            rows = df.select("features", F.col("label").cast("double").alias("label"), F.xxhash64(vector_to_array("features"), "label").alias("_key"))
-            with staging.scope():
-                parts = staging.stage(split.stratified_validation(rows, "label", ["_key"], seed=seed), "boosting")
-                two = [parts.where(F.col("subset") == x).select("features", "label") for x in ("train", "validation")]
-                one = boosted(*two, how, seed, size) if self.classes == 2 else one_against_rest(*two, self.classes, how, seed, size)
-            self.model = PipelineModel([one])
-            return self
-        inputs = len(df.select(vector_to_array("features").alias("f")).first().f)
-        self.model = Pipeline(stages=[learner(self.kind, self.classes, inputs, seed, size)]).fit(df)
+            self.model = boosted(df, self.classes, dataclasses.replace(how, rounds=how.rounds * size), seed)
+        elif self.kind == "bagging":
+            self.model = bagged(df, self.classes, BAGGED * size, seed=seed)
+        elif self.kind == "dnn":
+            inputs = len(df.select(vector_to_array("features").alias("f")).first().f)
+            net = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 256, 128, self.classes], maxIter=40 * size, seed=seed)
+            self.model = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), net]).fit(df)
+        else:
+            raise ValueError(f"unknown kind of model: {self.kind}")
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """df with p (a probability for each class; one-hot for models without) and y_pred."""
-        out = self.model.transform(df)
-        if "probability" in out.columns:
-            p = vector_to_array("probability")
-        elif "rawPrediction" in out.columns:
-            # margins of one against the rest, as odds
-            odds = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-            p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+        """df with p (a probability for each class) and y_pred, ties to the smaller label. Rows without features count as unknown in all columns."""
+        if isinstance(self.model, TreeModel):
+            out = self.model.with_shares(df).withColumn("y_pred", F.array_position("p", F.array_max("p")).cast("int") - 1)
         else:
-            p = scalars.one_hot(F.col("prediction").cast("int"), self.classes)
-        # learners size their output by the labels they saw
-        p = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(self.classes) - F.size(p))))
-        return out.withColumn("p", p).withColumn("y_pred", F.col("prediction").cast("int")).select(*df.columns, "p", "y_pred")
+            p = vector_to_array("probability")
+            out = self.model.transform(df).withColumn("p", p).withColumn("y_pred", F.col("prediction").cast("int"))
+        return out.select(*df.columns, "p", "y_pred")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/{self.kind}")
+        to = f"{path}/{self.kind}"
+        if isinstance(self.model, TreeModel):
+            self.model.save(SparkSession.active(), to)
+        else:
+            self.model.write().overwrite().save(to)
 
     @classmethod
     def load(cls, path: str, kind: str, classes: int) -> Classifier:
-        return cls(kind, classes, PipelineModel.load(f"{path}/{kind}"))
+        where = f"{path}/{kind}"
+        return cls(kind, classes, PipelineModel.load(where) if kind == "dnn" else TreeModel.load(SparkSession.active(), where))
 
 
 def evaluate(model: Classifier, test: DataFrame) -> DataFrame:

@@ -78,12 +78,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Learners of many rounds cut their lineage only if there is a folder for it."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/rounds")
-
-
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     for made in _scopes:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice import staging
-from sluice.functions import encoders, ranking, scalars
+from sluice.functions import encoders, ranking, scalars, trees
 from sluice.operators import attacks, augment, clean, cluster, ensemble, metrics, models, profile, split
 from sluice.sources import blobs, tables
 from sluice.spec import CONNECTIONS, FLOWS
@@ -254,7 +254,7 @@ def test_critic_set_and_postfilter_classifier(spark):
     b = spark.createDataFrame([(1, float(-i - 5), 0.0) for i in range(60)], "Label int, x double, y double")
     both = augment.critic_set(a, b, "Label", 0)
     assert {r.target: r["count"] for r in both.groupBy("target").count().collect()} == {0: 60, 1: 60}
-    score, threshold = augment.fit_postfilter(a, b, ["x", "y"], trees=5, min_precision=0.9)
+    score, threshold = augment.fit_postfilter(a, b, ["x", "y"], rounds=60, min_precision=0.9)
     assert score(a).agg(F.avg("score")).first()[0] > 0.8 and 0 <= threshold <= 1
 
 
@@ -279,39 +279,101 @@ def test_models_save_and_load(spark, tmp_path):
     assert voted.where("y_pred <> label").count() == 0
 
 
-def test_learners_are_as_large_as_the_reference(spark):
+def test_learners_are_as_large_as_the_reference():
     import inspect
 
     assert {k: (b.rounds, b.depth, b.patience) for k, b in models.BOOSTED.items()} == {"xgb": (1200, 8, 20), "catb": (2000, 8, 50), "histgbm": (500, 30, 10)}
-    forest = models.learner("bagging", 3, 4)
-    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 30)
+    assert models.BAGGED == 300
     post = inspect.signature(augment.fit_postfilter).parameters
-    assert (post["trees"].default, post["depth"].default) == (500, 6)
+    assert (post["rounds"].default, post["depth"].default) == (500, 6)
 
 
-def test_boosting_ends_by_patience(spark):
-    assert models.best_round([3.0, 2.0, 2.5, 1.0, 1.5, 1.5, 0.5], 2) == (4, True)
-    assert models.best_round([3.0, 2.0, 2.5, 1.0], 2) == (4, False)
+def test_boosting_ends_by_patience():
+    assert trees.best_round([3.0, 2.0, 2.5, 1.0, 1.5, 1.5, 0.5], 2) == (4, True)
+    assert trees.best_round([3.0, 2.0, 2.5, 1.0], 2) == (4, False)
     rng = np.random.default_rng(0)
-    rows = spark.createDataFrame([(float(x > 0.5) if rng.random() > 0.2 else float(x <= 0.5), float(x)) for x in rng.random(300)], "label double, x double")
-    data = models.assembled(rows, ["x"]).select("features", "label").coalesce(1).cache()
-    train, validation = data.where("abs(hash(features)) % 4 <> 0"), data.where("abs(hash(features)) % 4 = 0")
-    how = models.Boosting(8, 2, 3, 0.5)
-    losses = how.learner(8, 42).fit(train).evaluateEachIteration(validation)
-    made = models.boosted(train, validation, how)
-    assert made.getNumTrees == models.best_round(losses, 2)[0]
-    same = how.learner(made.getNumTrees, 42).fit(train)
-    p = [sorted(r.probability[1] for r in m.transform(validation).collect()) for m in (made, same)]
-    assert np.allclose(*p)
+    x = rng.random((400, 2))
+    y = ((x[:, 0] > 0.5) ^ (rng.random(400) < 0.2)).astype(float)
+    cuts = trees.cuts_of(x)
+    codes, w, held = trees.binned(x, cuts), np.ones(400), np.arange(400) % 4 == 0
+    how = trees.Boosting(60, 3, 3, 0.5)
+    made = trees.boost(codes, y, w, held, how, 1)
+    n = len(made.roots) - 1
+    assert 1 <= n < 60
+    every = trees.boost(codes, y, w, np.zeros(400, bool), trees.Boosting(5, 3, 3, 0.5), 1)
+    assert len(every.roots) == 6
+    same = trees.Trees.unpack(made.pack())
+    assert np.array_equal(same.total(codes), made.total(codes)) and np.mean((made.total(codes)[:, 0] > 0) == (x[:, 0] > 0.5)) > 0.9
+
+
+def _best_split(x, g, h, penalty, leaf):
+    """(gain, column, cut) by trying every value of every column."""
+    best = (1e-9, -1, 0.0)
+    for f in range(x.shape[1]):
+        for c in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= c
+            if min(left.sum(), (~left).sum()) < leaf:
+                continue
+            parts = [g[k].sum() ** 2 / (h[k].sum() + penalty) for k in (left, ~left, np.ones(len(g), bool))]
+            best = max(best, (parts[0] + parts[1] - parts[2], f, c), key=lambda t: t[0] - 1e-12 * t[1])
+    return best
+
+
+def _by_hand(x, g, h, depth, penalty, leaf):
+    """Each row's leaf value, by recursion over every split."""
+    gain, f, c = _best_split(x, g, h, penalty, leaf) if depth else (0, -1, 0)
+    if f < 0:
+        return np.full(len(g), -g.sum() / (h.sum() + penalty))
+    left, out = x[:, f] <= c, np.empty(len(g))
+    for k in (left, ~left):
+        out[k] = _by_hand(x[k], g[k], h[k], depth - 1, penalty, leaf)
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1 << 21, 1])
+def test_a_tree_has_the_best_split_of_every_node(monkeypatch, blocks):
+    monkeypatch.setattr(trees, "CELLS", blocks)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (150, 4)) + rng.random(4)
+    y = (rng.random(150) < 0.2 + 0.6 * (x[:, 1] > 6)).astype(float)
+    codes = trees.binned(x, trees.cuts_of(x))
+    for leaf in (1, 9):
+        made = trees.boost(codes, y, np.ones(150), np.zeros(150, bool), trees.Boosting(1, 1, 4, 0.1, leaf=leaf, penalty=1.0), 0)
+        p = y.mean()
+        want = np.log(p / (1 - p)) + 0.1 * _by_hand(x, p - y, np.full(150, p * (1 - p)), 4, 1.0, leaf)
+        assert np.allclose(made.total(codes)[:, 0], want)
+
+
+def test_bagged_trees_are_full_and_handle_what_is_missing():
+    x = np.array([[0.0, np.nan], [1.0, 5.0], [2.0, np.nan], [3.0, 5.0]] * 10)
+    label = np.array([0, 1, 2, 1] * 10)
+    codes = trees.binned(x, trees.cuts_of(x))
+    made = trees.together([trees.bag(codes, label, np.ones(40), 3, 200, i) for i in range(20)])
+    shares = made.total(codes) / 20
+    assert np.allclose(shares.sum(axis=1), 1) and np.array_equal(shares.argmax(axis=1), label)
+    flat = trees.bag(np.zeros((5, 2), np.uint8), np.array([0, 0, 1, 1, 1]), np.ones(5), 2, 200, 0)
+    assert len(flat.feature) == 1
+
+
+def test_training_rows_are_bounded_and_weighted(spark):
+    rows = spark.createDataFrame([(float(i % 7), int(i % 10 == 0)) for i in range(200)] + [(None, 1), (1.0, None)], "v double, label int")
+    data = models.assembled(rows, ["v"])
+    x, label, w, held = models.sampled(data.where("v IS NOT NULL"), 2, 42, rows=60)
+    assert x.shape == (50, 1) and sorted(np.bincount(label)) == [20, 30] and held.sum() == 5
+    assert np.allclose([w[label == 0].sum(), w[label == 1].sum()], [180, 20])
+    again = models.sampled(data.where("v IS NOT NULL").repartition(5), 2, 42, rows=60)
+    assert np.array_equal(again[0], x) and np.array_equal(again[1], label)
+    with pytest.raises(ValueError, match="no rows"):
+        models.sampled(data.limit(0), 2, 42)
 
 
 def test_boosting_of_three_classes(spark, tmp_path, monkeypatch):
-    monkeypatch.setitem(models.BOOSTED, "xgb", models.Boosting(6, 2, 2, 0.3))
+    monkeypatch.setitem(models.BOOSTED, "xgb", trees.Boosting(6, 2, 2, 0.3))
     rows = spark.createDataFrame([(i, i % 3, float(i % 3) + i % 5 / 1000) for i in range(90)], "id int, label int, x double")
     data = models.assembled(rows, ["x"])
     models.Classifier("xgb", 3).fit(data).save(str(tmp_path))
     again = models.Classifier.load(str(tmp_path), "xgb", 3)
-    assert len(again.model.stages[0].models) == 3 and all(1 <= m.getNumTrees <= 6 for m in again.model.stages[0].models)
+    assert len(again.model.groups) == 3 and all(2 <= len(g.roots) <= 7 for g in again.model.groups)
     out = again.predict(data).collect()
     assert all(r.y_pred == r.label and len(r.p) == 3 and abs(sum(r.p) - 1) < 1e-9 for r in out)
 
