@@ -82,11 +82,12 @@ def _middle(gain: np.ndarray, width: int) -> np.ndarray:
     return np.where(gain[rows, middle] == gain[rows, first], middle, first)
 
 
-def grow(codes: np.ndarray, sums, score, enough, depth: int) -> tuple[Trees, np.ndarray]:
+def grow(codes: np.ndarray, sums, score, enough, divisible, depth: int) -> tuple[Trees, np.ndarray]:
     """A tree without values, level by level, and the leaf of each row.
 
-    sums(rows, place, size) adds the rows' figures up by place, (size, figures); score values a group by its sums and
-    enough says whether it may stand alone. Nodes of a level are taken in blocks of a bounded histogram.
+    sums(rows, place, size, f) adds the rows' figures up by place, (size, figures), each row f times; score values a group
+    by its sums, enough says whether it may stand alone, divisible whether a split is worth a search. Nodes of a level are
+    taken in blocks of a bounded histogram.
     """
     n, f = codes.shape
     bins = int(codes.max(initial=0)) + 1
@@ -95,21 +96,24 @@ def grow(codes: np.ndarray, sums, score, enough, depth: int) -> tuple[Trees, np.
     step = max(1, CELLS // (f * bins))
     while levels < depth and bins > 1 and len(rows):
         m, found = len(feature) - first, []
-        for lo in range(first, first + m, step):
-            k = min(step, first + m - lo)
-            some = rows[(at[rows] >= lo) & (at[rows] < lo + k)]
-            place = ((at[some] - lo)[:, None].astype(np.int64) * f + np.arange(f)) * bins + codes[some]
-            left = sums(some, place.ravel(), k * f * bins).reshape(k, f, bins, -1).cumsum(axis=2)
+        may = divisible(sums(rows, at[rows] - first, m, 1))
+        rows, slot, tried = rows[may[at[rows] - first]], np.cumsum(may) - 1, np.flatnonzero(may)
+        where = slot[at[rows] - first]
+        for lo in range(0, len(tried), step):
+            k = min(step, len(tried) - lo)
+            here = (where >= lo) & (where < lo + k)
+            place = ((where[here] - lo)[:, None] * f + np.arange(f)) * bins + codes[rows[here]]
+            left = sums(rows[here], place.ravel(), k * f * bins, f).reshape(k, f, bins, -1).cumsum(axis=2)
             total, left = left[:, :, -1:], left[:, :, :-1]
             right = total - left
             gain = np.where(enough(left) & enough(right), score(left) + score(right) - score(total), -np.inf).reshape(k, -1)
             best = _middle(gain, bins - 1)
             found.append(np.where(gain[np.arange(k), best] > GAIN, best, -1))
-        found = np.concatenate(found)
+        found = np.concatenate(found) if found else np.zeros(0, np.int64)
         split = np.flatnonzero(found >= 0)
         if not len(split):
             break
-        nodes = first + split
+        nodes = first + tried[split]
         feature[nodes], cut[nodes] = found[split] // (bins - 1), found[split] % (bins - 1)
         child[nodes] = first + m + 2 * np.arange(len(split))
         rows = rows[np.isin(at[rows], nodes)]
@@ -173,8 +177,8 @@ def boost(codes: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, how
         p = 1 / (1 + np.exp(-margin[rows]))
         g, h = w[rows] * (p - y[rows]), w[rows] * p * (1 - p)
 
-        def sums(some, place, size, g=g, h=h, k=len(columns)):
-            return np.stack([np.bincount(place, np.repeat(v[some], k), size) for v in (g, h)] + [np.bincount(place, minlength=size)], axis=1)
+        def sums(some, place, size, f, g=g, h=h):
+            return np.stack([np.bincount(place, np.repeat(v[some], f), size) for v in (g, h)] + [np.bincount(place, minlength=size)], axis=1)
 
         def score(s):
             return s[..., 0] ** 2 / (s[..., 1] + how.penalty + 1e-12)
@@ -182,7 +186,10 @@ def boost(codes: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, how
         def enough(s):
             return (s[..., 2] >= how.leaf) & (s[..., 1] >= how.weight)
 
-        tree, at = grow(codes[np.ix_(rows, columns)], sums, score, enough, how.depth)
+        def divisible(s):
+            return (s[:, 2] >= max(2, 2 * how.leaf)) & (s[:, 1] >= 2 * how.weight)
+
+        tree, at = grow(codes[np.ix_(rows, columns)], sums, score, enough, divisible, how.depth)
         tree.feature = columns[tree.feature].astype(np.int32)
         gs, hs = (np.bincount(at, v, len(tree.feature)) for v in (g, h))
         tree.value = (-how.step * gs / (hs + how.penalty + 1e-12))[:, None]
@@ -197,12 +204,12 @@ def boost(codes: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, how
 
 def bag(codes: np.ndarray, label: np.ndarray, w: np.ndarray, classes: int, depth: int, seed: int) -> Trees:
     """A tree on rows drawn with replacement; its leaves' values are the classes' shares."""
-    n, f = codes.shape
+    n = len(codes)
     drawn = np.bincount(np.random.default_rng(seed).integers(0, n, n), minlength=n)
     rows = np.flatnonzero(drawn)
     weight, label = (w * drawn)[rows], label[rows]
 
-    def sums(some, place, size):
+    def sums(some, place, size, f):
         return np.bincount(place * classes + np.repeat(label[some], f), np.repeat(weight[some], f), size * classes).reshape(size, classes)
 
     def score(s):
@@ -211,7 +218,10 @@ def bag(codes: np.ndarray, label: np.ndarray, w: np.ndarray, classes: int, depth
     def enough(s):
         return s.sum(axis=-1) > 1e-9
 
-    tree, at = grow(codes[rows], sums, score, enough, depth)
+    def divisible(s):
+        return s.max(axis=1) < s.sum(axis=1) - 1e-9
+
+    tree, at = grow(codes[rows], sums, score, enough, divisible, depth)
     shares = np.bincount(at.astype(np.int64) * classes + label, weight, len(tree.feature) * classes).reshape(-1, classes)
     tree.value = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-12)
     return tree

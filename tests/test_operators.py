@@ -355,6 +355,17 @@ def test_bagged_trees_are_full_and_handle_what_is_missing():
     assert len(flat.feature) == 1
 
 
+@pytest.mark.parametrize("kind", ["xgb", "catb", "histgbm", "bagging"])
+def test_learners_reach_an_accuracy_on_rows_not_seen(spark, kind):
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 4, 900)
+    x = rng.normal(size=(900, 5)) + np.stack([label == 1, label == 2, label == 3, label % 2, np.zeros(900)], axis=1) * 4.0
+    rows = spark.createDataFrame([(i, int(c), *map(float, v)) for i, (c, v) in enumerate(zip(label, x, strict=True))], "id int, label int, a double, b double, c double, d double, e double")
+    data = models.assembled(rows, list("abcde"))
+    made = models.Classifier(kind, 4).fit(data.where("id < 600"))
+    assert models.evaluate(made, data.where("id >= 600")).first().accuracy > 0.94
+
+
 def test_training_rows_are_bounded_and_weighted(spark):
     rows = spark.createDataFrame([(float(i % 7), int(i % 10 == 0)) for i in range(200)] + [(None, 1), (1.0, None)], "v double, label int")
     data = models.assembled(rows, ["v"])
