@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, hilbert, jaccard, mixing, pii, quality, topk, toxicity, vecdup, warc
+from sluice.llm import bpe, exact, hilbert, jaccard, mixing, pii, quality, ranked, topk, toxicity, vecdup, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe": op2_bpe,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_toxic_spans_crf": op9_toxic_spans_crf,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_wand_search": op11_wand_search,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 SQL: dict[str, str] = {
     "op4_warc_chunks": """
@@ -120,4 +135,24 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
     """,
+    "op11_wand_search": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), all_docs AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark
+        ), o AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+        p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM o WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, all_docs GROUP BY t, docs),
+        s AS (
+            SELECT item_id, doc_id, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+            FROM q JOIN p USING (t) JOIN f USING (t), all_docs GROUP BY item_id, doc_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+    "op13_exact_dedup": """
+        WITH p AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, (count(*) OVER w)::BIGINT AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+        FROM p WINDOW w AS (PARTITION BY text_sha256)
+    """,
 }
