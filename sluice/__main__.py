@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.functions import encoders
-from sluice.operators import clean, metrics, models, split
+from sluice.operators import clean, models, split
 from sluice.plans import stages
 from sluice.sources import tables
 from sluice.spec import SPECS
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     add("sample", "input", "output", tau=1000, labels=[], seed=42)
     add("train", "input", "encoders", "output", models=["xgb", "bagging"], size=1)
     add("evaluate", "input", "encoders", "models_path", "output", models=["xgb", "bagging"], mode="ensemble")
-    add("perturb", "input", "encoders", "output", eps=0.1, samples=0, sampling_mode="first")
+    add("perturb", "input", "encoders", "models_path", "output", model="xgb", attack="hsja", attack_params="{}", samples=0, sampling_mode="first", space="raw", timeout=0.0, max_retries=3, placeholder="original")
     add("robustness", "input", "perturbed", "encoders", "models_path", "output", models=["xgb"])
     add("zero-profile", "input", "output")
     return top
@@ -98,12 +99,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             fitted = stages.load_models(args.models_path, args.models, len(made["label"].values[spec.label]))
             tables.write_metrics(stages.evaluate_ensemble(fitted, data) if args.mode == "ensemble" else models.evaluate_all(fitted, data), args.output)
         case "perturb":
-            _write(stages.perturb(spark.read.parquet(args.input), spec, made, args.eps, args.samples or None, args.sampling_mode == "random"), args.output)
+            model = stages.load_models(args.models_path, [args.model], len(made["label"].values[spec.label]))[args.model]
+            given = json.loads(args.attack_params)
+            _write(stages.perturb(spark.read.parquet(args.input), spec, made, model, args.attack, given, args.samples or None, args.sampling_mode == "random", args.space == "scaled", args.timeout or None, args.max_retries, args.placeholder), args.output)
         case "robustness":
             fitted = stages.load_models(args.models_path, args.models, len(made["label"].values[spec.label]))
-            one = next(iter(fitted.values()))
-            both = [one.predict(stages.prepared(spark.read.parquet(p), spec, made)).selectExpr("cast(label as int) as y_true", "y_pred") for p in (args.input, args.perturbed)]
-            tables.write_metrics(metrics.robustness_delta(*both), args.output)
+            both = [stages.prepared(spark.read.parquet(p), spec, made) for p in (args.input, args.perturbed)]
+            tables.write_metrics(stages.robustness(fitted, *both), args.output)
         case "zero-profile":
             tables.write_csv(stages.zero_profile(tables.read_labels(spark, args.input), spec), args.output)
 

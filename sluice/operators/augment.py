@@ -180,16 +180,6 @@ def augment_to(train: DataFrame, generator, columns: list[str], tau: int, known:
 
 
 # --- perturbation -----------------------------------------------------------------------------------------------
-# Parameters of the attacks, as configured for the two data sets alike.
-ATTACKS = {"fgsm": {"eps": 0.1, "batch_size": 64, "eps_step": 0.01, "targeted": False}, "jsma": {"theta": 0.02, "gamma": 0.1, "batch_size": 64}}
-
-
-def attack_parameters(name: str, given: dict | None = None) -> dict:
-    """Defaults with known names replaced; others are ignored."""
-    base = dict(ATTACKS[name])
-    return base | {k: v for k, v in (given or {}).items() if k in base}
-
-
 def masked(original: DataFrame, perturbed: DataFrame, row_id: str, columns: list[str], immutable: list[str], placeholder: str = "original") -> DataFrame:
     """Perturbed rows with immutable columns as they were. Rows that weren't perturbed stay as they were, or are dropped."""
     other = perturbed.select(F.col(row_id), *(F.col(c).alias(f"_p_{c}") for c in columns if c not in immutable))

@@ -116,6 +116,27 @@ def with_row_id(df: DataFrame, *natural: str, name: str = "row_id") -> DataFrame
     return df.withColumn(name, F.xxhash64(*natural))
 
 
+#: Copies of a row that one task numbers.
+COPIES = 100_000
+
+
+def with_copy_ids(df: DataFrame, name: str = "row_id", copies: int = COPIES) -> DataFrame:
+    """An id for each row by all its columns and its number among equal rows, the same in every plan.
+
+    Equal rows are counted before they are dealt out and made again by number, many of them by several tasks.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    n, first, number = (f"_{x}{'_' * max(map(len, df.columns))}" for x in ("n", "first", "number"))
+    each = df.groupBy(*columns).agg(F.count("*").alias(n))
+    parts = F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(copies).cast("long"))
+    few = each.where(F.col(n) <= copies).withColumn(first, F.lit(0).cast("long"))
+    many = each.where(F.col(n) > copies).withColumn(first, F.explode(parts)).repartition(*columns, first)
+    rows = few.unionByName(many)
+    last = F.least(F.col(n), F.col(first) + copies) - 1
+    rows = rows.withColumn(number, F.explode(F.sequence(F.col(first), last)))
+    return rows.select(*columns, F.xxhash64(*columns, F.col(number)).alias(name))
+
+
 def cleaned(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> DataFrame:
     """Header rows, missing and infinite values, negatives and duplicates removed, in this order and one plan."""
     df = coerce(drop_header_rows(raw, label), floats, ints, label)

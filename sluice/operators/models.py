@@ -9,17 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
-from sluice.functions import scalars, trees
+from sluice.functions import nets, scalars, trees
 from sluice.functions.ranking import digest, ranked
 from sluice.functions.trees import Boosting
-from sluice.operators import ensemble, metrics, split
+from sluice.operators import cluster, ensemble, metrics, split
 
 #: Kinds of models and the learners that stand for them.
 KINDS = ("xgb", "catb", "bagging", "histgbm", "dnn")
@@ -181,6 +181,14 @@ class Classifier:
             out = self.model.transform(df).withColumn("p", p).withColumn("y_pred", F.col("prediction").cast("int"))
         return out.select(*df.columns, "p", "y_pred")
 
+    def scorer(self) -> TreeModel | nets.Net:
+        """What gives the shares of many rows at once within a task; of a perceptron derivatives too."""
+        if isinstance(self.model, TreeModel):
+            return self.model
+        scaler, net = self.model.stages
+        std = scaler.std.toArray()
+        return nets.of_perceptron(net.weights.toArray(), list(net.getLayers()), scaler.mean.toArray(), np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0))
+
     def save(self, path: str) -> None:
         to = f"{path}/{self.kind}"
         if isinstance(self.model, TreeModel):
@@ -194,6 +202,20 @@ class Classifier:
         return cls(kind, classes, PipelineModel.load(where) if kind == "dnn" else TreeModel.load(SparkSession.active(), where))
 
 
+def softmax(df: DataFrame, penalty: float = 0.0, passes: int = 100) -> nets.Net:
+    """A multinomial logistic regression of label by features."""
+    made = LogisticRegression(regParam=penalty, maxIter=passes, family="multinomial").fit(df)
+    return nets.of_logistic(made.coefficientMatrix.toArray(), made.interceptVector.toArray())
+
+
+def nearest_centre(df: DataFrame, column: str, classes: int, width: int, places: int = 6) -> nets.Net:
+    """The linear classifier by the nearest mean of a class (label, from 0); a class without rows is never given."""
+    means = {r.cluster: r.center for r in cluster.centers_of(df, "label", column, width, places).collect()}  # as many rows as classes
+    net = nets.of_centres(np.array([means.get(c, [0.0] * width) for c in range(classes)], np.float64))
+    net.layers[0][1][[c for c in range(classes) if c not in means]] = -np.inf
+    return net
+
+
 def evaluate(model: Classifier, test: DataFrame) -> DataFrame:
     return metrics.classification_metrics(model.predict(test).select(F.col("label").cast("int").alias("y_true"), "y_pred"))
 

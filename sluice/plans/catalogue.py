@@ -628,6 +628,90 @@ def attack_jsma(spark, d):
     return _attacked(spark, d, attacks.jsma, theta=10.0, gamma=0.7)
 
 
+# Attacks on classifiers that are fitted in the query. The nearest mean of a label is a linear one, whose attacks SQL can follow.
+_WIDTH = 4
+_EACH = range(_WIDTH)
+_CENTRES_SQL = f"""m AS (SELECT label AS k, {", ".join(f"round_even(avg(embedding[{i + 1}]::DOUBLE), 6) AS m{i}" for i in _EACH)} FROM embeddings GROUP BY label),
+    v AS (SELECT vec_id, label AS y, {", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in _EACH)} FROM embeddings),
+    z AS (SELECT *, {" + ".join(f"x{i} * m{i}" for i in _EACH)} - 0.5::DOUBLE * ({" + ".join(f"m{i} * m{i}" for i in _EACH)}) AS z FROM v, m),
+    o AS (SELECT vec_id, arg_max(k, (z, -k)) AS before FROM z GROUP BY vec_id)"""
+
+
+def _targets(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.slice(scalars.doubles(F.col("embedding")), 1, _WIDTH).alias("features"), "label")
+
+
+def _moved(spark, d, name: str, given: dict, low: float, high: float) -> DataFrame:
+    from sluice.operators import adversarial, models
+
+    rows = _targets(spark, d)
+    net = models.nearest_centre(rows, "features", rows.agg(F.max("label")).first()[0] + 1, _WIDTH)
+    out = adversarial.attacked(rows, net, name, given, immutable=(_WIDTH - 1,), low=low, high=high)
+    return out.select(F.col("row_id").alias("vec_id"), "y", "before", "after", *(F.round(F.get("x", F.lit(i)), 6).alias(f"x{i}") for i in _EACH))
+
+
+@query(
+    f"""WITH {_CENTRES_SQL}, e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z),
+    p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) - (k = y)::INT AS s FROM e),
+    g AS (SELECT vec_id, y, {", ".join(f"any_value(x{i}) AS x{i}, sign(sum(s * m{i})) AS g{i}" for i in _EACH)} FROM p GROUP BY vec_id, y),
+    a AS (SELECT vec_id, y, {", ".join(f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x{i} + 0.1::DOUBLE * g{i})) AS x{i}" for i in range(_WIDTH - 1))}, x{_WIDTH - 1} FROM g),
+    b AS (SELECT vec_id, y, k, {", ".join(f"x{i}" for i in _EACH)}, {" + ".join(f"x{i} * m{i}" for i in _EACH)} - 0.5::DOUBLE * ({" + ".join(f"m{i} * m{i}" for i in _EACH)}) AS z FROM a, m)
+    SELECT vec_id, y, before, arg_max(k, (z, -k)) AS after, {", ".join(f"round(any_value(x{i}), 6) AS x{i}" for i in _EACH)} FROM b JOIN o USING (vec_id) GROUP BY vec_id, y, before"""
+)
+def attack_fitted_fgsm(spark, d):
+    return _moved(spark, d, "fgsm", {}, -1.0, 1.0)
+
+
+@query(
+    f"""WITH {_CENTRES_SQL}, c AS (SELECT a.vec_id, a.y, o.before, b.k, {", ".join(f"a.x{i}" for i in _EACH)}, b.z - a.z AS gap, {", ".join(f"b.m{i} - a.m{i} AS w{i}" for i in range(_WIDTH - 1))}
+        FROM o JOIN z a ON a.vec_id = o.vec_id AND a.k = o.before JOIN z b ON b.vec_id = o.vec_id AND b.k <> o.before),
+    s AS (SELECT *, {" + ".join(f"w{i} * w{i}" for i in range(_WIDTH - 1))} AS sq FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(gap) / sqrt(sq), k) AS rn FROM s)
+    SELECT vec_id, y, before, k AS after, {", ".join(f"round(x{i} + (1 + 1e-6::DOUBLE) * (abs(gap) + 1e-9::DOUBLE) / sq * w{i}, 6) AS x{i}" for i in range(_WIDTH - 1))}, round(x{_WIDTH - 1}, 6) AS x{_WIDTH - 1} FROM r WHERE rn = 1"""
+)
+def attack_fitted_deepfool(spark, d):
+    return _moved(spark, d, "deepfool", {"nb_grads": 1000}, -1e6, 1e6)
+
+
+def _largest_of(spark, d, n: int) -> DataFrame:
+    """(row_id, features, label): all entries between 0 and 1; the label is which of the first n is the largest."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), scalars.doubles(F.col("embedding")).alias("x"))
+    ends = e.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+    scaled = F.transform("x", lambda v: (v - F.lit(ends[0])) / F.lit(ends[1] - ends[0]))
+    return e.select("row_id", array_to_vector(scaled).alias("features"), scalars.argmax(F.slice("x", 1, n)).alias("label"))
+
+
+def _reports(rows: DataFrame, model, attacks_: dict[str, dict]) -> DataFrame:
+    from sluice.operators import adversarial
+
+    out = None
+    for name, given in attacks_.items():
+        one = adversarial.attacked(rows, model, name, given, immutable=(0,)).withColumn("attack", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(adversarial.report(out, "attack"))
+
+
+@query()
+def attack_fitted_network(spark, d):
+    """Attacks by derivatives on a perceptron that is fitted here."""
+    from sluice.operators import models
+
+    rows = _largest_of(spark, d, 6)
+    net = models.Classifier("dnn", 6).fit(rows).scorer()
+    return _reports(rows, net, {"fgsm": {}, "pgd": {"targeted": False}, "deepfool": {}, "cw": {"max_iter": 10}, "jsma": {}})
+
+
+@query()
+def attack_fitted_answers(spark, d):
+    """Attacks that only ask the model, a regression that is fitted here."""
+    from sluice.operators import models
+
+    rows = _largest_of(spark, d, 6)
+    return _reports(rows, models.softmax(rows, 1e-4), {"hsja": {}, "zoo": {}})
+
+
 _PRED = "y AS (SELECT label AS y_true, (CASE WHEN vec_id % {k} = 0 THEN (label + 1) % 9 ELSE label END)::INTEGER AS y_pred FROM embeddings WHERE label < 8)"
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
 from sluice.functions import encoders, scalars
-from sluice.operators import augment, clean, cluster, metrics, models, profile, split
+from sluice.operators import adversarial, augment, clean, cluster, metrics, models, profile, split
 from sluice.sources import tables
 from sluice.spec import DatasetSpec
 
@@ -105,8 +107,7 @@ def decode(df: DataFrame, spec: DatasetSpec, made: dict, numerical: str = "minma
 
 def compress(rows: DataFrame, spec: DatasetSpec, made: dict, label: str, budget: int, clusters: int | None = None, strategy: str = "diverse", percentile: float = 95.0, per_cluster: float = 3.0, fallback: str = "random", numerical: str = "standard", seed: int = 42) -> DataFrame:
     """Of a label's rows as many as the budget, chosen from clusters of their scaled numbers; as they were."""
-    own = clean.with_row_id(rows.where(F.col(f"`{spec.label}`") == label), *(f"`{c}`" for c in rows.columns))
-    own = staging.stage(own, "own")
+    own = staging.stage(clean.with_copy_ids(rows.where(F.col(f"`{spec.label}`") == label)), "own")
     n = own.count()
     if n <= budget:
         return own.drop("row_id")
@@ -146,14 +147,14 @@ def merge(parts: dict[str, DataFrame], keys: list[str] | None = None, seed: int
     return split.shuffled(out, keys, seed) if keys else out
 
 
-def prepared(df: DataFrame, spec: DatasetSpec, made: dict) -> DataFrame:
-    """A model's input: features (a vector, categories and ports as numbers, in the model's order) and label."""
+def prepared(df: DataFrame, spec: DatasetSpec, made: dict, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A model's input: features (a vector, categories and ports as numbers, in the model's order) and label, and the columns to keep."""
     out = made["ordinal"].transform(df)
     out = out.withColumns({c: F.col(f"`{c}`").cast("int") for c in spec.binary})
     out = made["label"].transform(out).withColumn("label", F.col(f"`{spec.label}`").cast("double"))
     plain = [f"f{i}" for i in range(len(spec.ordered))]
-    named = out.select("label", *(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(spec.ordered, plain, strict=True)))
-    return models.assembled(named, plain).select("features", "label")
+    named = out.select("label", *keep, *(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(spec.ordered, plain, strict=True)))
+    return models.assembled(named, plain).select("features", "label", *keep)
 
 
 def metadata(df: DataFrame, spec: DatasetSpec, made: dict) -> dict:
@@ -190,31 +191,64 @@ def load_models(path: str, kinds: list[str], classes: int) -> dict[str, models.C
     return {k: models.Classifier.load(path, k, classes) for k in kinds}
 
 
+def _voted(fitted: dict[str, models.Classifier], test: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(y_true, y_pred) of the weighted vote, as a staged table."""
+    with staging.scope() as kept:
+        rows = staging.stage(test.withColumn("row_id", F.monotonically_increasing_id()), "test")
+        voted = models.vote(fitted, rows, "row_id", weights)
+        out = staging.stage(voted.join(rows.select("row_id", F.col("label").cast("int").alias("y_true")), "row_id").select("y_true", "y_pred"), "votes")
+        kept.append(out)
+    return out
+
+
 def evaluate_ensemble(fitted: dict[str, models.Classifier], test: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One row of metrics of the weighted vote."""
-    rows = staging.stage(test.withColumn("row_id", F.monotonically_increasing_id()), "test")
-    voted = models.vote(fitted, rows, "row_id", weights)
-    return metrics.classification_metrics(voted.join(rows.select("row_id", F.col("label").cast("int").alias("y_true")), "row_id").select("y_true", "y_pred"))
+    return metrics.classification_metrics(_voted(fitted, test, weights))
 
 
-def perturb(df: DataFrame, spec: DatasetSpec, made: dict, eps: float = 0.1, samples: int | None = None, random: bool = False, seed: int = 42) -> DataFrame:
-    """Test rows moved by one signed step against a linear model of the scaled numbers; categories and flags stay.
+def perturb(df: DataFrame, spec: DatasetSpec, made: dict, model: models.Classifier, attack: str = "hsja", given: dict | None = None, samples: int | None = None, random: bool = False, scaled: bool = False, seconds: float | None = None, retries: int = 3, placeholder: str = "original", seed: int = 42) -> DataFrame:
+    """Rows as an attack on a fitted model leaves them, decoded; categories, flags and labels stay.
 
-    The model is a logistic regression of the most frequent class against the rest; rows move toward that class.
+    Values move between the smallest and the largest of all inputs, or with scaled each column between its own, as if these were 0 and 1.
+    samples: the first rows, or random ones. A staged table.
     """
-    from pyspark.ml.classification import LogisticRegression
-
-    rows = clean.with_row_id(df, *(f"`{c}`" for c in df.columns))
-    if samples:
-        rows = split.first_by_digest(rows, ["row_id"], samples, seed) if random else split.head(rows, "row_id", samples)
-    scaled = staging.stage(made["minmax"].transform(rows), "scaled")
-    top = scaled.groupBy(spec.label).count().orderBy(F.desc("count"), spec.label).first()[0]
-    plain = {c: f"f{i}" for i, c in enumerate(spec.continuous)}
-    data = models.assembled(scaled.select((F.col(f"`{spec.label}`") == top).cast("double").alias("label"), *(F.col(f"`{c}`").cast("double").alias(n) for c, n in plain.items())), list(plain.values()))
-    weights = LogisticRegression(regParam=0.01, maxIter=30).fit(data).coefficients.toArray()
-    moved = scaled.withColumns({c: scalars.clip(F.col(f"`{c}`") + F.lit(eps if w > 0 else -eps), 0.0, 1.0) for c, w in zip(plain, weights, strict=True) if w})
-    back = made["minmax"].inverse(moved)
-    return encoders.clamp_decoded(back, list(spec.binary), list(spec.continuous), list(spec.ports)).select(*(F.col(f"`{c}`") for c in df.columns))
+    with staging.scope() as kept:
+        rows = clean.with_copy_ids(df)
+        if samples:
+            rows = split.first_by_digest(rows, ["row_id"], samples, seed) if random else split.head(rows, "row_id", samples)
+        rows = staging.stage(rows, "rows")
+        data = staging.stage(prepared(rows, spec, made, keep=("row_id",)).withColumn("features", vector_to_array("features")), "inputs")
+        scorer = model.scorer()
+        low, high = data.agg(F.min(F.array_min("features")), F.max(F.array_max("features"))).first()
+        if scaled:
+            ends = data.agg(*(f(F.get("features", F.lit(i))) for i in range(len(spec.ordered)) for f in (F.min, F.max))).first()
+            scorer = adversarial.Scaled.of(scorer, np.array(ends[::2], float), np.array(ends[1::2], float))
+            data, low, high = data.withColumn("features", scorer.inside(F.col("features"))), 0.0, 1.0
+        fixed = len(spec.categorical) + len(spec.binary)
+        moved = adversarial.attacked(data, scorer, attack, given, tuple(range(fixed)), low, high, seed, seconds, retries, placeholder)
+        x = scorer.outside(F.col("x")) if scaled else F.col("x")
+        plain = {c: f"f{i}" for i, c in enumerate(spec.continuous)}
+        back = moved.withColumn("x", x).select("row_id", *(F.get("x", F.lit(fixed + i)).alias(c) for i, c in enumerate(plain)))
+        out = augment.masked(rows, back, "row_id", list(plain), [], placeholder)
+        out = staging.stage(out.select(*(F.col(f"`{c}`") for c in df.columns)), "perturbed")
+        kept.append(out)
+    return out
+
+
+def robustness(fitted: dict[str, models.Classifier], plain: DataFrame, perturbed: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(model, metric, plain, perturbed, delta) of every model and, of several, of their vote."""
+
+    def judged(model: models.Classifier, df: DataFrame) -> DataFrame:
+        return model.predict(df).select(F.col("label").cast("int").alias("y_true"), "y_pred")
+
+    rows = None
+    for name, m in fitted.items():
+        one = metrics.robustness_delta(judged(m, plain), judged(m, perturbed)).select(F.lit(name).alias("model"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    if len(fitted) > 1:
+        both = metrics.robustness_delta(_voted(fitted, plain, weights), _voted(fitted, perturbed, weights))
+        rows = rows.unionByName(both.select(F.lit("ensemble").alias("model"), "*"))
+    return rows
 
 
 def zero_profile(df: DataFrame, spec: DatasetSpec, thresholds: tuple[int, ...] = (28, 40)) -> DataFrame:

@@ -263,8 +263,6 @@ def test_masks_and_parameters(spark):
     adv = spark.createDataFrame([(1, 9.0, 8.0)], "id int, a double, b double")
     assert sorted(tuple(r) for r in augment.masked(x, adv, "id", ["a", "b"], ["a"]).collect()) == [(1, 1.0, 8.0), (2, 3.0, 4.0)]
     assert augment.masked(x, adv, "id", ["a", "b"], ["a"], "drop").count() == 1
-    assert augment.attack_parameters("fgsm", {"eps": 0.5, "other": 1})["eps"] == 0.5
-    assert "other" not in augment.attack_parameters("fgsm", {"eps": 0.5, "other": 1})
 
 
 def test_models_save_and_load(spark, tmp_path):

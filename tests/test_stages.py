@@ -64,11 +64,16 @@ def test_flows_from_raw_files_to_metrics(spark, flows):
     go(spark, "train", *r, *enc, "--input", flows / "train", "--output", flows / "models", "--models", "bagging")
     go(spark, "evaluate", *r, *enc, "--input", flows / "test", "--models_path", flows / "models", "--output", flows / "metrics", "--models", "bagging")
     assert spark.read.json(str(flows / "metrics")).first().accuracy > 0.95
-    go(spark, "perturb", *r, *enc, "--input", flows / "test", "--output", flows / "adv", "--eps", 0.3)
-    adv = spark.read.parquet(str(flows / "adv"))
-    assert adv.count() == 45 and adv.select("`Dst Port`", *(f"`{c}`" for c in FLOWS.binary)).exceptAll(spark.read.parquet(str(flows / "test")).select("`Dst Port`", *(f"`{c}`" for c in FLOWS.binary))).count() == 0
-    go(spark, "robustness", *r, *enc, "--input", flows / "test", "--perturbed", flows / "adv", "--models_path", flows / "models", "--output", flows / "delta", "--models", "bagging")
-    assert spark.read.json(str(flows / "delta")).count() == 4
+    quick = ["--attack-params", json.dumps({"max_iter": 2, "init_eval": 5, "init_size": 40})]
+    go(spark, "perturb", *r, *enc, "--input", flows / "test", "--output", flows / "adv", "--models_path", flows / "models", "--model", "bagging", "--attack", "hsja", "--space", "scaled", *quick)
+    adv, fixed = spark.read.parquet(str(flows / "adv")), ["`Dst Port`", *(f"`{c}`" for c in FLOWS.binary), "Label"]
+    assert adv.count() == 45 and adv.select(*fixed).exceptAll(spark.read.parquet(str(flows / "test")).select(*fixed)).count() == 0
+    go(spark, "train", *r, *enc, "--input", flows / "train", "--output", flows / "models", "--models", "dnn")
+    go(spark, "robustness", *r, *enc, "--input", flows / "test", "--perturbed", flows / "adv", "--models_path", flows / "models", "--output", flows / "delta", "--models", "bagging", "dnn")
+    delta = {(x.model, x.metric): x.delta for x in spark.read.json(str(flows / "delta")).collect()}
+    assert len(delta) == 12 and {m for m, _ in delta} == {"bagging", "dnn", "ensemble"} and delta["bagging", "accuracy"] < -0.5
+    go(spark, "perturb", *r, *enc, "--input", flows / "test", "--output", flows / "adv2", "--models_path", flows / "models", "--model", "dnn", "--attack", "pgd", "--attack-params", '{"targeted": false}', "--space", "scaled", "--samples", 10)
+    assert spark.read.parquet(str(flows / "adv2")).count() == 10
     go(spark, "zero-profile", *r, "--input", flows / "clean", "--output", flows / "zeros")
     assert spark.read.option("header", True).csv(str(flows / "zeros")).count() == 3
 
