@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice import staging
 from sluice.functions import encoders
 from sluice.operators import clean, models, split
 from sluice.plans import stages
@@ -25,20 +26,22 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{x}", required=True)
         for x, default in options.items():
             flag = f"--{x.replace('_', '-')}"
-            if default is None or isinstance(default, list):
+            if isinstance(default, bool):
+                p.add_argument(flag, action="store_true")
+            elif default is None or isinstance(default, list):
                 p.add_argument(flag, nargs="*" if isinstance(default, list) else None, default=default)
             else:
                 p.add_argument(flag, type=type(default), default=default)
         return p
 
-    add("merge-clean", "input", "output", files=[])
+    add("merge-clean", "input", "output", files=[], precheck=False, postcheck=False)
     add("split", "input", "output", labels=[], exclude_labels=[], test_size=0.30, random_state=42)
     add("setup-encoders", "input", "output", label_set="fixed")
     add("encode", "input", "encoders", "output", subset="train", num_encoder="standard", labels=[])
-    add("compress", "input", "encoders", "output", labels=[], budget=20_000, n_clusters=0, strategy="diverse", edge_percentile=95.0, per_cluster=3.0, core_fallback="random")
-    add("augment", "input", "encoders", "output", labels=[], tau=10_000, opposite_label="Benign", num_encoder="minmax")
+    add("compress", "input", "encoders", "output", labels=[], budget=20_000, n_clusters=0, strategy="diverse", edge_percentile=95.0, per_cluster=3.0, core_fallback="random", kmeans_algo="full", jobs=1)
+    add("augment", "input", "encoders", "output", labels=[], tau=10_000, opposite_label="Benign", num_encoder="minmax", jobs=1)
     add("decode", "input", "encoders", "output", numerical_inverse="minmax")
-    add("merge", "output", major=[], minor=[])
+    add("merge", "output", major=[], minor=[], shuffle=False, random_state=42)
     add("sample", "input", "output", tau=1000, labels=[], seed=42)
     add("train", "input", "encoders", "output", models=["xgb", "bagging"], size=1)
     add("evaluate", "input", "encoders", "models_path", "output", models=["xgb", "bagging"], mode="ensemble")
@@ -61,10 +64,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     match args.stage:
         case "merge-clean":
             if spec.raw:
-                df = stages.clean_connections(spark, args.input, spec)
+                raw = stages.raw_connections(spark, args.input, spec)
             else:
-                df = stages.merge_clean(spark, args.files or [f.path for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(args.input).select("path").collect()], spec)
-            tables.write_by_label(df, spec.label, args.output)
+                raw = stages.raw_flows(spark, args.files or [f.path for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(args.input).select("path").collect()], spec)
+            if args.precheck:
+                print(json.dumps({"before": stages.problems(raw)}))
+            print(json.dumps(stages.clean_and_write(raw, spec, args.output)))
+            if args.postcheck:
+                print(json.dumps({"after": stages.problems(tables.read_labels(spark, args.output).drop("label_safe"))}))
         case "split":
             df = tables.read_labels(spark, args.input, args.labels or None).drop("label_safe")
             stages.write_subsets(stages.split_subsets(df, spec, args.test_size, args.random_state, exclude=args.exclude_labels), spec, args.output)
@@ -74,19 +81,31 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             _write(stages.encode(stages.read_subset(spark, args.input, args.subset, names), spec, made, args.num_encoder), args.output)
         case "compress":
             rows = stages.read_subset(spark, args.input, "train", names)
-            for x in names:
-                _write(stages.compress(rows, spec, made, x, args.budget, args.n_clusters or None, args.strategy, args.edge_percentile, args.per_cluster, args.core_fallback), f"{args.output}/{tables.clean_merged_name(spec.name, x, 'compressed')}")
+
+
+            def compress(x: str) -> None:
+                with staging.scope():
+                    out = stages.compress(rows, spec, made, x, args.budget, args.n_clusters or None, args.strategy, args.edge_percentile, args.per_cluster, args.core_fallback, algorithm=args.kmeans_algo)
+                    _write(out, f"{args.output}/{tables.clean_merged_name(spec.name, x, 'compressed')}")
+
+            stages.by_label(spark, names, compress, args.jobs)
         case "augment":
-            for x in names:
-                rows = stages.read_subset(spark, args.input, "train", [x])
-                other = stages.read_subset(spark, args.input, "train", [args.opposite_label])
-                out = stages.augment_label(rows, spec, made, x, args.tau, other, stages.read_subset(spark, args.input, "test", [x]), args.num_encoder)
-                _write(out, f"{args.output}/{tables.clean_merged_name(spec.name, x, 'augmented')}")
+
+
+            def augment(x: str) -> None:
+                with staging.scope():
+                    rows = stages.read_subset(spark, args.input, "train", [x])
+                    other = stages.read_subset(spark, args.input, "train", [args.opposite_label])
+                    out = stages.augment_label(rows, spec, made, x, args.tau, other, stages.read_subset(spark, args.input, "test", [x]), args.num_encoder)
+                    _write(out, f"{args.output}/{tables.clean_merged_name(spec.name, x, 'augmented')}")
+
+            stages.by_label(spark, names, augment, args.jobs)
         case "decode":
             _write(stages.decode(spark.read.parquet(args.input), spec, made, args.numerical_inverse), args.output)
         case "merge":
             parts = {f"{kind}:{p.rstrip('/').rpartition('/')[2]}": spark.read.parquet(p) for kind, paths in (("major", args.major), ("minor", args.minor)) for p in paths}
-            _write(stages.merge(parts), args.output)
+            keys = sorted({c for df in parts.values() for c in df.columns}) if args.shuffle else None
+            _write(stages.merge(parts, [f"`{c}`" for c in keys] if keys else None, args.random_state), args.output)
         case "sample":
             df = stages.read_subset(spark, args.input, "test", names)
             keyed = clean.with_row_id(df, *(f"`{c}`" for c in df.columns))

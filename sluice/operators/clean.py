@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,13 +145,33 @@ def cleaned(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> D
     return dedup(drop_negative_rows(drop_missing_inf(df)))
 
 
-def clean_funnel(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> DataFrame:
-    """One row of counters: what each step of cleaning takes away."""
+def _staged(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> tuple[DataFrame, Column]:
+    """Coerced rows with _header, and the step of cleaning that takes a row away: 0 header, 1 missing, 2 negative, 3 none."""
     df = coerce(raw, floats, ints)
     header = F.coalesce(F.trim(F.col(f"`{label}`")) == label, F.lit(False))
     df = coerce(df.withColumn("_header", header), [], [], label)
     rest = [c for c in df.columns if c != "_header"]
-    stage = F.when(F.col("_header"), 0).when(~is_complete(df, rest), 1).when(~F.coalesce(is_nonnegative(df, [c for c in numeric_columns(df) if c != "_header"]), F.lit(False)), 2).otherwise(3)
+    return df, F.when(F.col("_header"), 0).when(~is_complete(df, rest), 1).when(~F.coalesce(is_nonnegative(df, [c for c in numeric_columns(df) if c != "_header"]), F.lit(False)), 2).otherwise(3)
+
+
+def cleaned_and_counted(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """What cleaned() gives, and the counters of clean_funnel() as they are taken while the first action on it runs, without another pass.
+
+    An executor lost between may have rows counted twice; rows themselves aren't.
+    """
+    before, after = Observation(), Observation()
+    df, stage = _staged(raw, floats, ints, label)
+    df = df.withColumn("_stage", stage)
+    is_ = lambda k: F.count_if(F.col("_stage") == k)
+    df = df.observe(before, F.count("*").alias("rows_read"), is_(0).alias("header_rows"), is_(1).alias("missing_rows"), is_(2).alias("negative_rows"), is_(3).alias("clean_rows"))
+    out = dedup(df.where("_stage = 3").drop("_stage", "_header")).observe(after, F.count("*").alias("distinct_rows"))
+    return out, lambda: dict(before.get) | dict(after.get)
+
+
+def clean_funnel(raw: DataFrame, floats: list[str], ints: list[str], label: str) -> DataFrame:
+    """One row of counters: what each step of cleaning takes away."""
+    df, stage = _staged(raw, floats, ints, label)
+    rest = [c for c in df.columns if c != "_header"]
     each = df.withColumn("_stage", stage).groupBy("_stage", *(F.when(stage == 3, F.col(f"`{c}`")).alias(c) for c in rest)).agg(F.count("*").alias("_n"))
     count = lambda k: F.coalesce(F.sum(F.when(F.col("_stage") == k, F.col("_n"))), F.lit(0))
     return each.agg(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import staging
 from sluice.functions import ranking, scalars
+from sluice.functions.arrow import tidy
+from sluice.operators import neighbours
 
 #: Centres up to which these are broadcast; beyond it the join is left to the planner.
 FEW = 20_000
@@ -18,20 +24,25 @@ def centers_of(df: DataFrame, cluster: str, vec: str, dim: int, places: int = 6)
     return means.select("cluster", F.array(*(f"c{i}" for i in range(dim))).alias("center"))
 
 
-def _small(centers: DataFrame) -> DataFrame:
+def few(centers: DataFrame) -> DataFrame:
     return F.broadcast(centers) if centers.limit(FEW + 1).count() <= FEW else centers
 
 
 def dist_to_center(rows: DataFrame, centers: DataFrame, places: int = 9) -> DataFrame:
     """(row_id, cluster, dist) from (row_id, cluster, vec)."""
     d = F.sqrt(scalars.squared_distance(scalars.doubles(F.col("vec")), F.col("center")))
-    return rows.join(_small(centers), "cluster").select("row_id", "cluster", F.round(d, places).alias("dist"))
+    return rows.join(few(centers), "cluster").select("row_id", "cluster", F.round(d, places).alias("dist"))
 
 
 def assign_nearest_center(rows: DataFrame, centers: DataFrame, places: int = 9) -> DataFrame:
-    """(row_id, cluster) by the nearest centre, ties to the smaller cluster. All centres go to the rows as one array."""
+    """(row_id, cluster) by the nearest centre, ties to the smaller cluster.
+
+    Up to FEW centres go to the rows as one array; more are searched like other vectors, with a metric's bounds.
+    """
     if centers.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} centres")
+        own = rows.select("row_id", "vec", F.lit(-1).alias("cls"))
+        found = neighbours.nearest(own, centers.select(F.col("center").alias("vec"), F.col("cluster").alias("cls")))
+        return found.select("row_id", F.get("near", F.lit(0))["cls"].alias("cluster"))
     table = centers.agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("centers"))
     best = F.array_min(F.transform("centers", lambda c: F.struct(F.round(scalars.squared_distance(F.col("v"), c["center"]), places).alias("d2"), c["cluster"].alias("cluster"))))
     near = rows.select("row_id", scalars.doubles(F.col("vec")).alias("v")).crossJoin(F.broadcast(table))  # one row of a checked number of centres
@@ -48,7 +59,7 @@ def core_representatives(dist: DataFrame) -> DataFrame:
 RANGES = 1024
 
 
-def _percentiles(dist: DataFrame, percentile: float) -> DataFrame:
+def percentiles(dist: DataFrame, percentile: float) -> DataFrame:
     """(cluster, limit): the linear percentile of each cluster's distances. Ranges of them are counted, and the values of those
     that hold the two ranks next to it; no cluster's distances are held in one place."""
     ends = dist.groupBy("cluster").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("dist").alias("n"))
@@ -71,7 +82,7 @@ def _percentiles(dist: DataFrame, percentile: float) -> DataFrame:
 
 def edge_candidates(dist: DataFrame, percentile: float = 95.0) -> DataFrame:
     """Rows as far as the cluster's percentile (linear) or farther."""
-    limit = _percentiles(dist, percentile).withColumn("limit", F.round("limit", 9))
+    limit = percentiles(dist, percentile).withColumn("limit", F.round("limit", 9))
     return dist.join(limit, "cluster").where(F.col("dist") >= F.col("limit")).select("row_id", "cluster", "dist")
 
 
@@ -166,24 +177,143 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42):
     return model.transform(data).select("row_id", "cluster", "vec"), centers
 
 
-def nearest_other(rows: DataFrame, others: DataFrame, k: int = 1, block: int = FEW) -> DataFrame:
-    """(row_id, dist): of each row, the distance to the k-th nearest of the other vectors, any number of them.
-
-    Others meet the rows in blocks; of each block a row keeps its k smallest distances, which are merged. One block is
-    broadcast; more are sent to each of the parts that rows are dealt to.
+def nearest_other(rows: DataFrame, others: DataFrame, k: int = 1) -> DataFrame:
+    """(row_id, dist): of each row, the distance to the k-th nearest of the other vectors, null if there are fewer; any number of them."""
+    own = rows.select("row_id", "vec", F.lit(0).alias("cls"))
+    found = neighbours.nearest(own, others.select("vec", F.lit(1).alias("cls")), k)
+    return found.select("row_id", neighbours.kth_distance(F.col("near"), k).alias("dist"))
+
+
+# --- many centres, fitted batch by batch ----------------------------------------------------------------------------------
+@dataclasses.dataclass
+class CentreTree:
+    """Centres in groups around some of them: a group is looked into for those rows only that it may hold the nearest for."""
+
+    centres: np.ndarray
+    heads: np.ndarray
+    members: list[np.ndarray]
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, centres: np.ndarray) -> CentreTree:
+        heads = neighbours.spread(centres, max(1, round(len(centres) ** 0.5)))
+        own = neighbours.distances(centres, heads).argmin(axis=1)
+        members = [np.flatnonzero(own == g) for g in range(len(heads))]
+        radius = np.array([np.sqrt(neighbours.distances(centres[m], heads[g : g + 1]).max()) for g, m in enumerate(members)])
+        return cls(centres, heads, members, radius)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each row's nearest centre, ties to the smaller one, and the squared distance."""
+        to = np.sqrt(neighbours.distances(x, self.heads))
+        low = to - self.radius
+        first = to.argmin(axis=1)
+        best, where = np.full(len(x), np.inf), np.full(len(x), len(self.centres))
+        for own in (True, False):
+            for g, m in enumerate(self.members):
+                near = (first == g) if own else (first != g) & (low[:, g] <= np.sqrt(best) * (1 + 1e-9) + 1e-9)
+                rows = np.flatnonzero(near)
+                if len(rows):
+                    d = neighbours.distances(x[rows], self.centres[m])
+                    at = d.argmin(axis=1)
+                    d, at = d[np.arange(len(rows)), at], m[at]
+                    better = (d < best[rows]) | ((d == best[rows]) & (at < where[rows]))
+                    best[rows[better]], where[rows[better]] = d[better], at[better]
+        return where, best
+
+
+def _sums(centres):
+    """Vectors to (cluster, n, inertia, sums), a row for each centre that a task has rows of."""
+
+    @tidy
+    def run(batches):
+        tree = CentreTree.of(centres.value)
+        k, dim = tree.centres.shape
+        n, inertia, sums = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dim))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            own, d = tree.nearest(x)
+            n += np.bincount(own, minlength=k)
+            inertia += np.bincount(own, weights=d, minlength=k)
+            np.add.at(sums, own, x)
+        some = np.flatnonzero(n)
+        if len(some):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dim), pa.array(sums[some].ravel()))
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(inertia[some]), lists], names=["cluster", "n", "inertia", "sums"])
+
+    return run
+
+
+def _started(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows, each drawn by its squared distance from those before it."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        at = int(np.searchsorted(np.cumsum(far), rng.random() * total)) if total > 0 else int(rng.integers(len(x)))
+        chosen.append(min(at, len(x) - 1))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+#: Rows that the first centres are drawn from, for each centre and at least.
+STARTS, LEAST_START = 3, 10_000
+
+
+def minibatch_kmeans(rows: DataFrame, k: int, batch: int = 10_000, rounds: int = 100, patience: int = 10, seed: int = 42):
+    """(row_id, cluster, vec) and centers, like kmeans(), fitted batch by batch.
+
+    All rows are dealt into batches by a hash, every round takes the next one: each centre moves to the mean of what it has
+    been given so far. Rounds end when the batches' mean inertia, smoothed, hasn't fallen for so many of them. The first
+    centres are drawn from a bounded sample. Assignment goes through a tree of centres, so that thousands of them are cheap.
     """
-    blocks = -(-others.count() // block)
-    points = rows.select("row_id", scalars.doubles(F.col("vec")).alias("v"))
-    near = F.slice(F.sort_array(F.transform("others", lambda o: F.round(scalars.squared_distance(F.col("v"), o), 9))), 1, k)
-    if blocks <= 1:
-        table = others.agg(F.collect_list(scalars.doubles(F.col("vec"))).alias("others"))
-        d = points.crossJoin(F.broadcast(table)).select("row_id", near.alias("d"))  # one row of at most a block of vectors
-    else:
-        parts = staging.partitions(rows.sparkSession)
-        place = F.pmod(F.xxhash64("row_id"), F.lit(blocks))
-        tables = others.groupBy(place.alias("block")).agg(F.collect_list(scalars.doubles(F.col("vec"))).alias("others"))
-        tables = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        dealt = points.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = dealt.join(tables.hint("merge"), ["part", "block"]).select("row_id", near.alias("d"))
-        d = met.groupBy("row_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    return d.select("row_id", F.round(F.sqrt(F.get("d", F.lit(k - 1))), 9).alias("dist"))
+    spark = rows.sparkSession
+    data = rows.select("row_id", "vec", scalars.doubles(F.col("vec")).alias("x")).where("x is not null")
+    with staging.scope() as kept:
+        order = F.xxhash64("row_id", F.lit(seed))
+        n = data.count()
+        if not n:
+            raise ValueError("no rows to cluster")
+        batches = max(1, -(-n // batch))
+        dealt = data.select("x", "row_id", F.pmod(order, F.lit(batches)).cast("int").alias("batch"))
+        # a batch's rows lie together, so that the others' files are left out
+        dealt = staging.stage(dealt.repartitionByRange(staging.partitions(spark), "batch").sortWithinPartitions("batch", "row_id"), "batches")
+        first = dealt.select("x", order.alias("o"), "row_id").orderBy("o", "row_id").limit(max(STARTS * k, LEAST_START)).toArrow()
+        start = first["x"].combine_chunks().flatten().to_numpy().reshape(first.num_rows, -1)
+        centres = _started(start, min(k, len(start)), seed)
+        seen, smooth, best, waited = np.zeros(len(centres)), None, np.inf, 0
+        for i in range(rounds):
+            own = dealt.where(F.col("batch") == i % batches).select("x")
+            part = own.mapInArrow(_sums(spark.sparkContext.broadcast(centres)), "cluster int, n long, inertia double, sums array<double>")
+            dim = centres.shape[1]
+            found = part.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.array(*(F.sum(F.get("sums", F.lit(j))) for j in range(dim))).alias("sums")).collect()  # a row for each centre
+            total = sum(r.n for r in found)
+            if not total:
+                continue
+            moved = centres.copy()
+            for r in sorted(found, key=lambda r: r.cluster):
+                seen[r.cluster] += r.n
+                moved[r.cluster] += (np.array(r.sums) - r.n * centres[r.cluster]) / seen[r.cluster]
+            centres = moved
+            inertia = sum(r.inertia for r in found) / total
+            smooth = inertia if smooth is None else smooth + min(1.0, 2 * total / (n + 1)) * (inertia - smooth)
+            best, waited = (smooth, 0) if smooth < best * (1 - 1e-6) else (best, waited + 1)
+            if waited >= patience:
+                break
+        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, center array<double>")
+        placed = staging.stage(data.drop("vec").mapInArrow(_placing(spark.sparkContext.broadcast(centres)), "row_id long, cluster int").join(data.select("row_id", "vec"), "row_id").select("row_id", "cluster", "vec"), "placed")
+        kept.append(placed)
+    return placed, centers
+
+
+def _placing(centres):
+    """(row_id, vector) to (row_id, number of the nearest centre)."""
+
+    @tidy
+    def run(batches):
+        tree = CentreTree.of(centres.value)
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.record_batch([batch.column(0), pa.array(tree.nearest(x)[0].astype(np.int32))], names=["row_id", "cluster"])
+
+    return run

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import staging
 from sluice.functions import encoders, scalars
 from sluice.functions.ranking import digest
-from sluice.operators import attacks, augment, clean, cluster, ensemble, metrics, profile, split
+from sluice.operators import attacks, augment, clean, cluster, coreset, ensemble, metrics, neighbours, profile, split
 from sluice.sources import tables
 from sluice.spec import CONNECTIONS, DatasetSpec
 
@@ -455,10 +456,73 @@ def kmeans_cluster_sizes(spark, d):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query("WITH x AS (SELECT a.vec_id AS row_id, round(" + _D2.format(a="a.embedding", b="b.embedding") + ", 9) AS d2 FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1) SELECT row_id, round(sqrt(min(d2)), 9) AS dist FROM x GROUP BY row_id")
+@query()
+def kmeans_minibatch_sizes(spark, d):
+    rows, _ = cluster.minibatch_kmeans(_vectors(spark, d).drop("cluster"), 64)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+# --- neighbours ---------------------------------------------------------------------------------------------------------
+_PAIRS = "dd AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, sqrt(" + _D2.format(a="a.embedding", b="b.embedding") + ") AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+_BOUNDARY = "bnd AS (SELECT a AS row_id, round(min(d), 9) AS dist FROM dd WHERE la <> lb GROUP BY a)"
+
+
+def _labelled(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), F.col("label").alias("cls"))
+
+
+@query(f"WITH {_PAIRS}, {_BOUNDARY} SELECT * FROM bnd")
 def knn_boundary(spark, d):
-    rows = _vectors(spark, d)
-    return cluster.nearest_other(rows.where("cluster = 0"), rows.where("cluster = 1"))
+    """Of every row the distance to the nearest of another label."""
+    found = neighbours.nearest(_labelled(spark, d), differ=True)
+    return found.select("row_id", neighbours.kth_distance(F.col("near"), 1).alias("dist"))
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), lb, b) AS rn FROM dd),
+    v AS (SELECT a, la, lb, count(*) AS c FROM n WHERE rn <= 3 GROUP BY ALL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, lb) AS r FROM v)
+    SELECT a AS row_id, la AS cls, lb AS vote, la = lb AS kept FROM w WHERE r = 1""")
+def edited_neighbours(spark, d):
+    return neighbours.edited(_labelled(spark, d), 3)
+
+
+@query(f"""WITH {_DIST}, sizes AS (SELECT cluster, count(*) AS n FROM dist GROUP BY cluster),
+    lim AS (SELECT cluster, round(quantile_cont(dist, 0.92::DOUBLE), 9) AS lim FROM dist GROUP BY cluster),
+    k AS (SELECT d.*, n, lim, n <= ceil((SELECT count(*) FROM dist) * 0.1::DOUBLE) AS is_small FROM dist d JOIN sizes USING (cluster) JOIN lim USING (cluster)),
+    r AS (SELECT *, CASE WHEN is_small THEN 'small' WHEN dist >= lim THEN 'edge' END AS reason FROM k),
+    s AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', row_id::VARCHAR, '42'))) AS rn FROM r WHERE reason IS NULL)
+    SELECT row_id, cluster, dist, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT row_id, cluster, dist, 'sample' FROM s WHERE rn <= greatest(5, floor(n * 0.2::DOUBLE))""")
+def density_filter(spark, d):
+    return coreset.density_filter(_dist(spark, d), 0.1, 92.0, 0.2, 5)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {_BOUNDARY}, sc AS (SELECT row_id, round(1 / (1 + dist), 9) AS score FROM bnd),
+    pins AS (SELECT row_id FROM sc ORDER BY score DESC, row_id LIMIT 15),
+    s0 AS (SELECT vec_id AS a, CASE WHEN vec_id IN (SELECT row_id FROM pins) THEN 0 ELSE (SELECT min(d) FROM dd WHERE dd.a = e.vec_id AND dd.b IN (SELECT row_id FROM pins)) END AS gap FROM embeddings e),
+    r AS (
+        SELECT 0 AS step, a, gap FROM s0
+        UNION ALL
+        SELECT step + 1, q.a, CASE WHEN q.a = p THEN 0 ELSE least(gap, d) END FROM (SELECT *, first_value(a) OVER (ORDER BY gap DESC, a) AS p FROM r WHERE step < 35) q LEFT JOIN dd ON dd.a = q.a AND dd.b = q.p
+    ), cores AS (SELECT arg_max(a, (gap, -a)) AS row_id FROM r WHERE step < 35 GROUP BY step),
+    chosen AS (SELECT row_id, 'pin' AS role, score FROM pins JOIN sc USING (row_id) UNION ALL SELECT row_id, 'core', score FROM cores JOIN sc USING (row_id)),
+    each AS (SELECT label, count(*) AS n, count(role) AS kept FROM embeddings LEFT JOIN chosen ON row_id = vec_id GROUP BY label),
+    small AS (SELECT *, n <= (SELECT ceil(sum(n) * 0.1::DOUBLE) FROM each) AS is_small FROM each)
+    SELECT (SELECT count(*) FROM chosen) AS chosen, (SELECT count(*) FROM pins) AS pins, (SELECT round(avg(score), 9) FROM chosen) AS mean_score,
+           round(quantile_cont(gap, 0.5::DOUBLE), 9) AS radius_p50, round(quantile_cont(gap, 0.9::DOUBLE), 9) AS radius_p90, round(quantile_cont(gap, 0.95::DOUBLE), 9) AS radius_p95, round(max(gap), 9) AS radius_max,
+           (SELECT count(*) FROM small) AS clusters, (SELECT count(*) FROM small WHERE kept > 0) AS clusters_kept, (SELECT count(*) FROM small WHERE is_small) AS small_clusters, (SELECT count(*) FROM small WHERE is_small AND kept > 0) AS small_kept
+    FROM r WHERE step = 35""")
+def coreset_quality(spark, d):
+    """Pins by the distance to other labels, cores farthest first, and how well they cover the rows and labels."""
+    with staging.scope() as kept:
+        rows = _labelled(spark, d)
+        near = neighbours.nearest(rows, differ=True)
+        scored = staging.stage(near.select("row_id", neighbours.kth_distance(F.col("near"), 1).alias("dist")).withColumn("score", F.round(1 / (1 + F.col("dist")), 9)), "scored")
+        pinned = staging.stage(coreset.pins(scored, 15), "pins")
+        cores, gaps = coreset.farthest_first(rows, 35, pinned)
+        chosen = pinned.withColumn("role", F.lit("pin")).unionByName(cores.select("row_id", F.lit("core").alias("role"))).join(scored.select("row_id", "score"), "row_id")
+        out = staging.stage(coreset.quality(gaps, chosen, rows.select("row_id", F.col("cls").alias("cluster")), 0.1), "quality")
+        kept.append(out)
+    return out
 
 
 # --- augmentation -------------------------------------------------------------------------------------------------------

@@ -7,8 +7,12 @@ only cluster fits go label by label, since each is a model of its own.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
+from concurrent import futures
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +32,67 @@ def column_types(spec: DatasetSpec) -> tuple[list[str], list[str]]:
     return list(spec.continuous), whole
 
 
+def raw_flows(spark: SparkSession, paths: list[str], spec: DatasetSpec) -> DataFrame:
+    """Raw files with headers: of the columns most of them have, features and label."""
+    heads = tables.first_lines(spark, paths)
+    columns = tables.majority_schema(tables.headers(spark, paths, heads)).first()["columns"]
+    return clean.select_features(tables.read_csv(spark, paths, columns, heads), spec)
+
+
 def merge_clean(spark: SparkSession, paths: list[str], spec: DatasetSpec) -> DataFrame:
-    """Raw files with headers: the columns most of them have, features and label, cleaned, without duplicates."""
-    columns = tables.majority_schema(tables.headers(spark, paths)).first()["columns"]
-    raw = clean.select_features(tables.read_csv(spark, paths, columns), spec)
-    floats, ints = column_types(spec)
-    return clean.cleaned(raw, floats, ints, spec.label)
+    """Raw files with headers, cleaned, without duplicates."""
+    return clean.cleaned(raw_flows(spark, paths, spec), *column_types(spec), spec.label)
+
+
+def clean_and_write(raw: DataFrame, spec: DatasetSpec, path: str) -> dict[str, int]:
+    """Cleaned rows in a folder for each label; the counters of the steps, which the pass over the raw rows gives by the way."""
+    df, counts = clean.cleaned_and_counted(raw, *column_types(spec), spec.label)
+    with staging.scope():
+        tables.write_by_label(staging.stage(df, "cleaned"), spec.label, path)
+    return counts()
+
+
+def problems(df: DataFrame) -> dict[str, int | bool]:
+    """Is anything missing or infinite, and how many rows are duplicates: before or after cleaning."""
+    return {"missing": clean.has_missing_or_inf(df).first().found} | clean.duplicate_count(df).first().asDict()
+
+
+def by_label(spark: SparkSession, labels: list[str], work: Callable, jobs: int = 1) -> dict:
+    """{label: work(label)}, up to so many labels at a time.
+
+    Each runs in a thread, and a scheduler's pool, of its own, so that with spark.scheduler.mode FAIR they share the executors evenly. If
+    one fails the others' jobs are cancelled by their tag, and those not begun don't run. With one job, labels follow each other.
+    """
+    if jobs <= 1 or len(labels) <= 1:
+        return {x: work(x) for x in labels}
+    sc, tag = spark.sparkContext, f"labels-{uuid.uuid4().hex}"
+
+    def one(label: str):
+        sc.setLocalProperty("spark.scheduler.pool", scalars.safe_name_of(label))
+        sc.addJobTag(tag)
+        try:
+            return work(label)
+        finally:
+            sc.removeJobTag(tag)
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with futures.ThreadPoolExecutor(jobs) as pool:
+        started = {pool.submit(inheritable_thread_target(one), x): x for x in labels}
+        try:
+            for f in futures.as_completed(started):
+                f.result()
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            sc.cancelJobsWithTag(tag)
+            raise
+    return {x: f.result() for f, x in started.items()}
+
+
+def raw_connections(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
+    """A raw file without header: attacks to families, features and label."""
+    raw = tables.read_headerless(spark, path, list(spec.raw))
+    raw = raw.withColumn(spec.label, scalars.mapped(F.col("attack"), spec.family_map(), spec.other_family))
+    return clean.select_features(raw, spec)
 
 
 def clean_connections(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
@@ -105,8 +164,8 @@ def decode(df: DataFrame, spec: DatasetSpec, made: dict, numerical: str = "minma
     return out.select(*(F.col(f"`{c}`") for c in [*spec.ordered, spec.label] if c in out.columns))
 
 
-def compress(rows: DataFrame, spec: DatasetSpec, made: dict, label: str, budget: int, clusters: int | None = None, strategy: str = "diverse", percentile: float = 95.0, per_cluster: float = 3.0, fallback: str = "random", numerical: str = "standard", seed: int = 42) -> DataFrame:
-    """Of a label's rows as many as the budget, chosen from clusters of their scaled numbers; as they were."""
+def compress(rows: DataFrame, spec: DatasetSpec, made: dict, label: str, budget: int, clusters: int | None = None, strategy: str = "diverse", percentile: float = 95.0, per_cluster: float = 3.0, fallback: str = "random", numerical: str = "standard", seed: int = 42, algorithm: str = "full") -> DataFrame:
+    """Of a label's rows as many as the budget, chosen from clusters of their scaled numbers; as they were. algorithm: full or minibatch. What it stages goes with the caller's scope."""
     own = staging.stage(clean.with_copy_ids(rows.where(F.col(f"`{spec.label}`") == label)), "own")
     n = own.count()
     if n <= budget:
@@ -114,7 +173,10 @@ def compress(rows: DataFrame, spec: DatasetSpec, made: dict, label: str, budget:
     scaled = _numeric(made, numerical).transform(own)
     points = scaled.select("row_id", F.array(*(F.col(f"`{c}`").cast("double") for c in spec.numerical)).alias("vec"))
     k = min(clusters or cluster.default_n_clusters(n, budget, strategy, per_cluster), n)
-    placed, centers = cluster.kmeans(points, max(2, k), seed)
+    if algorithm not in ("full", "minibatch"):
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    fit = cluster.kmeans if algorithm == "full" else cluster.minibatch_kmeans
+    placed, centers = fit(points, max(2, k), seed=seed)
     dist = cluster.dist_to_center(placed, centers)
     chosen = cluster.select_diverse(dist, budget, percentile) if strategy == "diverse" else cluster.select_core(dist, budget, fallback, percentile, seed)
     return clean.row_id_lookup(own, chosen, "row_id").drop("row_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent import futures
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,15 +12,42 @@ from pyspark.sql import types as T
 from sluice.functions import scalars
 
 
+#: Files whose first lines are read at a time.
+AT_A_TIME = 16
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of each file ("" if it has none), by the stores' own interface, compressed ones too: no job, and no more than a line is read of any."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def one(path: str) -> str:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        raw = at.getFileSystem(conf).open(at)
+        try:
+            codec = codecs.getCodec(at)
+            stream = raw if codec is None else codec.createInputStream(raw)
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+        finally:
+            raw.close()
+
+    with futures.ThreadPoolExecutor(AT_A_TIME) as pool:
+        return dict(zip(paths, pool.map(inheritable_thread_target(one), paths), strict=True))
+
+
+def _names(line: str) -> list[str]:
+    return [c.strip() for c in line.split(",")] if line else []
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file, trimmed; only its first line is read."""
-    first = spark.read.text(path).limit(1).collect()
-    return [c.strip() for c in first[0][0].split(",")] if first else []
+    return _names(first_lines(spark, [path])[path])
 
 
-def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, columns) of CSV files."""
-    return spark.createDataFrame([(p, read_header(spark, p)) for p in sorted(paths)], "file string, columns array<string>")
+def headers(spark: SparkSession, paths: list[str], heads: dict[str, str] | None = None) -> DataFrame:
+    """(file, columns) of CSV files; heads: their first lines, if known."""
+    heads = first_lines(spark, paths) if heads is None else heads
+    return spark.createDataFrame([(p, _names(heads[p])) for p in sorted(paths)], "file string, columns array<string>")
 
 
 def majority_schema(headers: DataFrame) -> DataFrame:
@@ -33,12 +63,13 @@ def schema_outliers(headers: DataFrame, columns: list[str]) -> DataFrame:
     return diff.where((F.size("extra") > 0) | (F.size("missing") > 0))
 
 
-def read_csv(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """Files with headers, as strings, these columns only; a file that lacks one is an error. Leading blanks are ignored."""
+def read_csv(spark: SparkSession, paths: list[str], columns: list[str], heads: dict[str, str] | None = None) -> DataFrame:
+    """Files with headers, as strings, these columns only; a file that lacks one is an error. Leading blanks are ignored. heads: their first lines, if known."""
     out = None
+    heads = first_lines(spark, paths) if heads is None else heads
     by_header: dict[tuple, list[str]] = {}
     for p in sorted(paths):
-        by_header.setdefault(tuple(read_header(spark, p)), []).append(p)
+        by_header.setdefault(tuple(_names(heads[p])), []).append(p)
     for names, files in by_header.items():
         if missing := [c for c in columns if c not in names]:
             raise ValueError(f"{files[0]} lacks {missing}")
@@ -83,12 +114,14 @@ def encoded_name(resource: str, label: str, subset: str) -> str:
     return f"{resource}_{scalars.safe_name_of(label)}_{subset}_encoded"
 
 
-def find_models(path: str, resource: str, kinds: tuple[str, ...], exclude: tuple[str, ...] = ()) -> dict[str, str]:
-    """kind to folder, of the models that are there."""
-    import os
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
 
-    named = {k: os.path.join(path, f"{resource}_{k}") for k in kinds if k not in exclude}
-    return {k: p for k, p in named.items() if os.path.exists(p)}
+def find_models(spark: SparkSession, path: str, kinds: tuple[str, ...], exclude: tuple[str, ...] = ()) -> dict[str, str]:
+    """kind to folder, of the models that are saved there; in any store."""
+    return {k: p for k in kinds if k not in exclude and exists(spark, p := f"{path.rstrip('/')}/{k}")}
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

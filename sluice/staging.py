@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,30 +36,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[DataFrame]] = []
+#: The scopes that the running thread or task is in, the innermost last; each has the tables staged in it.
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scope(*keep: DataFrame):
-    """Tables staged within, but for those in the list that it gives, are deleted at its end."""
+    """Tables staged within, by the same thread, but for those in the list that it gives, are deleted at its end."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = list(keep)
-    _scopes.append(made)
+    outer = _scopes.get()
+    token = _scopes.set((*outer, made))
     try:
         yield kept
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for df in made:
             if not any(df is k for k in kept):
                 drop(df)
-            elif _scopes:
-                _scopes[-1].append(df)
+            elif outer:
+                outer[-1].append(df)
 
 
 def _clear(spark: SparkSession) -> None:
     """What this process has staged and not dropped goes when it ends, if its session still runs."""
     with contextlib.suppress(Exception):
-        for path in _left:
+        for path in list(_left):
             delete(spark, path)
 
 
@@ -73,29 +77,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if not _left:
         atexit.register(_clear, spark)
     _left.add(path)
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
-    for made in _scopes:
+    for made in _scopes.get():
         made[:] = [x for x in made if x is not df]
     delete(df.sparkSession, df.staged_at)
 
 
+_batches = threading.Lock()
+#: How many threads are within small_batches, and the setting before the first of them.
+_within: list[str] = []
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of so many rows for what is run within, unless the session says otherwise: rows hold whole texts."""
+    """Arrow batches of so many rows for what is run within, unless the session says otherwise: rows hold whole texts.
+
+    The setting is the session's: of several threads the first changes it and the last puts it back.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if before == "10000":
-        spark.conf.set(key, str(rows))
+    with _batches:
+        before = _within[0] if _within else spark.conf.get(key)
+        _within.append(before)
+        if before == "10000":
+            spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _batches:
+            _within.pop()
+            if not _within:
+                spark.conf.set(key, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 import random
 
@@ -202,14 +203,18 @@ def test_kmeans_is_fitted_on_all_rows(spark):
     assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [1000, 200_000]
 
 
-@pytest.mark.parametrize(("n", "k", "block"), [(20_001, 1, None), (20_001, 3, None), (40, 2, 7), (40, 1, 40)])
-def test_nearest_of_any_number_of_others(spark, n, k, block):
+@pytest.mark.parametrize(("n", "k"), [(20_001, 3), (40, 2), (1, 2)])
+def test_nearest_of_any_number_of_others(spark, n, k):
     rng = np.random.default_rng(3)
     own, other = rng.random((5, 2)), rng.random((n, 2))
     rows, others = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>") for x in (own, other))
-    got = cluster.nearest_other(rows, others, k, **({"block": block} if block else {})).collect()
-    want = np.sort(np.linalg.norm(own[:, None] - other[None], axis=2), axis=1)[:, k - 1]
-    assert len(got) == 5 and np.allclose([r.dist for r in sorted(got)], want, atol=1e-8)
+    got = cluster.nearest_other(rows, others, k).collect()
+    assert len(got) == 5
+    if n < k:
+        assert all(r.dist is None for r in got)
+    else:
+        want = np.sort(np.linalg.norm(own[:, None] - other[None], axis=2), axis=1)[:, k - 1]
+        assert np.allclose([r.dist for r in sorted(got)], want, atol=1e-8)
 
 
 def test_votes(spark):
@@ -407,8 +412,14 @@ def test_files(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "csv"))
     tables.write_metrics(df.limit(1), str(tmp_path / "m"))
     assert tables.clean_merged_name("r", "A b/c", "train") == "r_a_b_c_train_clean_merged"
-    (tmp_path / "r_xgb").mkdir()
-    assert list(tables.find_models(str(tmp_path), "r", ("xgb", "dnn"))) == ["xgb"]
+    (tmp_path / "xgb").mkdir()
+    assert tables.find_models(spark, str(tmp_path), ("xgb", "dnn")) == {"xgb": f"{tmp_path}/xgb"}
+    assert tables.find_models(spark, str(tmp_path), ("xgb", "dnn"), ("xgb",)) == {}
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write("é,b\n1,2\n")
+    (tmp_path / "none.csv").write_text("")
+    assert tables.first_lines(spark, [str(tmp_path / n) for n in ("z.csv.gz", "none.csv")]) == {str(tmp_path / "z.csv.gz"): "é,b", str(tmp_path / "none.csv"): ""}
+    assert tables.read_header(spark, str(tmp_path / "none.csv")) == []
     with blobs.create(f"file://{tmp_path}/d/x y") as f:
         f.write(b"abc")
     with blobs.read(f"file://{tmp_path}/d/x y") as f:
@@ -448,7 +459,7 @@ def test_percentiles_of_clusters_equal_the_exact_ones(spark):
     dist = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(rows)] + [(999, 1, None)], "row_id long, cluster int, dist double")
     for p in (0.0, 50.0, 92.0, 95.0, 100.0):
         want = {r.cluster: r.x for r in dist.groupBy("cluster").agg(F.percentile("dist", F.lit(p / 100)).alias("x")).collect()}
-        got = {r.cluster: r.limit for r in cluster._percentiles(dist, p).collect()}
+        got = {r.cluster: r.limit for r in cluster.percentiles(dist, p).collect()}
         assert got == pytest.approx(want)
 
 

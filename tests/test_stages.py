@@ -35,10 +35,13 @@ def go(spark, *args):
     run(parser().parse_args([str(a) for a in args]), spark)
 
 
-def test_flows_from_raw_files_to_metrics(spark, flows):
+def test_flows_from_raw_files_to_metrics(spark, flows, capsys):
     r = ["--resource", "cic2018"]
     files = [str(p) for p in sorted((flows / "raw").iterdir())]
-    go(spark, "merge-clean", *r, "--input", flows / "raw", "--output", flows / "clean", "--files", *files)
+    go(spark, "merge-clean", *r, "--input", flows / "raw", "--output", flows / "clean", "--precheck", "--postcheck", "--files", *files)
+    said = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert said[0]["before"]["missing"] and said[1] == {"rows_read": 492, "header_rows": 3, "missing_rows": 3, "negative_rows": 3, "clean_rows": 483, "distinct_rows": 480}
+    assert said[2]["after"] == {"missing": False, "rows": 480, "distinct_rows": 480, "duplicates": 0}
     clean = spark.read.parquet(str(flows / "clean"))
     assert {x.label_safe: x["count"] for x in clean.groupBy("label_safe").count().collect()} == {"benign": 210, "bot": 210, "sql_injection": 60}
     go(spark, "split", *r, "--input", flows / "clean", "--output", flows / "split")
@@ -52,10 +55,10 @@ def test_flows_from_raw_files_to_metrics(spark, flows):
     order = [*FLOWS.ordered, "Label"]
     x, y = (df.toPandas()[order].sort_values(["Flow Duration", "Tot Fwd Pkts", "Idle Min"]) for df in (before, after))
     assert x["Label"].tolist() == y["Label"].tolist() and np.allclose(x[order[:-1]].astype(float), y[order[:-1]].astype(float), atol=1e-6)
-    go(spark, "compress", *r, *enc, "--input", flows / "split", "--output", flows / "major", "--labels", "Benign", "Bot", "--budget", 60)
+    go(spark, "compress", *r, *enc, "--input", flows / "split", "--output", flows / "major", "--labels", "Benign", "Bot", "--budget", 60, "--jobs", 2, "--kmeans-algo", "minibatch")
     go(spark, "augment", *r, *enc, "--input", flows / "split", "--output", flows / "minor", "--labels", "SQL Injection", "--tau", 70)
     major, minor = ([str(p) for p in sorted((flows / k).iterdir())] for k in ("major", "minor"))
-    go(spark, "merge", *r, "--output", flows / "train", "--major", *major, "--minor", *minor)
+    go(spark, "merge", *r, "--output", flows / "train", "--shuffle", "--major", *major, "--minor", *minor)
     train = spark.read.parquet(str(flows / "train"))
     assert sorted((x.Label, x["count"]) for x in train.groupBy("Label").count().collect()) == [("Benign", 60), ("Bot", 60), ("SQL Injection", 70)]
     assert train.select("__source__").distinct().count() == 3
