@@ -77,13 +77,14 @@ def by_label(spark: SparkSession, labels: list[str], work: Callable, jobs: int =
             sc.setLocalProperty("spark.scheduler.pool", None)
 
     with futures.ThreadPoolExecutor(jobs) as pool:
-        started = {pool.submit(inheritable_thread_target(one), x): x for x in labels}
+        started = {pool.submit(inheritable_thread_target(spark)(one), x): x for x in labels}
         try:
             for f in futures.as_completed(started):
                 f.result()
         except BaseException:
             pool.shutdown(wait=False, cancel_futures=True)
-            sc.cancelJobsWithTag(tag)
+            while futures.wait(started, timeout=0.5).not_done:  # a thread may begin another job
+                sc.cancelJobsWithTag(tag)
             raise
     return {x: f.result() for f, x in started.items()}
 

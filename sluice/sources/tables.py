@@ -32,7 +32,7 @@ def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
             raw.close()
 
     with futures.ThreadPoolExecutor(AT_A_TIME) as pool:
-        return dict(zip(paths, pool.map(inheritable_thread_target(one), paths), strict=True))
+        return dict(zip(paths, pool.map(inheritable_thread_target(spark)(one), paths), strict=True))
 
 
 def _names(line: str) -> list[str]:

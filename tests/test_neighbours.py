@@ -135,8 +135,8 @@ def test_minibatches_come_near_the_full_fit(spark):
         return sum(np.linalg.norm(x[i] - c[at[i]]) ** 2 for i in at)
 
     full = inertia(cluster.kmeans(df.where("vec is not null"), 12))
-    one, again = (cluster.minibatch_kmeans(t, 12, batch=400, rounds=30) for t in (df, df.repartition(3)))
-    assert inertia(one) < 1.1 * full
+    assert inertia(cluster.minibatch_kmeans(df, 12, batch=400, rounds=10)) < 1.1 * full
+    one, again = (cluster.minibatch_kmeans(t, 12, batch=400, rounds=1) for t in (df, df.repartition(3)))
     assert np.allclose(*(np.array([r.center for r in m[1].orderBy("cluster").collect()]) for m in (one, again)))
 
 
