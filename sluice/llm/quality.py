@@ -135,8 +135,8 @@ class Model:
 
 def fit(rows: list[tuple[str, int]], threshold: float = 0.3) -> Model:
     """A chain from (text, label) rows; the scores are shifted so that threshold is the best cut between the labels."""
-    if len({y for _, y in rows}) < 2:  # nothing to tell apart
-        return Model(crf.Chain(np.zeros(N_FEATURES), 0.0, np.zeros((2, 2))), np.zeros(3), 5.0 if rows and rows[0][1] else -5.0)
+    if len({y for _, y in rows}) < 2:  # nothing to tell apart: all are what is labelled, or good
+        return Model(crf.Chain(np.zeros(N_FEATURES), 0.0, np.zeros((2, 2))), np.zeros(3), -5.0 if rows and not rows[0][1] else 5.0)
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows])
     features, counts, _ = _features(texts)
     # long texts are several sequences of 200 lines at most

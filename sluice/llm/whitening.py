@@ -11,7 +11,7 @@
    is measured by an aggregate over all rows.
 
 Vectors that are null or hold null or non-finite entries take no part. Vectors of another length are whitened by
-themselves. Rows with a null or repeated id are rows like any other. Entries beyond 2**55 in size count as 2**55. A component whose
+themselves. Rows with a null or repeated id are rows like any other. Entries beyond 2**34 in size count as 2**34. A component whose
 eigenvalue is nothing but rounding (equal vectors, fewer vectors than dimensions) can't be whitened and has no row; a
 deviation that doesn't fit in 64 bits is null. An empty table gives an empty one; vectors may be long, as far as the
 driver can hold the square of their length. Other columns don't matter, whatever their names.
@@ -32,13 +32,13 @@ from sluice.llm import vectors
 
 #: What entries are multiplied by, and what is added to them.
 SCALE, OFFSET = 64, 1_000_000
-#: Components that are given; bits of the lower part of a sum; largest entry in size; sweeps of rotations at most.
-COMPONENTS, LOW, LARGEST, SWEEPS = 32, 32, float(1 << 61), 60
+#: Components that are given; bits of each lower part of a sum; largest entry in size (its products' sums fit in three parts); sweeps of rotations at most.
+COMPONENTS, LOW, LARGEST, SWEEPS = 32, 32, float(1 << 40), 60
 #: Entries of vectors that are worked on at a time.
 STEP = 1 << 20
 
-_SUMS = "dim int, part int, low binary, high binary"
-_SUMS_TYPE = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
+_SUMS = "dim int, part int, low binary, middle binary, high binary"
+_SUMS_TYPE = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("low", pa.binary()), ("middle", pa.binary()), ("high", pa.binary())])
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -54,25 +54,29 @@ def _steps(batch, column: int):
 
 
 class _Sum:
-    """An array of sums of any size, as lower bits and the rest."""
+    """An array of sums of up to 127 bits: two lower parts and the rest."""
 
     def __init__(self, shape):
-        self.low, self.high = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.parts = [np.zeros(shape, np.int64) for _ in range(3)]
 
     def add(self, x: np.ndarray) -> None:
         """x: whole numbers, as int64 or Python's own."""
-        if x.dtype == object:
-            self.low += (x & ((1 << LOW) - 1)).astype(np.int64)
-            self.high += (x >> LOW).astype(np.int64)
-        else:
-            self.low += x & ((1 << LOW) - 1)
-            self.high += x >> LOW
-        self.high += self.low >> LOW
-        self.low &= (1 << LOW) - 1
+        mask = (1 << LOW) - 1
+        self.add_parts(((x & mask).astype(np.int64), (x >> LOW & mask).astype(np.int64), (x >> LOW >> LOW).astype(np.int64)))
+
+    def add_parts(self, parts) -> None:
+        for own, more in zip(self.parts, parts, strict=True):
+            own += more
+        for lower, upper in zip(self.parts, self.parts[1:], strict=False):
+            upper += lower >> LOW
+            lower &= (1 << LOW) - 1
 
     def rows(self, dim: int):
-        for i, (low, high) in enumerate(zip(self.low, self.high, strict=True)):
-            yield dim, i, low.astype("<i8").tobytes(), high.astype("<i8").tobytes()
+        for i, parts in enumerate(zip(*self.parts, strict=True)):
+            yield dim, i, *(p.astype("<i8").tobytes() for p in parts)
+
+    def numbers(self) -> list[list[int]]:
+        return [[low + (middle << LOW) + (high << 2 * LOW) for low, middle, high in zip(*(p.tolist() for p in parts), strict=True)] for parts in zip(*self.parts, strict=True)]
 
 
 def _batch(rows):
@@ -124,12 +128,10 @@ def _scatter(centres: dict[int, np.ndarray]):
 def _merged(batches):
     sums: dict[tuple[int, int], _Sum] = {}
     for batch in batches:
-        for dim, part, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            low, high = np.frombuffer(low, "<i8"), np.frombuffer(high, "<i8")
-            own = sums.setdefault((dim, part), _Sum((1, len(low))))
-            own.add(low[None, :])
-            own.high += high
-    rows = [(dim, part, s.low.astype("<i8").tobytes(), s.high.astype("<i8").tobytes()) for (dim, part), s in sums.items()]
+        for dim, part, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = [np.frombuffer(m, "<i8") for m in more]
+            sums.setdefault((dim, part), _Sum((1, len(more[0])))).add_parts(more)
+    rows = [(dim, part, *row[2:]) for (dim, part), s in sums.items() for row in s.rows(dim)]
     if rows:
         yield _batch(rows)
 
@@ -139,8 +141,10 @@ def _gathered(sums: DataFrame) -> dict[int, dict[int, list[int]]]:
     met = sums.repartition(staging.partitions(sums.sparkSession), "dim", "part").mapInArrow(_merged, _SUMS)
     out: dict[int, dict[int, list[int]]] = {}
     for r in met.toLocalIterator():
-        low, high = np.frombuffer(bytes(r.low), "<i8").tolist(), np.frombuffer(bytes(r.high), "<i8").tolist()
-        out.setdefault(r.dim, {})[r.part] = [(h << LOW) + v for v, h in zip(low, high, strict=True)]
+        parts = [np.frombuffer(bytes(p), "<i8") for p in (r.low, r.middle, r.high)]
+        one = _Sum((1, len(parts[0])))
+        one.add_parts(parts)
+        out.setdefault(r.dim, {})[r.part] = one.numbers()[0]
     return out
 
 

@@ -113,5 +113,35 @@ def test_sample_is_bounded(spark):
     rows = labelled.sample(docs, labels, "quality", F.lit(True), 7, 9)
     assert sorted(y for _, y in rows) == [0] * 9 + [1] * 7
     assert rows == labelled.sample(docs, labels, "quality", F.lit(True), 7, 9)
-    twice = docs.unionByName(docs.withColumn("text", F.lit("s" * 60_000))).unionByName(docs)
+    twice = docs.unionByName(docs.withColumn("text", F.lit("u" * 60_000))).unionByName(docs)
     assert rows == labelled.sample(twice, labels, "quality", F.lit(True), 7, 9)
+    fewer = labelled.sample(docs.where("doc_id >= 90"), labels, "quality", F.lit(True), 7, 9)  # ids that are drawn are those there are
+    assert sorted(y for _, y in fewer) == [0] * 5 + [1] * 5
+    with pytest.warns(UserWarning, match="quality = 1"):
+        assert len(labelled.sample(docs.where("doc_id % 2 = 0"), labels, "quality", F.lit(True), 7, 9)) == 9
+
+
+def test_windows_of_long_texts(spark):
+    text = "".join(str(i % 10) for i in range(1003))
+    df = spark.createDataFrame([(text,), ("short",), (None,)], "text string")
+    got = [r[0] for r in df.select(labelled.windowed(F.col("text"), 100)).collect()]
+    starts = [(1003 - 20) * i // 4 for i in range(5)]
+    assert got == ["\n".join(text[s : s + 20] for s in starts), "short", None]
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x" * 1000).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = labelled.sample(docs, labels, "toxic", F.lit(True), 30, 30, longest=500, total=4000)
+    assert sorted(y for _, y in rows) == [0] * 4 + [1] * 4 and all(len(t) == 504 for t, _ in rows)
+
+
+@pytest.mark.filterwarnings("ignore:no document")
+def test_long_labelled_texts_teach_as_well(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    times = F.ceil(F.lit(60_000) / F.greatest(F.length("text"), F.lit(1))).cast("int")
+    long = docs.join(labels.select("doc_id"), "doc_id").where("length(text) > 0").withColumn("text", F.repeat(F.concat("text", F.lit("\n")), times))
+    assert long.agg(F.min(F.length("text"))).first()[0] >= 60_000
+    for made, column, bad in ((quality.train(long, labels), "quality", 0), (toxicity.train(long, labels), "toxic", 1)):
+        score = quality.score if column == "quality" else toxicity.score
+        got = score(docs, made).join(labels, "doc_id").where(F.col(column).isNotNull())
+        right = got.select(F.avg(((F.col("score") >= 0.3).cast("int") == F.col(column)).cast("double")), F.count_if(((F.col("score") >= 0.3).cast("int") == bad) & (F.col(column) == bad)) / F.count_if(F.col(column) == bad)).first()
+        assert right[0] > 0.9 and right[1] > 0.6, (column, right)

@@ -35,9 +35,35 @@ def test_a_filter_opens_few_shards(spark, tmp_path):
 
 def test_steps_keep_order(spark):
     values = [None, "", "a", "ab", "src0", "src1", "src10", "srd", "é", "zz"]
-    df = spark.createDataFrame([(v,) for v in values], "v string")
-    got = [(r.n, r.v) for r in df.select("v", hilbert.ordered(F.col("v"), 0).alias("n")).collect()]
-    assert [v for _, v in sorted(got, key=lambda x: x[0])] == [None, *sorted(values[1:], key=str.encode)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("k", hilbert.ordered(F.col("v")))
+    got = [(r.k, r.v) for r in df.collect()]
+    assert [v for _, v in sorted(got, key=lambda x: x[0].encode())] == [None, *sorted(values[1:], key=str.encode)]
+    steps = {r.v: r.s for r in df.withColumn("s", hilbert._step(F.col("k"), hilbert._string_cuts(df, "k"))).collect()}
+    assert [steps[v] for v in [None, *sorted(values[1:], key=str.encode)]] == sorted(set(steps.values())) and len(set(steps.values())) == 10
+
+
+def test_an_odd_name_opens_no_more_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").drop("text").withColumn("text", F.lit(None).cast("string"))
+    docs = docs.withColumn("source", F.concat(F.lit("common-crawl-2021-"), "source"))
+    odd = docs.limit(1).withColumn("source", F.lit("a"))
+
+    def opened(df):
+        rows = hilbert.assign(df, keep=("source",))
+        ends = rows.groupBy("shard").agg(F.min("kept_source").alias("low"), F.max("kept_source").alias("high")).collect()
+        names = [r.source for r in docs.select("source").distinct().collect()]
+        return sum(r.low <= n <= r.high for r in ends for n in names) / len(names)
+
+    plain = opened(docs)
+    assert plain <= 8 and opened(docs.unionByName(odd)) <= plain + 1
+
+
+def test_equal_rows_go_to_several_tasks(spark):
+    alike = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rows = hilbert.assign(alike, part=20).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [31] * 12 + [32] * 4 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 @pytest.mark.parametrize("part", [100_000, 3])
