@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice import staging
 from sluice.functions import encoders
-from sluice.operators import clean, models, split
+from sluice.operators import augment, clean, models, split
 from sluice.plans import stages
 from sluice.sources import tables
 from sluice.spec import SPECS
 
 
+#: What makes rows of a rare label.
+GENERATORS = {"gaussian": augment.GaussianGenerator, "flow": augment.FlowGenerator, "learnt-flow": augment.LearntFlow}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sluice")
     sub = top.add_subparsers(dest="stage", required=True)
@@ -39,11 +43,11 @@ def parser() -> argparse.ArgumentParser:
     add("setup-encoders", "input", "output", label_set="fixed")
     add("encode", "input", "encoders", "output", subset="train", num_encoder="standard", labels=[])
     add("compress", "input", "encoders", "output", labels=[], budget=20_000, n_clusters=0, strategy="diverse", edge_percentile=95.0, per_cluster=3.0, core_fallback="random", kmeans_algo="full", jobs=1)
-    add("augment", "input", "encoders", "output", labels=[], tau=10_000, opposite_label="Benign", num_encoder="minmax", jobs=1)
+    add("augment", "input", "encoders", "output", labels=[], tau=10_000, opposite_label="Benign", num_encoder="minmax", generator="gaussian", jobs=1)
     add("decode", "input", "encoders", "output", numerical_inverse="minmax")
     add("merge", "output", major=[], minor=[], shuffle=False, random_state=42)
     add("sample", "input", "output", tau=1000, labels=[], seed=42)
-    add("train", "input", "encoders", "output", models=["xgb", "bagging"], size=1)
+    add("train", "input", "encoders", "output", models=["xgb", "bagging"], exclude_models=[], size=1)
     add("evaluate", "input", "encoders", "models_path", "output", models=["xgb", "bagging"], mode="ensemble")
     add("perturb", "input", "encoders", "models_path", "output", model="xgb", attack="hsja", attack_params="{}", samples=0, sampling_mode="first", space="raw", timeout=0.0, max_retries=3, placeholder="original")
     add("robustness", "input", "perturbed", "encoders", "models_path", "output", models=["xgb"])
@@ -92,14 +96,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         case "augment":
 
 
-            def augment(x: str) -> None:
+            def augmented(x: str) -> None:
                 with staging.scope():
                     rows = stages.read_subset(spark, args.input, "train", [x])
                     other = stages.read_subset(spark, args.input, "train", [args.opposite_label])
-                    out = stages.augment_label(rows, spec, made, x, args.tau, other, stages.read_subset(spark, args.input, "test", [x]), args.num_encoder)
+                    out = stages.augment_label(rows, spec, made, x, args.tau, other, stages.read_subset(spark, args.input, "test", [x]), args.num_encoder, GENERATORS[args.generator])
                     _write(out, f"{args.output}/{tables.clean_merged_name(spec.name, x, 'augmented')}")
 
-            stages.by_label(spark, names, augment, args.jobs)
+            stages.by_label(spark, names, augmented, args.jobs)
         case "decode":
             _write(stages.decode(spark.read.parquet(args.input), spec, made, args.numerical_inverse), args.output)
         case "merge":
@@ -112,7 +116,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             _write(split.capped_sample(keyed, spec.label, ["row_id"], args.tau, args.seed).drop("row_id"), args.output)
         case "train":
             data = stages.prepared(clean.dedup(spark.read.parquet(args.input)), spec, made)
-            stages.train_models(data, args.models, len(made["label"].values[spec.label]), args.output, args.size)
+            stages.train_models(data, [k for k in args.models if k not in args.exclude_models], len(made["label"].values[spec.label]), args.output, args.size, inputs=stages.network_inputs(spec, made))
         case "evaluate":
             data = stages.prepared(clean.dedup(spark.read.parquet(args.input)), spec, made)
             fitted = stages.load_models(args.models_path, args.models, len(made["label"].values[spec.label]))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
@@ -141,6 +142,98 @@ class FlowGenerator(GaussianGenerator):
         return spark.range(start, start + n).mapInPandas(run, "row_id long, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def noise(*keys: Column | str) -> Column:
+    """A normal number that is a function of the keys, by two uniform ones from md5, as any engine has it."""
+
+    def uniform(tag: str) -> Column:
+        digest = F.md5(F.concat_ws("|", *(k.cast("string") if isinstance(k, Column) else F.lit(k) for k in keys), F.lit(tag)).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(16**13))
+
+    return F.sqrt(-2 * F.log(uniform("a"))) * F.cos(2 * math.pi * uniform("b"))
+
+
+@dataclasses.dataclass
+class LearntFlow:
+    """Rows by a velocity that is learnt for every time and class: Euler steps from noise along the regression of x1 - x0 on (1 - t) x0 + t x1.
+
+    Each row of a class is x1 with several x0 of noise. A regression's normal equations are sums of products, and those of
+    all times are mixtures of one class's sums for (1, x0, x1): one grouped aggregate fits all of them.
+    """
+
+    columns: list[str]
+    classes: list[object]
+    prior: list[float]
+    times: list[float]
+    coefficients: list[list[list[list[float]]]]  # class, time, (1, x) by velocity
+    seed: int = 42
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: list[str], seed: int = 42, label: str | None = None, copies: int = 10, times: int = 50) -> LearntFlow:
+        """Of the rows that have all columns; label: a column with classes, without it all rows are one."""
+        d = len(columns)
+        x1 = [F.col(c).cast("double") for c in columns]
+        complete = scalars.all_of(x.isNotNull() & ~F.isnan(x) for x in x1)
+        rows = df.where(complete).select((F.col(label) if label else F.lit(0)).alias("c"), F.array(*x1).alias("x1"))
+        each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        start = F.array(*(noise(F.concat_ws(",", F.transform("x1", lambda v: F.coalesce(F.round(v * 1_000_000).try_cast("long").cast("string"), v.cast("string")))), F.col("copy"), str(j), str(seed)) for j in range(d)))
+        wide = each.select("c", F.concat(F.array(F.lit(1.0)), start, F.col("x1")).alias("w"))
+        kinds = [r.c for r in rows.select("c").distinct().orderBy("c").collect()]  # as many as classes
+        place = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("c")) - 1 if kinds else F.lit(0)
+
+        def products(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                w, own = np.array(pdf["w"].tolist(), np.float64).reshape(len(pdf), 2 * d + 1), pdf["k"].to_numpy()
+                for k in np.unique(own):
+                    part = w[own == k]
+                    sums[int(k)] = sums.get(int(k), 0) + part.T @ part
+            if sums:
+                yield pd.DataFrame({"k": list(sums), "total": [v.ravel() for v in sums.values()]})
+
+        parts = wide.select(place.cast("int").alias("k"), "w").mapInPandas(products, "k int, total array<double>")
+        found = parts.select("k", F.posexplode("total").alias("pos", "value")).groupBy("k", "pos").agg(F.sum("value").alias("value")).collect()  # a matrix for each class
+        sums = np.zeros((len(kinds), (2 * d + 1) ** 2))
+        for r in found:
+            sums[r.k, r.pos] = r.value
+        grid = np.linspace(1e-3, 1.0, times)
+        return cls(columns, kinds, [float(m[0]) / max(1.0, sums[:, 0].sum()) for m in sums], grid.tolist(), [[cls._solved(m.reshape(2 * d + 1, -1), t).tolist() for t in grid] for m in sums], seed)
+
+    @staticmethod
+    def _solved(m: np.ndarray, t: float) -> np.ndarray:
+        """(1 + columns, columns): of the regression at time t, from the sums of products of (1, x0, x1)."""
+        d = (len(m) - 1) // 2
+        eye, none = np.eye(d), np.zeros((d, 1))
+        at = np.block([[np.ones((1, 1)), np.zeros((1, 2 * d))], [none, (1 - t) * eye, t * eye]])
+        velocity = np.block([none, -eye, eye])
+        return np.linalg.pinv(at @ m @ at.T / m[0, 0], rcond=1e-12, hermitian=True) @ (at @ m @ velocity.T / m[0, 0])
+
+    def velocities(self) -> list[tuple]:
+        """(class, time's number, column, coefficients from the constant on)."""
+        return [(c, i, k, [row[j] for row in m]) for c, own in zip(self.classes, self.coefficients, strict=True) for i, m in enumerate(own) for j, k in enumerate(self.columns)]
+
+    def sample(self, spark: SparkSession, n: int, start: int = 0, label: str | None = None) -> DataFrame:
+        """(row_id, columns..., and label with the row's class by their shares): the same rows for the same ids, however they are partitioned."""
+        columns, seed, d = self.columns, self.seed, len(self.columns)
+        if not self.classes:
+            raise ValueError("no rows to learn from")
+        sent = spark.sparkContext.broadcast(np.array(self.coefficients))
+        bounds, steps = np.cumsum(self.prior), len(self.times)
+
+        def run(batches):
+            for pdf in batches:
+                rngs = [np.random.Generator(np.random.Philox(key=[seed, int(i)])) for i in pdf["id"]]
+                x = np.stack([r.standard_normal(d) for r in rngs]) if rngs else np.empty((0, d))
+                kind = np.minimum(np.searchsorted(bounds, [r.random() for r in rngs], side="right"), len(bounds) - 1)
+                for i in range(steps - 1):
+                    b = sent.value[kind, i]
+                    x = x + (b[:, 0] + np.einsum("nj,njk->nk", x, b[:, 1:])) / (steps - 1)
+                yield pd.DataFrame({"row_id": pdf["id"].to_numpy()} | {c: x[:, k] for k, c in enumerate(columns)} | {"_kind": kind.astype(np.int32)})
+
+        schema = "row_id long, " + ", ".join(f"`{c}` double" for c in columns) + ", _kind int"
+        out = spark.range(start, start + n).mapInPandas(run, schema)
+        return out.withColumn(label, F.get(F.array(*(F.lit(c) for c in self.classes)), F.col("_kind"))).drop("_kind") if label else out.drop("_kind")
+
+
 def augment_to(train: DataFrame, generator, columns: list[str], tau: int, known: list[DataFrame] = (), score: Callable[[DataFrame], DataFrame] | None = None, threshold: float | None = None, rounds: int = 40, places: int = 6) -> DataFrame:
     """train (its columns) with generated rows up to tau rows in all, and generated (boolean).
 

@@ -1,4 +1,4 @@
-"""Classifiers behind one interface: trees fitted in tasks of their own, a multilayer perceptron, and their evaluation."""
+"""Classifiers behind one interface: trees fitted in tasks of their own, a network fitted in rounds, and their evaluation."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import staging
-from sluice.functions import nets, scalars, trees
+from sluice.functions import nets, network, scalars, trees
 from sluice.functions.ranking import digest, ranked
 from sluice.functions.trees import Boosting
-from sluice.operators import cluster, ensemble, metrics, split
+from sluice.operators import cluster, ensemble, metrics, split, training
 
 #: Kinds of models and the learners that stand for them.
 KINDS = ("xgb", "catb", "bagging", "histgbm", "dnn")
@@ -63,8 +63,12 @@ class TreeModel:
         odds = np.concatenate([1 / (1 + np.exp(-np.clip(g.total(codes), -500, 500))) for g in self.groups], axis=1)
         return np.concatenate([1 - odds, odds], axis=1) if self.classes == 2 else odds / odds.sum(axis=1, keepdims=True)
 
+    @property
+    def width(self) -> int:
+        return len(self.cuts)
+
     def with_shares(self, df: DataFrame, features: str = "features", name: str = "p") -> DataFrame:
-        return df.withColumn(name, shares_of(df.sparkSession.sparkContext.broadcast(self))(vector_to_array(features)))
+        return with_shares(self, df, features, name)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [("cuts", i, np.asarray(c, np.float64).tobytes()) for i, c in enumerate(self.cuts)]
@@ -79,10 +83,14 @@ class TreeModel:
         return cls(cuts, [trees.Trees.unpack(bytes(r.data)) for r in rows if r.part == "group"], kind.part == "bagged", kind.number)
 
 
+def with_shares(model: TreeModel | network.Network, df: DataFrame, features: str = "features", name: str = "p") -> DataFrame:
+    return df.withColumn(name, shares_of(df.sparkSession.sparkContext.broadcast(model))(vector_to_array(features)))
+
+
 def shares_of(model: Broadcast) -> Callable:
     @F.pandas_udf("array<double>")
     def shares(features: pd.Series) -> pd.Series:
-        unknown = np.full(len(model.value.cuts), np.nan)
+        unknown = np.full(model.value.width, np.nan)
         x = np.stack([unknown, *(unknown if f is None else f for f in features)])
         return pd.Series(list(model.value.shares(x)[1:]), dtype=object)
 
@@ -151,11 +159,15 @@ def bagged(df: DataFrame, classes: int, n: int = BAGGED, depth: int = DEEPEST, s
 
 @dataclasses.dataclass
 class Classifier:
-    """fit, predict, save, load over tables with features (a vector) and label (a number from 0)."""
+    """fit, predict, save, load over tables with features (a vector) and label (a number from 0).
+
+    inputs: of a network, {"categorical": {place: number of values}, "binary": [places]}. "mlp" is Spark ML's perceptron.
+    """
 
     kind: str
     classes: int
     model: object = None
+    inputs: dict | None = None
 
     def fit(self, df: DataFrame, seed: int = 42, size: int = 1) -> Classifier:
         """size scales the number of trees, rounds or iterations."""
@@ -165,6 +177,9 @@ class Classifier:
         elif self.kind == "bagging":
             self.model = bagged(df, self.classes, BAGGED * size, seed=seed)
         elif self.kind == "dnn":
+            how = training.Schedule()
+            self.model = training.fit(df, self.classes, self.inputs, dataclasses.replace(how, rounds=how.rounds * size), seed)
+        elif self.kind == "mlp":
             inputs = len(df.select(vector_to_array("features").alias("f")).first().f)
             net = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[inputs, 256, 128, self.classes], maxIter=40 * size, seed=seed)
             self.model = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), net]).fit(df)
@@ -174,16 +189,16 @@ class Classifier:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with p (a probability for each class) and y_pred, ties to the smaller label. Rows without features count as unknown in all columns."""
-        if isinstance(self.model, TreeModel):
-            out = self.model.with_shares(df).withColumn("y_pred", F.array_position("p", F.array_max("p")).cast("int") - 1)
+        if isinstance(self.model, (TreeModel, network.Network)):
+            out = with_shares(self.model, df).withColumn("y_pred", F.array_position("p", F.array_max("p")).cast("int") - 1)
         else:
             p = vector_to_array("probability")
             out = self.model.transform(df).withColumn("p", p).withColumn("y_pred", F.col("prediction").cast("int"))
         return out.select(*df.columns, "p", "y_pred")
 
-    def scorer(self) -> TreeModel | nets.Net:
-        """What gives the shares of many rows at once within a task; of a perceptron derivatives too."""
-        if isinstance(self.model, TreeModel):
+    def scorer(self) -> TreeModel | network.Network | nets.Net:
+        """What gives the shares of many rows at once within a task; but for trees derivatives too."""
+        if isinstance(self.model, (TreeModel, network.Network)):
             return self.model
         scaler, net = self.model.stages
         std = scaler.std.toArray()
@@ -193,13 +208,17 @@ class Classifier:
         to = f"{path}/{self.kind}"
         if isinstance(self.model, TreeModel):
             self.model.save(SparkSession.active(), to)
+        elif isinstance(self.model, network.Network):
+            SparkSession.active().createDataFrame(self.model.rows(), "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(to)
         else:
             self.model.write().overwrite().save(to)
 
     @classmethod
     def load(cls, path: str, kind: str, classes: int) -> Classifier:
         where = f"{path}/{kind}"
-        return cls(kind, classes, PipelineModel.load(where) if kind == "dnn" else TreeModel.load(SparkSession.active(), where))
+        if kind == "dnn":
+            return cls(kind, classes, network.Network.of_rows([tuple(r) for r in SparkSession.active().read.parquet(where).collect()]))
+        return cls(kind, classes, PipelineModel.load(where) if kind == "mlp" else TreeModel.load(SparkSession.active(), where))
 
 
 def softmax(df: DataFrame, penalty: float = 0.0, passes: int = 100) -> nets.Net:

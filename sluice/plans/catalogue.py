@@ -554,12 +554,12 @@ def topk_per_batch(spark, d):
 
 
 @query("""
-    WITH g AS (SELECT vec_id, round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label < 5),
-    k AS (SELECT DISTINCT round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label >= 8)
+    WITH g AS (SELECT vec_id, round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label % 2 = 0),
+    k AS (SELECT DISTINCT round_even(embedding[1]::DOUBLE, 1) AS a, round_even(embedding[2]::DOUBLE, 1) AS b FROM embeddings WHERE label % 2 = 1)
     SELECT vec_id FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = g.a AND k.b = g.b)""")
 def encoded_anti_join(spark, d):
     rows = _t(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
-    return clean.anti_join_keys(rows.where("label < 5"), [rows.where("label = 8"), rows.where("label = 9")], ["a", "b"], places=1).select("vec_id")
+    return clean.anti_join_keys(rows.where("label % 2 = 0"), [rows.where("label % 4 = 1"), rows.where("label % 4 = 3")], ["a", "b"], places=1).select("vec_id")
 
 
 @query("""
@@ -581,6 +581,27 @@ def cfm_path(spark, d):
     return both.select("vec_id", first(scalars.between(F.col("x"), F.col("b"), F.lit(0.25))).alias("x_t"), first(scalars.minus(F.col("b"), F.col("x"))).alias("velocity"))
 
 
+_UNIFORM = "((list_sum(list_transform(range(1, 14), lambda i: (strpos('0123456789abcdef', substr(md5(concat_ws('|', key, copy::VARCHAR, '{j}', '42', '{tag}')), i, 1)) - 1) * power(16::DOUBLE, 13 - i))) + 1) / power(16::DOUBLE, 13))"
+_NORMAL = "sqrt(-2 * ln(" + _UNIFORM.replace("{tag}", "a") + ")) * cos(2 * pi() * " + _UNIFORM.replace("{tag}", "b") + ")"
+
+
+@query(
+    f"""WITH e AS (SELECT label, embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS b1, concat_ws(',', round(embedding[1]::DOUBLE * 1000000)::BIGINT, round(embedding[2]::DOUBLE * 1000000)::BIGINT) AS key, copy FROM embeddings, generate_series(1, 2) g(copy)),
+    s AS (SELECT label, a1, b1, {_NORMAL.replace("{j}", "0")} AS a0, {_NORMAL.replace("{j}", "1")} AS b0 FROM e),
+    t AS (SELECT label, step, (1 - t) * a0 + t * a1 AS a, (1 - t) * b0 + t * b1 AS b, a1 - a0 AS u, b1 - b0 AS v FROM s, (SELECT range AS step, 0.001::DOUBLE + range * (0.999::DOUBLE / 4) AS t FROM range(5))),
+    m AS (SELECT label, step, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, u) AS au, covar_pop(b, u) AS bu, covar_pop(a, v) AS av, covar_pop(b, v) AS bv, avg(a) AS ma, avg(b) AS mb, avg(u) AS mu, avg(v) AS mv FROM t GROUP BY label, step),
+    c AS (SELECT label, step, 'a' AS feature, (bb * au - ab * bu) / (aa * bb - ab * ab) AS p, (aa * bu - ab * au) / (aa * bb - ab * ab) AS q, ma, mb, mu AS m FROM m
+        UNION ALL SELECT label, step, 'b', (bb * av - ab * bv) / (aa * bb - ab * ab), (aa * bv - ab * av) / (aa * bb - ab * ab), ma, mb, mv FROM m)
+    SELECT label, step::INTEGER AS step, feature, round(m - p * ma - q * mb, 6) AS c0, round(p, 6) AS c1, round(q, 6) AS c2 FROM c"""
+)
+def flow_coefficients(spark, d):
+    """What the velocity is learnt to be for every label, time and feature."""
+    rows = _t(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
+    made = augment.LearntFlow.fit(rows, ["a", "b"], label="label", copies=2, times=5)
+    found = [(c, i, k, *(round(v, 6) for v in row)) for c, i, k, row in made.velocities()]
+    return spark.createDataFrame(found, "label int, step int, feature string, c0 double, c1 double, c2 double")
+
+
 @query("SELECT vec_id, round(embedding[1]::DOUBLE * power(1.0 - 1.0 / 200, 200), 6) AS x FROM embeddings")
 def euler_integrate(spark, d):
     x = F.get("embedding", F.lit(0)).cast("double")
@@ -763,7 +784,7 @@ def attack_fitted_network(spark, d):
     from sluice.operators import models
 
     rows = _largest_of(spark, d, 6)
-    net = models.Classifier("dnn", 6).fit(rows).scorer()
+    net = models.Classifier("mlp", 6).fit(rows).scorer()
     return _reports(rows, net, {"fgsm": {}, "pgd": {"targeted": False}, "deepfool": {}, "cw": {"max_iter": 10}, "jsma": {}})
 
 
@@ -776,12 +797,12 @@ def attack_fitted_answers(spark, d):
     return _reports(rows, models.softmax(rows, 1e-4), {"hsja": {}, "zoo": {}})
 
 
-_PRED = "y AS (SELECT label AS y_true, (CASE WHEN vec_id % {k} = 0 THEN (label + 1) % 9 ELSE label END)::INTEGER AS y_pred FROM embeddings WHERE label < 8)"
+_PRED = "y AS (SELECT label AS y_true, (CASE WHEN vec_id % {k} = 0 THEN (label + 1) % 10 ELSE label END)::INTEGER AS y_pred FROM embeddings)"
 
 
 def _predicted(spark, d, k: int) -> DataFrame:
-    pred = F.when(F.col("vec_id") % k == 0, (F.col("label") + 1) % 9).otherwise(F.col("label")).cast("int")
-    return _t(spark, d, "embeddings").where("label < 8").select(F.col("label").alias("y_true"), pred.alias("y_pred"))
+    pred = F.when(F.col("vec_id") % k == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    return _t(spark, d, "embeddings").select(F.col("label").alias("y_true"), pred.alias("y_pred"))
 
 
 def _metrics_sql(name: str) -> str:

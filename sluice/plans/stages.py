@@ -241,10 +241,17 @@ def _stats(df: DataFrame, spec: DatasetSpec) -> dict:
     return {plain[r.feature]: (r["mean"], r["std"]) for r in profile.cont_stats(named, list(plain)).collect()}
 
 
-def train_models(train: DataFrame, kinds: list[str], classes: int, path: str | None = None, size: int = 1, seed: int = 42) -> dict[str, models.Classifier]:
+def network_inputs(spec: DatasetSpec, made: dict) -> dict:
+    """Places of a network's categories, with their numbers of values, and flags among what prepared() gives."""
+    n = len(spec.categorical)
+    known = made["ordinal"].cardinalities
+    return {"categorical": {i: max(1, known[c]) for i, c in enumerate(spec.categorical)}, "binary": list(range(n, n + len(spec.binary)))}
+
+
+def train_models(train: DataFrame, kinds: list[str], classes: int, path: str | None = None, size: int = 1, seed: int = 42, inputs: dict | None = None) -> dict[str, models.Classifier]:
     out = {}
     for kind in kinds:
-        out[kind] = models.Classifier(kind, classes).fit(train, seed, size)
+        out[kind] = models.Classifier(kind, classes, inputs=inputs).fit(train, seed, size)
         if path:
             out[kind].save(path)
     return out

@@ -36,7 +36,7 @@ def test_nets_score_as_the_models_they_come_from(spark):
     x = rng.normal(size=(200, 3)) * [1, 10, 0] + [0, 5, 2]
     y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 8)
     df = _frame(spark, x, y)
-    made = models.Classifier("dnn", 3).fit(df)
+    made = models.Classifier("mlp", 3).fit(df)
     want = {r.row_id: r.p for r in made.predict(df).collect()}
     assert np.allclose(made.scorer().shares(x), [want[i] for i in range(200)], atol=1e-9)
     net = models.softmax(df, 1e-3)

@@ -254,6 +254,27 @@ def test_augmentation_leaves_no_known_key(spark):
     assert [augment.request_size(10, 0.5), augment.request_size(10, 0.0), augment.request_size(10_000, 0.001)] == [80, 40000, 60000]
 
 
+def test_a_learnt_flow_has_the_moments_of_its_rows(spark):
+    rng = np.random.default_rng(11)
+    mix = np.array([[2.0, 0.0, 0.0], [1.0, 0.5, 0.0], [0.0, 0.0, 0.1]])
+    x = {"p": rng.normal(size=(1500, 3)) @ mix.T + [3, -1, 0], "q": rng.normal(size=(500, 3)) * 0.2 + [-2, 0, 5]}
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, t in x.items() for v in t] + [("p", None, 1.0, 1.0)], "k string, a double, b double, c double")
+    made = augment.LearntFlow.fit(rows, ["a", "b", "c"], label="k", copies=6)
+    assert made.classes == ["p", "q"] and np.allclose(made.prior, [0.75, 0.25])
+    out = made.sample(spark, 3000, label="k").toPandas()
+    assert abs((out.k == "p").mean() - 0.75) < 0.03
+    for k, t in x.items():
+        got = out[out.k == k][["a", "b", "c"]].to_numpy()
+        assert np.allclose(got.mean(axis=0), t.mean(axis=0), atol=0.2)
+        assert np.allclose(np.cov(got.T), np.cov(t.T), atol=0.12 * np.abs(np.cov(t.T)).max())
+    again = made.sample(spark, 10, 2990).toPandas()
+    assert np.allclose(again[["a", "b", "c"]], out.sort_values("row_id").tail(10)[["a", "b", "c"]])
+    plain = augment.LearntFlow.fit(rows.select("a", "b"), ["a", "b"], copies=2, times=10)
+    assert plain.sample(spark, 5).columns == ["row_id", "a", "b"] and plain.sample(spark, 5).count() == 5
+    with pytest.raises(ValueError, match="no rows"):
+        augment.LearntFlow.fit(rows.limit(0), ["a"]).sample(spark, 1)
+
+
 def test_critic_set_and_postfilter_classifier(spark):
     a = spark.createDataFrame([(0, float(i), 1.0) for i in range(60)], "Label int, x double, y double")
     b = spark.createDataFrame([(1, float(-i - 5), 0.0) for i in range(60)], "Label int, x double, y double")
