@@ -72,7 +72,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             else:
                 raw = stages.raw_flows(spark, args.files or [f.path for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(args.input).select("path").collect()], spec)
             if args.precheck:
-                print(json.dumps({"before": stages.problems(raw)}))
+                print(json.dumps({"before": stages.problems(clean.coerce(raw, *stages.column_types(spec), spec.label))}))
             print(json.dumps(stages.clean_and_write(raw, spec, args.output)))
             if args.postcheck:
                 print(json.dumps({"after": stages.problems(tables.read_labels(spark, args.output).drop("label_safe"))}))

@@ -64,11 +64,12 @@ def spread(x: np.ndarray, m: int) -> np.ndarray:
     return x[chosen]
 
 
-def pivots_of(others: DataFrame, dim: int, n: int, most: int = PIVOTS) -> np.ndarray:
-    """Centres of a few rounds of means over a bounded sample, from well spread rows of it."""
+def pivots_of(others: DataFrame, dim: int, n: int, unit: int, most: int = PIVOTS) -> np.ndarray:
+    """Centres of a few rounds of means over a bounded sample, from well spread rows of it: two for as many rows as a unit has, so that where
+    no bound helps a row meets no more units than that."""
     some = others.where(F.size("vec") == dim).orderBy(F.xxhash64("vec", "cls")).limit(SAMPLE).select("vec").toArrow()
     _, x = _matrix(some["vec"].combine_chunks(), dim)
-    p = spread(x, min(most, max(1, round(n**0.5))))
+    p = spread(x, min(most, max(1, -(-2 * n // unit))))
     for _ in range(5):
         own = distances(x, p).argmin(axis=1)
         sums, counts = np.zeros_like(p), np.bincount(own, minlength=len(p))
@@ -299,7 +300,7 @@ def nearest_points(own: DataFrame, others: DataFrame, k: int, differ: bool = Fal
             out = staging.stage(_finished(_merged(found, k + itself), own, k, itself), "nearest")
             kept.append(out)
             return out
-        pivots = send(pivots_of(others, dim, first.n))
+        pivots = send(pivots_of(others, dim, first.n, unit))
         packed, table = _units(others, pivots, first.n, unit)
         units = send(table)
         parts = staging.partitions(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from sluice.__main__ import parser, run
+from sluice.operators import models, training
 from sluice.plans import stages
 from sluice.spec import CONNECTIONS, FLOWS
 
@@ -35,12 +37,14 @@ def go(spark, *args):
     run(parser().parse_args([str(a) for a in args]), spark)
 
 
-def test_flows_from_raw_files_to_metrics(spark, flows, capsys):
+def test_flows_from_raw_files_to_metrics(spark, flows, capsys, monkeypatch):
+    monkeypatch.setattr(training, "Schedule", functools.partial(training.Schedule, rounds=6, rate=6e-3))
+    monkeypatch.setattr(models, "BAGGED", 30)
     r = ["--resource", "cic2018"]
     files = [str(p) for p in sorted((flows / "raw").iterdir())]
     go(spark, "merge-clean", *r, "--input", flows / "raw", "--output", flows / "clean", "--precheck", "--postcheck", "--files", *files)
     said = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
-    assert said[0]["before"]["missing"] and said[1] == {"rows_read": 492, "header_rows": 3, "missing_rows": 3, "negative_rows": 3, "clean_rows": 483, "distinct_rows": 480}
+    assert said[0]["before"]["missing"] and said[1] == {"rows_read": 495, "header_rows": 3, "missing_rows": 3, "negative_rows": 3, "clean_rows": 486, "distinct_rows": 480}
     assert said[2]["after"] == {"missing": False, "rows": 480, "distinct_rows": 480, "duplicates": 0}
     clean = spark.read.parquet(str(flows / "clean"))
     assert {x.label_safe: x["count"] for x in clean.groupBy("label_safe").count().collect()} == {"benign": 210, "bot": 210, "sql_injection": 60}
@@ -64,19 +68,19 @@ def test_flows_from_raw_files_to_metrics(spark, flows, capsys):
     assert train.select("__source__").distinct().count() == 3
     go(spark, "sample", *r, "--input", flows / "split", "--output", flows / "test", "--tau", 15)
     assert spark.read.parquet(str(flows / "test")).count() == 45
-    go(spark, "train", *r, *enc, "--input", flows / "train", "--output", flows / "models", "--models", "bagging")
+    go(spark, "train", *r, *enc, "--input", flows / "train", "--output", flows / "models", "--models", "bagging", "dnn", "xgb", "--exclude-models", "xgb")
     go(spark, "evaluate", *r, *enc, "--input", flows / "test", "--models_path", flows / "models", "--output", flows / "metrics", "--models", "bagging")
     assert spark.read.json(str(flows / "metrics")).first().accuracy > 0.95
-    quick = ["--attack-params", json.dumps({"max_iter": 2, "init_eval": 5, "init_size": 40})]
-    go(spark, "perturb", *r, *enc, "--input", flows / "test", "--output", flows / "adv", "--models_path", flows / "models", "--model", "bagging", "--attack", "hsja", "--space", "scaled", *quick)
+    attack = [*r, *enc, "--input", flows / "test", "--models_path", flows / "models", "--space", "scaled"]
+    go(spark, "perturb", *attack, "--output", flows / "adv", "--model", "dnn", "--attack", "pgd", "--attack-params", '{"targeted": false, "eps": 0.4}')
     adv, fixed = spark.read.parquet(str(flows / "adv")), ["`Dst Port`", *(f"`{c}`" for c in FLOWS.binary), "Label"]
     assert adv.count() == 45 and adv.select(*fixed).exceptAll(spark.read.parquet(str(flows / "test")).select(*fixed)).count() == 0
-    go(spark, "train", *r, *enc, "--input", flows / "train", "--output", flows / "models", "--models", "dnn")
     go(spark, "robustness", *r, *enc, "--input", flows / "test", "--perturbed", flows / "adv", "--models_path", flows / "models", "--output", flows / "delta", "--models", "bagging", "dnn")
     delta = {(x.model, x.metric): x.delta for x in spark.read.json(str(flows / "delta")).collect()}
-    assert len(delta) == 12 and {m for m, _ in delta} == {"bagging", "dnn", "ensemble"} and delta["bagging", "accuracy"] < -0.5
-    go(spark, "perturb", *r, *enc, "--input", flows / "test", "--output", flows / "adv2", "--models_path", flows / "models", "--model", "dnn", "--attack", "pgd", "--attack-params", '{"targeted": false}', "--space", "scaled", "--samples", 10)
-    assert spark.read.parquet(str(flows / "adv2")).count() == 10
+    assert len(delta) == 12 and {m for m, _ in delta} == {"bagging", "dnn", "ensemble"} and delta["dnn", "accuracy"] < 0
+    quick = json.dumps({"max_iter": 1, "init_eval": 3, "init_size": 5})
+    go(spark, "perturb", *attack, "--output", flows / "adv2", "--model", "bagging", "--attack", "hsja", "--attack-params", quick, "--samples", 5, "--timeout", 30.0, "--placeholder", "drop")
+    assert spark.read.parquet(str(flows / "adv2")).count() <= 5
     go(spark, "zero-profile", *r, "--input", flows / "clean", "--output", flows / "zeros")
     assert spark.read.option("header", True).csv(str(flows / "zeros")).count() == 3
 
