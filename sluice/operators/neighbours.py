@@ -170,14 +170,12 @@ def _sent(pivots, units, first: bool, block: int):
             pid, cls, n = (batch.column(i).to_numpy() for i in range(3))
             x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(pid), -1)
             limit = np.full(len(pid), np.inf) if first else batch.column(4).to_numpy(zero_copy_only=False)
-            done = None if first else batch.column(5).to_numpy(zero_copy_only=False)
             for at in range(0, len(pid), block):
                 rows = slice(at, at + block)
                 low = bounds(x[rows], p, u)
-                if first:
-                    want = np.arange(len(u))[None, :] == low.argmin(axis=1)[:, None]
-                else:
-                    want = (low <= limit[rows][:, None] * (1 + 1e-9) + 1e-9) & (u["unit"][None, :] != done[rows][:, None])
+                want = np.arange(len(u))[None, :] == low.argmin(axis=1)[:, None]
+                if not first:
+                    want = (low <= limit[rows][:, None] * (1 + 1e-9) + 1e-9) & ~want
                 out = []
                 for j in np.flatnonzero(want.any(axis=0)):
                     i = np.flatnonzero(want[:, j]) + at
@@ -215,10 +213,13 @@ def chosen(q: np.ndarray, q_cls: np.ndarray, x: np.ndarray, x_cls: np.ndarray, k
 _FOUND = "pid long, unit long, dist double, cls int, n long"
 
 
-def _finds(pid: np.ndarray, unit: int, q_cls: np.ndarray, q: np.ndarray, x_cls: np.ndarray, n: np.ndarray, x: np.ndarray, k: int, differ: bool):
-    """What is near, and a row of dist NaN for each point that counts those it was compared with."""
+def _finds(pid: np.ndarray, unit: int, q_cls: np.ndarray, q: np.ndarray, x_cls: np.ndarray, n: np.ndarray, x: np.ndarray, k: int, differ: bool, limit: np.ndarray | None = None):
+    """What is near, within a point's limit if there is one, and a row of dist NaN for the block that counts the pairs compared."""
     i, j, d = chosen(q, q_cls, x, x_cls, k, differ)
-    columns = [np.append(pid[i], pid), np.full(len(i) + len(pid), unit), np.append(d, np.full(len(pid), np.nan)), np.append(x_cls[j], np.full(len(pid), -1)).astype(np.int32), np.append(n[j], np.full(len(pid), len(n)))]
+    if limit is not None:
+        real = d <= limit[i] * (1 + 1e-9) + 1e-9
+        i, j, d = i[real], j[real], d[real]
+    columns = [np.append(pid[i], pid[:1]), np.full(len(i) + 1, unit), np.append(d, np.nan), np.append(x_cls[j], -1).astype(np.int32), np.append(n[j], len(n) * len(pid))]
     return pa.record_batch([pa.array(c) for c in columns], names=["pid", "unit", "dist", "cls", "n"])
 
 
@@ -228,10 +229,10 @@ def _compared(k: int, differ: bool):
     @tidy
     def run(batches):
         for batch in batches:
-            for unit, pid, q_cls, data, x_cls, n, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, pid, q_cls, limit, data, x_cls, n, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pid, q_cls, x_cls, n = np.frombuffer(pid, "<i8"), np.frombuffer(q_cls, "<i4"), np.frombuffer(x_cls, "<i4"), np.frombuffer(n, "<i8")
                 q, x = np.frombuffer(data, "<f8").reshape(len(pid), -1), np.frombuffer(other, "<f8").reshape(len(n), -1)
-                yield _finds(pid, unit, q_cls, q, x_cls, n, x, k, differ)
+                yield _finds(pid, unit, q_cls, q, x_cls, n, x, k, differ, np.frombuffer(limit, "<f8"))
 
     return run
 
@@ -277,8 +278,9 @@ def _without_itself(near: Column, cls: Column) -> Column:
 
 
 def _finished(found: DataFrame, own: DataFrame, k: int, itself: bool) -> DataFrame:
+    found = own.select("pid", "cls").join(found, "pid", "left").withColumns({"near": F.coalesce("near", F.array().cast(_NEAR)), "compared": F.coalesce("compared", F.lit(0).cast("long"))})
     if itself:
-        found = found.join(own.select("pid", "cls"), "pid").withColumn("near", _without_itself(F.col("near"), F.col("cls")))
+        found = found.withColumn("near", _without_itself(F.col("near"), F.col("cls")))
     return found.select("pid", _first(F.col("near"), k).alias("near"), "compared")
 
 
@@ -308,7 +310,7 @@ def nearest_points(own: DataFrame, others: DataFrame, k: int, differ: bool = Fal
 
         def compared(blocks: DataFrame) -> DataFrame:
             met = blocks.join(packed.select("unit", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("data").alias("o_data")), "unit")
-            return staging.stage(met.select("unit", "pid", "cls", "data", "o_cls", "o_n", "o_data").mapInArrow(_compared(near, differ), _FOUND), "compared")
+            return staging.stage(met.select("unit", "pid", "cls", "limit", "data", "o_cls", "o_n", "o_data").mapInArrow(_compared(near, differ), _FOUND), "compared")
 
         placed = staging.stage(_placed(own, pivots).repartition(parts, "cell", F.pmod("pid", F.lit(16))).sortWithinPartitions("cell", "far"), "asked")
         with staging.small_batches(spark, 4 * BLOCK):
@@ -316,10 +318,9 @@ def nearest_points(own: DataFrame, others: DataFrame, k: int, differ: bool = Fal
         # the k-th distance that is known, counting copies; without k the row has no limit
         known = _merged(one, near)
         seen = F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-        limits = known.select("pid", F.when(seen >= near, F.get(F.col("near"), F.least(F.size("near"), F.lit(near)) - 1)["dist"]).otherwise(float("inf")).alias("limit"))
-        done = one.where(F.isnan("dist")).select("pid", F.col("unit").alias("done"))
-        rest = placed.join(limits, "pid").join(done, "pid").repartition(parts, "cell", F.pmod("pid", F.lit(16))).sortWithinPartitions("cell", "far")
-        two = compared(rest.select("pid", "cls", "n", "vec", "limit", "done").mapInArrow(_sent(pivots, units, False, BLOCK), _SENT))
+        limits = known.where(seen >= near).select("pid", F.get(F.col("near"), F.least(F.size("near"), F.lit(near)) - 1)["dist"].alias("limit"))
+        rest = placed.join(limits, "pid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).repartition(parts, "cell", F.pmod("pid", F.lit(16))).sortWithinPartitions("cell", "far")
+        two = compared(rest.select("pid", "cls", "n", "vec", "limit").mapInArrow(_sent(pivots, units, False, BLOCK), _SENT))
         out = staging.stage(_finished(_merged(one.unionByName(two), near), own, k, itself), "nearest")
         kept.append(out)
     return out
@@ -329,7 +330,7 @@ def nearest(rows: DataFrame, others: DataFrame | None = None, k: int = 1, differ
     """(row_id, cls, near, compared) from (row_id, vec, cls): near has (dist, cls, n) of the k nearest of the others, by distance to nine places, then class.
 
     Without others, rows are compared among themselves, none with itself. differ: only those of another class count.
-    compared: others that a row was compared with. Rows whose vector takes no part have null. A staged table.
+    compared: pairs that were measured, those of a block of rows at its first one. Rows whose vector or class is unusable have null, those of another length nothing near. A staged table.
     """
     with staging.scope() as kept:
         own = points(rows, "points")

@@ -65,7 +65,7 @@ def test_odd_vectors_and_empty_tables(spark):
     x = [[0.0, 0.0], None, [float("nan"), 1.0], [1.0], [3.0, 4.0], [0.0, 0.0]]
     df = _table(spark, x, [0, 0, 0, 0, 1, None])
     got = {r.row_id: r for r in neighbours.nearest(df, None, 1).collect()}
-    assert len(got) == 6 and all(got[i].near is None for i in (1, 2, 3, 5))
+    assert len(got) == 6 and all(got[i].near is None for i in (1, 2, 5)) and got[3].near == []
     assert [(e.dist, e.cls, e.n) for e in got[0].near] == [(5.0, 1, 1)]
     alone = neighbours.nearest(df.where("row_id = 0"), None, 2).collect()
     assert alone[0].near == []
