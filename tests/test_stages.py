@@ -38,7 +38,7 @@ def go(spark, *args):
 
 
 def test_flows_from_raw_files_to_metrics(spark, flows, capsys, monkeypatch):
-    monkeypatch.setattr(training, "Schedule", functools.partial(training.Schedule, rounds=6, rate=6e-3))
+    monkeypatch.setattr(training, "Schedule", functools.partial(training.Schedule, rounds=3, rate=1e-2, batch=64))
     monkeypatch.setattr(models, "BAGGED", 30)
     r = ["--resource", "cic2018"]
     files = [str(p) for p in sorted((flows / "raw").iterdir())]
@@ -59,7 +59,7 @@ def test_flows_from_raw_files_to_metrics(spark, flows, capsys, monkeypatch):
     order = [*FLOWS.ordered, "Label"]
     x, y = (df.toPandas()[order].sort_values(["Flow Duration", "Tot Fwd Pkts", "Idle Min"]) for df in (before, after))
     assert x["Label"].tolist() == y["Label"].tolist() and np.allclose(x[order[:-1]].astype(float), y[order[:-1]].astype(float), atol=1e-6)
-    go(spark, "compress", *r, *enc, "--input", flows / "split", "--output", flows / "major", "--labels", "Benign", "Bot", "--budget", 60, "--jobs", 2, "--kmeans-algo", "minibatch")
+    go(spark, "compress", *r, *enc, "--input", flows / "split", "--output", flows / "major", "--labels", "Benign", "Bot", "--budget", 60, "--jobs", 2)
     go(spark, "augment", *r, *enc, "--input", flows / "split", "--output", flows / "minor", "--labels", "SQL Injection", "--tau", 70)
     major, minor = ([str(p) for p in sorted((flows / k).iterdir())] for k in ("major", "minor"))
     go(spark, "merge", *r, "--output", flows / "train", "--shuffle", "--major", *major, "--minor", *minor)
