@@ -26,9 +26,27 @@ from sluice import staging
 from sluice.functions.arrow import tidy
 from sluice.llm import vectors
 
-#: Segments of each resolution, rows of a block, query blocks whose k-th scores a task remembers, pairs that are scored one by one at a time.
+#: Segments of each resolution, rows of a block, query blocks whose k-th scores a task remembers, pairs that are scored one by one at a time, pairs of blocks of an Arrow batch.
 SEGMENTS = (1, 4, 16, 32)
-QUERY_BLOCK, ROW_BLOCK, REMEMBERED, PAIRS = 1024, 8192, 1000, 1 << 16
+QUERY_BLOCK, ROW_BLOCK, REMEMBERED, PAIRS, MET = 1024, 8192, 1000, 1 << 16, 16
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold all of them."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // (rows * dim) if dim else 8}").astype(np.int64).reshape(rows, dim)
+
+
+def grid(row_blocks: int, query_blocks: int, tasks: int) -> tuple[int, int]:
+    """Groups of row blocks and of query blocks, a pair of groups for each task about, so that few copies of blocks travel: rows go to
+    each group of queries and queries to each group of rows."""
+    most = max(1, min(row_blocks, tasks))
+    by_row = min(most, max(1, round((tasks * row_blocks * ROW_BLOCK / max(1, query_blocks * QUERY_BLOCK)) ** 0.5)))
+    return by_row, max(1, min(query_blocks, -(-tasks // by_row)))
 
 
 def _blocks(size: int):
@@ -43,7 +61,7 @@ def _blocks(size: int):
                 whole = np.floor(256 * x).astype("<i8")
                 for at in range(0, len(rows), size):
                     part = rows[at : at + size]
-                    yield pa.record_batch([pa.array([made], pa.int64()), pa.array([d], pa.int32()), pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([whole[at : at + size].tobytes()], pa.binary())], names=["block", "dim", "ids", "data"])
+                    yield pa.record_batch([pa.array([made], pa.int64()), pa.array([d], pa.int32()), pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([_narrow(whole[at : at + size])], pa.binary())], names=["block", "dim", "ids", "data"])
                     made += 1
 
     return run
@@ -123,7 +141,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of rows, all if there are fewer; ties go to the smaller id. A staged table."""
     with staging.scope() as kept:
-        out = staging.stage(_searched(rows, queries, k, id_col, vec_col), "top")
+        found = _searched(rows, queries, k, id_col, vec_col)
+        with staging.small_batches(rows.sparkSession, MET):  # rows of these batches hold two blocks each
+            out = staging.stage(found, "top")
         kept.append(out)
     return out
 
@@ -138,7 +158,8 @@ def _searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col:
         return staging.stage(df.mapInArrow(_blocks(size), "block long, dim int, ids binary, data binary"), "blocks")
 
     asked, stored = blocks(queries, QUERY_BLOCK, True), blocks(rows, ROW_BLOCK, False)
-    groups = min(max(1, stored.count()), 4 * staging.partitions(spark))
+    parts = staging.partitions(spark)
+    by_row, by_query = grid(stored.count(), asked.count(), 4 * parts)
 
     @tidy
     def run(batches):
@@ -146,20 +167,26 @@ def _searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col:
         for batch in batches:
             for block, dim, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+                q, x = _wide(q, len(q_ids), dim), _wide(x, len(ids), dim)
                 if block not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[block] = np.full(len(q_ids), -np.inf)
-                found, _ = search_block(q_ids, np.frombuffer(q, "<i8").reshape(-1, dim), ids, np.frombuffer(x, "<i8").reshape(-1, dim), k, known[block])
+                found, _ = search_block(q_ids, q, ids, x, k, known[block])
                 if found:
                     n, i, s = zip(*found, strict=True)
                     n = np.array(n)
                     yield pa.record_batch([pa.array([block] * len(n), pa.int64()), pa.array(n.astype(np.int32)), pa.array(q_ids[n]), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["block", "n", "query_id", "vec_id", "score"])
 
-    # every query block goes to every group of row blocks: the stated set against all rows, in blocks
-    left = asked.select("block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    right = stored.select("dim", "ids", "data", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"))
-    pairs = left.join(right, ["g", "dim"]).select("block", "dim", "q_ids", "q", "ids", "data")
+    # every query block meets every row block, in the pair of their groups: the stated set against all rows. Blocks are few rows of
+    # many bytes, so that no side may be broadcast and the tasks' number is fixed
+    def dealt(df: DataFrame, own: str, groups: int, other: str, copies: int) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return df.repartition(parts, "r", "q_group", "dim")
+
+    left = dealt(asked.select("block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q")), "q_group", by_query, "r", by_row)
+    right = dealt(stored, "r", by_row, "q_group", by_query).drop("block")
+    pairs = left.hint("merge").join(right, ["r", "q_group", "dim"]).select("block", "dim", "q_ids", "q", "ids", "data")
     found = pairs.mapInArrow(run, "block long, n int, query_id long, vec_id long, score long")
     w = Window.partitionBy("block", "n").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -179,6 +179,24 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_topk_broadcasts_no_blocks(spark):
+    """Copies of blocks for each group went through the driver; here they are shuffled, whatever their size."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "vec_id long, embedding array<double>")
+    plan = topk._searched(df, df.where("vec_id % 50 = 0"), 5, "vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_grid_and_numbers_of_few_bytes():
+    for rows, queries_, tasks in ((1, 1, 48), (124, 13, 48), (124, 13, 800), (5000, 100, 800), (0, 0, 8)):
+        by_row, by_query = topk.grid(rows, queries_, tasks)
+        assert 1 <= by_row <= max(1, rows) and 1 <= by_query <= max(1, queries_)
+        assert by_row * by_query <= 2 * tasks
+    for most in (0, 127, 128, 40_000, 2**40):
+        x = np.array([[most, -most], [1, -1]])
+        assert (topk._wide(topk._narrow(x), 2, 2) == x).all()
+
+
 def test_bounds_prune_and_stay_exact():
     rng = np.random.default_rng(1)
     centers = rng.integers(-200, 200, size=(40, 64))
