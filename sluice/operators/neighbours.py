@@ -7,10 +7,11 @@
    unit lies nearer than the gap between the point's distance from the pivot and the unit's distances, nor nearer than
    the plane halfway between two pivots says. Only units whose bound is within the k-th distance known are compared.
 4. Points go to units in packed blocks that the same pivot has; one product of matrices compares a block with a unit, and
-   the chosen pairs' distances are then taken from differences.
+   the distances of pairs within the limit are then taken from differences. A block's limits shrink from unit to unit.
 
-Units that are compared meet their blocks by a join on the unit, whose hot keys are split since each block is a row.
-Where nothing is near (no bound helps) all blocks meet all units, as in a plain join in blocks. Vectors that are null or
+For the first unit blocks meet units by a join on the unit and one of a few salts, so that hot units are split. For the others a
+block goes once to each group of units of which any may be near, and units go to each group of blocks: where no bound helps, all
+points meet all units, but a point travels as often as there are groups (the root of the tasks' number about), not units. Vectors that are null or
 hold null or non-finite entries, or of another length than the first, and rows without a class take no part.
 """
 
@@ -25,8 +26,8 @@ from sluice import staging
 from sluice.functions import scalars, skew
 from sluice.functions.arrow import tidy
 
-#: Rows that pivots are chosen from and pivots at most; points of a unit about and units about at most; points of a block; digits that distances are ordered by.
-SAMPLE, PIVOTS, UNIT, UNITS, BLOCK, PLACES = 16_384, 512, 4096, 100_000, 1024, 9
+#: Rows that pivots are chosen from and pivots at most; points of a unit about and units about at most; points of a block; digits that distances are ordered by; pairs whose differences are taken at a time; tasks that the blocks of one nearest unit are dealt to.
+SAMPLE, PIVOTS, UNIT, UNITS, BLOCK, PLACES, PAIRS, SALTS = 16_384, 512, 4096, 100_000, 1024, 9, 1 << 16, 4
 
 
 def usable(vec: Column) -> Column:
@@ -53,6 +54,23 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Numbers of four bytes if these are as exact."""
+    with np.errstate(over="ignore"):
+        less = x.astype("<f4")
+    return less.tobytes() if (less == x).all() else x.astype("<f8").tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    """n vectors; packed with their dimension, so that the bytes of a number are known."""
+    dim = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, f"<f{(len(data) - 4) // (n * dim)}", offset=4).astype(np.float64).reshape(n, dim)
+
+
+def _data(x: np.ndarray) -> bytes:
+    return x.shape[1].to_bytes(4, "little") + _bytes(x)
+
+
 def spread(x: np.ndarray, m: int) -> np.ndarray:
     """m of the rows, each the one farthest from those before it; fewer if the others are equal to these."""
     if not len(x):
@@ -107,7 +125,7 @@ def _packed(batches):
 
     def made(unit, cell, rows):
         far, cls, n, x = (np.concatenate(c) for c in zip(*rows, strict=True))
-        columns = [[unit], [cell], [float(far.min())], [float(far.max())], [len(far)], [cls.astype("<i4").tobytes()], [n.astype("<i8").tobytes()], [x.astype("<f8").tobytes()]]
+        columns = [[unit], [cell], [float(far.min())], [float(far.max())], [len(far)], [cls.astype("<i4").tobytes()], [n.astype("<i8").tobytes()], [_data(x)]]
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["unit", "cell", "low", "high", "size", "cls", "n", "data"])
 
     held, now, cell = [], None, None
@@ -126,8 +144,8 @@ def _packed(batches):
         yield made(now, cell, held)
 
 
-def _units(others: DataFrame, pivots, n: int, unit: int) -> tuple[DataFrame, np.ndarray]:
-    """Packed units, and (unit, cell, low, high) of each: UNITS about, however many points there are."""
+def _units(others: DataFrame, pivots, n: int, points: int, unit: int, tasks: int) -> tuple[DataFrame, np.ndarray, int]:
+    """Packed units with their group, part; (unit, cell, low, high, part) of each, UNITS about, however many points there are; and how many groups of blocks go with these groups."""
     per = max(unit, -(-n // UNITS))
     placed = staging.stage(_placed(others, pivots), "placed")
     cells = placed.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("size"))
@@ -140,28 +158,51 @@ def _units(others: DataFrame, pivots, n: int, unit: int) -> tuple[DataFrame, np.
     piece = F.pmod(F.xxhash64("vec", "cls"), F.col("pieces"))
     rows = dealt.select(F.xxhash64("cell", "ring", piece).alias("unit"), "cell", "far", "cls", "n", "vec").repartition(staging.partitions(others.sparkSession), "unit").sortWithinPartitions("unit")
     packed = staging.stage(rows.mapInArrow(_packed, _UNIT), "units")
-    found = packed.select("unit", "cell", "low", "high").collect()  # numbers of UNITS and PIVOTS units about
-    return packed, np.array([(r.unit, r.cell, r.low, r.high) for r in found], dtype=[("unit", "i8"), ("cell", "i4"), ("low", "f8"), ("high", "f8")])
+    by_unit, by_block = grid(packed.count(), points, n, tasks)
+    packed = packed.withColumn("part", _part(by_unit))
+    found = packed.select("unit", "cell", "low", "high", "part").collect()  # numbers of UNITS and PIVOTS units about
+    return packed, np.array([(r.unit, r.cell, r.low, r.high, r.part) for r in found], dtype=[("unit", "i8"), ("cell", "i4"), ("low", "f8"), ("high", "f8"), ("part", "i8")]), by_block
+
+
+def grid(units: int, points: int, others: int, tasks: int) -> tuple[int, int]:
+    """Groups of units and of blocks, a pair of groups for each task about, with which the fewest points travel."""
+    by_unit = min(max(1, units), tasks, max(1, round((tasks * others / max(1, points)) ** 0.5)))
+    return by_unit, max(1, -(-tasks // by_unit))
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("unit"), F.lit(parts))
 
 
 _SENT = "unit long, block long, pid binary, cls binary, n binary, limit binary, data binary"
 _SENT_TYPE = pa.schema([("unit", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("pid", "cls", "n", "limit", "data")])
 
 
-def bounds(x: np.ndarray, pivots: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """(rows, units): no point of the unit lies nearer to the row."""
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, pivots): the distance of each row from each pivot, and from the plane halfway between that and the nearest one."""
     square = distances(x, pivots)
-    d = np.sqrt(square)
-    own = d.argmin(axis=1)
-    between = np.sqrt(distances(pivots, pivots))
-    apart = between[own]
+    own = square.argmin(axis=1)
+    apart = np.sqrt(distances(pivots, pivots))[own]
     plane = np.where(apart > 0, (square - np.take_along_axis(square, own[:, None], 1)) / (2 * np.where(apart > 0, apart, 1)), 0.0)
-    cell = units["cell"]
-    return np.maximum(np.maximum(d[:, cell] - units["high"], units["low"] - d[:, cell]), np.maximum(plane[:, cell], 0.0))
+    return np.sqrt(square), plane
+
+
+def bounds(x: np.ndarray, pivots: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """(rows, units): no point of the unit lies nearer to the row."""
+    return _bounds(*_gaps(x, pivots), units["cell"], units["low"], units["high"])
+
+
+def _bounds(d: np.ndarray, plane: np.ndarray, cell, low, high) -> np.ndarray:
+    return np.maximum(np.maximum(d[:, cell] - high, low - d[:, cell]), np.maximum(plane[:, cell], 0.0))
+
+
+def _far(limit: np.ndarray) -> np.ndarray:
+    """What counts as within a limit."""
+    return limit * (1 + 1e-9) + 1e-9
 
 
 def _sent(pivots, units, first: bool, block: int):
-    """Points (cell order) to packed blocks for units: the nearest unit alone, or with limits all others that a limit reaches."""
+    """Points (cell order) to packed blocks: for the nearest unit alone, or with limits for each group of units of which a limit reaches any."""
 
     @tidy
     def run(batches):
@@ -173,13 +214,16 @@ def _sent(pivots, units, first: bool, block: int):
             for at in range(0, len(pid), block):
                 rows = slice(at, at + block)
                 low = bounds(x[rows], p, u)
-                want = np.arange(len(u))[None, :] == low.argmin(axis=1)[:, None]
-                if not first:
-                    want = (low <= limit[rows][:, None] * (1 + 1e-9) + 1e-9) & ~want
+                if first:
+                    keys, want = u["unit"], np.arange(len(u))[None, :] == low.argmin(axis=1)[:, None]
+                else:
+                    near = low <= _far(limit[rows])[:, None]
+                    keys = np.unique(u["part"])
+                    want = np.stack([near[:, u["part"] == g].any(axis=1) for g in keys], axis=1)
                 out = []
                 for j in np.flatnonzero(want.any(axis=0)):
                     i = np.flatnonzero(want[:, j]) + at
-                    out.append((int(u["unit"][j]), int(pid[i[0]]), pid[i].astype("<i8").tobytes(), cls[i].astype("<i4").tobytes(), n[i].astype("<i8").tobytes(), limit[i].astype("<f8").tobytes(), x[i].astype("<f8").tobytes()))
+                    out.append((int(keys[j]), int(pid[at]), pid[i].astype("<i8").tobytes(), cls[i].astype("<i4").tobytes(), n[i].astype("<i8").tobytes(), limit[i].astype("<f8").tobytes(), _data(x[i])))
                 if out:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT_TYPE, strict=True)], schema=_SENT_TYPE)
 
@@ -210,29 +254,101 @@ def chosen(q: np.ndarray, q_cls: np.ndarray, x: np.ndarray, x_cls: np.ndarray, k
     return i, part[i, j], exact[i, j]
 
 
+def _best(i: np.ndarray, d: np.ndarray, cls: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k first of each row i, by distance, ties to the smaller class, and which of them is a row's k-th."""
+    order = np.lexsort((cls, np.round(d, PLACES), i))
+    own = i[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[rank < k], rank[rank < k] == k - 1
+
+
+def within(q: np.ndarray, q_cls: np.ndarray, x: np.ndarray, x_cls: np.ndarray, k: int, differ: bool, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, point, distance) as chosen() gives them, of the points within a row's finite limit alone."""
+    square, far = distances(q, x), _far(limit)
+    rounding = 1e-12 * ((q**2).sum(axis=1) + (x**2).sum(axis=1).max(initial=0))
+    i, j = np.nonzero(square <= (far**2 * (1 + 1e-9) + rounding)[:, None])
+    if differ:
+        other = q_cls[i] != x_cls[j]
+        i, j = i[other], j[other]
+    d = np.concatenate([np.empty(0), *(np.sqrt(((q[i[a : a + PAIRS]] - x[j[a : a + PAIRS]]) ** 2).sum(axis=1)) for a in range(0, len(i), PAIRS))])
+    real = d <= far[i]
+    i, j, d = i[real], j[real], d[real]
+    best, _ = _best(i, d, x_cls[j], k)
+    return i[best], j[best], d[best]
+
+
+class Block:
+    """A block of points with what is known to be nearest to them, of the units that it met one after another."""
+
+    def __init__(self, pid, cls, limit, data, pivots: np.ndarray):
+        self.pid, self.cls = np.frombuffer(pid, "<i8"), np.frombuffer(cls, "<i4")
+        self.limit, self.x = np.frombuffer(limit, "<f8").copy(), _numbers(data, len(self.pid))
+        self.gaps = _gaps(self.x, pivots)
+        self.found = [np.empty(0, t) for t in (np.int64, np.float64, np.int32, np.int64)]
+        self.compared = 0
+
+    def meet(self, cell: int, low: float, high: float, x_cls: np.ndarray, n: np.ndarray, data: bytes, k: int, differ: bool) -> None:
+        near = _bounds(*self.gaps, np.array([cell]), low, high)[:, 0] <= _far(self.limit)
+        if not near.any():
+            return
+        x = _numbers(data, len(n))
+        self.compared += int(near.sum()) * len(n)
+        for rows, search in ((np.flatnonzero(near & np.isfinite(self.limit)), within), (np.flatnonzero(near & np.isinf(self.limit)), chosen)):
+            if len(rows):
+                i, j, d = search(self.x[rows], self.cls[rows], x, x_cls, k, differ, *([self.limit[rows]] if search is within else []))
+                self.found = [np.concatenate(c) for c in zip(self.found, (rows[i], d, x_cls[j], n[j]), strict=True)]
+        best, last = _best(*self.found[:3], k)
+        self.found = [c[best] for c in self.found]
+        i, d = self.found[0][last], self.found[1][last]
+        self.limit[i] = np.minimum(self.limit[i], d)
+
+    def finds(self, part: int) -> pa.RecordBatch:
+        i, d, cls, n = self.found
+        return _finds_of(self.pid, part, i, d, cls, n, self.compared)
+
+
 _FOUND = "pid long, unit long, dist double, cls int, n long"
 
 
-def _finds(pid: np.ndarray, unit: int, q_cls: np.ndarray, q: np.ndarray, x_cls: np.ndarray, n: np.ndarray, x: np.ndarray, k: int, differ: bool, limit: np.ndarray | None = None):
-    """What is near, within a point's limit if there is one, and a row of dist NaN for the block that counts the pairs compared."""
-    i, j, d = chosen(q, q_cls, x, x_cls, k, differ)
-    if limit is not None:
-        real = d <= limit[i] * (1 + 1e-9) + 1e-9
-        i, j, d = i[real], j[real], d[real]
-    columns = [np.append(pid[i], pid[:1]), np.full(len(i) + 1, unit), np.append(d, np.nan), np.append(x_cls[j], -1).astype(np.int32), np.append(n[j], len(n) * len(pid))]
+def _finds_of(pid: np.ndarray, unit: int, i: np.ndarray, d: np.ndarray, cls: np.ndarray, n: np.ndarray, compared: int) -> pa.RecordBatch:
+    """What is near, and a row of dist NaN for the block that counts the pairs compared."""
+    columns = [np.append(pid[i], pid[:1]), np.full(len(i) + 1, unit), np.append(d, np.nan), np.append(cls, -1).astype(np.int32), np.append(n, compared)]
     return pa.record_batch([pa.array(c) for c in columns], names=["pid", "unit", "dist", "cls", "n"])
 
 
+def _finds(pid: np.ndarray, unit: int, q_cls: np.ndarray, q: np.ndarray, x_cls: np.ndarray, n: np.ndarray, x: np.ndarray, k: int, differ: bool):
+    i, j, d = chosen(q, q_cls, x, x_cls, k, differ)
+    return _finds_of(pid, unit, i, d, x_cls[j], n[j], len(n) * len(pid))
+
+
 def _compared(k: int, differ: bool):
-    """Blocks joined with units to finds."""
+    """Blocks joined with their nearest units to finds."""
 
     @tidy
     def run(batches):
         for batch in batches:
-            for unit, pid, q_cls, limit, data, x_cls, n, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, pid, q_cls, data, x_cls, n, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pid, q_cls, x_cls, n = np.frombuffer(pid, "<i8"), np.frombuffer(q_cls, "<i4"), np.frombuffer(x_cls, "<i4"), np.frombuffer(n, "<i8")
-                q, x = np.frombuffer(data, "<f8").reshape(len(pid), -1), np.frombuffer(other, "<f8").reshape(len(n), -1)
-                yield _finds(pid, unit, q_cls, q, x_cls, n, x, k, differ, np.frombuffer(limit, "<f8"))
+                yield _finds(pid, unit, q_cls, _numbers(data, len(pid)), x_cls, n, _numbers(other, len(n)), k, differ)
+
+    return run
+
+
+def _met(pivots, k: int, differ: bool):
+    """Blocks joined with the units of a group, a block's rows together, to the k nearest of the group within the limits."""
+
+    @tidy
+    def run(batches):
+        key, now = None, None
+        for batch in batches:
+            for part, block, pid, q_cls, limit, data, cell, low, high, x_cls, n, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (part, block):
+                    if now is not None:
+                        yield now.finds(key[0])
+                    key, now = (part, block), Block(pid, q_cls, limit, data, pivots.value)
+                now.meet(cell, low, high, np.frombuffer(x_cls, "<i4"), np.frombuffer(n, "<i8"), other, k, differ)
+        if now is not None:
+            yield now.finds(key[0])
 
     return run
 
@@ -303,24 +419,32 @@ def nearest_points(own: DataFrame, others: DataFrame, k: int, differ: bool = Fal
             kept.append(out)
             return out
         pivots = send(pivots_of(others, dim, first.n, unit))
-        packed, table = _units(others, pivots, first.n, unit)
-        units = send(table)
         parts = staging.partitions(spark)
+        packed, table, by_block = _units(others, pivots, first.n, own.count(), unit, 2 * parts)
+        units = send(table)
         near = k + itself
 
-        def compared(blocks: DataFrame) -> DataFrame:
-            met = blocks.join(packed.select("unit", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("data").alias("o_data")), "unit")
-            return staging.stage(met.select("unit", "pid", "cls", "limit", "data", "o_cls", "o_n", "o_data").mapInArrow(_compared(near, differ), _FOUND), "compared")
-
         placed = staging.stage(_placed(own, pivots).repartition(parts, "cell", F.pmod("pid", F.lit(16))).sortWithinPartitions("cell", "far"), "asked")
         with staging.small_batches(spark, 4 * BLOCK):
-            one = compared(placed.select("pid", "cls", "n", "vec").mapInArrow(_sent(pivots, units, True, BLOCK), _SENT))
+            blocks = placed.select("pid", "cls", "n", "vec").mapInArrow(_sent(pivots, units, True, BLOCK), _SENT)
+            # rows of many bytes: none is broadcast, the tasks' number is fixed, and a unit's blocks are dealt to some tasks
+            blocks = blocks.withColumn("b", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).repartition(parts, "unit", "b")
+            sides = packed.select("unit", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b"), F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("data").alias("o_data"))
+            met = blocks.hint("merge").join(sides.repartition(parts, "unit", "b"), ["unit", "b"])
+            one = staging.stage(met.select("unit", "pid", "cls", "data", "o_cls", "o_n", "o_data").mapInArrow(_compared(near, differ), _FOUND), "compared")
         # the k-th distance that is known, counting copies; without k the row has no limit
         known = _merged(one, near)
         seen = F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x["n"])
         limits = known.where(seen >= near).select("pid", F.get(F.col("near"), F.least(F.size("near"), F.lit(near)) - 1)["dist"].alias("limit"))
         rest = placed.join(limits, "pid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).repartition(parts, "cell", F.pmod("pid", F.lit(16))).sortWithinPartitions("cell", "far")
-        two = compared(rest.select("pid", "cls", "n", "vec", "limit").mapInArrow(_sent(pivots, units, False, BLOCK), _SENT))
+        blocks = rest.select("pid", "cls", "n", "vec", "limit").mapInArrow(_sent(pivots, units, False, BLOCK), _SENT).withColumnRenamed("unit", "part")
+        blocks = blocks.select("part", F.pmod(F.xxhash64("block"), F.lit(by_block)).cast("int").alias("b"), "block", "pid", "cls", "limit", "data").repartition(parts, "part", "b")
+        sides = packed.select("part", F.explode(F.sequence(F.lit(0), F.lit(by_block - 1))).alias("b"), "cell", "low", "high", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("data").alias("o_data")).repartition(parts, "part", "b")
+        # few rows of many bytes: none is broadcast, and the tasks' number is fixed
+        met = blocks.hint("merge").join(sides, ["part", "b"]).select("part", "block", "pid", "cls", "limit", "data", "cell", "low", "high", "o_cls", "o_n", "o_data")
+        two = staging.stage(met.mapInArrow(_met(pivots, near, differ), _FOUND), "compared")
+        # what the nearest units gave is within the limits, so that it is found again: of these only the numbers of pairs count
+        one = one.where(F.isnan("dist"))
         out = staging.stage(_finished(_merged(one.unionByName(two), near), own, k, itself), "nearest")
         kept.append(out)
     return out

@@ -61,6 +61,38 @@ def test_few_distances_are_measured_on_clustered_vectors(spark):
         assert some[i] == pytest.approx(np.linalg.norm(x[(i + 1) % 2 :: 2] - x[i], axis=1).min(), abs=1e-9)
 
 
+def test_points_travel_once_for_each_group_of_units(spark):
+    """Where no bound helps a point went to every unit, so that disk grew with the square of the rows."""
+    by_unit, by_block = neighbours.grid(300, 10_000, 10_000, 96)
+    assert by_unit + by_block <= 21 and by_unit * by_block >= 96
+    rng = np.random.default_rng(6)
+    x, p = rng.normal(size=(500, 32)), rng.normal(size=(8, 32)) / 100
+    kinds = [("unit", "i8"), ("cell", "i4"), ("low", "f8"), ("high", "f8"), ("part", "i8")]
+    units = np.array([(j, j % 8, 0.0, 9.0, j % 3) for j in range(40)], dtype=kinds)
+    sent = spark.sparkContext.broadcast
+    df = spark.createDataFrame([(i, 0, 1, v.tolist(), 5.0) for i, v in enumerate(x)], "pid long, cls int, n long, vec array<double>, limit double").coalesce(1)
+    blocks = df.mapInArrow(neighbours._sent(sent(p), sent(units), False, 1024), neighbours._SENT).collect()
+    assert sum(len(b.pid) // 8 for b in blocks) <= 3 * 500
+
+
+@pytest.mark.parametrize("differ", [False, True])
+def test_limits_shrink_over_units_and_leave_the_nearest(differ):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(50, 6)), rng.normal(size=(400, 6))
+    a, b, n = rng.integers(0, 3, 50).astype("<i4"), rng.integers(0, 3, 400).astype("<i4"), np.ones(400, "<i8")
+    start = np.where(np.arange(50) % 2, np.inf, 50.0)
+    block = neighbours.Block(np.arange(50).tobytes(), a.tobytes(), start.tobytes(), neighbours._data(x), np.zeros((1, 6)))
+    for at in range(0, 400, 80):
+        part = slice(at, at + 80)
+        far = np.linalg.norm(y[part], axis=1)
+        block.meet(0, far.min(), far.max(), b[part], n[part], neighbours._data(y[part]), 3, differ)
+    i, d, cls, _ = block.found
+    for row in range(50):
+        every = sorted((round(float(np.linalg.norm(y[j] - x[row])), 9), int(b[j])) for j in range(400) if not differ or a[row] != b[j])[:3]
+        assert sorted(zip(np.round(d[i == row], 9).tolist(), cls[i == row].tolist(), strict=True)) == every
+    assert block.compared <= 50 * 400
+
+
 def test_odd_vectors_and_empty_tables(spark):
     x = [[0.0, 0.0], None, [float("nan"), 1.0], [1.0], [3.0, 4.0], [0.0, 0.0]]
     df = _table(spark, x, [0, 0, 0, 0, 1, None])
