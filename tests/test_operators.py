@@ -131,6 +131,13 @@ def test_quantile_uniform_and_normal(spark):
     assert max(abs(back[i] - v) for i, v in enumerate(x)) < 1e-3
 
 
+def test_quantiles_of_a_subsample_extended(spark):
+    """As the SQL of quantile_uniform_encode: the last line goes on, rows below the smallest quantile have no place."""
+    df = spark.createDataFrame([(0, 0.5), (1, 1.0), (2, 3.0), (3, 4.0), (4, 6.0), (5, None)], "id int, x double")
+    got = {r.id: r.x for r in encoders.Quantile({"x": [1.0, 2.0, 4.0]}).extended(df).collect()}
+    assert got == {0: None, 1: 0.0, 2: 0.75, 3: 1.0, 4: 1.5, 5: None}
+
+
 def test_categories(spark, tmp_path):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, k string")
     hot = encoders.OneHot.fit(df, ["k"])
