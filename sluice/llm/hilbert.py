@@ -1,7 +1,7 @@
 """Shards of consecutive runs along a Hilbert curve through the documents' metadata, by DataFrame functions alone.
 
 Language, source and size are quantised into 32 steps each that keep their order: strings are compared with cuts that are
-some of the distinct values (by their first 256 characters), sizes are cut at quantiles of the rows. The cells of that cube
+quantiles of all distinct values (by their first 256 characters), sizes are cut at quantiles of the rows. The cells of that cube
 follow one another along the curve, so that a shard covers a compact part of it and files can be left out by minimum and
 maximum in any of the three. Runs are cut by rank: shards' row counts are at most one apart, whatever a cell holds.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from sluice import staging
 
-#: Bits of each of the three coordinates; rows that a part of a cell has about; distinct strings that cuts are taken from at most; characters of a string that its order goes by.
-BITS, PART, VALUES, PREFIX = 5, 10_000, 10_000, 256
+#: Bits of each of the three coordinates; rows that a part of a cell has about; characters of a string that its order goes by.
+BITS, PART, PREFIX = 5, 10_000, 256
 #: Crowded parts that are broadcast at most.
 CROWDED = 10_000
 
@@ -32,9 +32,21 @@ def ordered(value: Column) -> Column:
 
 
 def _string_cuts(rows: DataFrame, column: str) -> list[str]:
-    """At most 2**BITS - 1 of the distinct strings, between which there are as many of them each: of all, or of VALUES of the smallest hashes."""
-    some = sorted((r[0] for r in rows.select(column).distinct().orderBy(F.xxhash64(column), column).limit(VALUES).collect()), key=str.encode)
-    return sorted({some[math.ceil(i * len(some) / (1 << BITS)) - 1] for i in range(1, 1 << BITS)} - {some[-1]}, key=str.encode) if some else []
+    """At most 2**BITS - 1 of the distinct strings, between which there are as many of them each.
+
+    All are sorted by ranges; which range and row within it has a cut follows from the ranges' counts, so that cuts alone come to the driver.
+    """
+    ranges = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    # the number of the partition is above 33 bits for the row within it
+    values = staging.stage(ranges.withColumn("at", F.monotonically_increasing_id()), "values")
+    counts = values.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()  # as many as shuffle partitions
+    total = sum(r.n for r in counts)
+    wanted, before = [], 0
+    places = sorted({math.ceil(i * total / (1 << BITS)) - 1 for i in range(1, 1 << BITS)} - {total - 1} - {-1})
+    for r in counts:
+        wanted += [(r.range << 33) + p - before for p in places if before <= p < before + r.n]
+        before += r.n
+    return sorted((r[0] for r in values.where(F.col("at").isin(wanted)).select(column).collect()), key=str.encode) if wanted else []
 
 
 def _cuts(values: DataFrame, column: str) -> list[int]:

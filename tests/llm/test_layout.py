@@ -42,6 +42,15 @@ def test_steps_keep_order(spark):
     assert [steps[v] for v in [None, *sorted(values[1:], key=str.encode)]] == sorted(set(steps.values())) and len(set(steps.values())) == 10
 
 
+def test_string_cuts_are_quantiles_of_all_values(spark):
+    """More values than ever came to the driver: the cuts are those of all, not of some."""
+    values = [f"x{i**2:09d}" for i in range(20_005)]
+    df = spark.createDataFrame([(v,) for v in values + values[:100]], "k string").repartition(5)
+    n = len(values)
+    assert hilbert._string_cuts(df, "k") == [values[-(-i * n // 32) - 1] for i in range(1, 32)]
+    assert hilbert._string_cuts(df.limit(0), "k") == []
+
+
 def test_an_odd_name_opens_no_more_shards(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").drop("text").withColumn("text", F.lit(None).cast("string"))
     docs = docs.withColumn("source", F.concat(F.lit("common-crawl-2021-"), "source"))
