@@ -42,7 +42,7 @@ def coerce(df: DataFrame, floats: list[str], ints: list[str], label: str | None
             x = F.col(f"`{c}`").try_cast("double")
             columns[c] = F.when((x == F.floor(x)) & (F.abs(x) <= 2147483647), x).try_cast("int")
     if label and label in df.columns:
-        text = F.trim(F.col(f"`{label}`").cast("string"))
+        text = F.trim(F.col(f"`{label}`").cast("string"), F.lit(scalars.BLANKS))
         columns[label] = F.when((text != "") & (F.lower(text) != "nan"), text)
     return df.withColumns(columns)
 

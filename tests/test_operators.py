@@ -138,6 +138,11 @@ def test_quantiles_of_a_subsample_extended(spark):
     assert got == {0: None, 1: 0.0, 2: 0.75, 3: 1.0, 4: 1.5, 5: None}
 
 
+def test_labels_are_trimmed_of_all_blanks(spark):
+    df = spark.createDataFrame([(1, "\u00a0A"), (2, "A\u2003 "), (3, "\u3000nan\u202f"), (4, "\u1680"), (5, "\tA"), (6, "A\u00a0B")], "id int, Label string")
+    assert {r.id: r.Label for r in clean.coerce(df, [], [], "Label").collect()} == {1: "A", 2: "A", 3: None, 4: None, 5: "\tA", 6: "A\u00a0B"}
+
+
 def test_categories(spark, tmp_path):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, k string")
     hot = encoders.OneHot.fit(df, ["k"])
