@@ -37,8 +37,11 @@ class Schedule:
 _SUMS = "part int, data binary"
 
 
-def _round(sent, how: Schedule, number: int, seed: int):
-    """(features, label, held) to slices of rows * (weights, both moments), and slice -1: rows, steps, sums of losses and rows of validation."""
+def _round(sent, how: Schedule, number: int, seed: int, watched: bool, last: bool):
+    """(features, label, held) to slices of rows * (weights, both moments), and slice -1: rows, steps, sums of losses and rows of validation.
+
+    If some rows are held (watched), only their losses count: those of the others aren't measured, and the last round makes no steps.
+    """
 
     @tidy
     def run(batches):
@@ -55,7 +58,7 @@ def _round(sent, how: Schedule, number: int, seed: int):
             at = 0
             while len(y) - at >= how.batch or (whole and at < len(y)):
                 a, b = x[at : at + how.batch], y[at : at + how.batch]
-                loss += network.loss_sum(now, a, b)
+                loss += 0.0 if watched else network.loss_sum(now, a, b)
                 flat = adam.step(flat, network.gradient(now, a, b, rng))
                 now = net.with_flat(flat)
                 rows, at = rows + len(b), at + len(b)
@@ -66,6 +69,8 @@ def _round(sent, how: Schedule, number: int, seed: int):
             y, held = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if held.any():
                 held_rows, held_loss = held_rows + int(held.sum()), held_loss + network.loss_sum(net, x[held], y[held])
+            if watched and last:
+                continue
             order = rng.permutation(np.flatnonzero(~held))
             left = steps_of(np.concatenate([left[0], x[order]]), np.concatenate([left[1], y[order]]), False)
         steps_of(*left, True)
@@ -120,17 +125,19 @@ def fit(df: DataFrame, classes: int, inputs: dict | None = None, how: Schedule |
         moments = data.where("not held").agg(*(f(number(i)) for i in layout.continuous for f in (F.avg, F.stddev_pop))).first() if layout.continuous else []
         mean, std = (np.array([v or 0.0 for v in moments[k::2]], float) for k in (0, 1))
         net = network.Network.start(layout, {p: _values(data, p) for p in layout.categorical}, mean, std, classes, how.embedding, seed=seed)
-        return _rounds(data, net, how, seed)
+        return _rounds(data, net, how, seed, n > 1 and how.validation > 0)
 
 
-def _rounds(data: DataFrame, net: network.Network, how: Schedule, seed: int) -> network.Network:
+def _rounds(data: DataFrame, net: network.Network, how: Schedule, seed: int, watched: bool) -> network.Network:
+    """A round is one job, whatever the shuffle's partitions: sums go to as many as there are slices, and come back together."""
     spark, flat = data.sparkSession, net.flat()
+    parts = min(staging.partitions(spark), 1 + -(-3 * len(flat) // SLICE))
     first, second, steps, rate = np.zeros_like(flat), np.zeros_like(flat), 0, how.rate
     best, best_flat, waited, still = np.inf, flat, 0, 0
     for number in range(how.rounds + 1):  # the last one only measures what the others have come to
         sent = spark.sparkContext.broadcast((net.with_flat(flat), first, second, steps, rate))
-        part = data.mapInArrow(_round(sent, how, number, seed), _SUMS).repartition(staging.partitions(spark), "part").mapInArrow(_added, _SUMS)
-        sums = {r.part: np.frombuffer(bytes(r.data), "<f8") for r in part.toLocalIterator()}  # the weights and moments once
+        part = data.mapInArrow(_round(sent, how, number, seed, watched, number == how.rounds), _SUMS).repartition(parts, "part").mapInArrow(_added, _SUMS)
+        sums = {r.part: np.frombuffer(bytes(r.data), "<f8") for r in part.collect()}  # the weights and moments once
         sent.destroy()
         rows, taken, loss, held_rows, held_loss = sums.pop(-1)
         now = held_loss / held_rows if held_rows else (loss / rows if rows else 0.0)

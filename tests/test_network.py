@@ -99,3 +99,18 @@ def test_rounds_over_several_tasks(spark, data, monkeypatch):
     assert (one.shares(x).argmax(axis=1) == y).mean() > 0.85
     with pytest.raises(ValueError, match="no rows"):
         training.fit(data.limit(0), 3)
+
+
+def test_a_round_is_one_job_whatever_the_partitions(spark):
+    rows = [([float(i % 7), float(i % 3)], i % 2) for i in range(200)]
+    data = spark.createDataFrame(rows, "features array<double>, label int").coalesce(2)
+    jobs = {}
+    for rounds in (1, 5):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "rounds")
+        try:
+            training.fit(data, 2, how=training.Schedule(rounds=rounds, batch=64))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[rounds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds {rounds}"))
+    # with adaptive plans a job for the shuffle and one for its result
+    assert 4 <= jobs[5] - jobs[1] <= 8
