@@ -8,7 +8,11 @@ import io
 import numpy as np
 
 #: Bins of a column at most, cells of a histogram held at once, and the gain that a split must exceed.
-BINS, CELLS, GAIN = 64, 1 << 21, 1e-9
+BINS, CELLS, GAIN = 64, 1 << 17, 1e-9
+#: Nodes of so many rows at most have histograms by the rank of a row's code in its node, of as many places.
+FEW = (4, 8, 16, 32)
+#: Trees with more nodes in all stay packed, and one at a time is unpacked.
+NODES = 1 << 19
 #: A leaf's cut: every code is at most this, so that rows stay in it.
 _STAY = 255
 
@@ -57,14 +61,19 @@ class Trees:
         return np.concatenate(parts) if parts else np.zeros((0, self.value.shape[1]))
 
     def pack(self) -> bytes:
-        out = io.BytesIO()
-        np.savez_compressed(out, **dataclasses.asdict(self))
+        """Values that recur, as of pure leaves, are stored once."""
+        out, (values, which) = io.BytesIO(), np.unique(self.value, axis=0, return_inverse=True)
+        few = {"value": values, "which": which.ravel().astype(np.int32)} if 2 * len(values) < len(self.value) else {}
+        np.savez_compressed(out, **vars(self) | few)
         return out.getvalue()
 
     @classmethod
     def unpack(cls, data: bytes) -> Trees:
         with np.load(io.BytesIO(data)) as f:
-            return cls(**{k: f[k] if k != "depth" else int(f[k]) for k in f.files})
+            parts = {k: f[k] if k != "depth" else int(f[k]) for k in f.files}
+        if "which" in parts:
+            parts["value"] = parts["value"][parts.pop("which")]
+        return cls(**parts)
 
 
 def together(trees: list[Trees]) -> Trees:
@@ -74,6 +83,13 @@ def together(trees: list[Trees]) -> Trees:
     return Trees(**moved, **same, depth=max(t.depth for t in trees))
 
 
+def sized(packed: list[bytes]) -> list[Trees] | list[bytes]:
+    """One group of all trees, or what was given if they have many nodes."""
+    if sum(len(Trees.unpack(p).feature) for p in packed) > NODES:
+        return packed
+    return [together([Trees.unpack(p) for p in packed])]
+
+
 def _middle(gain: np.ndarray, width: int) -> np.ndarray:
     """Of each row the place of its maximum: the middle one, if cuts of one column tie because bins between are empty."""
     first, last = gain.argmax(axis=1), gain.shape[1] - 1 - gain[:, ::-1].argmax(axis=1)
@@ -82,41 +98,79 @@ def _middle(gain: np.ndarray, width: int) -> np.ndarray:
     return np.where(gain[rows, middle] == gain[rows, first], middle, first)
 
 
+def _dense(codes: np.ndarray, bins: int, rows: np.ndarray, counts: np.ndarray, gains) -> np.ndarray:
+    """The best cut of each node, feature * (bins - 1) + code, or -1. Rows stand node by node, counts says how many each has."""
+    f = codes.shape[1]
+    place = (np.repeat(np.arange(len(counts)), counts)[:, None] * f + np.arange(f)) * bins + codes[rows]
+    gain = gains(rows, place, len(counts), bins)
+    best = _middle(gain, bins - 1)
+    return np.where(gain[np.arange(len(counts)), best] > GAIN, best, -1)
+
+
+def _few(codes: np.ndarray, bins: int, rows: np.ndarray, counts: np.ndarray, gains, most: int) -> np.ndarray:
+    """As _dense, the same cuts, for nodes of few rows: cuts between codes that a node has are all there is to try."""
+    f, k = codes.shape[1], np.arange(len(counts))
+    there = np.arange(most) < counts[:, None]
+    code = np.full((len(counts), most, f), _STAY, np.uint8)
+    code[there] = codes[rows]
+    rank = np.zeros_like(code)
+    for i in range(most):
+        rank += code[:, i : i + 1] < code
+    place = (np.repeat(k, counts)[:, None] * f + np.arange(f)) * most + rank[there]
+    gain = gains(rows, place, len(counts), most)
+    first, last = gain.argmax(axis=1), gain.shape[1] - 1 - gain[:, ::-1].argmax(axis=1)
+    column, other = first // (most - 1), last // (most - 1)
+    code, rank = (v[k, :, column].astype(np.int64) for v in (code, rank))
+    low = np.where(there & (rank <= (first % (most - 1))[:, None]), code, 0).max(axis=1)
+    above = np.where(rank > (last % (most - 1))[:, None], code, _STAY).min(axis=1)  # ties go as far as the next code that is there
+    middle = (low + np.where(other == column, above - 1, bins - 2)) // 2
+    at = (code <= middle[:, None]).sum(axis=1) - 1
+    same = (at < most - 1) & (gain[k, column * (most - 1) + np.clip(at, 0, most - 2)] == gain[k, first])
+    return np.where(gain[k, first] > GAIN, column * (bins - 1) + np.where(same, middle, low), -1)
+
+
 def grow(codes: np.ndarray, sums, score, enough, divisible, depth: int) -> tuple[Trees, np.ndarray]:
     """A tree without values, level by level, and the leaf of each row.
 
-    sums(rows, place, size, f) adds the rows' figures up by place, (size, figures), each row f times; score values a group
+    sums(rows, place, size, f) adds the rows' figures up by place, (figures, size), each row f times; score values a group
     by its sums, enough says whether it may stand alone, divisible whether a split is worth a search. Nodes of a level are
-    taken in blocks of a bounded histogram.
+    taken in blocks of a bounded histogram, those of few rows with a narrower one.
     """
     n, f = codes.shape
     bins = int(codes.max(initial=0)) + 1
     feature, cut, child = np.zeros(1, np.int32), np.full(1, _STAY, np.uint8), np.zeros(1, np.int32)
     at, rows, first, levels = np.zeros(n, np.int32), np.arange(n), 0, 0
-    step = max(1, CELLS // (f * bins))
+
+    def gains(some, place, k, width):
+        left = sums(some, place.ravel(), k * f * width, f).reshape(-1, k, f, width).cumsum(axis=3)
+        total, left = left[..., -1:], left[..., :-1]
+        right = total - left
+        return np.where(enough(left) & enough(right), score(left) + score(right) - score(total), -np.inf).reshape(k, -1)
+
     while levels < depth and bins > 1 and len(rows):
-        m, found = len(feature) - first, []
+        m = len(feature) - first
         may = divisible(sums(rows, at[rows] - first, m, 1))
         rows, slot, tried = rows[may[at[rows] - first]], np.cumsum(may) - 1, np.flatnonzero(may)
         where = slot[at[rows] - first]
-        for lo in range(0, len(tried), step):
-            k = min(step, len(tried) - lo)
-            here = (where >= lo) & (where < lo + k)
-            place = ((where[here] - lo)[:, None] * f + np.arange(f)) * bins + codes[rows[here]]
-            left = sums(rows[here], place.ravel(), k * f * bins, f).reshape(k, f, bins, -1).cumsum(axis=2)
-            total, left = left[:, :, -1:], left[:, :, :-1]
-            right = total - left
-            gain = np.where(enough(left) & enough(right), score(left) + score(right) - score(total), -np.inf).reshape(k, -1)
-            best = _middle(gain, bins - 1)
-            found.append(np.where(gain[np.arange(k), best] > GAIN, best, -1))
-        found = np.concatenate(found) if found else np.zeros(0, np.int64)
+        rows = rows[np.argsort(where, kind="stable")]
+        counts = np.bincount(where, minlength=len(tried))
+        starts, found = np.cumsum(counts) - counts, np.full(len(tried), -1)
+        widths = [w for w in FEW if w < bins]
+        kind = np.searchsorted(widths, counts)
+        for i, width in enumerate([*widths, bins]):
+            nodes, step = np.flatnonzero(kind == i), max(1, CELLS // (f * width))
+            for lo in range(0, len(nodes), step):
+                some = nodes[lo : lo + step]
+                c = counts[some]
+                here = rows[np.repeat(starts[some] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+                found[some] = _dense(codes, bins, here, c, gains) if width == bins else _few(codes, bins, here, c, gains, width)
         split = np.flatnonzero(found >= 0)
         if not len(split):
             break
         nodes = first + tried[split]
         feature[nodes], cut[nodes] = found[split] // (bins - 1), found[split] % (bins - 1)
         child[nodes] = first + m + 2 * np.arange(len(split))
-        rows = rows[np.isin(at[rows], nodes)]
+        rows = rows[np.repeat(found >= 0, counts)]
         first, levels, more = first + m, levels + 1, 2 * len(split)
         here = at[rows]
         at[rows] = child[here] + (codes[rows, feature[here]] > cut[here])
@@ -178,16 +232,16 @@ def boost(codes: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, how
         g, h = w[rows] * (p - y[rows]), w[rows] * p * (1 - p)
 
         def sums(some, place, size, f, g=g, h=h):
-            return np.stack([np.bincount(place, np.repeat(v[some], f), size) for v in (g, h)] + [np.bincount(place, minlength=size)], axis=1)
+            return np.stack([np.bincount(place, np.repeat(v[some], f), size) for v in (g, h)] + [np.bincount(place, minlength=size)])
 
         def score(s):
-            return s[..., 0] ** 2 / (s[..., 1] + how.penalty + 1e-12)
+            return s[0] ** 2 / (s[1] + how.penalty + 1e-12)
 
         def enough(s):
-            return (s[..., 2] >= how.leaf) & (s[..., 1] >= how.weight)
+            return (s[2] >= how.leaf) & (s[1] >= how.weight)
 
         def divisible(s):
-            return (s[:, 2] >= max(2, 2 * how.leaf)) & (s[:, 1] >= 2 * how.weight)
+            return (s[2] >= max(2, 2 * how.leaf)) & (s[1] >= 2 * how.weight)
 
         tree, at = grow(codes[np.ix_(rows, columns)], sums, score, enough, divisible, how.depth)
         tree.feature = columns[tree.feature].astype(np.int32)
@@ -207,19 +261,19 @@ def bag(codes: np.ndarray, label: np.ndarray, w: np.ndarray, classes: int, depth
     n = len(codes)
     drawn = np.bincount(np.random.default_rng(seed).integers(0, n, n), minlength=n)
     rows = np.flatnonzero(drawn)
-    weight, label = (w * drawn)[rows], label[rows]
+    weight, label = (w * drawn)[rows], label[rows].astype(np.int64)
 
     def sums(some, place, size, f):
-        return np.bincount(place * classes + np.repeat(label[some], f), np.repeat(weight[some], f), size * classes).reshape(size, classes)
+        return np.bincount(place + np.repeat(label[some] * size, f), np.repeat(weight[some], f), size * classes).reshape(classes, size)
 
     def score(s):
-        return (s**2).sum(axis=-1) / np.maximum(s.sum(axis=-1), 1e-12)
+        return (s**2).sum(axis=0) / np.maximum(s.sum(axis=0), 1e-12)
 
     def enough(s):
-        return s.sum(axis=-1) > 1e-9
+        return s.sum(axis=0) > 1e-9
 
     def divisible(s):
-        return s.max(axis=1) < s.sum(axis=1) - 1e-9
+        return s.max(axis=0) < s.sum(axis=0) - 1e-9
 
     tree, at = grow(codes[rows], sums, score, enough, divisible, depth)
     shares = np.bincount(at.astype(np.int64) * classes + label, weight, len(tree.feature) * classes).reshape(-1, classes)

@@ -48,10 +48,10 @@ def vectors(df: DataFrame, column: str) -> DataFrame:
 
 @dataclasses.dataclass
 class TreeModel:
-    """Trees of one group (bagged) or of a group for each class (boosted, one against the rest; one group for two classes)."""
+    """Trees of one group (bagged; many nodes: each tree by itself, packed) or of a group for each class (boosted, one against the rest; one group for two classes)."""
 
     cuts: list[np.ndarray]
-    groups: list[trees.Trees]
+    groups: list[trees.Trees] | list[bytes]
     bagged: bool
     classes: int
 
@@ -59,7 +59,11 @@ class TreeModel:
         """(rows, classes)"""
         codes = trees.binned(x, self.cuts)
         if self.bagged:
-            return self.groups[0].total(codes) / len(self.groups[0].roots)
+            out, n = 0.0, 0
+            for g in self.groups:
+                g = trees.Trees.unpack(g) if isinstance(g, bytes) else g
+                out, n = out + g.total(codes, max(512, (1 << 14) // len(g.roots))), n + len(g.roots)
+            return out / n
         odds = np.concatenate([1 / (1 + np.exp(-np.clip(g.total(codes), -500, 500))) for g in self.groups], axis=1)
         return np.concatenate([1 - odds, odds], axis=1) if self.classes == 2 else odds / odds.sum(axis=1, keepdims=True)
 
@@ -72,7 +76,7 @@ class TreeModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [("cuts", i, np.asarray(c, np.float64).tobytes()) for i, c in enumerate(self.cuts)]
-        rows += [("bagged" if self.bagged else "boosted", self.classes, None), *(("group", i, bytearray(g.pack())) for i, g in enumerate(self.groups))]
+        rows += [("bagged" if self.bagged else "boosted", self.classes, None), *(("group", i, bytearray(g if isinstance(g, bytes) else g.pack())) for i, g in enumerate(self.groups))]
         spark.createDataFrame(rows, "part string, number int, data binary").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
@@ -80,7 +84,8 @@ class TreeModel:
         rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.number)
         kind = next(r for r in rows if r.part in ("bagged", "boosted"))
         cuts = [np.frombuffer(r.data, np.float64) for r in rows if r.part == "cuts"]
-        return cls(cuts, [trees.Trees.unpack(bytes(r.data)) for r in rows if r.part == "group"], kind.part == "bagged", kind.number)
+        groups = [bytes(r.data) for r in rows if r.part == "group"]
+        return cls(cuts, trees.sized(groups) if kind.part == "bagged" else [trees.Trees.unpack(g) for g in groups], kind.part == "bagged", kind.number)
 
 
 def with_shares(model: TreeModel | network.Network, df: DataFrame, features: str = "features", name: str = "p") -> DataFrame:
@@ -118,8 +123,8 @@ def sampled(df: DataFrame, classes: int, seed: int, rows: int = ROWS) -> tuple[n
     return x, got["label"].to_numpy(), got["w"].to_numpy(), np.array(got["subset"].to_pylist()) == "validation"
 
 
-def fitted(spark: SparkSession, tasks: int, fit: Callable[[int, object], trees.Trees], data: object) -> list[trees.Trees]:
-    """fit(task, data) for each task, in a Spark task of its own; data (a bounded sample) goes to the executors once."""
+def fitted(spark: SparkSession, tasks: int, fit: Callable[[int, object], trees.Trees], data: object) -> list[bytes]:
+    """fit(task, data) for each task, packed, in a Spark task of its own; data (a bounded sample) goes to the executors once."""
     sent = spark.sparkContext.broadcast(data)
 
     def run(batches):
@@ -129,7 +134,7 @@ def fitted(spark: SparkSession, tasks: int, fit: Callable[[int, object], trees.T
 
     rows = spark.range(0, tasks, 1, tasks).mapInPandas(run, "id long, made binary").collect()
     sent.destroy()
-    return [trees.Trees.unpack(bytes(r.made)) for r in sorted(rows, key=lambda r: r.id)]
+    return [bytes(r.made) for r in sorted(rows, key=lambda r: r.id)]
 
 
 def boosted(df: DataFrame, classes: int, how: Boosting, seed: int = 42) -> TreeModel:
@@ -142,7 +147,7 @@ def boosted(df: DataFrame, classes: int, how: Boosting, seed: int = 42) -> TreeM
         return trees.boost(codes, (label == (1 if classes == 2 else i)).astype(float), w, held, how, seed)
 
     groups = fitted(df.sparkSession, 1 if classes == 2 else classes, one, (trees.binned(x, cuts), label, w, held))
-    return TreeModel(cuts, groups, False, classes)
+    return TreeModel(cuts, [trees.Trees.unpack(g) for g in groups], False, classes)
 
 
 def bagged(df: DataFrame, classes: int, n: int = BAGGED, depth: int = DEEPEST, seed: int = 42) -> TreeModel:
@@ -154,7 +159,7 @@ def bagged(df: DataFrame, classes: int, n: int = BAGGED, depth: int = DEEPEST, s
         codes, label, w = data
         return trees.bag(codes, label, w, classes, depth, seed * 100_003 + i)
 
-    return TreeModel(cuts, [trees.together(fitted(df.sparkSession, n, one, (trees.binned(x, cuts), label, w)))], True, classes)
+    return TreeModel(cuts, trees.sized(fitted(df.sparkSession, n, one, (trees.binned(x, cuts), label, w))), True, classes)
 
 
 @dataclasses.dataclass

@@ -391,6 +391,45 @@ def test_bagged_trees_are_full_and_handle_what_is_missing():
     assert len(flat.feature) == 1
 
 
+def test_nodes_of_few_rows_have_small_histograms_and_the_same_cuts(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(600, 5)), rng.integers(0, 3, (600, 3))], axis=1)
+    codes, label, w = trees.binned(x, trees.cuts_of(x)), rng.integers(0, 4, 600), rng.integers(1, 4, 600) / 2.0
+    how = trees.Boosting(8, 8, 30, 0.1, leaf=2, penalty=1.0)
+    cells, plain = [0], trees.np.bincount
+
+    def counted(values, weights=None, minlength=0):
+        cells[0] += minlength
+        return plain(values, weights, minlength)
+
+    with monkeypatch.context() as m:
+        m.setattr(trees.np, "bincount", counted)
+        trees.bag(codes, label, w, 4, 200, 3)
+    made = [trees.bag(codes, label, w, 4, 200, 3), trees.boost(codes, (label == 1) * 1.0, w, np.zeros(600, bool), how, 1)]
+    every = (made[0].child != np.arange(len(made[0].child))).sum() * 8 * 64 * 4  # cells, had all nodes that are split a place for each code
+    assert 0 < cells[0] < every / 2
+    monkeypatch.setattr(trees, "FEW", ())
+    dense = [trees.bag(codes, label, w, 4, 200, 3), trees.boost(codes, (label == 1) * 1.0, w, np.zeros(600, bool), how, 1)]
+    for one, other in zip(made, dense, strict=True):
+        assert all(np.array_equal(getattr(one, k), getattr(other, k)) for k in ("feature", "cut", "child", "value"))
+
+
+def test_large_forests_stay_packed(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 3))
+    label = rng.integers(0, 3, 200)
+    cuts = trees.cuts_of(x)
+    packed = [trees.bag(trees.binned(x, cuts), label, np.ones(200), 3, 200, i).pack() for i in range(6)]
+    together = models.TreeModel(cuts, trees.sized(packed), True, 3)
+    monkeypatch.setattr(trees, "NODES", 100)
+    apart = models.TreeModel(cuts, trees.sized(packed), True, 3)
+    apart.save(spark, str(tmp_path / "m"))
+    again = models.TreeModel.load(spark, str(tmp_path / "m"))
+    assert len(together.groups) == 1 and apart.groups == again.groups == packed
+    for model in (apart, again):
+        assert np.allclose(model.shares(x), together.shares(x), rtol=0, atol=1e-12)
+
+
 @pytest.mark.parametrize("kind", ["xgb", "catb", "histgbm", "bagging"])
 def test_learners_reach_an_accuracy_on_rows_not_seen(spark, kind):
     rng = np.random.default_rng(5)
