@@ -129,7 +129,7 @@ def _few(codes: np.ndarray, bins: int, rows: np.ndarray, counts: np.ndarray, gai
     return np.where(gain[k, first] > GAIN, column * (bins - 1) + np.where(same, middle, low), -1)
 
 
-def grow(codes: np.ndarray, sums, score, enough, divisible, depth: int) -> tuple[Trees, np.ndarray]:
+def grow(codes: np.ndarray, sums, score, enough, divisible, depth: int, bins: int = 0) -> tuple[Trees, np.ndarray]:
     """A tree without values, level by level, and the leaf of each row.
 
     sums(rows, place, size, f) adds the rows' figures up by place, (figures, size), each row f times; score values a group
@@ -137,7 +137,7 @@ def grow(codes: np.ndarray, sums, score, enough, divisible, depth: int) -> tuple
     taken in blocks of a bounded histogram, those of few rows with a narrower one.
     """
     n, f = codes.shape
-    bins = int(codes.max(initial=0)) + 1
+    bins = bins or int(codes.max(initial=0)) + 1
     feature, cut, child = np.zeros(1, np.int32), np.full(1, _STAY, np.uint8), np.zeros(1, np.int32)
     at, rows, first, levels = np.zeros(n, np.int32), np.arange(n), 0, 0
 
@@ -261,7 +261,12 @@ def bag(codes: np.ndarray, label: np.ndarray, w: np.ndarray, classes: int, depth
     n = len(codes)
     drawn = np.bincount(np.random.default_rng(seed).integers(0, n, n), minlength=n)
     rows = np.flatnonzero(drawn)
-    weight, label = (w * drawn)[rows], label[rows].astype(np.int64)
+    return full(codes[rows], label[rows], (w * drawn)[rows], classes, depth)
+
+
+def full(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, depth: int, bins: int = 0) -> Trees:
+    """A tree on all rows; its leaves' values are the classes' shares. bins: of the codes of other rows too, as ties between cuts depend on it."""
+    label = label.astype(np.int64)
 
     def sums(some, place, size, f):
         return np.bincount(place + np.repeat(label[some] * size, f), np.repeat(weight[some], f), size * classes).reshape(classes, size)
@@ -275,7 +280,7 @@ def bag(codes: np.ndarray, label: np.ndarray, w: np.ndarray, classes: int, depth
     def divisible(s):
         return s.max(axis=0) < s.sum(axis=0) - 1e-9
 
-    tree, at = grow(codes[rows], sums, score, enough, divisible, depth)
+    tree, at = grow(codes, sums, score, enough, divisible, depth, bins)
     shares = np.bincount(at.astype(np.int64) * classes + label, weight, len(tree.feature) * classes).reshape(-1, classes)
     tree.value = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-12)
     return tree

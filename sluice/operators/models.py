@@ -19,13 +19,15 @@ from sluice import staging
 from sluice.functions import nets, network, scalars, trees
 from sluice.functions.ranking import digest, ranked
 from sluice.functions.trees import Boosting
-from sluice.operators import cluster, ensemble, metrics, split, training
+from sluice.operators import cluster, ensemble, forest, metrics, split, training
 
 #: Kinds of models and the learners that stand for them.
 KINDS = ("xgb", "catb", "bagging", "histgbm", "dnn")
 
-#: Trees are fitted on at most so many rows, as many of each label; weights keep the labels' shares.
+#: Boosted trees are fitted on at most so many rows, as many of each label; weights keep the labels' shares.
 ROWS = 200_000
+#: A bagged tree, or a node of it, is grown by one task if it has so many rows at most; bagged trees take all rows.
+WITHIN = 100_000
 
 #: Rounds, patience, depth, steps, parts and penalties of the boosted kinds, number of trees of the bagged one.
 BOOSTED = {
@@ -102,6 +104,13 @@ def shares_of(model: Broadcast) -> Callable:
     return shares
 
 
+def learnable(df: DataFrame) -> DataFrame:
+    """(x, label, w) of all rows that have features and a label."""
+    weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+    plain = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"), weight.alias("w"))
+    return plain.where("x IS NOT NULL AND label IS NOT NULL")
+
+
 def sampled(df: DataFrame, classes: int, seed: int, rows: int = ROWS) -> tuple[np.ndarray, ...]:
     """(features, label, weight, held): a bounded sample, of which a tenth of each label is held for validation.
 
@@ -109,9 +118,7 @@ def sampled(df: DataFrame, classes: int, seed: int, rows: int = ROWS) -> tuple[n
     The order doesn't depend on partitions.
     """
     most = max(1, rows // classes)
-    weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
-    plain = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"), weight.alias("w"))
-    plain = plain.where("x IS NOT NULL AND label IS NOT NULL").withColumn("_key", F.xxhash64("x", "label"))
+    plain = learnable(df).withColumn("_key", F.xxhash64("x", "label"))
     with staging.scope():
         some = ranked(plain, ["label"], digest("_key", seed=seed)).where(F.col("rank") <= most)
         some = staging.stage(some.withColumn("w", F.col("w") * F.col("total") / F.least("total", F.lit(most))).drop("rank", "total"), "training")
@@ -151,8 +158,19 @@ def boosted(df: DataFrame, classes: int, how: Boosting, seed: int = 42) -> TreeM
 
 
 def bagged(df: DataFrame, classes: int, n: int = BAGGED, depth: int = DEEPEST, seed: int = 42) -> TreeModel:
-    """n full trees, each on rows drawn with replacement, each in a task of its own."""
-    x, label, w, _ = sampled(df, classes, seed)
+    """n full trees, each on as many rows as there are, drawn with replacement from all of them.
+
+    Up to WITHIN rows each tree is a task on all rows' codes; of more rows a tree's upper nodes come from counts over all rows.
+    """
+    rows = learnable(df)
+    many = rows.count()
+    if not many:
+        raise ValueError("no rows to learn from")
+    if many > WITHIN:
+        cuts, packed = forest.fit(rows, classes, n, depth, seed, WITHIN)
+        return TreeModel(cuts, trees.sized(packed), True, classes)
+    got = rows.withColumn("_key", F.xxhash64("x", "label")).toArrow().sort_by([("_key", "ascending"), ("label", "ascending"), ("w", "ascending")]).combine_chunks()
+    x, label, w = got["x"].combine_chunks().flatten().to_numpy().reshape(many, -1), got["label"].to_numpy(), got["w"].to_numpy()
     cuts = trees.cuts_of(x)
 
     def one(i, data):

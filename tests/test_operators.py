@@ -453,6 +453,58 @@ def test_training_rows_are_bounded_and_weighted(spark):
         models.sampled(data.limit(0), 2, 42)
 
 
+@pytest.mark.parametrize("within", [100, 5000])
+def test_bagged_trees_learn_every_row(spark, monkeypatch, within):
+    # labels that only rows by themselves tell: what isn't learned is missed
+    monkeypatch.setattr(models.sampled, "__defaults__", (60,))
+    monkeypatch.setattr(models, "WITHIN", within, raising=False)
+    rng = np.random.default_rng(5)
+    label = np.where(np.arange(900) < 600, 0, rng.integers(1, 3, 900))
+    rows = [(i, int(c), *map(float, v)) for i, (c, v) in enumerate(zip(rng.permutation(label), rng.normal(size=(900, 12)), strict=True))]
+    data = models.assembled(spark.createDataFrame(rows, "id int, label int, " + ", ".join(f"c{i} double" for i in range(12))), [f"c{i}" for i in range(12)])
+    made = models.bagged(data, 3, n=25)
+    kept = models.Classifier("bagging", 3, made).predict(data).select("id", "label", "y_pred", "p").orderBy("id").collect()
+    assert np.mean([r.label == r.y_pred for r in kept]) > 0.97
+    again = models.Classifier("bagging", 3, models.bagged(data.repartition(5), 3, n=25)).predict(data).select("id", "p").orderBy("id").collect()
+    assert np.allclose([r.p for r in again], [r.p for r in kept])
+    with pytest.raises(ValueError, match="no rows"):
+        models.bagged(data.limit(0), 3, n=2)
+
+
+def test_upper_nodes_by_counts_are_those_of_one_task(spark, monkeypatch):
+    from sluice.operators import forest
+
+    rng = np.random.default_rng(6)
+    x, label = np.round(rng.normal(size=(500, 4)), 1), rng.integers(0, 3, 500)
+    monkeypatch.setattr(forest, "BLOCK", 64)
+    monkeypatch.setattr(forest, "BYTES", 500 * 16 * 2)  # two trees a round
+    rows = spark.createDataFrame([(list(map(float, v)), int(c), 1.0) for v, c in zip(x, label, strict=True)], "x array<double>, label int, w double").repartition(3)
+    cuts, split = forest.fit(rows, 3, 5, 200, 1, 30)
+    _, whole = forest.fit(rows, 3, 5, 200, 1, 1000)
+    codes = trees.binned(x, cuts)
+    for one, other in zip(map(trees.Trees.unpack, split), map(trees.Trees.unpack, whole), strict=True):
+        assert len(one.feature) == len(other.feature) > 100
+        assert np.allclose(one.total(codes), other.total(codes))
+    short, same = ([trees.Trees.unpack(p) for p in forest.fit(rows, 3, 2, 3, 1, within)[1]] for within in (100, 1000))
+    for one, other in zip(short, same, strict=True):
+        assert one.depth == 3 and 7 < len(one.feature) <= 15 and np.allclose(one.total(codes), other.total(codes))
+
+
+def test_cuts_of_all_rows(spark):
+    from sluice.operators import forest
+
+    rng = np.random.default_rng(7)
+    n = 3000
+    odd = rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n)
+    odd[:9] = [np.nan, np.inf, -np.inf, 0.0, -0.0, 5e-324, -1.7e308, 1.7e308, np.nan]
+    most = np.where(rng.random(n) < 0.7, 9.0, rng.normal(size=n))
+    least = np.where(rng.random(n) < 0.7, -9.0, rng.normal(size=n))
+    x = np.stack([rng.normal(size=n), rng.integers(0, 2, n), np.full(n, 3.0), odd, most, least, rng.integers(0, 65, n), np.full(n, np.nan), rng.normal(size=n).astype(np.float32)], axis=1)
+    rows = spark.createDataFrame([(list(map(float, v)),) for v in x], "x array<double>").repartition(4)
+    got, want = forest.cuts_of(rows, x.shape[1]), trees.cuts_of(x)
+    assert all(np.array_equal(g, w) for g, w in zip(got, want, strict=True))
+
+
 def test_boosting_of_three_classes(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(models.BOOSTED, "xgb", trees.Boosting(6, 2, 2, 0.3))
     rows = spark.createDataFrame([(i, i % 3, float(i % 3) + i % 5 / 1000) for i in range(90)], "id int, label int, x double")
